@@ -5,9 +5,10 @@ from __future__ import annotations
 from terrafold.llm.bpe import op4_forced_boundary_bpe
 from terrafold.llm.decontaminate import op7_suffix_automaton
 from terrafold.llm.jaccard_join import op5_heavy_light_jaccard
+from terrafold.llm.kd_sharding import op2_kd_sharding
 from terrafold.llm.substring_dedup import op6_substring_dedup
 from terrafold.llm.token_count import op1_overlap_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_overlap_token_counts, op4_forced_boundary_bpe, op5_heavy_light_jaccard, op6_substring_dedup, op7_suffix_automaton)}
+QUERIES = {f.__name__: f for f in (op1_overlap_token_counts, op2_kd_sharding, op4_forced_boundary_bpe, op5_heavy_light_jaccard, op6_substring_dedup, op7_suffix_automaton)}
 
 SQL: dict[str, str] = {}
