@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from terrafold.llm import kernel
 from terrafold.llm.rows import NO_ID
@@ -25,10 +24,12 @@ from terrafold.llm.rows import NO_ID
 Phrases = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 LOCAL = -1
-_SENT = pa.schema([("bucket", pa.int32()), ("row_key", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-_SENT_SQL = "bucket int, row_key long, docs binary, keys binary, counts binary, hashes binary"
-_ANSWER = pa.schema([("row_key", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
-_ANSWER_SQL = "row_key long, bucket int, bits binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary())])
+_SENT_SQL = "bucket int, docs binary, keys binary, counts binary, packed binary"
+_MAIL = pa.schema([("mailbox", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary())])
+_MAIL_SQL = "mailbox int, bucket int, keys binary, counts binary, packed binary"
+_FOUND = pa.schema([("row_key", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))])
+_FOUND_SQL = "row_key long, answers array<struct<bucket: int, bits: binary>>"
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -70,9 +71,8 @@ def _send(phrases: Phrases, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
                     for held, value in zip(rows.values(), values, strict=True):
                         held.append(value)
 
-                for a, b in _spans(text, before):
-                    key = keys[text[a]]
-                    put(LOCAL - key % buckets, key, None, None, None, np.packbits(before[a:b]).tobytes())
+                for mailbox, own in _mail(keys[text], text, before, buckets):
+                    put(LOCAL - mailbox, None, *own)
                 kept = ~before
                 hashes, text = hashes[kept], text[kept]
                 bucket = bucket_of(hashes, buckets)
@@ -84,33 +84,60 @@ def _send(phrases: Phrases, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
                     begins = _runs(own)
                     which = own[begins]
                     counts = np.diff(np.append(begins, len(own))).astype(np.int32)
-                    put(int(bucket[a]), None, ids[which].tobytes(), keys[which].tobytes(), counts.tobytes(), hashes[a:b].tobytes())
+                    put(int(bucket[a]), ids[which].tobytes(), keys[which].tobytes(), counts.tobytes(), hashes[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows.values(), _SENT, strict=True)], schema=_SENT)
 
     return send
 
 
-def _spans(text: np.ndarray, flag: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The slices of equal text that have a set flag."""
-    edges = np.append(_runs(text), len(text))
-    if len(text):
-        some = np.logical_or.reduceat(flag, edges[:-1])
-        yield from zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), strict=True)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """One bucket: which of its phrases a smaller document holds."""
-    whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    counts = whole("counts", np.int32)
-    hashes = whole("hashes", np.uint64)
-    before = _held_before(hashes, np.repeat(whole("docs", np.int64), counts))
-    ends = np.cumsum(counts)
-    begins = ends - counts
-    some = np.flatnonzero(np.logical_or.reduceat(before, begins))
-    keys = whole("keys", np.int64)[some]
-    bits = [np.packbits(before[a:b]).tobytes() for a, b in zip(begins[some].tolist(), ends[some].tolist(), strict=True)]
-    bucket = np.full(len(some), table.column("bucket")[0].as_py(), np.int32)
-    return pa.table([pa.array(keys), pa.array(bucket), pa.array(bits, pa.binary())], schema=_ANSWER)
+def _mail(keys: np.ndarray, text: np.ndarray, flag: np.ndarray, mailboxes: int) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
+    """The flags of each text that has one set, as bits, packed by the mailbox of its key."""
+    if not len(text):
+        return
+    begins = _runs(text)
+    ends = np.append(begins[1:], len(text))
+    some = np.logical_or.reduceat(flag, begins)
+    begins, ends = begins[some], ends[some]
+    keys = keys[begins]
+    mailbox = (kernel.mix(keys.astype(np.uint64)) % np.uint64(mailboxes)).astype(np.int64)
+    order = np.argsort(mailbox, kind="stable")
+    edges = np.append(_runs(mailbox[order]), len(order)) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = order[a:b]
+        bits = b"".join(np.packbits(flag[x:y]).tobytes() for x, y in zip(begins[own].tolist(), ends[own].tolist(), strict=True))
+        counts = (ends[own] - begins[own] + 7) // 8
+        yield int(mailbox[own[0]]), (keys[own].tobytes(), counts.astype(np.int32).tobytes(), bits)
+
+
+def _answer(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    def answer(table: pa.Table) -> pa.Table:
+        """One bucket: which of its phrases a smaller document holds. Answers found on the spot pass."""
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            n = table.num_rows
+            kept = [table.column(name) for name in ("keys", "counts", "packed")]
+            return pa.table([pa.array([LOCAL - bucket] * n, pa.int32()), pa.array([LOCAL] * n, pa.int32()), *kept], schema=_MAIL)
+        whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        counts = whole("counts", np.int32)
+        before = _held_before(whole("packed", np.uint64), np.repeat(whole("docs", np.int64), counts))
+        keys = whole("keys", np.int64)
+        text = np.repeat(np.arange(len(counts)), counts)
+        rows = [(mailbox, bucket, *own) for mailbox, own in _mail(keys[text], text, before, buckets)]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MAIL)], schema=_MAIL)
+
+    return answer
+
+
+def _deliver(table: pa.Table) -> pa.Table:
+    """One mailbox: the answers of each of its documents."""
+    by: dict[int, list] = {}
+    for bucket, keys, counts, packed in zip(*(table.column(name).to_pylist() for name in ("bucket", "keys", "counts", "packed")), strict=True):
+        at = 0
+        for key, n in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(counts, np.int32).tolist(), strict=True):
+            by.setdefault(key, []).append((bucket, packed[at : at + n]))
+            at += n
+    values = [[{"bucket": k, "bits": bits} for k, bits in own] for own in by.values()]
+    return pa.table([pa.array(list(by), pa.int64()), pa.array(values, _FOUND.field("answers").type)], schema=_FOUND)
 
 
 def answers(docs: DataFrame, phrases: Phrases, buckets: int) -> DataFrame:
@@ -120,15 +147,8 @@ def answers(docs: DataFrame, phrases: Phrases, buckets: int) -> DataFrame:
     """
     sent = docs.mapInArrow(_send(phrases, buckets), _SENT_SQL)
     # one pass over the texts: answers found on the spot ride along in buckets below zero
-    found = sent.groupBy("bucket").applyInArrow(_either, _ANSWER_SQL)
-    return found.groupBy("row_key").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-
-
-def _either(table: pa.Table) -> pa.Table:
-    if table.column("bucket")[0].as_py() >= 0:
-        return _answer(table)
-    bucket = np.full(table.num_rows, LOCAL, np.int32)
-    return pa.table([table.column("row_key"), pa.array(bucket), table.column("hashes")], schema=_ANSWER)
+    mail = sent.groupBy("bucket").applyInArrow(_answer(buckets), _MAIL_SQL)
+    return mail.groupBy("mailbox").applyInArrow(_deliver, _FOUND_SQL)
 
 
 def with_answers(docs: DataFrame, found: DataFrame) -> DataFrame:
