@@ -303,11 +303,14 @@ def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame) -> DataF
     return across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def near_duplicates(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents: row_key, doc_id, n_shingles, component_id; links: a, b between nodes, enough to join each component)."""
-    spark: SparkSession = documents.sparkSession
+def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents: row_key, doc_id, n_shingles, root, component_id; links: a, b between nodes, enough to join each component).
+
+    docs: row_key, doc_id, text, as ``row_keyed`` gives them. Documents of one
+    component have one root; component_id is its smallest doc_id.
+    """
+    spark: SparkSession = docs.sparkSession
     ship(spark)
-    docs = row_keyed(documents)
     profile = materialise(docs.mapInArrow(_profile, _PROFILE_SQL), "profile")
     plain = profile.where("block is null").select("row_key", "doc_id", "n", "node")
     sketch = _sketch(profile)
@@ -330,11 +333,19 @@ def near_duplicates(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = plain.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.select("node", "root").join(least, "root").select("node", "component_id")
-    out = plain.join(labels, "node").select("row_key", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = named.join(least, "root").select("node", "root", "component_id")
+    out = plain.join(labels, "node").select("row_key", "doc_id", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out, links
 
 
+def superseded(docs: DataFrame) -> DataFrame:
+    """row_key of the documents that another of their component stands for: all but the first by doc_id, then row_key."""
+    found, _ = near_duplicates(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(place)["row_key"].alias("kept"))
+    return found.where("n_shingles > 0").join(first, "root").where("row_key <> kept").select("row_key")
+
+
 def op5_heavy_light_jaccard(spark, sf_dir: str) -> DataFrame:
-    found, _ = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found, _ = near_duplicates(row_keyed(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_shingles", "component_id")

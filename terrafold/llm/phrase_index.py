@@ -7,6 +7,11 @@ order of the phrases in their document, so that no position travels. Phrases
 that a smaller document of the same chunk holds are answered on the spot, which
 leaves at most one document for each phrase and chunk to send: a phrase that a
 third of all documents share costs one entry for each chunk, not each document.
+
+Phrases can have a place besides their identity, such as the anchor that a
+fragment of text is found by. They then meet by place, and a second bit says
+that a phrase is contested: no smaller document holds it, but its place holds
+other phrases.
 """
 
 from __future__ import annotations
@@ -20,12 +25,12 @@ from pyspark.sql import DataFrame
 from terrafold.llm import kernel
 from terrafold.llm.rows import NO_ID
 
-#: texts -> (hash of each phrase, index of its text), texts in order
-Phrases = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: texts -> (hash of each phrase, index of its text, hash of its place or None), texts in order
+Phrases = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 LOCAL = -1
-_SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary())])
-_SENT_SQL = "bucket int, docs binary, keys binary, counts binary, packed binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary()), ("places", pa.binary())])
+_SENT_SQL = "bucket int, docs binary, keys binary, counts binary, packed binary, places binary"
 _MAIL = pa.schema([("mailbox", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary())])
 _MAIL_SQL = "mailbox int, bucket int, keys binary, counts binary, packed binary"
 _FOUND = pa.schema([("row_key", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))])
@@ -48,6 +53,13 @@ def _held_before(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return before
 
 
+def _contested(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each phrase: whether its place holds other phrases too."""
+    _, first, own = np.unique(hashes, return_index=True, return_inverse=True)
+    _, at, n = np.unique(place[first], return_inverse=True, return_counts=True)
+    return (n > 1)[at][own]
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where a new value begins."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
@@ -59,7 +71,7 @@ def _send(phrases: Phrases, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
             keys = batch.column("row_key").to_numpy()
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
             for at, texts in kernel.chunks(batch):
-                hashes, text = phrases(texts)
+                hashes, text, place = phrases(texts)
                 if not len(hashes):
                     continue
                 text = text + at
@@ -71,26 +83,27 @@ def _send(phrases: Phrases, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
                     for held, value in zip(rows.values(), values, strict=True):
                         held.append(value)
 
-                for mailbox, own in _mail(keys[text], text, before, buckets):
-                    put(LOCAL - mailbox, None, *own)
-                kept = ~before
-                hashes, text = hashes[kept], text[kept]
-                bucket = bucket_of(hashes, buckets)
+                for mailbox, own in mail(keys[text], text, before, buckets):
+                    put(LOCAL - mailbox, None, *own, None)
+                kept = np.flatnonzero(~before)
+                bucket = bucket_of((hashes if place is None else place)[kept], buckets)
                 order = np.argsort(bucket, kind="stable")
-                hashes, text, bucket = hashes[order], text[order], bucket[order]
+                kept, bucket = kept[order], bucket[order]
+                hashes, text = hashes[kept], text[kept]
+                low = None if place is None else place[kept].astype(np.uint32)
                 edges = np.append(_runs(bucket), len(bucket))
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     own = text[a:b]
                     begins = _runs(own)
                     which = own[begins]
                     counts = np.diff(np.append(begins, len(own))).astype(np.int32)
-                    put(int(bucket[a]), ids[which].tobytes(), keys[which].tobytes(), counts.tobytes(), hashes[a:b].tobytes())
+                    put(int(bucket[a]), ids[which].tobytes(), keys[which].tobytes(), counts.tobytes(), hashes[a:b].tobytes(), None if low is None else low[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows.values(), _SENT, strict=True)], schema=_SENT)
 
     return send
 
 
-def _mail(keys: np.ndarray, text: np.ndarray, flag: np.ndarray, mailboxes: int) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
+def mail(keys: np.ndarray, text: np.ndarray, flag: np.ndarray, mailboxes: int) -> Iterator[tuple[int, tuple[bytes, bytes, bytes]]]:
     """The flags of each text that has one set, as bits, packed by the mailbox of its key."""
     if not len(text):
         return
@@ -119,16 +132,19 @@ def _answer(buckets: int) -> Callable[[pa.Table], pa.Table]:
             return pa.table([pa.array([LOCAL - bucket] * n, pa.int32()), pa.array([LOCAL] * n, pa.int32()), *kept], schema=_MAIL)
         whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         counts = whole("counts", np.int32)
-        before = _held_before(whole("packed", np.uint64), np.repeat(whole("docs", np.int64), counts))
-        keys = whole("keys", np.int64)
+        hashes, keys = whole("packed", np.uint64), whole("keys", np.int64)
+        flag = _held_before(hashes, np.repeat(whole("docs", np.int64), counts))
         text = np.repeat(np.arange(len(counts)), counts)
-        rows = [(mailbox, bucket, *own) for mailbox, own in _mail(keys[text], text, before, buckets)]
+        if table.column("places")[0].is_valid:
+            flag = np.stack([flag, _contested(hashes, whole("places", np.uint32)) & ~flag], 1).ravel()
+            text = np.repeat(text, 2)
+        rows = [(mailbox, bucket, *own) for mailbox, own in mail(keys[text], text, flag, buckets)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MAIL)], schema=_MAIL)
 
     return answer
 
 
-def _deliver(table: pa.Table) -> pa.Table:
+def deliver(table: pa.Table) -> pa.Table:
     """One mailbox: the answers of each of its documents."""
     by: dict[int, list] = {}
     for bucket, keys, counts, packed in zip(*(table.column(name).to_pylist() for name in ("bucket", "keys", "counts", "packed")), strict=True):
@@ -148,23 +164,27 @@ def answers(docs: DataFrame, phrases: Phrases, buckets: int) -> DataFrame:
     sent = docs.mapInArrow(_send(phrases, buckets), _SENT_SQL)
     # one pass over the texts: answers found on the spot ride along in buckets below zero
     mail = sent.groupBy("bucket").applyInArrow(_answer(buckets), _MAIL_SQL)
-    return mail.groupBy("mailbox").applyInArrow(_deliver, _FOUND_SQL)
+    return mail.groupBy("mailbox").applyInArrow(deliver, _FOUND_SQL)
 
 
 def with_answers(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(found, "row_key", "left")
 
 
-def read_answers(hashes: np.ndarray, answers: list[dict], buckets: int) -> np.ndarray:
-    """The bits of one document's phrases, in their order; hashes as ``phrases`` gave them."""
-    out = np.zeros(len(hashes), bool)
+def read_answers(hashes: np.ndarray, answers: list[dict], buckets: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(held by a smaller document, contested) for one document's phrases, in their order; arguments as ``phrases`` gave them."""
+    out, contested = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     by = {x["bucket"]: np.frombuffer(x["bits"], np.uint8) for x in answers}
     if LOCAL in by:
         out = np.unpackbits(by.pop(LOCAL), count=len(hashes)).astype(bool)
     if by:
         sent = np.flatnonzero(~out)
-        bucket = bucket_of(hashes[sent], buckets)
+        bucket = bucket_of((hashes if place is None else place)[sent], buckets)
         for k, bits in by.items():
             mine = sent[bucket == k]
-            out[mine] = np.unpackbits(bits, count=len(mine)).astype(bool)
-    return out
+            if place is None:
+                out[mine] = np.unpackbits(bits, count=len(mine)).astype(bool)
+            else:
+                both = np.unpackbits(bits, count=2 * len(mine)).astype(bool)
+                out[mine], contested[mine] = both[0::2], both[1::2]
+    return out, contested

@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.rows import row_keyed
+from terrafold.llm.rows import fresh_name, keyed_table, row_keyed
 from terrafold.runtime import materialise, ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -212,10 +212,13 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     return trusted, instances.where(F.col("confidence") >= LEAST_INSTANCE)
 
 
-def personal_data(documents: DataFrame) -> DataFrame:
-    """(row_key, doc_id, base, found): base spans, and those that patterns add; spans are (kind, start, end), kind an index into KINDS."""
-    ship(documents.sparkSession)
-    scanned = materialise(row_keyed(documents).select("row_key", "doc_id", "text").mapInArrow(_scan, _SCAN_SQL), "scanned")
+def personal_data(docs: DataFrame) -> DataFrame:
+    """(row_key, doc_id, base, found): base spans, and those that patterns add; spans are (kind, start, end), kind an index into KINDS.
+
+    docs: row_key, doc_id, text, as ``row_keyed`` gives them.
+    """
+    ship(docs.sparkSession)
+    scanned = materialise(docs.select("row_key", "doc_id", "text").mapInArrow(_scan, _SCAN_SQL), "scanned")
     mentions = scanned.select("row_key", F.inline("mentions")).select("row_key", "kind", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = materialise(mentions.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trusted, confident = score_patterns(edges)
@@ -224,21 +227,35 @@ def personal_data(documents: DataFrame) -> DataFrame:
     return scanned.join(found, "row_key", "left").select("row_key", "doc_id", F.col("spans").alias("base"), F.coalesce("found", F.expr(f"cast(array() as {_SPAN_SQL})")).alias("found"))
 
 
-def redactor() -> Callable[[str | None, list], str | None]:
-    """A function of a text and its spans: the text with each stretch of spans replaced by <KIND>."""
-
-    def redact(text: str | None, spans: list) -> str | None:
-        if not spans or text is None:
-            return text
-        out, at = [], 0
-        for kind, a, b in sorted(((s["kind"], s["start"], s["end"]) for s in spans), key=lambda s: (s[1], -s[2])):
-            if b <= at:
-                continue
-            out += [text[at:a], f"<{KINDS[kind].upper()}>"] if a >= at else []
-            at = b
-        return "".join([*out, text[at:]])
-
-    return redact
+def redact(text: str | None, spans: list[dict]) -> str | None:
+    """The text with each stretch of spans replaced by <KIND> of its first."""
+    if not spans or text is None:
+        return text
+    out, at = [], 0
+    for a, b, kind in sorted((s["start"], s["end"], s["kind"]) for s in spans):
+        if a >= at:
+            out += [text[at:a], f"<{KINDS[kind].upper()}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redacted(documents: DataFrame) -> DataFrame:
+    """The documents with their personal data replaced; n_chars, where there is one, follows the text."""
+    whole, key, docs = keyed_table(documents)
+    spans = personal_data(docs).select(F.col("row_key").alias(key), F.concat("base", "found").alias("spans")).where("size(spans) > 0")
+    mark = fresh_name(whole, "spans")
+    marked = whole.join(spans.withColumnRenamed("spans", mark), key, "left").drop(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index(mark)
+            new = [redact(t, s) for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
+            yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type)).remove_column(j)
+
+    out = marked.mapInArrow(run, documents.schema)
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out
 
 
 def _joined(spans: str) -> str:
@@ -247,6 +264,6 @@ def _joined(spans: str) -> str:
 
 
 def op3_bootstrapped_pii(spark, sf_dir: str) -> DataFrame:
-    out = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = personal_data(row_keyed(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("concat(base, found)")).alias("spans"))

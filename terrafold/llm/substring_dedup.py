@@ -36,11 +36,11 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 _SQL = "doc_id long, n_words long, n_removed long, factors array<struct<first_word: long, n_words: long>>, kept string"
 
 
-def _phrases(window: int) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    def phrases(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _phrases(window: int) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, None]]:
+    def phrases(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, None]:
         words = kernel.words_of(texts, kernel.PLAIN_WORD, lower=False)
         at, text = words.window_starts(window)
-        return words.windows(window)[at], text
+        return words.windows(window)[at], text, None
 
     return phrases
 
@@ -53,7 +53,7 @@ def _cut(window: int, buckets: int, digest: bool) -> Callable[[Iterator[pa.Recor
             ids, found = batch.column("doc_id"), batch.column("answers")
             for at, texts in kernel.chunks(batch):
                 marked = [i for i in range(len(texts)) if found[at + i].is_valid]
-                hashes, text = phrases([texts[i] for i in marked]) if marked else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                hashes, text, _ = phrases([texts[i] for i in marked]) if marked else (np.zeros(0, np.uint64), np.zeros(0, np.int64), None)
                 edges = np.searchsorted(text, np.arange(len(marked) + 1))
                 n, removed, factors, kept = [], [], [], []
                 where = dict(zip(marked, zip(edges[:-1], edges[1:], strict=True), strict=True))
@@ -62,7 +62,7 @@ def _cut(window: int, buckets: int, digest: bool) -> Callable[[Iterator[pa.Recor
                     n.append(len(words))
                     if i in where:
                         a, b = where[i]
-                        held = read_answers(hashes[a:b], found[at + i].as_py(), buckets)
+                        held, _ = read_answers(hashes[a:b], found[at + i].as_py(), buckets)
                         gone = kernel.covered(np.flatnonzero(held), window, len(words))
                         runs = [{"first_word": s, "n_words": e - s} for s, e in zip(*(x.tolist() for x in kernel.segments(gone)), strict=True)]
                         words = compress(words, (~gone).tolist())

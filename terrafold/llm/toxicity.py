@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrafold.llm import kernel
 from terrafold.llm.rows import texts_of
@@ -34,8 +35,8 @@ from terrafold.runtime import ship
 TERM_CELLS = 1 << 22
 MAX_TRAINING_ROWS = 20_000
 MAX_FEATURES = 256
-#: A cell is kept when its log odds are this many standard errors from 0.
-LEAST_Z = 4.0
+#: A cell is kept when its G statistic against the classes is this large.
+LEAST_G = 20.0
 FACTORS = 8
 ROUNDS = 150
 
@@ -116,11 +117,14 @@ def _telling(cells: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     count = lambda flag: np.bincount(np.concatenate([c for c, f in zip(cells, flag, strict=True) if f]), minlength=TERM_CELLS)
     on, off, n_on, n_off = count(y), count(~y), y.sum(), (~y).sum()
     seen = np.flatnonzero(on + off >= 3)
-    a, b = on[seen] + 0.5, off[seen] + 0.5
-    odds = np.log(a / (n_on - on[seen] + 0.5)) - np.log(b / (n_off - off[seen] + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / a + 1 / (n_on - on[seen] + 0.5) + 1 / b + 1 / (n_off - off[seen] + 0.5))
-    kept = np.flatnonzero(z >= LEAST_Z)
-    return seen[kept[np.argsort(-z[kept], kind="stable")][:MAX_FEATURES]]
+    held = [(on[seen], n_on), (off[seen], n_off)]
+    both, n = on[seen] + off[seen], n_on + n_off
+    g = np.zeros(len(seen))
+    for have, total in held:
+        for observed, expected in ((have, both * total / n), (total - have, (n - both) * total / n)):
+            g += 2 * observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9))
+    kept = np.flatnonzero(g >= LEAST_G)
+    return seen[kept[np.argsort(-g[kept], kind="stable")][:MAX_FEATURES]]
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> FactorizationMachine:
@@ -141,8 +145,8 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS
     return FactorizationMachine.fit(x, y.astype(np.float32), picked)
 
 
-def scored(documents: DataFrame, model: FactorizationMachine, columns: tuple[str, ...] = ()) -> DataFrame:
-    """The documents' rows with a score: doc_id, text (where asked for among columns) and others by name."""
+def scored(documents: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
+    """The documents, all their columns, with the score of their text under ``name``."""
     spark = documents.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((model, model.table()))
@@ -157,17 +161,12 @@ def scored(documents: DataFrame, model: FactorizationMachine, columns: tuple[str
                 x = np.zeros((len(texts), len(own.cells)), np.float32)
                 x[text[feature >= 0], feature[feature >= 0]] = 1
                 scores.append(own.scores(x))
-            kept = [batch.column(name) for name in kept_names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*kept_names, "score"])
+            yield batch.append_column(name, pa.array(np.concatenate(scores) if scores else [], pa.float64()))
 
-    kept_names = ["doc_id", *columns]
-    given = documents if columns else texts_of(documents)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name in kept_names)
-    kept_names = [f.name for f in given.schema.fields if f.name in kept_names]
-    return given.select(*kept_names, *([] if "text" in kept_names else ["text"])).mapInArrow(run, f"{schema}, score double")
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op10_factorization_toxicity(spark, sf_dir: str) -> DataFrame:
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out = scored(documents, train(documents, labels))
+    out = scored(texts_of(documents), train(documents, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
