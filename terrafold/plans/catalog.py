@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from terrafold.plans import spatial_queries  # noqa: F401
+from terrafold.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "licences_in_lens"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
