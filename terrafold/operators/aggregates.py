@@ -52,7 +52,9 @@ def average_rank(value: str, *by: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     ranked = df.select(*by, average_rank(x, *by).alias("rx"), average_rank(y, *by).alias("ry"))
-    return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"), F.avg(F.abs(F.col("rx") - F.col("ry"))).alias("mean_shift"), F.max(F.abs(F.col("rx") - F.col("ry"))).alias("max_shift"))
+    product = F.avg(F.col("rx") * F.col("ry")) - F.avg("rx") * F.avg("ry")
+    rho = F.try_divide(product, F.stddev_pop("rx") * F.stddev_pop("ry"))  # null where all are equal
+    return ranked.groupBy(*by).agg(rho.alias("rho"), F.avg(F.abs(F.col("rx") - F.col("ry"))).alias("mean_shift"), F.max(F.abs(F.col("rx") - F.col("ry"))).alias("max_shift"))
 
 
 def min_max(value: str, *by: str) -> Column:
@@ -84,7 +86,7 @@ def multiplicity(value: str) -> Column:
 def rollup_levels(df: DataFrame, value: str, levels: list[str]) -> DataFrame:
     """Sums at each level of a hierarchy, from the finest list to the whole, with the level's name."""
     named = F.lit("ALL")
-    for c in levels:
+    for c in reversed(levels):
         named = F.when(F.grouping(c) == 0, c).otherwise(named)
     order = levels[::-1]
     return df.rollup(*order).agg(F.sum(value).alias(value), named.alias("level"))
