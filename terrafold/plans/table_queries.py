@@ -407,11 +407,11 @@ def area_profiles(view):
 
 
 @query("", """
-with r as (select p_partkey as id, p_name, case when lower(p_name) = 'part 7' then 0 when lower(p_name) like 'part 7%' then 1 when lower(p_name) like '%7%' then 2 end as kind from part), k as (select *, count(*) over () as total, row_number() over (order by kind, id) as rank from r where kind is not null) select id, p_name, cast(kind as integer) as kind, total from k where rank <= 8""")
+with r as (select p_partkey as id, p_name, case when lower(p_name) = 'large bolt' then 0 when lower(p_name) like 'large%' then 1 when lower(p_name) like '%bolt%' then 2 end as kind from part), k as (select *, count(*) over () as total, row_number() over (order by kind, id) as rank from r where kind is not null) select id, p_name, cast(kind as integer) as kind, total from k where rank <= 8""")
 def ranked_search(view):
     """The eight best matches of a text, with how many there are."""
     name = text.fold(F.col("p_name"))
-    kind = F.when(name == "part 7", 0).when(name.startswith("part 7"), 1).when(name.contains("7"), 2)
+    kind = F.when(name == "large bolt", 0).when(name.startswith("large"), 1).when(name.contains("bolt"), 2)
     found = view("part").select(F.col("p_partkey").alias("id"), "p_name", kind.alias("kind")).where("kind is not null")
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy("kind", "id").limit(8).join(F.broadcast(total))
