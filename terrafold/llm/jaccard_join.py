@@ -18,6 +18,9 @@ lists of two or more nodes. First every node of a list is compared with the
 list's smallest node, exactly, on the texts. The links found are contracted;
 only lists that still hold different components are compared pair by pair, so a
 group of near copies costs a comparison for each member, not for each pair.
+Before any text is read, pairs go through a bound that never drops a link: each
+set has SIGNATURE_WORDS x 64 bits, each the parity of the shingles hashed to it,
+and two sets differ in at least as many shingles as their bits differ.
 
 Nodes are 64-bit digests of a set: two sets among n share one with probability
 below n^2 / 2^65.
@@ -52,6 +55,8 @@ SKETCH_CELLS = 1 << 22
 _BLOCK = 1 << 16
 #: Sets beyond this are never light: their subsets number too many.
 MOST_LIGHT = 16
+#: 64-bit words of a set's parity signature.
+SIGNATURE_WORDS = 16
 #: Shingles that one block of comparisons holds, about.
 BLOCK_SHINGLES = 400_000
 
@@ -91,8 +96,13 @@ def node_of(own: np.ndarray) -> int:
 
 # ---- sizes, nodes and the frequency sketch: one pass over the texts
 
-_PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-_PROFILE_SQL = "row_key long, doc_id long, n long, node long, block int, counts binary"
+_PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("signature", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+_PROFILE_SQL = "row_key long, doc_id long, n long, node long, signature array<long>, block int, counts binary"
+
+
+def signature_of(own: np.ndarray) -> list[int]:
+    bits = np.bincount((own >> _U(20) & _U(64 * SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * SIGNATURE_WORDS) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64).tolist()
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +113,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = np.concatenate(sets) & _U(SKETCH_CELLS - 1)
             sketch += np.bincount(cells.astype(np.int64), minlength=SKETCH_CELLS)
             n = len(texts)
-            columns = [batch.column("row_key").slice(at, n), batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            columns = [batch.column("row_key").slice(at, n), batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature_of(s) for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_PROFILE)
     for k in np.flatnonzero(sketch.reshape(-1, _BLOCK).any(1)).tolist():
         part = np.minimum(sketch[k * _BLOCK : (k + 1) * _BLOCK], 0xFFFFFFFF).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_PROFILE)[:4]), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_PROFILE)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_PROFILE)[:5]), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_PROFILE)
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -246,6 +256,13 @@ def _lists(table: pa.Table) -> pa.Table:
 # ---- exact comparison
 
 _SIZES_FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+#: Linked sets share c(s, t) shingles or more, so they differ in s + t - 2 c(s, t) at most.
+_BITS_FIT = f"{' + '.join(f'bit_count(a{i} ^ b{i})' for i in range(SIGNATURE_WORDS))} <= n_a + n_b - 2 * ceil(3 * (n_a + n_b) / 7)"
+
+
+def _signed(signatures: DataFrame, side: str) -> DataFrame:
+    """(side, side0, side1, ...): the words of each node's signature."""
+    return signatures.select(F.col("node").alias(side), *(F.col("signature")[i].alias(f"{side}{i}") for i in range(SIGNATURE_WORDS)))
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -292,14 +309,14 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame) -> DataFram
     return texts.join(seats, "node").select("block", "hub", "node", "text").groupBy("block").applyInArrow(_compare, "a long, b long")
 
 
-def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs of a list whose components differ and which are not tried yet."""
     held = lists.select("list", F.inline("members")).join(roots, "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = held.groupBy("list").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("list")
     held = materialise(held.join(mixed, "list", "left_semi"), "mixed")
-    a = held.select("list", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    b = held.select("list", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = a.join(b, "list").where(f"a < b and root_a <> root_b and {_SIZES_FIT}").select("a", "n_a", "b", "n_b").distinct()
+    a = held.select("list", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).join(_signed(signatures, "a"), "a")
+    b = held.select("list", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")).join(_signed(signatures, "b"), "b")
+    across = a.join(b, "list").where(f"a < b and root_a <> root_b and {_SIZES_FIT} and {_BITS_FIT}").select("a", "n_a", "b", "n_b").distinct()
     return across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
@@ -323,9 +340,11 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     hub = F.element_at("members", 1)
     stars = lists.select(hub["node"].alias("a"), hub["n"].alias("n_a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("m")).select("a", "n_a", F.col("m.node").alias("b"), F.col("m.n").alias("n_b"))
-    stars = materialise(stars.where(_SIZES_FIT).distinct(), "stars")
+    signatures = materialise(profile.where("block is null and n > 0").groupBy("node").agg(F.first("signature").alias("signature")), "signatures")
+    stars = stars.where(_SIZES_FIT).distinct().join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b")
+    stars = materialise(stars.where(_BITS_FIT).select("a", "n_a", "b", "n_b"), "stars")
     links = materialise(_verified(docs, profile, stars), "links")
-    across = materialise(_pairs_across(lists, connected_components(links), stars), "across")
+    across = materialise(_pairs_across(lists, connected_components(links), stars, signatures), "across")
     if not across.isEmpty():
         links = links.union(materialise(_verified(docs, profile, across), "links"))
     roots = connected_components(links)
