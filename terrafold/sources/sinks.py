@@ -54,3 +54,54 @@ def verify(evidence_then: dict, evidence_now: dict | None) -> str:
     if evidence_now is None:
         return "UNVERIFIABLE"
     return "VERIFIED" if canonical_json(evidence_then) == canonical_json(evidence_now) else "MISMATCH"
+
+
+#: The keys of a shared state, in order, and their limits.
+STATE_KEYS = (("lat", -90.0, 90.0), ("lon", -180.0, 180.0), ("r", 100.0, 5000.0))
+
+
+def state_url(lat: float, lon: float, radius_m: float, shape: str | None = None) -> str:
+    """The shared state, always in one order of keys."""
+    return "?" + "&".join([f"lat={lat:.6f}", f"lon={lon:.6f}", f"r={radius_m:g}", *([f"shape={shape}"] if shape else [])])
+
+
+def parse_state(url: str) -> tuple[str, dict, list[str]]:
+    """(outcome, state, issues): EXACT, PARTIAL where a value had to be clamped or a key is unknown, REFUSED without a usable place."""
+    from urllib.parse import parse_qsl
+
+    given, issues, state = dict(parse_qsl(url.lstrip("?"))), [], {}
+    for key, low, high in STATE_KEYS:
+        try:
+            value = float(given.pop(key))
+        except (KeyError, ValueError):
+            issues.append(f"{key}: missing")
+            continue
+        if value != value:
+            issues.append(f"{key}: not a number")
+            continue
+        if not low <= value <= high:
+            if key != "r":
+                return "REFUSED", {}, [f"{key}: out of range"]
+            issues.append(f"{key}: clamped")
+        state[key] = min(high, max(low, value))
+    if "shape" in given:
+        state["shape"] = given.pop("shape")
+    issues += [f"{k}: unknown" for k in given]
+    if not {"lat", "lon"} <= set(state):
+        return "REFUSED", {}, issues
+    return "PARTIAL" if issues else "EXACT", state, issues
+
+
+def session_file(readings: list[dict], geometry: dict) -> str:
+    """Readings and their geometry with a checksum of each."""
+    sums = {"geometry": hashlib.sha256(canonical_json(geometry).encode()).hexdigest(), "readings": hashlib.sha256(canonical_json(readings).encode()).hexdigest()}
+    return canonical_json({"version": 1, "geometry": geometry, "readings": readings, "checksums": sums})
+
+
+def open_session(text: str) -> dict:
+    """The session, or an error where a checksum does not hold."""
+    s = json.loads(text)
+    for part in ("geometry", "readings"):
+        if hashlib.sha256(canonical_json(s[part]).encode()).hexdigest() != s["checksums"][part]:
+            raise ValueError(f"the {part} do not match their checksum")
+    return s

@@ -100,3 +100,25 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from hours").first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_paged_source(spark, tmp_path):
+    from terrafold.runtime import ship
+    from terrafold.sources.paged import PagedSource
+
+    ship(spark)
+    for i in range(5):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"records": [{"id": 2 * i}, {"id": 2 * i + 1, "name": "x"}]}))
+    spark.dataSource.register(PagedSource)
+    df = spark.read.format("paged").options(url=f"file://{tmp_path}/{{page}}.json", pages=5, columns="id,name", pagesPerPartition=2).load()
+    assert sorted((r.id, r.name) for r in df.collect()) == sorted((str(i), "x" if i % 2 else None) for i in range(10)) and df.rdd.getNumPartitions() == 3
+
+
+def test_shared_state_and_session():
+    url = sinks.state_url(40.5, -3.5, 900, "AREA_AT_POINT")
+    assert sinks.parse_state(url) == ("EXACT", {"lat": 40.5, "lon": -3.5, "r": 900.0, "shape": "AREA_AT_POINT"}, [])
+    assert sinks.parse_state("?lat=40&lon=-3&r=9000&x=1")[0] == "PARTIAL" and sinks.parse_state("?lat=99&lon=0&r=900")[0] == "REFUSED" and sinks.parse_state("?r=900")[0] == "REFUSED"
+    text = sinks.session_file([{"n": 1.0}], {"type": "Point"})
+    assert sinks.open_session(text)["readings"] == [{"n": 1}]
+    with pytest.raises(ValueError):
+        sinks.open_session(text.replace('"n":1', '"n":2'))
