@@ -48,3 +48,34 @@ def compare_areas(left: DataFrame, right: DataFrame, categorical: list[str], num
 
 def area_relation(a_area: str, b_area: str, a_district: str, b_district: str) -> Column:
     return F.when(F.col(a_area).isNull() | F.col(b_area).isNull(), "PARTIAL").when(F.col(a_area) == F.col(b_area), "SAME_AREA").when(F.col(a_district) == F.col(b_district), "SAME_DISTRICT").otherwise("DIFFERENT")
+
+
+def governing_outcome(a: Column, b: Column) -> Column:
+    """Continuity of two families of records: a break in either governs; a sign in neither is no evidence."""
+    return F.when((a == "BREAK") | (b == "BREAK"), "BREAK").when((a == "CONTINUOUS") | (b == "CONTINUOUS"), "CONTINUOUS").otherwise("NO_EVIDENCE")
+
+
+def insight(compared: DataFrame) -> DataFrame:
+    """One row: whether the metrics of a comparison speak at all, and whether they agree in direction."""
+    spoken = F.col("state").isin("RAW", "DENSITY")
+    agg = compared.agg(F.count_if(spoken).alias("available"), F.count("*").alias("metrics"), F.count_if(spoken & (F.col("direction") == "HIGHER")).alias("higher"), F.count_if(spoken & (F.col("direction") == "LOWER")).alias("lower"))
+    status = F.when(F.col("available") == 0, "UNAVAILABLE").when(F.col("available") < F.col("metrics"), "LIMITED").otherwise("AVAILABLE")
+    direction = F.when((F.col("higher") > 0) & (F.col("lower") == 0), "HIGHER").when((F.col("lower") > 0) & (F.col("higher") == 0), "LOWER").when(F.col("higher") + F.col("lower") > 0, "MIXED").otherwise("NONE")
+    return agg.select("metrics", "available", status.alias("status"), direction.alias("direction"))
+
+
+def withheld_unless(df: DataFrame, state: str, allowed: list[str], columns: list[str]) -> DataFrame:
+    """The columns become missing where the state does not allow them; the state stays and says why."""
+    return df.withColumns({c: F.when(F.col(state).isin(*allowed), F.col(c)) for c in columns})
+
+
+def same_scope(df: DataFrame, *columns: str) -> DataFrame:
+    """The frame, if the columns' metadata name one scope; figures of different scopes are not combined."""
+    scopes = {df.schema[c].metadata.get("scope") for c in columns}
+    if len(scopes) != 1 or None in scopes:
+        raise ValueError(f"columns {columns} have scopes {sorted(map(str, scopes))}")
+    return df
+
+
+def in_scope(column: Column, name: str, scope: str) -> Column:
+    return column.alias(name, metadata={"scope": scope})

@@ -64,3 +64,19 @@ def box_eligibility(lat: Column, lon: Column, radius_m: float, south: float, nor
 
 def circles_overlap(lat1: Column, lon1: Column, lat2: Column, lon2: Column, r1: float, r2: float) -> Column:
     return geo.haversine_m(lat1, lon1, lat2, lon2) <= r1 + r2
+
+
+def dominant_overlap(current: DataFrame, historical: DataFrame, step: float) -> DataFrame:
+    """(area_id, historical_id, share) of the historical area that covers most of each current one.
+
+    Overlap is counted on the points of a grid ``step`` degrees apart, so it is
+    exact to about the perimeter times the step; ties go to the smaller id.
+    """
+    at = lambda i: (F.col(i) + 0.5) * step
+    xs, ys = F.sequence(F.floor(F.col("west") / step), F.floor(F.col("east") / step)), F.sequence(F.floor(F.col("south") / step), F.floor(F.col("north") / step))
+    grid = current.select("area_id", "edges", F.explode(xs).alias("i"), ys.alias("ys")).select("area_id", "edges", "i", F.explode("ys").alias("j"))
+    held = grid.withColumns({"lon": at("i"), "lat": at("j")}).where(geo.inside(F.col("lat"), F.col("lon"), F.col("edges"))).select(F.col("area_id").alias("current_id"), "lat", "lon")
+    met = spatial.in_areas(held, historical).groupBy("current_id", "area_id").agg(F.count("*").alias("n"))
+    total = held.groupBy("current_id").agg(F.count("*").alias("total"))
+    best = met.groupBy("current_id").agg(F.max(F.struct("n", (-F.col("area_id")).alias("id"))).alias("b"))
+    return best.join(total, "current_id").select(F.col("current_id").alias("area_id"), (-F.col("b.id")).alias("historical_id"), (F.col("b.n") / F.col("total")).alias("share"))

@@ -236,3 +236,27 @@ def variant_against_baseline(view):
     near = lambda r: F.count_if(geo.in_circle(F.col("lat"), F.col("lon"), 40.4168, LON, r))
     b = view("poi").groupBy("type").agg(near(3000.0).alias("base"), near(3300.0).alias("variant"))
     return b.select("type", "base", "variant", (F.col("variant") - F.col("base")).alias("change"), F.when(F.col("base") > 0, F.round((F.col("variant") - F.col("base")) * 100 / F.col("base"), 6)).alias("pct"))
+
+
+@query("area_edges", """
+, a as (select area_id, min(least(x0,x1)) as w, max(greatest(x0,x1)) as e, min(least(y0,y1)) as s, max(greatest(y0,y1)) as n from area_edges group by area_id), h as (select area_id as hid, w + 0.03e0 as w, e + 0.03e0 as e, s, n from a),
+g as (select a.area_id, (i.i + 0.5e0)*0.004e0 as lon, (j.j + 0.5e0)*0.004e0 as lat from a cross join (select unnest(generate_series(-980, -870)) as i) i cross join (select unnest(generate_series(10070, 10150)) as j) j where (i.i + 0.5e0)*0.004e0 > a.w and (i.i + 0.5e0)*0.004e0 < a.e and (j.j + 0.5e0)*0.004e0 > a.s and (j.j + 0.5e0)*0.004e0 < a.n),
+m as (select g.area_id, h.hid, count(*) as c from g join h on g.lon > h.w and g.lon < h.e and g.lat > h.s and g.lat < h.n group by 1, 2), t as (select area_id, count(*) as total from g group by 1), r as (select m.area_id, hid, c, total, row_number() over (partition by m.area_id order by c desc, hid) as k from m join t on t.area_id = m.area_id)
+select area_id, hid as historical_id, round(c*1e0/total, 6) as share from r where k = 1""")
+def dominant_historical_areas(view):
+    """The older area that covers most of each current one, on a grid."""
+    moved = view("area_edges").withColumns({"x0": F.col("x0") + 0.03, "x1": F.col("x1") + 0.03})
+    out = topology.dominant_overlap(areas(view), spatial.polygons(moved), 0.004)
+    return out.select("area_id", "historical_id", F.round("share", 6).alias("share"))
+
+
+@query("poi", """
+, c as (select type as metric, count(case when id % 2 = 0 then 1 end) as a, count(case when id % 2 = 1 then 1 end) as b from poi group by type), s as (select metric, a, b, case when metric = 'bike' then 'WITHHELD_EXTRACTION' else 'RAW' end as state, case when metric <> 'bike' then b - a end as d from c)
+, i as (select count(*) as metrics, count(case when state = 'RAW' then 1 end) as available, count(case when d > 0 then 1 end) as hi, count(case when d < 0 then 1 end) as lo from s)
+select metrics, available, case when available = 0 then 'UNAVAILABLE' when available < metrics then 'LIMITED' else 'AVAILABLE' end as status, case when hi > 0 and lo = 0 then 'HIGHER' when lo > 0 and hi = 0 then 'LOWER' when hi + lo > 0 then 'MIXED' else 'NONE' end as direction from i""")
+def comparison_insight(view):
+    """What a comparison says as a whole."""
+    half = lambda k: F.count_if(F.col("id") % 2 == k)
+    c = view("poi").groupBy(F.col("type").alias("metric")).agg(half(0).alias("a"), half(1).alias("b"))
+    sides = c.select("metric", "a", "b", (F.col("metric") != "bike").alias("a_ok"), F.lit(True).alias("b_ok"), F.lit(1.0).alias("a_area"), F.lit(1.0).alias("b_area"))
+    return compare.insight(compare.compare_counts(sides))

@@ -66,3 +66,16 @@ def test_kind_filter_leaves_other_types(spark):
     df = spark.createDataFrame([("stay", "hotel"), ("stay", "hostel"), ("rail", None)], "type string, kind string")
     assert df.where(filters.only_kind("type", "kind", "stay", "hotel")).count() == 2
     assert df.where(filters.only_kind("type", "kind", "stay", None)).count() == 3
+
+
+def test_scopes_and_withholding(spark):
+    from terrafold.operators import compare
+
+    df = spark.range(1).select(compare.in_scope(F.lit(1), "a", "city"), compare.in_scope(F.lit(2), "b", "city"), compare.in_scope(F.lit(3), "c", "area"))
+    assert compare.same_scope(df, "a", "b") is df
+    with pytest.raises(ValueError):
+        compare.same_scope(df, "a", "c")
+    states = spark.createDataFrame([("WITHIN", 1), ("PARTIAL", 2)], "s string, n int")
+    assert [r.n for r in compare.withheld_unless(states, "s", ["WITHIN"], ["n"]).collect()] == [1, None]
+    signs = spark.createDataFrame([("BREAK", "CONTINUOUS"), ("CONTINUOUS", "NONE"), ("NONE", "NONE")], "a string, b string")
+    assert [r.v for r in signs.select(compare.governing_outcome(F.col("a"), F.col("b")).alias("v")).collect()] == ["BREAK", "CONTINUOUS", "NO_EVIDENCE"]
