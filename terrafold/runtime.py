@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch: it is held once in the JVM and once in Python.
+BATCH_BYTES = "8m"
+
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
@@ -17,8 +20,12 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application.
 
-    Executors need not have the repository on their path.
+    Executors need not have the repository on their path. Batches of texts stay
+    small: the default of Spark is set to BATCH_BYTES where nobody changed it.
     """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) == "67108864b":
+        spark.conf.set(limit, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
