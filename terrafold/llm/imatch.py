@@ -56,14 +56,20 @@ _COUNTS = pa.schema([("block", pa.int32()), ("documents", pa.int64()), ("counts"
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, documents = np.zeros(TERM_CELLS, np.int64), 0
+    total, documents, held, size = np.zeros(TERM_CELLS, np.uint32), 0, [], 0
     for batch in batches:
         documents += batch.num_rows
         for _, texts in kernel.chunks(batch):
-            total += np.bincount(distinct_terms(texts)[0], minlength=TERM_CELLS)
+            held.append(distinct_terms(texts)[0].astype(np.int32))
+            size += len(held[-1])
+            if size > TERM_CELLS // 2:
+                total += np.bincount(np.concatenate(held), minlength=TERM_CELLS).astype(np.uint32)
+                held, size = [], 0
+    if size:
+        total += np.bincount(np.concatenate(held), minlength=TERM_CELLS).astype(np.uint32)
     blocks = [0, *(np.flatnonzero(total.reshape(-1, _BLOCK)[1:].any(1)) + 1).tolist()] if documents else []
     for k in blocks:
-        part = np.minimum(total[k * _BLOCK : (k + 1) * _BLOCK], 0xFFFFFFFF).astype(np.uint32)
+        part = total[k * _BLOCK : (k + 1) * _BLOCK]
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([documents if k == 0 else 0], pa.int64()), pa.array([part.tobytes()], pa.binary())], schema=_COUNTS)
 
 
