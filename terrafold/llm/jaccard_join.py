@@ -14,10 +14,11 @@ size, which may be off without loss, since any one order is exact. The boundary
 is the size where both ways together cost least for the sizes at hand.
 
 Keys of both ways are dealt over buckets of their hash. Each bucket gives the
-lists of two or more nodes. First every node of a list is compared with the
-list's smallest node, exactly, on the texts. The links found are contracted;
-only lists that still hold different components are compared pair by pair, so a
-group of near copies costs a comparison for each member, not for each pair.
+lists of two or more nodes. First every node is compared with one hub of its
+lists, the node that stands in the most lists, exactly, on the texts. The links
+found are contracted; only lists that still hold different components are
+compared pair by pair, so a group of near copies costs a comparison for each
+member, not for each pair.
 Before any text is read, pairs go through a bound that never drops a link: each
 set has SIGNATURE_WORDS x 64 bits, each the parity of the shingles hashed to it,
 and two sets differ in at least as many shingles as their bits differ.
@@ -106,17 +107,22 @@ def signature_of(own: np.ndarray) -> list[int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch = np.zeros(SKETCH_CELLS, np.int64)
+    sketch, held, size = np.zeros(SKETCH_CELLS, np.uint32), [], 0
     for batch in batches:
         for at, texts in kernel.chunks(batch):
             sets = shingle_sets(texts)
-            cells = np.concatenate(sets) & _U(SKETCH_CELLS - 1)
-            sketch += np.bincount(cells.astype(np.int64), minlength=SKETCH_CELLS)
+            held += [(s & _U(SKETCH_CELLS - 1)).astype(np.int32) for s in sets]
+            size += sum(map(len, sets))
+            if size > SKETCH_CELLS // 2:
+                sketch += np.bincount(np.concatenate(held), minlength=SKETCH_CELLS).astype(np.uint32)
+                held, size = [], 0
             n = len(texts)
             columns = [batch.column("row_key").slice(at, n), batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature_of(s) for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_PROFILE)
+    if size:
+        sketch += np.bincount(np.concatenate(held), minlength=SKETCH_CELLS).astype(np.uint32)
     for k in np.flatnonzero(sketch.reshape(-1, _BLOCK).any(1)).tolist():
-        part = np.minimum(sketch[k * _BLOCK : (k + 1) * _BLOCK], 0xFFFFFFFF).astype(np.uint32)
+        part = sketch[k * _BLOCK : (k + 1) * _BLOCK]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_PROFILE)[:5]), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_PROFILE)
 
 
@@ -309,6 +315,17 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame) -> DataFram
     return texts.join(seats, "node").select("block", "hub", "node", "text").groupBy("block").applyInArrow(_compare, "a long, b long")
 
 
+def _stars(lists: DataFrame) -> DataFrame:
+    """(a, n_a, b, n_b): for each node b a hub a. The hub of a list is the node that the most lists hold, which among copies is the least edited; a node takes the best hub of its lists."""
+    held = lists.select("list", F.inline("members"))
+    rank = held.groupBy("node").agg(F.count("*").alias("lists"))
+    ranked = held.join(rank, "node")
+    hubs = ranked.groupBy("list").agg(F.max(F.struct("lists", "node", "n")).alias("hub"))
+    pairs = held.join(hubs, "list").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), "hub", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    best = pairs.where(f"a <> b and {_SIZES_FIT}").groupBy("b", "n_b").agg(F.max("hub").alias("hub"))
+    return best.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), "b", "n_b")
+
+
 def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame, signatures: DataFrame) -> DataFrame:
     """Pairs of a list whose components differ and which are not tried yet."""
     held = lists.select("list", F.inline("members")).join(roots, "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -317,7 +334,8 @@ def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame, signatur
     a = held.select("list", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).join(_signed(signatures, "a"), "a")
     b = held.select("list", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")).join(_signed(signatures, "b"), "b")
     across = a.join(b, "list").where(f"a < b and root_a <> root_b and {_SIZES_FIT} and {_BITS_FIT}").select("a", "n_a", "b", "n_b").distinct()
-    return across.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return across.join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -338,10 +356,8 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = sent.groupBy("bucket").applyInArrow(_lists, f"list long, members {_MEMBERS}")
     lists = materialise(found.groupBy("list").agg(F.first("members").alias("members")), "lists")
 
-    hub = F.element_at("members", 1)
-    stars = lists.select(hub["node"].alias("a"), hub["n"].alias("n_a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("m")).select("a", "n_a", F.col("m.node").alias("b"), F.col("m.n").alias("n_b"))
     signatures = materialise(profile.where("block is null and n > 0").groupBy("node").agg(F.first("signature").alias("signature")), "signatures")
-    stars = stars.where(_SIZES_FIT).distinct().join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b")
+    stars = _stars(lists).join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b")
     stars = materialise(stars.where(_BITS_FIT).select("a", "n_a", "b", "n_b"), "stars")
     links = materialise(_verified(docs, profile, stars), "links")
     across = materialise(_pairs_across(lists, connected_components(links), stars, signatures), "across")
