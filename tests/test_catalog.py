@@ -14,6 +14,10 @@ import pytest
 from terrafold.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
+#: No origin passes the publication threshold in the smallest tables.
+NO_ORIGINS = {"origins_against_previous_month", "missing_months", "top_origins", "largest_changes"}
+#: The few stations of the smallest tables stand far apart.
+NO_NEIGHBOURS = {"overlapping_circles"}
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +41,7 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(([plain(r[c]) for c in columns] for r in df.collect()), key=repr)
-    assert got or name in {"origins_against_previous_month", "missing_months", "top_origins"}
+    assert got or name in NO_ORIGINS | NO_NEIGHBOURS
     if name in SQL:
         cur = con.execute(SQL[name])
         names = [d[0] for d in cur.description]
