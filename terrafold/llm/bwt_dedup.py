@@ -9,13 +9,17 @@ fragments that a smaller document holds as they are, and those whose anchor has
 no other fragment. What is left, the distinct fragments that contest an anchor,
 as at the edges of copied passages, goes to a bucket of its anchor.
 
-There each sender's fragments are a shard. Its suffixes are sorted to ``width``
-bytes, which gives its transform. The transforms are merged by refining their
-interleave: from one stable pass over the last interleave's symbols to the next,
-it orders all suffixes by one byte more, and groups split where those bytes
-differ; after ``width`` passes the groups are the intervals of suffixes with a
-common prefix of that length. The suffixes themselves are never compared again.
-In each interval the smallest document keeps its string, the others lose it.
+There the fragments of a few senders are a shard. Its suffixes are sorted to
+SHARD_DEPTH bytes, which gives its transform, of bounded context. The sorted
+shards are merged as they are, which gives the first interleave, and that is
+refined: one stable pass over the symbols before
+the rows of the last interleave, and the step from each row to that of the
+longer suffix, order them by one or two bytes more, and groups split where those
+bytes differ. A row alone in its group, or of a suffix too short, leaves:
+every longer suffix would be alone or too short as well. After ``width`` passes
+the groups are the intervals of suffixes with a common prefix of that length.
+The suffixes themselves are never compared again. In each interval the smallest
+document keeps its string, the others lose it.
 
 Cases: null is the empty text; strings never cross documents; documents that
 share an id never remove from each other; a document without an id comes after
@@ -33,12 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm import kernel
-from terrafold.llm.phrase_index import answers, bucket_of, deliver, mail, read_answers
+from terrafold.llm.phrase_index import FOUND_SQL, answers, any_held, bucket_of, dealt_flags, deliver, mail, read_answers
 from terrafold.llm.rows import NO_ID, row_keyed
 from terrafold.runtime import ship, shuffle_partitions
 
 WIDTH = 50
-GRAM = 16
+GRAM = 24
+#: Symbols to which a shard's transform is sorted before it is merged.
+SHARD_DEPTH = 7
+#: Buckets of contested fragments for each bucket of the phrase index: a merge holds its bucket's suffixes at once.
+FINER = 4
+#: Senders whose fragments make one shard of a bucket.
+SHARD_ROWS = 32
 
 _U = np.uint64
 
@@ -73,7 +83,7 @@ class Fragments:
         start = kernel.ramps(self.begin[:-1], counts)
         anchor = (grams[start] & _U(0xFFFFFFFF)).astype(np.int64)
         text = np.repeat(np.arange(len(counts)), counts)
-        edge = np.flatnonzero(np.diff(anchor, prepend=-1) | np.diff(text, prepend=-1)) if len(start) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))) if len(start) else np.zeros(0, np.int64)
         self.first, self.text = start[edge], text[edge]
         self.last = start[np.append(edge[1:], len(start)) - 1] if len(start) else start
         self.place = kernel.slice_hash(prefix, anchor[edge], anchor[edge] + gram)
@@ -91,65 +101,77 @@ def _phrases(width: int, gram: int):
 # ---- transforms
 
 
-def shard_transform(data: np.ndarray, begin: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, places): the suffixes of the strings data[begin[i]:begin[i+1]], each closed by 0, sorted to ``depth`` symbols.
+def shard_transform(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, key, transform, longer) of strings symbols[begin[i]:begin[i + 1]], each of which ends with 0 and has none before.
 
-    data: symbols above 0, or 0 where a string ends. A transform holds the symbol before each suffix.
+    order: the places of the suffixes, sorted to SHARD_DEPTH symbols. key: those
+    symbols, packed. transform: the symbol before each; 0 where a string begins.
+    longer: the row of the suffix that begins there.
     """
-    n = len(data)
-    # ranks of 4 symbols, then doubled; what lies behind a string's end must not count
+    n = len(symbols)
     to_end = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)
-    padded = np.concatenate((data.astype(_U), np.zeros(4, _U)))
+    padded = np.concatenate((symbols.astype(_U), np.zeros(SHARD_DEPTH, _U)))
     key = np.zeros(n, _U)
-    for j in range(4):
+    for j in range(SHARD_DEPTH):
         key <<= _U(9)
         key |= np.where(j < to_end, padded[j : j + n], _U(0))
-    order, rank = _ranked(key)
-    known = 4
-    while known < depth:
-        step = min(known, depth - known)
-        ahead = np.zeros(n, _U)
-        inside = np.flatnonzero(step < to_end)
-        ahead[inside] = rank[inside + step] + _U(1)
-        order, rank = _ranked(rank << _U(32) | ahead)
-        known += step
-    before = np.zeros(n, np.uint16)
-    before[1:] = data[:-1]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    before = np.concatenate((symbols[:1] * 0, symbols[:-1]))
     before[begin[:-1]] = 0
-    return before[order], order
+    return order, key[order], before[order], row[np.maximum(order - 1, 0)]
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    rank = np.empty(len(key), _U)
-    rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1]))).astype(_U)
-    return order, rank
+def _kept(same: np.ndarray, long_enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that stay, group of each): rows of long enough suffixes in groups of two or more; same: whether a row is in the group of the row before."""
+    edge = np.concatenate(([True], ~same))
+    keep = ~(edge & np.concatenate((edge[1:], [True]))) & long_enough
+    return keep, np.cumsum(edge, dtype=np.int32)[keep]
 
 
-def merge_transforms(transforms: list[np.ndarray], strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, group): the merged order of the shards' rows, counted through all shards, and the group of equal prefixes of ``depth`` symbols that each is in.
+def _pass(rows: np.ndarray, group: np.ndarray, before: np.ndarray, step: np.ndarray, reach: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """One refinement: the rows of the longer suffixes, ordered to ``known`` symbols, and their groups."""
+    own = before[rows]
+    order = np.argsort(own, kind="stable")
+    order = order[np.searchsorted(own[order], 1) :]  # where a string begins, nothing stands before
+    own, group, rows = own[order], group[order], step[rows[order]]
+    if not len(rows):
+        return rows, group
+    keep, group = _kept((own[1:] == own[:-1]) & (group[1:] == group[:-1]), reach[rows] >= known)
+    return rows[keep], group
 
-    strings: how many strings each shard has; their closing symbols are its first rows.
+
+def merge_transforms(keys: list[np.ndarray], transforms: list[np.ndarray], longer: list[np.ndarray], left: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, group): the merged rows of the suffixes whose first ``depth`` symbols occur again, and the interval that each is in.
+
+    Rows count through all shards. left: how many symbols each suffix has.
+    depth is SHARD_DEPTH at least.
     """
-    symbols = np.concatenate(transforms)
-    sizes = np.array(list(map(len, transforms)))
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), sizes)
-    base = np.cumsum(sizes) - sizes
-    closing = kernel.ramps(base, np.array(strings))
-    n_closing = len(closing)
-    rows, group = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
-    for _ in range(depth):
-        own = symbols[rows]
-        order = np.argsort(own, kind="stable")
-        sym, was, source = own[order], group[order], shard[rows[order]]
-        # a closing symbol is followed by nothing: those rows come first, shard by shard, as one group
-        source[:n_closing] = shard[closing]
-        was[:n_closing] = 0
-        edge = np.concatenate(([False], (sym[1:] != sym[:-1]) | (was[1:] != was[:-1])))
-        group = np.cumsum(edge)
-        rows = np.empty(len(source), np.int64)
-        rows[np.argsort(source, kind="stable")] = np.arange(len(source))
+    base = np.cumsum([0, *map(len, transforms)]).astype(np.int32)
+    symbols, reach, key = np.concatenate(transforms), np.concatenate(left), np.concatenate(keys)
+    step = np.concatenate([x + b for x, b in zip(longer, base, strict=False)])
+    if not len(key):
+        return step, step
+    rows = np.argsort(key, kind="stable").astype(np.int32)  # a merge of runs: each shard is in order
+    key = key[rows]
+    keep, group = _kept(key[1:] == key[:-1], reach[rows] >= SHARD_DEPTH)
+    rows = rows[keep]
+    known = SHARD_DEPTH
+    if (depth - known) % 2:
+        rows, group = _pass(rows, group, symbols, step, reach, known + 1)
+        known += 1
+    if known < depth and len(rows):
+        # two symbols a pass: both before a row as one code, in order, and the row two symbols longer
+        pair = symbols[step].astype(np.int32) * 257 + symbols
+        pair[(symbols == 0) | (symbols[step] == 0)] = 0
+        used = np.bincount(pair, minlength=257 * 257) > 0
+        used[0] = True
+        code = (np.cumsum(used) - 1)[pair].astype(np.uint16 if used.sum() <= 1 << 16 else np.int32)
+        step = step[step]
+        while known < depth and len(rows):
+            known += 2
+            rows, group = _pass(rows, group, code, step, reach, known)
     return rows, group
 
 
@@ -158,7 +180,7 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
 
     docs: the document of each string of a shard.
     """
-    transforms, places, ordinal, fits, doc = [], [], [], [], []
+    keys, transforms, longer, left, places, doc = [], [], [], [], [], []
     at = 0
     for (data, begin), own in zip(shards, docs, strict=True):
         lengths = np.diff(begin)
@@ -166,21 +188,22 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
         symbols = np.zeros(closed[-1], np.uint16)
         inner = kernel.ramps(closed[:-1], lengths)
         symbols[inner] = data.astype(np.uint16) + 1
-        transform, order = shard_transform(symbols, closed, width)
+        order, key, transform, onward = shard_transform(symbols, closed)
+        keys.append(key)
         transforms.append(transform)
-        left = np.repeat(closed[1:], lengths + 1) - 1 - np.arange(len(symbols))
-        source = np.full(len(symbols), -1, np.int64)
+        longer.append(onward)
+        to_end = (np.repeat(closed[1:], lengths + 1) - 1 - np.arange(len(symbols))).astype(np.int32)
+        left.append(to_end[order])
+        source = np.zeros(len(symbols), np.int32)
         source[inner] = np.arange(len(data)) + at
         places.append(source[order])
-        fits.append((left >= width)[order])
         doc.append(np.repeat(own, lengths + 1)[order])
         at += len(data)
-    rows, group = merge_transforms(transforms, [len(b) - 1 for _, b in shards], width)
-    keep = np.concatenate(fits)[rows]
-    rows, group = rows[keep], group[keep]
+    doc, places = np.concatenate(doc), np.concatenate(places)
+    rows, group = merge_transforms(keys, transforms, longer, left, width)
     out = np.zeros(at, bool)
     if len(rows):
-        doc, place = np.concatenate(doc)[rows], np.concatenate(places)[rows]
+        doc, place = doc[rows], places[rows]
         begins = np.flatnonzero(np.diff(group, prepend=-1))
         least = np.repeat(np.minimum.reduceat(doc, begins), np.diff(np.append(begins, len(group))))
         out[place] = least < doc
@@ -213,7 +236,7 @@ def _send(width: int, gram: int, buckets: int):
                 pick = np.flatnonzero(open_)
                 if not len(pick):
                     continue
-                bucket = bucket_of(found.place[pick], buckets)
+                bucket = bucket_of(found.place[pick], FINER * buckets)
                 order = np.argsort(bucket, kind="stable")
                 pick, bucket = pick[order], bucket[order]
                 edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -236,11 +259,13 @@ def _merge(width: int, buckets: int):
     def merge(table: pa.Table) -> pa.Table:
         """One bucket: which strings of its fragments a smaller document holds."""
         shards, docs, keys, spread = [], [], [], []
-        for r in table.select(["docs", "keys", "counts", "lengths", "data"]).to_pylist():
-            counts, lengths = np.frombuffer(r["counts"], np.int32), np.frombuffer(r["lengths"], np.int32).astype(np.int64)
-            shards.append((np.frombuffer(r["data"], np.uint8), np.concatenate(([0], np.cumsum(lengths)))))
-            docs.append(np.repeat(np.frombuffer(r["docs"], np.int64), counts))
-            keys.append(np.frombuffer(r["keys"], np.int64))
+        for at in range(0, table.num_rows, SHARD_ROWS):
+            part = table.slice(at, SHARD_ROWS)
+            whole = lambda name, kind, part=part: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
+            counts, lengths = whole("counts", np.int32), whole("lengths", np.int32).astype(np.int64)
+            shards.append((whole("data", np.uint8), np.concatenate(([0], np.cumsum(lengths)))))
+            docs.append(np.repeat(whole("docs", np.int64), counts))
+            keys.append(whole("keys", np.int64))
             spread.append((counts, lengths))
         flags, texts, owners, seen = [], [], [], 0
         for (_, begin), (counts, lengths), own, flag in zip(shards, spread, keys, repeated(shards, docs, width), strict=True):
@@ -267,7 +292,7 @@ def _cut(width: int, gram: int, buckets: int, digest: bool) -> Callable[[Iterato
         for batch in batches:
             heard, settled = batch.column("answers"), batch.column("settled")
             for at, texts in kernel.chunks(batch):
-                marked = [i for i in range(len(texts)) if heard[at + i].is_valid]
+                marked = [i for i in range(len(texts)) if settled[at + i].is_valid or (heard[at + i].is_valid and any_held(heard[at + i].as_py()))]
                 found = Fragments([texts[i] for i in marked], width, gram)
                 own = dict(zip(marked, enumerate(_per_text(found, len(marked))), strict=True))
                 removed, spans, kept = [], [], []
@@ -275,7 +300,7 @@ def _cut(width: int, gram: int, buckets: int, digest: bool) -> Callable[[Iterato
                     runs = []
                     if i in own:
                         k, part = own[i]
-                        gone = _gone(found, part, found.begin[k], len(raw), heard[at + i].as_py(), settled[at + i].as_py() or [], width, buckets)
+                        gone = _gone(found, part, found.begin[k], len(raw), heard[at + i].as_py(), settled[at + i].as_py(), width, buckets)
                         runs = list(zip(*(x.tolist() for x in kernel.segments(gone)), strict=True))
                     removed.append(sum(b - a for a, b in runs))
                     spans.append([{"start": a, "end": b} for a, b in runs])
@@ -287,19 +312,20 @@ def _cut(width: int, gram: int, buckets: int, digest: bool) -> Callable[[Iterato
     return cut
 
 
-def _gone(found: Fragments, part: slice, begin: int, n: int, heard: list, settled: list, width: int, buckets: int) -> np.ndarray:
+def _gone(found: Fragments, part: slice, begin: int, n: int, heard: dict, settled: dict | None, width: int, buckets: int) -> np.ndarray:
     """Which bytes of one document go."""
     held, contested = read_answers(found.hash[part], heard, buckets, found.place[part])
     first, last = found.first[part] - begin, found.last[part] - begin
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, first[held], 1)
     np.subtract.at(step, last[held] + width, 1)
-    which = np.flatnonzero(contested)
-    bucket = bucket_of(found.place[part][which], buckets)
-    for x in settled:
-        mine = which[bucket == x["bucket"]]
-        starts = kernel.ramps(first[mine], last[mine] - first[mine] + 1)
-        starts = starts[np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=len(starts)).astype(bool)]
+    if settled:
+        # a bucket's bits tell of the strings of its fragments, in order
+        which = np.flatnonzero(contested)
+        count = last[which] - first[which] + 1
+        bucket = np.repeat(bucket_of(found.place[part][which], FINER * buckets), count)
+        places, flags = dealt_flags(bucket, settled, 1, FINER * buckets)
+        starts = kernel.ramps(first[which], count)[places[flags[:, 0]]]
         np.add.at(step, starts, 1)
         np.subtract.at(step, starts + width, 1)
     return np.cumsum(step[:-1]) > 0
@@ -312,11 +338,12 @@ def repeated_bytes(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, d
     """
     spark = documents.sparkSession
     ship(spark)
-    docs = row_keyed(documents)
+    # the filter keeps all rows; with it both joins below read one and the same shuffle of the texts
+    docs = row_keyed(documents).where("row_key is not null")
     buckets = shuffle_partitions(spark)
     heard = answers(docs, _phrases(width, gram), buckets)
     sent = docs.join(heard, "row_key").select("row_key", "doc_id", "text", "answers").mapInArrow(_send(width, gram, buckets), _SENT_SQL)
-    settled = sent.groupBy("bucket").applyInArrow(_merge(width, buckets), _MAIL_SQL).groupBy("mailbox").applyInArrow(deliver, "row_key long, answers array<struct<bucket: int, bits: binary>>")
+    settled = sent.groupBy("bucket").applyInArrow(_merge(width, buckets), _MAIL_SQL).groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
     both = docs.join(heard, "row_key", "left").join(settled.withColumnRenamed("answers", "settled"), "row_key", "left")
     return both.select("doc_id", "text", "answers", "settled").mapInArrow(_cut(width, gram, buckets, digest), _OUT_SQL)
 

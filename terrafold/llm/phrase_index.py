@@ -33,8 +33,8 @@ _SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.bi
 _SENT_SQL = "bucket int, docs binary, keys binary, counts binary, packed binary, places binary"
 _MAIL = pa.schema([("mailbox", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary())])
 _MAIL_SQL = "mailbox int, bucket int, keys binary, counts binary, packed binary"
-_FOUND = pa.schema([("row_key", pa.int64()), ("answers", pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())])))])
-_FOUND_SQL = "row_key long, answers array<struct<bucket: int, bits: binary>>"
+_FOUND = pa.schema([("row_key", pa.int64()), ("answers", pa.struct([("buckets", pa.binary()), ("bits", pa.binary())]))])
+FOUND_SQL = "row_key long, answers struct<buckets: binary, bits: binary>"
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -152,7 +152,10 @@ def deliver(table: pa.Table) -> pa.Table:
         for key, n in zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(counts, np.int32).tolist(), strict=True):
             by.setdefault(key, []).append((bucket, packed[at : at + n]))
             at += n
-    values = [[{"bucket": k, "bits": bits} for k, bits in own] for own in by.values()]
+    values = []
+    for own in by.values():
+        own.sort(key=lambda x: x[0])
+        values.append({"buckets": np.array([k for k, _ in own], np.int32).tobytes(), "bits": b"".join(bits for _, bits in own)})
     return pa.table([pa.array(list(by), pa.int64()), pa.array(values, _FOUND.field("answers").type)], schema=_FOUND)
 
 
@@ -164,27 +167,44 @@ def answers(docs: DataFrame, phrases: Phrases, buckets: int) -> DataFrame:
     sent = docs.mapInArrow(_send(phrases, buckets), _SENT_SQL)
     # one pass over the texts: answers found on the spot ride along in buckets below zero
     mail = sent.groupBy("bucket").applyInArrow(_answer(buckets), _MAIL_SQL)
-    return mail.groupBy("mailbox").applyInArrow(deliver, _FOUND_SQL)
+    return mail.groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
 
 
 def with_answers(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(found, "row_key", "left")
 
 
-def read_answers(hashes: np.ndarray, answers: list[dict], buckets: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def dealt_flags(bucket: np.ndarray, answers: dict, planes: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, flags): for the phrases whose buckets answered, where they stand in ``bucket``, and ``planes`` flags of each."""
+    which = np.frombuffer(answers["buckets"], np.int32)
+    bits = np.unpackbits(np.frombuffer(answers["bits"], np.uint8))
+    all_counts = np.bincount(bucket, minlength=buckets)
+    counts = all_counts[which]
+    padded = (planes * counts + 7) // 8 * 8
+    flags = bits[kernel.ramps(np.cumsum(padded) - padded, planes * counts)].astype(bool)
+    places = np.argsort(bucket, kind="stable")[kernel.ramps((np.cumsum(all_counts) - all_counts)[which], counts)]
+    return places, flags.reshape(-1, planes)
+
+
+def any_held(answers: dict) -> bool:
+    """Whether answers of two flags tell of a phrase that a smaller document holds; those found on the spot all do."""
+    if np.frombuffer(answers["buckets"], np.int32, 1)[0] == LOCAL:
+        return True
+    return bool((np.frombuffer(answers["bits"], np.uint8) & 0b10101010).any())
+
+
+def read_answers(hashes: np.ndarray, answers: dict, buckets: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(held by a smaller document, contested) for one document's phrases, in their order; arguments as ``phrases`` gave them."""
     out, contested = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-    by = {x["bucket"]: np.frombuffer(x["bits"], np.uint8) for x in answers}
-    if LOCAL in by:
-        out = np.unpackbits(by.pop(LOCAL), count=len(hashes)).astype(bool)
-    if by:
+    if np.frombuffer(answers["buckets"], np.int32, 1)[0] == LOCAL:
+        size = (len(hashes) + 7) // 8
+        out = np.unpackbits(np.frombuffer(answers["bits"], np.uint8, size), count=len(hashes)).astype(bool)
+        answers = {"buckets": answers["buckets"][4:], "bits": answers["bits"][size:]}
+    if answers["buckets"]:
         sent = np.flatnonzero(~out)
         bucket = bucket_of((hashes if place is None else place)[sent], buckets)
-        for k, bits in by.items():
-            mine = sent[bucket == k]
-            if place is None:
-                out[mine] = np.unpackbits(bits, count=len(mine)).astype(bool)
-            else:
-                both = np.unpackbits(bits, count=2 * len(mine)).astype(bool)
-                out[mine], contested[mine] = both[0::2], both[1::2]
+        places, flags = dealt_flags(bucket, answers, 1 if place is None else 2, buckets)
+        out[sent[places]] = flags[:, 0]
+        if place is not None:
+            contested[sent[places]] = flags[:, 1]
     return out, contested
