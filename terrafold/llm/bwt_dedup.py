@@ -7,7 +7,11 @@ a row with the same anchor make a fragment; equal strings have equal anchors, so
 it is enough to compare fragments of one anchor. ``phrase_index`` settles the
 fragments that a smaller document holds as they are, and those whose anchor has
 no other fragment. What is left, the distinct fragments that contest an anchor,
-as at the edges of copied passages, goes to a bucket of its anchor.
+as at the edges of copied passages, goes to a bucket of its anchor. An anchor
+that more than CROWD of them contest, as where a passage stands in a third of all
+documents, would make a bucket that grows with the corpus. Its fragments are cut
+into their single strings, which are dealt by their own hash instead; of equal
+ones only the smallest document of a chunk sends its own.
 
 There the fragments of a few senders are a shard. Its suffixes are sorted to
 SHARD_DEPTH bytes, which gives its transform, of bounded context. The sorted
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm import kernel
-from terrafold.llm.phrase_index import FOUND_SQL, answers, any_held, bucket_of, dealt_flags, deliver, mail, read_answers
+from terrafold.llm.phrase_index import FOUND_SQL, LOCAL, answers, any_held, bucket_of, dealt_flags, deliver, held_before, mail, read_answers
 from terrafold.llm.rows import NO_ID, row_keyed
 from terrafold.runtime import ship, shuffle_partitions
 
@@ -47,6 +51,8 @@ GRAM = 24
 SHARD_DEPTH = 7
 #: Buckets of contested fragments for each bucket of the phrase index: a merge holds its bucket's suffixes at once.
 FINER = 4
+#: Fragments that contest one anchor and still go to one bucket: CROWD times 76 bytes at most, for texts that are no runs.
+CROWD = 1 << 14
 #: Senders whose fragments make one shard of a bucket.
 SHARD_ROWS = 32
 
@@ -65,9 +71,9 @@ class Fragments:
         n = len(self.data)
         if n < width:
             empty = np.zeros(0, np.int64)
-            self.first, self.last, self.text, self.place, self.hash = empty, empty, empty, empty.astype(_U), empty.astype(_U)
+            self.first, self.last, self.text, self.place, self.hash, self.prefix = empty, empty, empty, *(empty.astype(_U) for _ in range(3))
             return
-        prefix = kernel.prefix_hash(self.data)
+        prefix = self.prefix = kernel.prefix_hash(self.data)
         grams = prefix[gram:] - prefix[:-gram]
         grams *= kernel._tables(n + 1)[1][: len(grams)]
         grams *= _U(0xFF51AFD7ED558CCD)
@@ -223,6 +229,16 @@ def _per_text(found: Fragments, n: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _parts(found: Fragments, pick: np.ndarray, crowded: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, text, hash to deal by, whether single) of what is dealt of some fragments: they themselves, or the single strings of crowded ones."""
+    count = np.where(crowded, found.last[pick] - found.first[pick] + 1, 1)
+    own, single = np.repeat(pick, count), np.repeat(crowded, count)
+    first = kernel.ramps(found.first[pick], count)
+    key = found.place[own]
+    key[single] = kernel.slice_hash(found.prefix, first[single], first[single] + width)
+    return first, np.where(single, first, found.last[own]), found.text[own], key, single
+
+
 def _send(width: int, gram: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,25 +246,32 @@ def _send(width: int, gram: int, buckets: int):
             heard = batch.column("answers")
             for at, texts in kernel.chunks(batch):
                 found = Fragments(texts, width, gram)
-                open_ = np.zeros(len(found.hash), bool)
+                open_, crowded = np.zeros(len(found.hash), bool), np.zeros(len(found.hash), bool)
                 for i, own in enumerate(_per_text(found, len(texts))):
-                    _, open_[own] = read_answers(found.hash[own], heard[at + i].as_py(), buckets, found.place[own])
+                    _, open_[own], crowded[own] = read_answers(found.hash[own], heard[at + i].as_py(), buckets, found.place[own])
                 pick = np.flatnonzero(open_)
                 if not len(pick):
                     continue
-                bucket = bucket_of(found.place[pick], FINER * buckets)
+                first, last, text, key, single = _parts(found, pick, crowded[pick], width)
+                rows = []
+                if single.any():
+                    # equal strings of this chunk are settled on the spot
+                    which = text[single] + at
+                    before = held_before(key[single], ids[which])
+                    rows += [(LOCAL - mailbox, None, k, n, None, bits) for mailbox, (k, n, bits) in mail(keys[which], which, before, buckets)]
+                    single[single] = before
+                    first, last, text, key = (x[~single] for x in (first, last, text, key))
+                bucket = bucket_of(key, FINER * buckets)
                 order = np.argsort(bucket, kind="stable")
-                pick, bucket = pick[order], bucket[order]
+                first, last, text, bucket = first[order], last[order], text[order], bucket[order]
                 edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                rows = []
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    own = pick[a:b]
-                    text = found.text[own]
-                    begins = np.flatnonzero(np.diff(text, prepend=-1))
-                    lengths = found.last[own] - found.first[own] + width
-                    data = found.data[kernel.ramps(found.first[own], lengths)]
+                    own = text[a:b]
+                    begins = np.flatnonzero(np.diff(own, prepend=-1))
+                    lengths = last[a:b] - first[a:b] + width
+                    data = found.data[kernel.ramps(first[a:b], lengths)]
                     counts = np.diff(np.append(begins, b - a)).astype(np.int32)
-                    which = text[begins] + at
+                    which = own[begins] + at
                     rows.append((int(bucket[a]), ids[which].tobytes(), keys[which].tobytes(), counts.tobytes(), lengths.astype(np.int32).tobytes(), data.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
@@ -257,7 +280,12 @@ def _send(width: int, gram: int, buckets: int):
 
 def _merge(width: int, buckets: int):
     def merge(table: pa.Table) -> pa.Table:
-        """One bucket: which strings of its fragments a smaller document holds."""
+        """One bucket: which strings of its fragments a smaller document holds. Answers found on the spot pass."""
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            n = table.num_rows
+            kept = [table.column(name) for name in ("keys", "counts", "data")]
+            return pa.table([pa.array([LOCAL - bucket] * n, pa.int32()), pa.array([LOCAL] * n, pa.int32()), *kept], schema=_MAIL)
         shards, docs, keys, spread = [], [], [], []
         for at in range(0, table.num_rows, SHARD_ROWS):
             part = table.slice(at, SHARD_ROWS)
@@ -275,7 +303,6 @@ def _merge(width: int, buckets: int):
             texts.append(text + seen)
             owners.append(own[text])
             seen += len(counts)
-        bucket = table.column("bucket")[0].as_py()
         rows = [(mailbox, bucket, *own) for mailbox, own in mail(np.concatenate(owners), np.concatenate(texts), np.concatenate(flags), buckets)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MAIL)], schema=_MAIL)
 
@@ -314,34 +341,43 @@ def _cut(width: int, gram: int, buckets: int, digest: bool) -> Callable[[Iterato
 
 def _gone(found: Fragments, part: slice, begin: int, n: int, heard: dict, settled: dict | None, width: int, buckets: int) -> np.ndarray:
     """Which bytes of one document go."""
-    held, contested = read_answers(found.hash[part], heard, buckets, found.place[part])
+    held, contested, crowded = read_answers(found.hash[part], heard, buckets, found.place[part])
     first, last = found.first[part] - begin, found.last[part] - begin
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, first[held], 1)
     np.subtract.at(step, last[held] + width, 1)
     if settled:
-        # a bucket's bits tell of the strings of its fragments, in order
+        # a bucket's bits tell of the strings of what it got, in order; those found on the spot tell of all single strings
         which = np.flatnonzero(contested)
-        count = last[which] - first[which] + 1
-        bucket = np.repeat(bucket_of(found.place[part][which], FINER * buckets), count)
-        places, flags = dealt_flags(bucket, settled, 1, FINER * buckets)
-        starts = kernel.ramps(first[which], count)[places[flags[:, 0]]]
+        own_first, own_last, _, key, single = _parts(found, part.start + which, crowded[which], width)
+        own_first, count, starts = own_first - begin, own_last - own_first + 1, []
+        if np.frombuffer(settled["buckets"], np.int32, 1)[0] == LOCAL:
+            size = (int(single.sum()) + 7) // 8
+            single[single] = np.unpackbits(np.frombuffer(settled["bits"], np.uint8, size), count=int(single.sum())).astype(bool)
+            starts.append(own_first[single])
+            own_first, key, count = (x[~single] for x in (own_first, key, count))
+            settled = {"buckets": settled["buckets"][4:], "bits": settled["bits"][size:]}
+        if settled["buckets"]:
+            places, flags = dealt_flags(np.repeat(bucket_of(key, FINER * buckets), count), settled, 1, FINER * buckets)
+            starts.append(kernel.ramps(own_first, count)[places[flags[:, 0]]])
+        starts = np.concatenate(starts)
         np.add.at(step, starts, 1)
         np.subtract.at(step, starts + width, 1)
     return np.cumsum(step[:-1]) > 0
 
 
-def repeated_bytes(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool = False) -> DataFrame:
+def repeated_bytes(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool = False, crowd: int = CROWD) -> DataFrame:
     """Per document: the byte spans that repeat smaller documents, and the bytes left.
 
-    kept holds the bytes left; with ``digest``, the text of their SHA-256.
+    kept holds the bytes left; with ``digest``, the text of their SHA-256. crowd:
+    fragments beyond which an anchor is dealt by single strings.
     """
     spark = documents.sparkSession
     ship(spark)
     # the filter keeps all rows; with it both joins below read one and the same shuffle of the texts
     docs = row_keyed(documents).where("row_key is not null")
     buckets = shuffle_partitions(spark)
-    heard = answers(docs, _phrases(width, gram), buckets)
+    heard = answers(docs, _phrases(width, gram), buckets, crowd)
     sent = docs.join(heard, "row_key").select("row_key", "doc_id", "text", "answers").mapInArrow(_send(width, gram, buckets), _SENT_SQL)
     settled = sent.groupBy("bucket").applyInArrow(_merge(width, buckets), _MAIL_SQL).groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
     both = docs.join(heard, "row_key", "left").join(settled.withColumnRenamed("answers", "settled"), "row_key", "left")

@@ -11,7 +11,8 @@ third of all documents share costs one entry for each chunk, not each document.
 Phrases can have a place besides their identity, such as the anchor that a
 fragment of text is found by. They then meet by place, and a second bit says
 that a phrase is contested: no smaller document holds it, but its place holds
-other phrases.
+other phrases. A place that holds more open phrases than a bound is crowded, which both
+bits together say of its phrases that no smaller document holds.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _held_before(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def held_before(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each phrase: whether a smaller document has it."""
     order = np.argsort(hashes)
     ordered = hashes[order]
@@ -53,11 +54,13 @@ def _held_before(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return before
 
 
-def _contested(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For each phrase: whether its place holds other phrases too."""
+def _contested(hashes: np.ndarray, place: np.ndarray, held: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each phrase that is not held: whether its place holds other phrases too, and then whether over ``crowd`` that are not held."""
     _, first, own = np.unique(hashes, return_index=True, return_inverse=True)
     _, at, n = np.unique(place[first], return_inverse=True, return_counts=True)
-    return (n > 1)[at][own]
+    at = at[own]
+    contested = (n > 1)[at] & ~held
+    return contested, contested & (np.bincount(at[~held], minlength=len(n)) > crowd)[at]
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -76,7 +79,7 @@ def _send(phrases: Phrases, buckets: int) -> Callable[[Iterator[pa.RecordBatch]]
                     continue
                 text = text + at
                 doc = ids[text]
-                before = _held_before(hashes, doc)
+                before = held_before(hashes, doc)
                 rows = {name: [] for name in _SENT.names}
 
                 def put(*values, rows=rows):
@@ -122,7 +125,7 @@ def mail(keys: np.ndarray, text: np.ndarray, flag: np.ndarray, mailboxes: int) -
         yield int(mailbox[own[0]]), (keys[own].tobytes(), counts.astype(np.int32).tobytes(), bits)
 
 
-def _answer(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _answer(buckets: int, crowd: int) -> Callable[[pa.Table], pa.Table]:
     def answer(table: pa.Table) -> pa.Table:
         """One bucket: which of its phrases a smaller document holds. Answers found on the spot pass."""
         bucket = table.column("bucket")[0].as_py()
@@ -133,10 +136,11 @@ def _answer(buckets: int) -> Callable[[pa.Table], pa.Table]:
         whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         counts = whole("counts", np.int32)
         hashes, keys = whole("packed", np.uint64), whole("keys", np.int64)
-        flag = _held_before(hashes, np.repeat(whole("docs", np.int64), counts))
+        flag = held_before(hashes, np.repeat(whole("docs", np.int64), counts))
         text = np.repeat(np.arange(len(counts)), counts)
         if table.column("places")[0].is_valid:
-            flag = np.stack([flag, _contested(hashes, whole("places", np.uint32)) & ~flag], 1).ravel()
+            contested, crowded = _contested(hashes, whole("places", np.uint32), flag, crowd)
+            flag = np.stack([flag | crowded, contested], 1).ravel()
             text = np.repeat(text, 2)
         rows = [(mailbox, bucket, *own) for mailbox, own in mail(keys[text], text, flag, buckets)]
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MAIL)], schema=_MAIL)
@@ -159,14 +163,14 @@ def deliver(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(by), pa.int64()), pa.array(values, _FOUND.field("answers").type)], schema=_FOUND)
 
 
-def answers(docs: DataFrame, phrases: Phrases, buckets: int) -> DataFrame:
+def answers(docs: DataFrame, phrases: Phrases, buckets: int, crowd: int = 0) -> DataFrame:
     """(row_key, answers): for each document with a phrase that a smaller one holds, its bits by bucket.
 
-    docs: row_key, doc_id, text, as ``row_keyed`` gives them.
+    docs: row_key, doc_id, text, as ``row_keyed`` gives them. crowd: open phrases beyond which a place is crowded.
     """
     sent = docs.mapInArrow(_send(phrases, buckets), _SENT_SQL)
     # one pass over the texts: answers found on the spot ride along in buckets below zero
-    mail = sent.groupBy("bucket").applyInArrow(_answer(buckets), _MAIL_SQL)
+    mail = sent.groupBy("bucket").applyInArrow(_answer(buckets, crowd), _MAIL_SQL)
     return mail.groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
 
 
@@ -190,12 +194,13 @@ def any_held(answers: dict) -> bool:
     """Whether answers of two flags tell of a phrase that a smaller document holds; those found on the spot all do."""
     if np.frombuffer(answers["buckets"], np.int32, 1)[0] == LOCAL:
         return True
-    return bool((np.frombuffer(answers["bits"], np.uint8) & 0b10101010).any())
+    bits = np.frombuffer(answers["bits"], np.uint8)
+    return bool((bits & ~(bits << 1) & 0b10101010).any())
 
 
-def read_answers(hashes: np.ndarray, answers: dict, buckets: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(held by a smaller document, contested) for one document's phrases, in their order; arguments as ``phrases`` gave them."""
-    out, contested = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+def read_answers(hashes: np.ndarray, answers: dict, buckets: int, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(held by a smaller document, contested, in a crowded place) for one document's phrases, in their order; arguments as ``phrases`` gave them."""
+    out, contested, crowded = (np.zeros(len(hashes), bool) for _ in range(3))
     if np.frombuffer(answers["buckets"], np.int32, 1)[0] == LOCAL:
         size = (len(hashes) + 7) // 8
         out = np.unpackbits(np.frombuffer(answers["bits"], np.uint8, size), count=len(hashes)).astype(bool)
@@ -207,4 +212,6 @@ def read_answers(hashes: np.ndarray, answers: dict, buckets: int, place: np.ndar
         out[sent[places]] = flags[:, 0]
         if place is not None:
             contested[sent[places]] = flags[:, 1]
-    return out, contested
+            crowded = out & contested
+            out &= ~crowded
+    return out, contested, crowded

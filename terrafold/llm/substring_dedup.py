@@ -62,7 +62,7 @@ def _cut(window: int, buckets: int, digest: bool) -> Callable[[Iterator[pa.Recor
                     n.append(len(words))
                     if i in where:
                         a, b = where[i]
-                        held, _ = read_answers(hashes[a:b], found[at + i].as_py(), buckets)
+                        held, *_ = read_answers(hashes[a:b], found[at + i].as_py(), buckets)
                         gone = kernel.covered(np.flatnonzero(held), window, len(words))
                         runs = [{"first_word": s, "n_words": e - s} for s, e in zip(*(x.tolist() for x in kernel.segments(gone)), strict=True)]
                         words = compress(words, (~gone).tolist())

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import random
+import tempfile
+import uuid
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
 from conftest import pairs, tuples
 
-from terrafold.llm import jaccard_join, kernel
+from terrafold.llm import bwt_dedup, jaccard_join, kernel
 from terrafold.llm.bwt_dedup import merge_transforms, repeated_bytes, shard_transform
 from terrafold.llm.components import connected_components
 from terrafold.llm.jaccard_join import near_duplicates, needed, prefix_length, superseded
@@ -36,6 +39,39 @@ def test_byte_dedup(request, name):
     assert got == sorted(brute.byte_dedup(rows), key=repr)
 
 
+@pytest.mark.parametrize("name", TABLES)
+def test_byte_dedup_by_single_strings(request, name):
+    df, rows = data_of(request, name)
+    got = tuples(repeated_bytes(df, digest=True, crowd=1).selectExpr("doc_id", "n_bytes", "n_removed", "cast(size(spans) as long) n", "cast(kept as string) kept"), "doc_id", "n_bytes", "n_removed", "n", "kept")
+    assert got == sorted(brute.byte_dedup(rows), key=repr)
+
+
+def test_a_passage_of_all_documents_makes_no_large_merge(spark, monkeypatch):
+    draw = random.Random(7)
+    prose = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = prose(300)
+    rows = [(i, prose(60 + i % 50) + passage + prose(60 + i % 40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    send = bwt_dedup._send
+    monkeypatch.setattr(bwt_dedup, "_send", lambda *a: lambda batches: noted(send(*a)(batches)))
+    path = tempfile.mkdtemp()
+
+    def noted(batches):
+        for b in batches:
+            with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+                f.writelines(f"{k} {len(d or b'')}\n" for k, d in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()) if k >= 0)
+            yield b
+
+    out = repeated_bytes(df, digest=True, crowd=100).selectExpr("doc_id", "n_bytes", "n_removed", "cast(size(spans) as long) n", "cast(kept as string) kept")
+    assert tuples(out, "doc_id", "n_bytes", "n_removed", "n", "kept") == sorted(brute.byte_dedup(rows), key=repr)
+    sizes = {}
+    for p in Path(path).iterdir():
+        for k, n in (line.split() for line in p.read_text().splitlines()):
+            sizes[k] = sizes.get(k, 0) + int(n)
+    # without the second deal the two edges of the passage fill a bucket or two
+    assert sizes and max(sizes.values()) < 3 * sum(sizes.values()) / len(sizes) and len(sizes) == 16
+
+
 @pytest.mark.parametrize(("name", "boundary"), [*((t, None) for t in TABLES), ("documents", 0), ("documents", 9), ("repeated", 9)])
 def test_jaccard_join(request, name, boundary, monkeypatch):
     if boundary is not None:
