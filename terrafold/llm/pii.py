@@ -6,13 +6,15 @@ forms, found in one linear scan of each text. They seed a bootstrap:
 - every mention, a seed or a string of a plausible shape that no form takes, has
   lexical patterns: the two words before it, and the words on either side;
 - patterns and instances make a bipartite graph. A pattern's score for a kind is
-  the smoothed mean confidence of its distinct instances; an instance's
-  confidence is 1 for a seed, else the noisy-or of its trusted patterns. Spark
+  the smoothed mean confidence of its distinct instances, in which what is not yet
+  known of an instance weighs UNSEEN only: no form is no evidence against it. An
+  instance's confidence is 1 for a seed, else the noisy-or of its trusted patterns. Spark
   joins and sums score both in turn, ROUNDS times;
 - mentions in a trusted pattern whose instance is confident join the result.
 
 A pattern is trusted when it scores LEAST_PATTERN and holds LEAST_SEEDS distinct
-seeds, so chance contexts find nothing. Instances travel as 64-bit digests, not
+seeds, so chance contexts find nothing: LEAST_SEEDS seeds carry as many unseen
+instances, many seeds 1.7 times as many. Instances travel as 64-bit digests, not
 as plain personal data. Edges are summed before any shuffle by pattern, and a
 pattern or instance takes part as one row a distinct neighbour.
 
@@ -40,6 +42,8 @@ LEAST_SEEDS = 3
 LEAST_PATTERN = 0.7
 LEAST_INSTANCE = 0.7
 SMOOTHING = 0.5
+#: What an instance that nothing is known of counts against its patterns, where a seed counts 1 for them.
+UNSEEN = 0.25
 #: Characters on each side that patterns look at.
 CONTEXT = 48
 
@@ -201,13 +205,15 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     edges: kind, pattern, instance, seed; one row for each distinct pair.
     """
     instances = edges.groupBy("kind", "instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("confidence"))
+    known = F.sum("confidence")
     for _ in range(rounds):
         weighed = edges.join(instances, ["kind", "instance"])
-        patterns = weighed.groupBy("kind", "pattern").agg((F.sum("confidence") / (F.count("*") + SMOOTHING)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        patterns = weighed.groupBy("kind", "pattern").agg((known / (known + UNSEEN * (F.count("*") - known) + SMOOTHING)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
         trusted = patterns.where((F.col("score") >= LEAST_PATTERN) & (F.col("seeds") >= LEAST_SEEDS)).select("kind", "pattern", "score")
         trusted = materialise(trusted, "patterns")
-        support = edges.join(trusted, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("miss"))
-        confidence = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("miss", F.lit(0.0))))
+        # least() passes over nulls: without a score of 0, instances of no trusted pattern would be confident
+        support = edges.join(trusted, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))).alias("miss"))
+        confidence = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("miss"))
         instances = materialise(support.select("kind", "instance", confidence.alias("confidence")), "instances")
     return trusted, instances.where(F.col("confidence") >= LEAST_INSTANCE)
 

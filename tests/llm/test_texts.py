@@ -146,6 +146,19 @@ def test_context_discovers_unseen_identifiers(spark):
     assert redact(rows[8][1], [s.asDict() for s in out[50]]) == "again call phone <PHONE> now it rings"
 
 
+def test_few_and_many_seeds_carry_unseen_identifiers(spark):
+    cases = [("ring desk", 3, 1), ("call phone", 1000, 500), ("weighs about", 3, 30)]
+    rows, unseen = [], {}
+    for k, (context, seeds, others) in enumerate(cases):
+        rows += [(len(rows) + i, f"s{k}x{i} {context} +1 555 {k}{1000000 + i} r{k}x{i} end") for i in range(seeds)]
+        unseen[k] = range(len(rows), len(rows) + others)
+        rows += [(len(rows) + i, f"u{k}x{i} {context} 55{k}-{2000 + i}-777 q{k}x{i} end") for i in range(others)]
+    words = [(i, re.sub("[0-9]x[0-9]+", lambda m: m.group().translate(str.maketrans("0123456789", "abcdefghij")), t)) for i, t in rows]
+    out = {r.doc_id: [(s.kind, words[r.doc_id][1][s.start : s.end]) for s in r.found] for r in personal_data(row_keyed(spark.createDataFrame(words, "doc_id long, text string"))).collect()}
+    want = {d: [(3, words[d][1].split()[3])] for k in (0, 1) for d in unseen[k]}
+    assert {d: found for d, found in out.items() if found} == want
+
+
 @pytest.mark.parametrize("name", TABLES)
 def test_fingerprints(request, name):
     df, rows = data_of(request, name)
