@@ -9,7 +9,8 @@ The benchmark is a fixed test set: its automaton goes to the workers with the
 task, after a check of its size (``MAX_BENCHMARK_BYTES``).
 
 Cases: null and empty texts have no words; an item without words matches
-nothing; items with equal words are all counted; items are named by item_id.
+nothing; items with equal words are all counted; items are named by item_id, and
+an item without one is left out and matches nothing.
 Other columns pass by.
 """
 
