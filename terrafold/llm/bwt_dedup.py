@@ -75,7 +75,7 @@ class Fragments:
             return
         prefix = self.prefix = kernel.prefix_hash(self.data)
         grams = prefix[gram:] - prefix[:-gram]
-        grams *= kernel._tables(n + 1)[1][: len(grams)]
+        grams *= kernel.tables(n + 1)[1][: len(grams)]
         grams *= _U(0xFF51AFD7ED558CCD)
         grams &= _U(0xFFFFFFFF00000000)
         grams |= np.arange(len(grams), dtype=_U)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.runtime import materialise
+from terrafold.runtime import materialise, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = ends.select("node", F.col("node").alias("label"))
     while not left.isEmpty():
+        old = left, labels
         both = left.select(F.col("b").alias("label"), F.col("a").alias("to"))
-        hooks = materialise(both.groupBy("label").agg(F.min("to").alias("to")), "hooks")
+        first = hooks = materialise(both.groupBy("label").agg(F.min("to").alias("to")), "hooks")
         for _ in range(2):
             onward = hooks.select(F.col("label").alias("to"), F.col("to").alias("onward"))
             hooks = hooks.join(onward, "to", "left").select("label", F.coalesce("onward", "to").alias("to"))
@@ -30,4 +31,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             renamed = renamed.join(hooks.select(F.col("label").alias(end), F.col("to").alias("new")), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
         left = materialise(renamed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        release(first, hooks, *old)  # the new tables are written and need none of these
     return labels.select("node", F.col("label").alias("root"))

@@ -3,20 +3,27 @@
 Terms are words (letters, digits and everything beyond ASCII; A-Z lower-cased)
 hashed to one of TERM_CELLS cells; document frequencies are counted by cell over
 all documents, in memory of fixed size. The lexicon holds the cells whose
-frequency lies in a band, that is, whose inverse document frequency does. Each
-of the SUBSETS random lexicons keeps a share of it, from all terms to one in 2048,
-so that some react to any change and some only to large ones. A fingerprint
-is the sequence of the subsets' 32-bit hashes of a document's distinct terms in
-order; zeros where a subset has no term of it. The likeness of two fingerprints
+frequency lies in a band, that is, whose inverse document frequency does. The band
+is a share of the documents, and so is what rare terms add to a cell: with d rare
+terms a document, d / (TERM_CELLS x the band's lower end), which is 8 % of the lower
+end for d = 100 at any size of the corpus.
+
+Each of the SUBSETS random lexicons keeps a share of the lexicon, from all terms to
+one in 2048, so that some react to any change and some only to large ones. A
+fingerprint is the sequence of the subsets' 32-bit hashes of a document's distinct
+terms in order; zeros where a subset has no term of it. A text without any term in
+the band takes all its terms, by the same draws. The likeness of two fingerprints
 is the share of equal hashes among the subsets that have a term in either; 1 for
 equal fingerprints.
 
-Documents are dealt by ranges of their id, and each range also gets the first
-document of the next one, so that every document meets its successor in order.
+Documents are dealt by ranges of their place in order of id, and each range also
+gets the first document of the next one, so that every document meets its successor.
 
-Cases: null is the empty text, with no terms and a fingerprint of zeros; a
-single document is its own successor; rows without an id come first; rows that
-share an id follow each other by row; other columns are ignored.
+Cases: null is the empty text, with no terms and a fingerprint of zeros, as any
+text without a term; a single document is its own successor; rows without an id
+come first; rows that share an id follow each other by a hash of their text; an
+empty table gives an empty result; texts of any length are read whole, in chunks
+that hold one text at least; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm import kernel
-from terrafold.llm.rows import row_keyed
-from terrafold.runtime import ship, shuffle_partitions
+from terrafold.llm import kernel, sketch
+from terrafold.llm.rows import texts_of, unique_ids
+from terrafold.llm.sketch import CellCounts, summed
+from terrafold.runtime import materialise, ship, shuffle_partitions
 
 TERM_CELLS = 1 << 22
-_BLOCK = 1 << 16
 #: The band of document frequency, as shares of all documents; at least two documents.
 BAND = (0.0003, 0.1)
 #: Each random lexicon keeps one term in so many; the first keeps all.
@@ -52,67 +59,51 @@ def distinct_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (both & _U(0xFFFFFFFF)).astype(np.int64), (both >> _U(32)).astype(np.int64)
 
 
-_COUNTS = pa.schema([("block", pa.int32()), ("documents", pa.int64()), ("counts", pa.binary())])
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, documents, held, size = np.zeros(TERM_CELLS, np.uint32), 0, [], 0
+    seen = CellCounts(TERM_CELLS)
     for batch in batches:
-        documents += batch.num_rows
         for _, texts in kernel.chunks(batch):
-            held.append(distinct_terms(texts)[0].astype(np.int32))
-            size += len(held[-1])
-            if size > TERM_CELLS // 2:
-                total += np.bincount(np.concatenate(held), minlength=TERM_CELLS).astype(np.uint32)
-                held, size = [], 0
-    if size:
-        total += np.bincount(np.concatenate(held), minlength=TERM_CELLS).astype(np.uint32)
-    blocks = [0, *(np.flatnonzero(total.reshape(-1, _BLOCK)[1:].any(1)) + 1).tolist()] if documents else []
-    for k in blocks:
-        part = total[k * _BLOCK : (k + 1) * _BLOCK]
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([documents if k == 0 else 0], pa.int64()), pa.array([part.tobytes()], pa.binary())], schema=_COUNTS)
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    documents = sum(table.column("documents").to_pylist())
-    return pa.table([table.column("block").slice(0, 1), pa.array([documents], pa.int64()), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], schema=_COUNTS)
-
-
-def lexicons(documents: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
-    """For each term cell a mask of the subsets that keep it; zero outside the band."""
-    counts = documents.select("text").mapInArrow(_frequencies, "block int, documents long, counts binary")
-    frequency, n = np.zeros(TERM_CELLS, np.int64), 0
-    for block, documents_seen, part in counts.groupBy("block").applyInArrow(_add_up, "block int, documents long, counts binary").collect():
-        frequency[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(part, np.uint32)
-        n += documents_seen
+            seen.add(distinct_terms(texts)[0])
+    yield from seen.batches()
+
+
+def draws(cells: np.ndarray) -> np.ndarray:
+    """For each cell a mask of the random lexicons that would keep it."""
+    out = np.zeros(len(cells), np.uint32)
+    for j, share in enumerate(SHARES):
+        draw = kernel.mix(cells.astype(_U) * _U(SUBSETS) + _U(j) + _U(0x51F15EED << 24))
+        out[draw % _U(share) == 0] |= np.uint32(1 << j)
+    return out
+
+
+def lexicons(documents: DataFrame, n: int, band: tuple[float, float] = BAND) -> np.ndarray:
+    """For each term cell a mask of the subsets that keep it; zero outside the band of the ``n`` documents."""
+    frequency = summed(documents.select("text").mapInArrow(_frequencies, sketch.SQL), TERM_CELLS)
     inside = np.flatnonzero((frequency >= max(2, band[0] * n)) & (frequency <= max(2, band[1] * n)))
     masks = np.zeros(TERM_CELLS, np.uint32)
-    for j in range(SUBSETS):
-        share = SHARES[j]
-        draw = kernel.mix(inside.astype(_U) * _U(SUBSETS) + _U(j) + _U(0x51F15EED << 24))
-        masks[inside[draw % _U(share) == 0]] |= np.uint32(1 << j)
+    masks[inside] = draws(inside)
     return masks
 
 
 def subset_hashes(texts: list[bytes], masks: np.ndarray) -> np.ndarray:
-    """One row of SUBSETS 32-bit hashes for each text."""
+    """One row of SUBSETS 32-bit hashes for each text: a polynomial hash of its distinct terms of each lexicon, in order."""
     cells, text = distinct_terms(texts)
-    mask = masks[cells]
-    kept = mask != 0
-    cells, text, mask = cells[kept], text[kept], mask[kept]
     out = np.zeros((len(texts), SUBSETS), np.uint32)
-    if not len(cells):
-        return out
+    mask = masks[cells]
+    banded = np.zeros(len(texts), bool)
+    banded[text[mask != 0]] = True
+    bare = ~banded[text]
+    mask[bare] = draws(cells[bare])
     value = kernel.mix(cells.astype(_U) + _U(0xA5A5 << 40))
-    begins = np.flatnonzero(np.diff(text, prepend=-1))
-    own = text[begins]
+    powers, inverses = kernel.tables(len(cells) + 1)
     for j in range(SUBSETS):
-        bit = (mask >> np.uint32(j) & np.uint32(1)).astype(_U)
-        some = np.add.reduceat(bit, begins) > 0
-        # the sum of mixed terms is a hash of the ordered distinct terms that needs no loop
-        sums = kernel.mix(np.add.reduceat(value * bit, begins) + _U(j + 1))
-        out[own, j] = np.where(some, (sums >> _U(32)).astype(np.uint32) | np.uint32(1), 0)
+        at = np.flatnonzero(mask >> np.uint32(j) & np.uint32(1))
+        if not len(at):
+            continue
+        own = text[at]
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        sums = np.add.reduceat(value[at] * powers[: len(at)], begins) * inverses[begins]
+        out[own[begins], j] = (kernel.mix(sums + _U(j + 1)) >> _U(32)).astype(np.uint32) | np.uint32(1)
     return out
 
 
@@ -172,23 +163,37 @@ def _fingerprint(shared):
     return run
 
 
+def placed(documents: DataFrame) -> DataFrame:
+    """(place, doc_id, text): place numbers the rows in order of their id, without ties.
+
+    The doc_id serves where it is unique and never null. Other tables are numbered in
+    order and written; rows of one id then stand by a hash of their text.
+    """
+    docs = texts_of(documents)
+    if unique_ids(docs):
+        return docs.select(F.col("doc_id").alias("place"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit(""))).asc(), F.col("row").asc()]
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return materialise(ordered.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text"), "placed")
+
+
 def fingerprints(documents: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each document and of its edit by its successor, and their likeness."""
     spark = documents.sparkSession
     ship(spark)
-    docs = row_keyed(documents).select("row_key", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"), "text")
-    shared = spark.sparkContext.broadcast(lexicons(docs, band))
+    docs = placed(documents)
+    shared = spark.sparkContext.broadcast(lexicons(docs, docs.count(), band))
     ranges = 4 * shuffle_partitions(spark)
     bounds = sorted(set(docs.approxQuantile("place", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    schema = "range int, row_key long, doc_id long, place long, text string"
     deal = _dealt(bounds)
     # the first row of each range; there are at most as many as ranges
-    firsts = docs.select("row_key", "doc_id", "place", F.lit(None).cast("string").alias("text")).mapInArrow(deal, schema).groupBy("range").agg(F.min(F.struct("place", "row_key")).alias("first")).orderBy("range").collect()
-    guests = [(nxt["first"]["row_key"], own["range"]) for own, nxt in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    named = spark.createDataFrame(guests, "row_key long, to int")
-    visiting = docs.join(F.broadcast(named), "row_key").select(F.col("to").alias("range"), F.lit(True).alias("guest"), "place", "row_key", "doc_id", "text")
-    own = docs.mapInArrow(deal, schema).select("range", F.lit(False).alias("guest"), "place", "row_key", "doc_id", "text")
-    ordered = own.unionByName(visiting).repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "guest", "place", "row_key")
+    firsts = docs.select("place").mapInArrow(deal, "range int, place long").groupBy("range").agg(F.min("place").alias("first")).orderBy("range").collect()
+    guests = [(nxt["first"], own["range"]) for own, nxt in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
+    named = spark.createDataFrame(guests, "place long, to int")
+    visiting = docs.join(F.broadcast(named), "place").select(F.col("to").alias("range"), F.lit(True).alias("guest"), "place", "doc_id", "text")
+    own = docs.mapInArrow(deal, "range int, place long, doc_id long, text string").select("range", F.lit(False).alias("guest"), "place", "doc_id", "text")
+    ordered = own.unionByName(visiting).repartition(shuffle_partitions(spark), "range").sortWithinPartitions("range", "guest", "place")
     return ordered.select("guest", "doc_id", "text").mapInArrow(_fingerprint(shared), _OUT_SQL)
 
 

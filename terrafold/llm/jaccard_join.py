@@ -44,20 +44,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.llm import kernel
+from terrafold.llm import kernel, sketch
 from terrafold.llm.components import connected_components
 from terrafold.llm.phrase_index import bucket_of
-from terrafold.llm.rows import row_keyed
-from terrafold.runtime import materialise, ship, shuffle_partitions
+from terrafold.llm.rows import buckets_for, row_keyed
+from terrafold.llm.sketch import CellCounts, summed
+from terrafold.runtime import materialise, release, ship
 
 SHINGLE = 5
 #: Counters of the frequency sketch, whatever the input's size.
 SKETCH_CELLS = 1 << 22
-_BLOCK = 1 << 16
 #: Sets beyond this are never light: their subsets number too many.
 MOST_LIGHT = 16
 #: 64-bit words of a set's parity signature.
 SIGNATURE_WORDS = 16
+#: Bytes of keys that one bucket of inverted lists gets, about.
+BUCKET_BYTES = 16 << 20
 #: Shingles that one block of comparisons holds, about.
 BLOCK_SHINGLES = 400_000
 
@@ -97,8 +99,8 @@ def node_of(own: np.ndarray) -> int:
 
 # ---- sizes, nodes and the frequency sketch: one pass over the texts
 
-_PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("signature", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
-_PROFILE_SQL = "row_key long, doc_id long, n long, node long, signature array<long>, block int, counts binary"
+_PROFILE = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("signature", pa.list_(pa.int64())), *sketch.FIELDS])
+_PROFILE_SQL = f"row_key long, doc_id long, n long, node long, signature array<long>, {sketch.SQL}"
 
 
 def signature_of(own: np.ndarray) -> list[int]:
@@ -107,36 +109,16 @@ def signature_of(own: np.ndarray) -> list[int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch, held, size = np.zeros(SKETCH_CELLS, np.uint32), [], 0
+    seen = CellCounts(SKETCH_CELLS)
     for batch in batches:
         for at, texts in kernel.chunks(batch):
             sets = shingle_sets(texts)
-            held += [(s & _U(SKETCH_CELLS - 1)).astype(np.int32) for s in sets]
-            size += sum(map(len, sets))
-            if size > SKETCH_CELLS // 2:
-                sketch += np.bincount(np.concatenate(held), minlength=SKETCH_CELLS).astype(np.uint32)
-                held, size = [], 0
+            seen.add(np.concatenate(sets) & _U(SKETCH_CELLS - 1))
             n = len(texts)
-            columns = [batch.column("row_key").slice(at, n), batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature_of(s) for s in sets], pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_PROFILE)
-    if size:
-        sketch += np.bincount(np.concatenate(held), minlength=SKETCH_CELLS).astype(np.uint32)
-    for k in np.flatnonzero(sketch.reshape(-1, _BLOCK).any(1)).tolist():
-        part = sketch[k * _BLOCK : (k + 1) * _BLOCK]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_PROFILE)[:5]), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_PROFILE)
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-    return pa.table([table.column("block").slice(0, 1), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
-
-
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """The summed counters; SKETCH_CELLS of them, however large the corpus."""
-    out = np.zeros(SKETCH_CELLS, np.uint32)
-    for block, counts in profile.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_up, "block int, counts binary").collect():
-        out[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(counts, np.uint32)
-    return out
+            columns = [batch.column("row_key").slice(at, n), batch.column("doc_id").slice(at, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature_of(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, f.type) for f in sketch.SCHEMA)], schema=_PROFILE)
+    for part in seen.batches():
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(_PROFILE)[:5]), *part.columns], schema=_PROFILE)
 
 
 # ---- the boundary between light and heavy sets
@@ -146,13 +128,13 @@ def _partners(s: int) -> range:
     return range(-(-3 * s // 4), 4 * s // 3 + 1)
 
 
-def light_boundary(sizes: dict[int, int], sketch: np.ndarray) -> int:
+def light_boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     """The size up to which subsets cost less than lists; sizes: nodes of each small size.
 
     A subset is one key. A prefix shingle is one key and meets a list, whose
     mean length is the sketch's size-biased load against its even load.
     """
-    c = sketch.astype(float)
+    c = counts.astype(float)
     total = c.sum()
     length = max(1.0, (c * c).sum() / total / (total / len(c))) if total else 1.0
     light = lambda s, b: sum(comb(s, needed(s, t)) for t in _partners(s) if t <= b)
@@ -187,23 +169,20 @@ def subset_keys(own: np.ndarray, boundary: int) -> np.ndarray:
 
 _SENT = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _SENT_SQL = "bucket int, nodes binary, sizes binary, counts binary, keys binary"
-_MEMBERS = "array<struct<node: long, n: int>>"
-_LIST = pa.schema([("list", pa.int64()), ("members", pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int32())])))])
-
 
-def set_keys(own: np.ndarray, boundary: int, sketch: np.ndarray) -> np.ndarray:
+def set_keys(own: np.ndarray, boundary: int, counts: np.ndarray) -> np.ndarray:
     """All keys of one set."""
     s = len(own)
     out = subset_keys(own, boundary) if s <= boundary else np.zeros(0, _U)
     if 4 * s // 3 > boundary:
-        order = np.lexsort((own, sketch[own & _U(SKETCH_CELLS - 1)]))
+        order = np.lexsort((own, counts[own & _U(SKETCH_CELLS - 1)]))
         out = np.concatenate((out, own[order[: prefix_length(s)]]))
     return out
 
 
 def _send(shared, boundary: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
+        frequency = shared.value
         for batch in batches:
             for _, texts in kernel.chunks(batch):
                 sets = {node_of(s): s for s in shingle_sets(texts) if len(s)}
@@ -211,7 +190,7 @@ def _send(shared, boundary: int, buckets: int):
                     continue
                 nodes = np.fromiter(sets, np.int64, len(sets))
                 sizes = np.fromiter(map(len, sets.values()), np.int32, len(sets))
-                keys = [set_keys(s, boundary, sketch) for s in sets.values()]
+                keys = [set_keys(s, boundary, frequency) for s in sets.values()]
                 which = np.repeat(np.arange(len(keys)), list(map(len, keys)))
                 keys = np.concatenate(keys)
                 bucket = bucket_of(keys, buckets)
@@ -230,7 +209,7 @@ def _send(shared, boundary: int, buckets: int):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The lists of one bucket with two or more nodes; equal lists once."""
+    """The lists of one bucket with two or more nodes, a row for each member; equal lists once."""
     whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     counts, keys = whole("counts", np.int32), whole("keys", np.uint64)
     node, size = np.repeat(whole("nodes", np.int64), counts), np.repeat(whole("sizes", np.int32), counts)
@@ -250,13 +229,11 @@ def _lists(table: pa.Table) -> pa.Table:
         names = np.add.reduceat(kernel.mix(node.view(_U).copy()), begins)
         _, first = np.unique(names, return_index=True)
         first = first[ends[first] - begins[first] > 1]
-        picks = kernel.ramps(begins[first], ends[first] - begins[first])
-        offsets = np.concatenate(([0], np.cumsum(ends[first] - begins[first])))
-        names = names[first].view(np.int64)
+        count = ends[first] - begins[first]
+        picks, names = kernel.ramps(begins[first], count), np.repeat(names[first].view(np.int64), count)
     else:
-        picks, offsets, names = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
-    members = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(node[picks]), pa.array(size[picks])], ["node", "n"]))
-    return pa.table([pa.array(names), members], names=["list", "members"])
+        picks, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return pa.table([pa.array(names), pa.array(node[picks]), pa.array(size[picks])], names=["list", "node", "n"])
 
 
 # ---- exact comparison
@@ -310,32 +287,46 @@ def _verified(docs: DataFrame, profile: DataFrame, pairs: DataFrame) -> DataFram
     seats = dealt.select(F.col("a").alias("hub"), "salt", F.col("b").alias("node")).union(units.select(F.col("a").alias("hub"), "salt", F.col("a").alias("node")))
     seats = materialise(seats.select(block, "hub", "node"), "seats")
     wanted = seats.select("node").distinct()
-    copies = profile.where("block is null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    copies = profile.where("row_key is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     texts = docs.select("row_key", "text").join(copies, "row_key").select("node", "text")
     return texts.join(seats, "node").select("block", "hub", "node", "text").groupBy("block").applyInArrow(_compare, "a long, b long")
 
 
 def _stars(lists: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b): for each node b a hub a. The hub of a list is the node that the most lists hold, which among copies is the least edited; a node takes the best hub of its lists."""
-    held = lists.select("list", F.inline("members"))
-    rank = held.groupBy("node").agg(F.count("*").alias("lists"))
-    ranked = held.join(rank, "node")
+    rank = lists.groupBy("node").agg(F.count("*").alias("lists"))
+    ranked = lists.join(rank, "node")
     hubs = ranked.groupBy("list").agg(F.max(F.struct("lists", "node", "n")).alias("hub"))
-    pairs = held.join(hubs, "list").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), "hub", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    pairs = lists.join(hubs, "list").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), "hub", F.col("node").alias("b"), F.col("n").alias("n_b"))
     best = pairs.where(f"a <> b and {_SIZES_FIT}").groupBy("b", "n_b").agg(F.max("hub").alias("hub"))
     return best.select(F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"), "b", "n_b")
 
 
+#: Sizes that can link are at most a factor of 4/3 apart, hence in the same class of this base or in neighbouring ones.
+_CLASS = "cast(floor(ln(n) / ln(1.4)) as int)"
+#: Members of one list that meet the rest of it in one task, about.
+_SALTED = 20_000
+
+
 def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of a list whose components differ and which are not tried yet."""
-    held = lists.select("list", F.inline("members")).join(roots, "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("list").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("list")
-    held = materialise(held.join(mixed, "list", "left_semi"), "mixed")
-    a = held.select("list", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a")).join(_signed(signatures, "a"), "a")
-    b = held.select("list", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")).join(_signed(signatures, "b"), "b")
-    across = a.join(b, "list").where(f"a < b and root_a <> root_b and {_SIZES_FIT} and {_BITS_FIT}").select("a", "n_a", "b", "n_b").distinct()
+    """Pairs of a list whose components differ and which are not tried yet.
+
+    One side is always outside the list's largest component, so the pairs inside that
+    are never made; sides meet by class of size, and long lists in several tasks.
+    """
+    held = lists.join(roots, "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("root"))
+    parts = held.groupBy("list", "root").agg(F.count("*").alias("size"))
+    mixed = parts.groupBy("list").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.ceil(F.sum("size") / _SALTED).cast("int").alias("salts"))
+    held = materialise(held.join(mixed.where("roots > 1").drop("roots"), "list"), "mixed")
+    outside = held.where("root <> main").select("list", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.explode(F.expr(f"sequence({_CLASS} - 1, {_CLASS} + 1)")).alias("class"), "salts")
+    outside = outside.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    rest = held.select("list", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), F.expr(_CLASS).alias("class"), F.expr("cast(pmod(xxhash64(node), salts) as int)").alias("salt"))
+    met = outside.join(rest, ["list", "class", "salt"]).where("root_x <> root_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)")
+    pair = lambda *names: [F.expr(f"if(x < y, {a}, {b})").alias(c) for a, b, c in names]
+    across = met.select(*pair(("x", "y", "a"), ("n_x", "n_y", "n_a"), ("y", "x", "b"), ("n_y", "n_x", "n_b"))).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return across.join(done, ["a", "b"], "left_anti")
+    fresh = across.join(done, ["a", "b"], "left_anti")
+    return fresh.join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b").where(_BITS_FIT).select("a", "n_a", "b", "n_b")
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -347,20 +338,23 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark: SparkSession = docs.sparkSession
     ship(spark)
     profile = materialise(docs.mapInArrow(_profile, _PROFILE_SQL), "profile")
-    plain = profile.where("block is null").select("row_key", "doc_id", "n", "node")
-    sketch = _sketch(profile)
+    plain = profile.where("row_key is not null").select("row_key", "doc_id", "n", "node")
+    frequency = np.minimum(summed(profile.where("block is not null").select(*sketch.SCHEMA.names), SKETCH_CELLS), 0xFFFFFFFF).astype(np.uint32)
     sizes = {r.n: r.nodes for r in plain.where(f"n between 1 and {2 * MOST_LIGHT}").groupBy("n").agg(F.count_distinct("node").alias("nodes")).collect()}
-    boundary = light_boundary(sizes, sketch)
-    shared = spark.sparkContext.broadcast(sketch)
-    sent = docs.select("text").mapInArrow(_send(shared, boundary, shuffle_partitions(spark)), _SENT_SQL)
-    found = sent.groupBy("bucket").applyInArrow(_lists, f"list long, members {_MEMBERS}")
-    lists = materialise(found.groupBy("list").agg(F.first("members").alias("members")), "lists")
-
-    signatures = materialise(profile.where("block is null and n > 0").groupBy("node").agg(F.first("signature").alias("signature")), "signatures")
+    boundary = light_boundary(sizes, frequency)
+    keys = plain.agg(F.sum(F.expr("n div 4 + 1"))).first()[0] or 0
+    buckets = buckets_for(spark, 8 * keys, BUCKET_BYTES)
+    shared = spark.sparkContext.broadcast(frequency)
+    sent = docs.select("text").mapInArrow(_send(shared, boundary, buckets), _SENT_SQL)
+    found = sent.groupBy("bucket").applyInArrow(_lists, "list long, node long, n int")
+    lists = materialise(found.distinct(), "lists")
+
+    signatures = materialise(profile.where("n > 0").groupBy("node").agg(F.first("signature").alias("signature")), "signatures")
     stars = _stars(lists).join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b")
     stars = materialise(stars.where(_BITS_FIT).select("a", "n_a", "b", "n_b"), "stars")
     links = materialise(_verified(docs, profile, stars), "links")
     across = materialise(_pairs_across(lists, connected_components(links), stars, signatures), "across")
+    release(lists, signatures, stars)
     if not across.isEmpty():
         links = links.union(materialise(_verified(docs, profile, across), "links"))
     roots = connected_components(links)

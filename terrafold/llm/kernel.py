@@ -43,7 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> list[np.ndarray]:
+def tables(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base, and of its inverse."""
     if len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         for i, base in enumerate((_BASE, _INVERSE)):
@@ -55,7 +56,7 @@ def _tables(n: int) -> list[np.ndarray]:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running sums of byte values times powers of the base, with a leading zero."""
-    power = _tables(len(data) + 1)[0]
+    power = tables(len(data) + 1)[0]
     out = np.empty(len(data) + 1, _U)
     out[0] = 0
     terms = _BYTE[data]
@@ -68,7 +69,7 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     """Hashes of data[start:end]; equal for equal bytes, wherever they stand."""
     out = prefix[end]
     out -= prefix[start]
-    out *= _tables(len(prefix))[1][start]
+    out *= tables(len(prefix))[1][start]
     return mix(out)
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafold.runtime import materialise
+from terrafold.runtime import materialise, shuffle_partitions
 
 #: Orders documents without an id after all others.
 NO_ID = np.iinfo(np.int64).max
@@ -20,6 +20,21 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def unique_ids(docs: DataFrame) -> bool:
+    """Whether each row has an id of its own."""
+    return docs.groupBy(F.col("doc_id").alias("id")).count().where("count > 1 or id is null").isEmpty()
+
+
+def buckets_for(spark: SparkSession, total_bytes: int, each: int) -> int:
+    """So many buckets that none holds much over ``each`` bytes; as many as shuffle partitions at least."""
+    return max(shuffle_partitions(spark), -(-int(total_bytes) // each))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def row_keyed(df: DataFrame) -> DataFrame:
     """(row_key, doc_id, text) with a row_key for each row.
 
@@ -27,8 +42,7 @@ def row_keyed(df: DataFrame) -> DataFrame:
     numbered once and written to the shared folder, so that the numbers hold.
     """
     docs = texts_of(df)
-    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if odd.isEmpty():
+    if unique_ids(docs):
         return docs.select(F.col("doc_id").alias("row_key"), "doc_id", "text")
     return materialise(docs.select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "text"), "rows")
 
@@ -44,8 +58,7 @@ def fresh_name(df: DataFrame, name: str) -> str:
 def keyed_table(df: DataFrame) -> tuple[DataFrame, str, DataFrame]:
     """(table with all columns and a row key, the key's name, its (row_key, doc_id, text)), for stages that pass rows on."""
     key = fresh_name(df, "row_key")
-    odd = df.groupBy(F.col("doc_id").alias("id")).count().where("count > 1 or id is null")
-    if odd.isEmpty():
+    if unique_ids(df):
         whole = df.withColumn(key, F.col("doc_id").cast("long"))
     else:
         whole = materialise(df.withColumn(key, F.monotonically_increasing_id()), "rows")
