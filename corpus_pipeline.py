@@ -15,7 +15,7 @@ from terrafold.llm.jaccard_join import superseded
 from terrafold.llm.pii import redacted
 from terrafold.llm.rows import fresh_name, keyed_table, map_texts
 from terrafold.llm.toxicity import scored, train
-from terrafold.runtime import materialise, ship
+from terrafold.runtime import materialise, release, ship
 
 #: A document goes when its score is this high.
 TOXIC_SCORE = 0.5
@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
