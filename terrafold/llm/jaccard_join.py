@@ -17,7 +17,8 @@ Keys of both ways are dealt over buckets of their hash. Each bucket gives the
 lists of two or more nodes. First every node is compared with one hub of its
 lists, the node that stands in the most lists, exactly, on the texts. The links
 found are contracted; only lists that still hold different components are
-compared pair by pair, so a group of near copies costs a comparison for each
+compared further, and there only the members outside a list's largest component
+with those of other components, so a group of near copies costs a comparison for each
 member, not for each pair.
 Before any text is read, pairs go through a bound that never drops a link: each
 set has SIGNATURE_WORDS x 64 bits, each the parity of the shingles hashed to it,
@@ -28,7 +29,9 @@ below n^2 / 2^65.
 
 Cases: fewer than five words make one shingle; null, empty and white texts have
 none and link with nothing; a document without an id can join others, its
-component is named by the smallest id there is; repeated rows are equal sets.
+component is named by the smallest id there is; repeated rows are equal sets; texts of
+any length are read whole; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -240,7 +243,9 @@ def _lists(table: pa.Table) -> pa.Table:
 
 _SIZES_FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
 #: Linked sets share c(s, t) shingles or more, so they differ in s + t - 2 c(s, t) at most.
-_BITS_FIT = f"{' + '.join(f'bit_count(a{i} ^ b{i})' for i in range(SIGNATURE_WORDS))} <= n_a + n_b - 2 * ceil(3 * (n_a + n_b) / 7)"
+def _bits_fit(a: str, b: str) -> str:
+    bits = " + ".join(f"bit_count({a}{i} ^ {b}{i})" for i in range(SIGNATURE_WORDS))
+    return f"{bits} <= n_{a} + n_{b} - 2 * ceil(3 * (n_{a} + n_{b}) / 7)"
 
 
 def _signed(signatures: DataFrame, side: str) -> DataFrame:
@@ -312,21 +317,22 @@ def _pairs_across(lists: DataFrame, roots: DataFrame, tried: DataFrame, signatur
     """Pairs of a list whose components differ and which are not tried yet.
 
     One side is always outside the list's largest component, so the pairs inside that
-    are never made; sides meet by class of size, and long lists in several tasks.
+    are never made; sides meet by class of size, with their signatures, so that only
+    pairs that may link come out, and long lists in several tasks.
     """
     held = lists.join(roots, "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("root"))
     parts = held.groupBy("list", "root").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("list").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.ceil(F.sum("size") / _SALTED).cast("int").alias("salts"))
     held = materialise(held.join(mixed.where("roots > 1").drop("roots"), "list"), "mixed")
-    outside = held.where("root <> main").select("list", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.explode(F.expr(f"sequence({_CLASS} - 1, {_CLASS} + 1)")).alias("class"), "salts")
-    outside = outside.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    outside = held.where("root <> main").select("list", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), F.expr(f"sequence({_CLASS} - 1, {_CLASS} + 1)").alias("classes"), F.expr("sequence(0, salts - 1)").alias("salts"))
+    outside = outside.join(_signed(signatures, "x"), "x").withColumn("class", F.explode("classes")).withColumn("salt", F.explode("salts")).drop("classes", "salts")
     rest = held.select("list", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), F.expr(_CLASS).alias("class"), F.expr("cast(pmod(xxhash64(node), salts) as int)").alias("salt"))
-    met = outside.join(rest, ["list", "class", "salt"]).where("root_x <> root_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)")
+    rest = rest.join(_signed(signatures, "y"), "y")
+    met = outside.join(rest, ["list", "class", "salt"]).where(f"root_x <> root_y and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and {_bits_fit('x', 'y')}")
     pair = lambda *names: [F.expr(f"if(x < y, {a}, {b})").alias(c) for a, b, c in names]
     across = met.select(*pair(("x", "y", "a"), ("n_x", "n_y", "n_a"), ("y", "x", "b"), ("n_y", "n_x", "n_b"))).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = across.join(done, ["a", "b"], "left_anti")
-    return fresh.join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b").where(_BITS_FIT).select("a", "n_a", "b", "n_b")
+    return across.join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -351,7 +357,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     signatures = materialise(profile.where("n > 0").groupBy("node").agg(F.first("signature").alias("signature")), "signatures")
     stars = _stars(lists).join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b")
-    stars = materialise(stars.where(_BITS_FIT).select("a", "n_a", "b", "n_b"), "stars")
+    stars = materialise(stars.where(_bits_fit("a", "b")).select("a", "n_a", "b", "n_b"), "stars")
     links = materialise(_verified(docs, profile, stars), "links")
     across = materialise(_pairs_across(lists, connected_components(links), stars, signatures), "across")
     release(lists, signatures, stars)
