@@ -14,20 +14,22 @@ into their single strings, which are dealt by their own hash instead; of equal
 ones only the smallest document of a chunk sends its own.
 
 There the fragments of a few senders are a shard. Its suffixes are sorted to
-SHARD_DEPTH bytes, which gives its transform, of bounded context. The sorted
-shards are merged as they are, which gives the first interleave, and that is
-refined: one stable pass over the symbols before
-the rows of the last interleave, and the step from each row to that of the
-longer suffix, order them by one or two bytes more, and groups split where those
-bytes differ. A row alone in its group, or of a suffix too short, leaves:
-every longer suffix would be alone or too short as well. After ``width`` passes
-the groups are the intervals of suffixes with a common prefix of that length.
-The suffixes themselves are never compared again. In each interval the smallest
-document keeps its string, the others lose it.
+SHARD_DEPTH bytes, which gives its transform, of bounded context. The shards are
+merged by refining their interleave alone: it begins as one shard after the other, all
+in one group, and each stable pass over the symbols before the rows of the last
+interleave, and the step from each row to that of the longer suffix, order them by
+one or two bytes more, and groups split where those bytes differ. A row alone in its
+group, or of a suffix too short, leaves: every longer suffix would be alone or too
+short as well. How often a group has been split when two rows part is their common
+prefix; after ``width`` bytes the groups are the intervals of suffixes with a common
+prefix of that length. Suffixes are never compared nor sorted across shards. In each
+interval the smallest document keeps its string, the others lose it.
 
 Cases: null is the empty text; strings never cross documents; documents that
 share an id never remove from each other; a document without an id comes after
-all others; other columns are ignored.
+all others; texts of any length are read whole, in chunks that hold one text at
+least; an empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ from pyspark.sql import functions as F
 
 from terrafold.llm import kernel
 from terrafold.llm.phrase_index import FOUND_SQL, LOCAL, answers, any_held, bucket_of, dealt_flags, deliver, held_before, mail, read_answers
-from terrafold.llm.rows import NO_ID, row_keyed
-from terrafold.runtime import ship, shuffle_partitions
+from terrafold.llm.rows import NO_ID, buckets_for, row_keyed, text_bytes
+from terrafold.runtime import ship
 
 WIDTH = 50
 GRAM = 24
@@ -53,6 +55,8 @@ SHARD_DEPTH = 7
 FINER = 4
 #: Fragments that contest one anchor and still go to one bucket: CROWD times 76 bytes at most, for texts that are no runs.
 CROWD = 1 << 14
+#: Bytes of text for which there is a bucket of the phrase index, which gets about as many bytes of hashes.
+BUCKET_BYTES = 16 << 20
 #: Senders whose fragments make one shard of a bucket.
 SHARD_ROWS = 32
 
@@ -107,12 +111,12 @@ def _phrases(width: int, gram: int):
 # ---- transforms
 
 
-def shard_transform(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, key, transform, longer) of strings symbols[begin[i]:begin[i + 1]], each of which ends with 0 and has none before.
+def shard_transform(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, transform, longer) of strings symbols[begin[i]:begin[i + 1]], each of which ends with 0 and has none before.
 
-    order: the places of the suffixes, sorted to SHARD_DEPTH symbols. key: those
-    symbols, packed. transform: the symbol before each; 0 where a string begins.
-    longer: the row of the suffix that begins there.
+    order: the places of the suffixes, sorted to SHARD_DEPTH symbols. transform: the
+    symbol before each; 0 where a string begins. longer: the row of the suffix that
+    begins there.
     """
     n = len(symbols)
     to_end = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)
@@ -126,7 +130,7 @@ def shard_transform(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray,
     row[order] = np.arange(n, dtype=np.int32)
     before = np.concatenate((symbols[:1] * 0, symbols[:-1]))
     before[begin[:-1]] = 0
-    return order, key[order], before[order], row[np.maximum(order - 1, 0)]
+    return order, before[order], row[np.maximum(order - 1, 0)]
 
 
 def _kept(same: np.ndarray, long_enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,25 +152,19 @@ def _pass(rows: np.ndarray, group: np.ndarray, before: np.ndarray, step: np.ndar
     return rows[keep], group
 
 
-def merge_transforms(keys: list[np.ndarray], transforms: list[np.ndarray], longer: list[np.ndarray], left: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(transforms: list[np.ndarray], longer: list[np.ndarray], left: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, group): the merged rows of the suffixes whose first ``depth`` symbols occur again, and the interval that each is in.
 
     Rows count through all shards. left: how many symbols each suffix has.
-    depth is SHARD_DEPTH at least.
     """
     base = np.cumsum([0, *map(len, transforms)]).astype(np.int32)
-    symbols, reach, key = np.concatenate(transforms), np.concatenate(left), np.concatenate(keys)
+    symbols, reach = np.concatenate(transforms), np.concatenate(left)
     step = np.concatenate([x + b for x, b in zip(longer, base, strict=False)])
-    if not len(key):
-        return step, step
-    rows = np.argsort(key, kind="stable").astype(np.int32)  # a merge of runs: each shard is in order
-    key = key[rows]
-    keep, group = _kept(key[1:] == key[:-1], reach[rows] >= SHARD_DEPTH)
-    rows = rows[keep]
-    known = SHARD_DEPTH
-    if (depth - known) % 2:
-        rows, group = _pass(rows, group, symbols, step, reach, known + 1)
-        known += 1
+    # the first interleave: shard after shard, nothing known of any suffix
+    rows, group, known = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32), 0
+    if depth % 2 and len(rows):
+        known = 1
+        rows, group = _pass(rows, group, symbols, step, reach, known)
     if known < depth and len(rows):
         # two symbols a pass: both before a row as one code, in order, and the row two symbols longer
         pair = symbols[step].astype(np.int32) * 257 + symbols
@@ -186,7 +184,7 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
 
     docs: the document of each string of a shard.
     """
-    keys, transforms, longer, left, places, doc = [], [], [], [], [], []
+    transforms, longer, left, places, doc = [], [], [], [], []
     at = 0
     for (data, begin), own in zip(shards, docs, strict=True):
         lengths = np.diff(begin)
@@ -194,8 +192,7 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
         symbols = np.zeros(closed[-1], np.uint16)
         inner = kernel.ramps(closed[:-1], lengths)
         symbols[inner] = data.astype(np.uint16) + 1
-        order, key, transform, onward = shard_transform(symbols, closed)
-        keys.append(key)
+        order, transform, onward = shard_transform(symbols, closed)
         transforms.append(transform)
         longer.append(onward)
         to_end = (np.repeat(closed[1:], lengths + 1) - 1 - np.arange(len(symbols))).astype(np.int32)
@@ -206,7 +203,7 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
         doc.append(np.repeat(own, lengths + 1)[order])
         at += len(data)
     doc, places = np.concatenate(doc), np.concatenate(places)
-    rows, group = merge_transforms(keys, transforms, longer, left, width)
+    rows, group = merge_transforms(transforms, longer, left, width)
     out = np.zeros(at, bool)
     if len(rows):
         doc, place = doc[rows], places[rows]
@@ -376,7 +373,7 @@ def repeated_bytes(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, d
     ship(spark)
     # the filter keeps all rows; with it both joins below read one and the same shuffle of the texts
     docs = row_keyed(documents).where("row_key is not null")
-    buckets = shuffle_partitions(spark)
+    buckets = buckets_for(spark, text_bytes(docs), BUCKET_BYTES)
     heard = answers(docs, _phrases(width, gram), buckets, crowd)
     sent = docs.join(heard, "row_key").select("row_key", "doc_id", "text", "answers").mapInArrow(_send(width, gram, buckets), _SENT_SQL)
     settled = sent.groupBy("bucket").applyInArrow(_merge(width, buckets), _MAIL_SQL).groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
