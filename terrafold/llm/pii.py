@@ -1,10 +1,14 @@
 """Personal data: fixed forms, and identifiers that their context gives away.
 
 Base: e-mail addresses, IPv4 addresses, card numbers and phone numbers of fixed
-forms, found in one linear scan of each text. They seed a bootstrap:
-
-- every mention, a seed or a string of a plausible shape that no form takes, has
-  lexical patterns: the two words before it, and the words on either side;
+forms, found in one linear scan of each text. Secrets, such as access tokens, have no
+form that tells them from other strings, only contexts. Both seed a bootstrap:
+
+- mentions are seeds or strings of a plausible shape. Base spans are seeds of their
+  kind. Long hexadecimal strings seed the kind ``secret``; they join the result only
+  by their context;
+- every mention has lexical patterns: the two words before it, the words on either
+  side, and the label that assigns it, as ``token = "_"`` or ``phone: _``;
 - patterns and instances make a bipartite graph. A pattern's score for a kind is
   the smoothed mean confidence of its distinct instances, in which what is not yet
   known of an instance weighs UNSEEN only: no form is no evidence against it. An
@@ -15,12 +19,14 @@ forms, found in one linear scan of each text. They seed a bootstrap:
 A pattern is trusted when it scores LEAST_PATTERN and holds LEAST_SEEDS distinct
 seeds, so chance contexts find nothing: LEAST_SEEDS seeds carry as many unseen
 instances, many seeds 1.7 times as many. Instances travel as 64-bit digests, not
-as plain personal data. Edges are summed before any shuffle by pattern, and a
-pattern or instance takes part as one row a distinct neighbour.
+as plain personal data. Edges are summed before any shuffle by pattern, a pattern or
+instance takes part as one row a distinct neighbour, and the instances of one pattern
+meet its score in SALTS parts.
 
 Cases: null is the empty text, with no spans; spans count code points, end
 exclusive; found spans never overlap base ones nor each other within a kind;
-repeated rows each get their spans; other columns pass by.
+repeated rows each get their spans; texts of any length are scanned whole; an empty
+table gives an empty result; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -36,7 +42,12 @@ from pyspark.sql import functions as F
 from terrafold.llm.rows import fresh_name, keyed_table, row_keyed
 from terrafold.runtime import materialise, ship
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds with a fixed form, then those that only a context gives away.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = KINDS.index("secret")
+#: Parts in which the instances of a pattern meet its score.
+SALTS = 32
 ROUNDS = 3
 LEAST_SEEDS = 3
 LEAST_PATTERN = 0.7
@@ -56,12 +67,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_NUMBER = re.compile(r"[0-9][0-9 ().-]*[0-9]")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9][0-9 ().-]*[0-9](?![0-9A-Za-z])")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}\Z")
 _HEX_GROUPS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Za-z:])")
 _AT = re.compile(r" ?[\[(](?:at|AT|@)[\])] ?")
 _SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+")
 _WORD = re.compile(r"\w+")
+#: Strings that may be secrets, and those of them that seed the kind.
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])")
+_HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+#: A word and what assigns it a value, at the end of a context.
+_LABEL = re.compile(r"(\w+)([^\w\n]{0,4}[=:][^\w\n]{0,4})\Z")
 
 
 def _emails(text: str) -> list[Span]:
@@ -107,7 +123,7 @@ def _digits(s: str) -> str:
 
 def base_spans(text: str) -> dict[str, list[Span]]:
     """The spans of the fixed forms, by kind, each in order."""
-    out: dict[str, list[Span]] = {k: [] for k in KINDS}
+    out: dict[str, list[Span]] = {k: [] for k in BASE_KINDS}
     if "@" in text:
         out["email"] = _emails(text)
     if _DIGIT.search(text):
@@ -123,6 +139,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of strings that look like an identifier of a kind without having its form."""
     out = []
     if _DIGIT.search(text):
+        out += [("secret", *m.span()) for m in _OPAQUE.finditer(text) if _DIGIT.search(m.group()) and not m.group().replace("-", "").replace("_", "").isdigit()]
         for m in _NUMBER.finditer(text):
             n = len(_digits(m.group()))
             if _DOTTED.match(m.group()):
@@ -153,6 +170,10 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
         out.append(f"{left[0]} {left[1]} _")
     if left and right:
         out.append(f"{left[-1]} _ {right[0]}")
+    if label := _LABEL.search(before):
+        # the closing mark belongs to the label that opened it
+        closing = text[end : end + 1] if label.group(2)[-1] in "\"'<[{(" else ""
+        out.append(f"{fold([label.group(1)])[0]}{' '.join(label.group(2).split())}_{closing}")
     return out
 
 
@@ -171,7 +192,7 @@ _SCAN_SQL = f"row_key long, doc_id long, spans {_SPAN_SQL}, mentions array<struc
 def scan_text(text: str) -> tuple[list[dict], list[dict]]:
     """(base spans, mentions with their patterns) of one text."""
     base = base_spans(text)
-    spans = [{"kind": k, "start": a, "end": b} for k, kind in enumerate(KINDS) for a, b in base[kind]]
+    spans = [{"kind": k, "start": a, "end": b} for k, kind in enumerate(BASE_KINDS) for a, b in base[kind]]
     taken = sorted((x["start"], x["end"]) for x in spans)
     mentions = []
 
@@ -179,7 +200,7 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
         if found := _patterns(text, a, b):
             mentions.append({"kind": kind, "start": a, "end": b, "instance": _digest(KINDS[kind], text[a:b]), "seed": seed, "patterns": found})
 
-    for x in spans:
+    for x in spans:  # base spans are seeds and need no context to count
         note(x["kind"], x["start"], x["end"], True)
     at, reached = 0, dict.fromkeys(KINDS, 0)
     for kind, a, b in sorted(candidates(text), key=lambda x: (x[1], x[2])):
@@ -187,7 +208,7 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
             at += 1
         if a >= reached[kind] and all(s >= b or e <= a for s, e in taken[at : at + 8]):
             reached[kind] = b
-            note(KINDS.index(kind), a, b, False)
+            note(KINDS.index(kind), a, b, kind == "secret" and _HEX.fullmatch(text, a, b) is not None)
     return spans, mentions
 
 
@@ -212,7 +233,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
         trusted = patterns.where((F.col("score") >= LEAST_PATTERN) & (F.col("seeds") >= LEAST_SEEDS)).select("kind", "pattern", "score")
         trusted = materialise(trusted, "patterns")
         # least() passes over nulls: without a score of 0, instances of no trusted pattern would be confident
-        support = edges.join(trusted, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))).alias("miss"))
+        salted = trusted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        support = edges.withColumn("salt", F.expr(f"cast(pmod(xxhash64(instance), {SALTS}) as int)")).join(salted, ["kind", "pattern", "salt"], "left").groupBy("kind", "instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))).alias("miss"))
         confidence = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("miss"))
         instances = materialise(support.select("kind", "instance", confidence.alias("confidence")), "instances")
     return trusted, instances.where(F.col("confidence") >= LEAST_INSTANCE)
@@ -228,7 +250,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     mentions = scanned.select("row_key", F.inline("mentions")).select("row_key", "kind", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = materialise(mentions.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trusted, confident = score_patterns(edges)
-    new = mentions.where("not seed").join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(confident.select("kind", "instance"), ["kind", "instance"], "left_semi")
+    new = mentions.where(f"not seed or kind = {SECRET}").join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(confident.select("kind", "instance"), ["kind", "instance"], "left_semi")
     found = new.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
     return scanned.join(found, "row_key", "left").select("row_key", "doc_id", F.col("spans").alias("base"), F.coalesce("found", F.expr(f"cast(array() as {_SPAN_SQL})")).alias("found"))
 
@@ -271,5 +293,5 @@ def _joined(spans: str) -> str:
 
 def op3_bootstrapped_pii(spark, sf_dir: str) -> DataFrame:
     out = personal_data(row_keyed(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("concat(base, found)")).alias("spans"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+    return out.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("concat(base, found)")).alias("spans"), F.size("found").cast("long").alias("n_found"))
