@@ -7,13 +7,15 @@ id. Equal coordinates are ordered by the text's CRC, so equal texts of a cell
 stand together, then by row, so a group of any size can be cut and the two sides
 differ by at most one document.
 
-A median is found without sorting: histograms of a cell's coordinates, added up
-on the executors, narrow the range until few rows are left in it. The driver
-sees HISTOGRAM_BINS sums and at most FEW_ROWS rows of numbers for each cell.
-
-Cases: null text weighs one byte; null metadata is the smallest coordinate;
-repeated rows are rows of their own; other columns are ignored; an empty table
-gives an empty result.
+A median is found without sorting the rows: histograms of a cell's coordinates narrow
+the range until few rows are left in it, and only those are put in order. Both are
+added up and searched on the executors; a round brings the driver one row of numbers
+for each cell, and cells are as many as shards. Each level of the tree is written once.
+
+Cases: null text weighs one byte; null metadata, also of columns that are not there,
+is the smallest coordinate; repeated rows are rows of their own; very long texts are
+rows like others and cannot be cut; ties stand by the text's CRC, then by row; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrafold.runtime import materialise
+from terrafold.runtime import materialise, release
 
 HISTOGRAM_BINS = 4096
 FEW_ROWS = 2048
@@ -91,45 +93,41 @@ def _extents(rows: DataFrame, by: str) -> dict[int, dict]:
 
 
 def _find_cuts(spark: SparkSession, rows: DataFrame, cells: list[Cell]) -> None:
-    """Sets the cut of each cell: the last (coordinate, row) that goes left."""
-    open_cells = list(cells)
+    """Sets the cut of each cell: the last (coordinate, row) that goes left. A round brings one row a cell to the driver."""
+    open_cells = {c.node: c for c in cells}
     while open_cells:
         ranges = []
-        for c in open_cells:
+        for c in open_cells.values():
             lo, hi = c.span()
-            ranges.append((c.node, c.axis, c.low, c.high, c.row_low, c.row_high, lo, max(1, -(-(hi - lo + 1) // HISTOGRAM_BINS)), c.low < c.high))
-        params = spark.createDataFrame(ranges, f"{_RANGE}, lo long, step long, by_axis boolean")
-        held = _inside(rows, params)
-        bins = held.withColumn("bin", F.expr("(case when by_axis then at else uid end - lo) div step"))
-        sums = bins.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect()
-        by: dict[int, list] = {}
-        for r in sums:
-            by.setdefault(r.node, []).append((r.bin, r.w, r.n))
-        few = []
-        for c, (*_, lo, step, _) in zip(open_cells, ranges, strict=True):
+            ranges.append((c.node, c.axis, c.low, c.high, c.row_low, c.row_high, lo, max(1, -(-(hi - lo + 1) // HISTOGRAM_BINS)), c.low < c.high, float(c.need)))
+        params = spark.createDataFrame(ranges, f"{_RANGE}, lo long, step long, by_axis boolean, need double")
+        bins = _inside(rows, params).withColumn("bin", F.expr("(case when by_axis then at else uid end - lo) div step"))
+        sums = bins.groupBy("node", "need", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
+        own = Window.partitionBy("node")
+        run = sums.withColumn("upto", F.sum("w").over(own.orderBy("bin"))).withColumn("last", F.max("bin").over(own))
+        picked = run.where("upto > need or bin = last").groupBy("node").agg(F.min(F.struct("bin", F.expr("upto - w").alias("before"), "n")).alias("pick"))
+        steps, few = {node: (lo, step) for node, *_, lo, step, _, _ in ranges}, []
+        for node, (k, before, n) in picked.collect():
+            c, (lo, step) = open_cells[node], steps[node]
             _, hi = c.span()
-            at = 0
-            for k, w, n in sorted(by[c.node]):
-                if c.need < at + w or (k, w, n) == max(by[c.node]):
-                    c.need -= at
-                    c.narrow_to(lo + k * step, min(hi, lo + (k + 1) * step - 1))
-                    if n <= FEW_ROWS:
-                        few.append(c)
-                    break
-                at += w
+            c.need -= before
+            c.narrow_to(lo + k * step, min(hi, lo + (k + 1) * step - 1))
+            if n <= FEW_ROWS:
+                few.append(c)
         if few:
-            params = spark.createDataFrame([(c.node, c.axis, c.low, c.high, c.row_low, c.row_high) for c in few], _RANGE)
-            held = _inside(rows, params)
-            own: dict[int, list] = {}
-            for r in held.select("node", "at", "uid", "size").collect():
-                own.setdefault(r.node, []).append((r.at, r.uid, r.size))
-            for c in few:
-                at, c.cut = 0, (c.low, c.row_low - 1) if c.low == c.high else (c.low - 1, 1 << 62)
-                for place, row, size in sorted(own[c.node]):
-                    if abs(c.need - at) <= abs(c.need - at - size):
-                        break
-                    at, c.cut = at + size, (place, row)
-        open_cells = [c for c in open_cells if c.cut is None]
+            _cut_few(spark, rows, few)
+        open_cells = {c.node: c for c in open_cells.values() if c.cut is None}
+
+
+def _cut_few(spark: SparkSession, rows: DataFrame, cells: list[Cell]) -> None:
+    """The cuts of cells with few rows left: rows go left in order until the next one would lead further from what is needed."""
+    params = spark.createDataFrame([(c.node, c.axis, c.low, c.high, c.row_low, c.row_high, float(c.need)) for c in cells], f"{_RANGE}, need double")
+    order = Window.partitionBy("node").orderBy("at", "uid")
+    run = _inside(rows, params).withColumn("upto", F.sum("size").over(order)).withColumn("stop", F.expr("abs(need - (upto - size)) <= abs(need - upto)"))
+    left = run.withColumn("stopped", F.max("stop").over(order)).where("not stopped").groupBy("node").agg(F.max(F.struct("at", "uid")).alias("cut"))
+    cuts = {node: tuple(cut) for node, cut in left.collect()}
+    for c in cells:
+        c.cut = cuts.get(c.node, (c.low, c.row_low - 1) if c.low == c.high else (c.low - 1, 1 << 62))
 
 
 def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -158,7 +156,9 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
         cuts = spark.createDataFrame([(c.node, c.axis, *c.cut) for c in cells], "node long, axis string, cut long, cut_row long")
         right = (F.col("at") > F.col("cut")) | ((F.col("at") == F.col("cut")) & (F.col("uid") > F.col("cut_row")))
         split = rows.join(F.broadcast(cuts), "node", "left").withColumn("at", _axis())
-        rows = split.withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).when(right, F.col("node") * 2 + 2).otherwise(F.col("node") * 2 + 1)).drop("axis", "cut", "cut_row", "at")
+        moved = split.withColumn("node", F.when(F.col("axis").isNull(), F.col("node")).when(right, F.col("node") * 2 + 2).otherwise(F.col("node") * 2 + 1)).drop("axis", "cut", "cut_row", "at")
+        before, rows = rows, materialise(moved, "cells")
+        release(before)
         extents = _extents(rows, "node")
         cells = [Cell(c.node * 2 + 1 + side, c.first + side * (c.shards // 2), (c.shards // 2, c.shards - c.shards // 2)[side]) for c in cells for side in (0, 1)]
     named = spark.createDataFrame(leaves, "node long, shard int")
