@@ -11,7 +11,9 @@ character or before an apostrophe; the strings of added tokens count as tokens,
 so none is cut. All other positions are decided by the bytes on the two sides.
 
 Cases: null is the empty text, which has no ids; strings of added tokens inside
-a text are encoded as the library does by default; other columns pass by.
+a text are encoded as the library does by default; texts of any length are encoded
+whole; repeated rows each get their ids; an empty table gives an empty result; other
+columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from terrafold.llm.rows import texts_of
 from terrafold.llm.tokenizers_public import Bounded, open_tokenizer, tokenizer_path
 from terrafold.runtime import ship
 
-CACHED_FRAGMENTS = 400_000
+#: Bytes of fragments and their ids that a worker keeps.
+CACHED_BYTES = 96 << 20
 
 #: Last bytes of the white characters beyond ASCII, in UTF-8.
 _WHITE_TAILS = [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]
@@ -59,7 +62,7 @@ class ForcedBoundaryBpe:
             for a, b in zip(raw, raw[1:], strict=False):
                 inside[a << 8 | b] = True
         self.forced = self._certain(inside)
-        self.cache = Bounded(CACHED_FRAGMENTS)
+        self.cache = Bounded(CACHED_BYTES)
 
     @staticmethod
     def _certain(inside: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ class ForcedBoundaryBpe:
         split = [self.fragments(x) if len(x) > 1 else [x] * len(x) for x in texts]
         known = self.cache
         new = {f for own in split for f in own if f not in known}
-        known.room(len(new))
+        known.room(new, 3)
         if not known:
             new = {f for own in split for f in own}
         order = list(new)

@@ -14,11 +14,12 @@ neighbours are spliced at a boundary that both have and that is proven stable:
 
 By induction from the start of the text, all tokens are those of the whole.
 Where no boundary is common, the left chunk reaches further, until it takes the
-rest of the text. White space in ASCII is such a boundary for any chunk, so the
-words of shorter texts are counted once each and looked up.
+rest of the text. A text of one chunk has nothing to splice; white space in ASCII is
+such a boundary inside it, so its words are counted once each and looked up.
 
 Cases: null is the empty text, with no tokens; strings of added tokens count as
-one token, as the library does by default; other columns pass by.
+one token, as the library does by default; repeated rows each get their count; an
+empty table gives an empty result; other columns, whatever their names, pass by.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
 GUARD = 64
 MAX_TOKENS = 2048
-CACHED_WORDS = 1_000_000
+#: Bytes of words whose counts a worker keeps.
+CACHED_BYTES = 96 << 20
 
 _BLANK = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: What str.split takes for white space beyond ASCII's six.
@@ -95,12 +97,12 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = open_tokenizer(path)
-        self.known = Bounded(CACHED_WORDS)
+        self.known = Bounded(CACHED_BYTES)
 
     def counts(self, texts: list[str], chunk: int, overlap: int) -> list[int]:
         split = [None if len(x) > chunk else _words(x) for x in texts]
         new = set().union(*filter(None, split)).difference(self.known)
-        self.known.room(len(new))
+        self.known.room(new, 2)
         if not self.known:
             new = set().union(*filter(None, split))
         order = list(new)

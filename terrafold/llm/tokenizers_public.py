@@ -22,12 +22,20 @@ def open_tokenizer(path: str):
 
 
 class Bounded(dict):
-    """A dictionary that is emptied when it holds ``most`` entries."""
+    """A dictionary of strings that is emptied before it takes more than ``most`` bytes, about."""
+
+    #: Bytes of an entry besides its characters: two objects and their place.
+    OVERHEAD = 160
 
     def __init__(self, most: int) -> None:
         super().__init__()
         self.most = most
+        self.bytes = 0
 
-    def room(self, n: int) -> None:
-        if len(self) + n > self.most:
+    def room(self, new, each: int = 1) -> None:
+        """Make room for the strings ``new``, which take ``each`` bytes a character."""
+        more = self.OVERHEAD * len(new) + each * sum(map(len, new))
+        if self.bytes + more > self.most:
             self.clear()
+            self.bytes = 0
+        self.bytes += more
