@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from collections import defaultdict
 
 
 def sha(data: str | bytes) -> str:
@@ -120,3 +123,83 @@ def jaccard_components(docs, k=5):
         if doc_id is not None:
             least[find(i)] = min(doc_id, least.get(find(i), doc_id))
     return [(d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(docs, sets))]
+
+
+def kd_shards(rows, shards):
+    """rows: (doc_id, text, lang, source), no two with the same coordinate and text; {doc_id: shard} by sorting every cell whole."""
+    points = []
+    for doc_id, text, lang, source in rows:
+        raw = (text or "").encode()
+        low = zlib.crc32(raw) >> 1
+        coarse = lambda c: -1 if c is None else zlib.crc32(c.encode())
+        size = len(raw) + 1
+        points.append((doc_id, size, {"size": (size << 31) + low, "source": (coarse(source) << 31) + low, "lang": (coarse(lang) << 31) + low, "doc": doc_id}))
+    axes = ("size", "source", "lang", "doc")
+    extent = lambda own, d: max(p[2][d] for p in own) - min(p[2][d] for p in own)
+    wide = {d: max(1, extent(points, d)) for d in axes}
+    out = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            out.update({p[0]: first for p in own})
+            return
+        axis = max(axes, key=lambda d: extent(own, d) / wide[d])
+        own = sorted(own, key=lambda p: p[2][axis])
+        need, at, k = sum(p[1] for p in own) * (n // 2) / n, 0, 0
+        while k < len(own) and abs(need - at) > abs(need - at - own[k][1]):
+            at, k = at + own[k][1], k + 1
+        split(own[:k], first, n // 2)
+        split(own[k:], first + n // 2, n - n // 2)
+
+    split(points, 0, shards)
+    return out
+
+
+def likeness(docs, lexicon, subsets):
+    """docs: texts; lexicon: word -> subsets that keep it, of the words in the band; drawn: the same for any word. A function of two texts."""
+    drawn = lexicon["drawn"]
+
+    def kept(text):
+        words = set(folded_words(text))
+        banded = {w for w in words if w in lexicon["band"]}
+        own = banded or words
+        return [frozenset(w for w in own if j in drawn(w)) for j in range(subsets)]
+
+    def of(a, b):
+        x, y = kept(a), kept(b)
+        either = [j for j in range(subsets) if x[j] or y[j]]
+        return sum(x[j] == y[j] for j in either) / len(either) if either else 1.0
+
+    return of
+
+
+def bootstrap(scanned, rounds, least_seeds, least_pattern, least_instance, smoothing, unseen):
+    """scanned: {doc: mentions}; {doc: {(kind, start, end)}} of what patterns discover, in plain dictionaries."""
+    edges = defaultdict(bool)
+    for mentions in scanned.values():
+        for m in mentions:
+            for p in m["patterns"]:
+                edges[m["kind"], p, m["instance"]] |= m["seed"]
+    confidence, seeds = {}, {}
+    for (kind, _, x), seed in edges.items():
+        confidence[kind, x] = max(confidence.get((kind, x), 0.0), 1.0 if seed else 0.0)
+        seeds[kind, x] = seeds.get((kind, x), False) or seed
+    trusted = {}
+    for _ in range(rounds):
+        of = defaultdict(list)
+        for (kind, p, x), seed in edges.items():
+            of[kind, p].append((x, seed))
+        trusted = {}
+        for (kind, p), own in of.items():
+            known = sum(confidence[kind, x] for x, _ in own)
+            score = known / (known + unseen * (len(own) - known) + smoothing)
+            if score >= least_pattern and sum(s for _, s in own) >= least_seeds:
+                trusted[kind, p] = score
+        miss = defaultdict(float)
+        for kind, p, x in edges:
+            miss[kind, x] += math.log1p(-min(trusted.get((kind, p), 0.0), 0.999))
+        confidence = {k: 1.0 if seeds[k] else 1 - math.exp(v) for k, v in miss.items()}
+    return {
+        d: {(m["kind"], m["start"], m["end"]) for m in mentions if (not m["seed"] or m["kind"] == 4) and confidence.get((m["kind"], m["instance"]), 0) >= least_instance and any((m["kind"], p) in trusted for p in m["patterns"])}
+        for d, mentions in scanned.items()
+    }

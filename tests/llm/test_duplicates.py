@@ -87,13 +87,27 @@ def test_one_of_each_group_stays(documents, rows):
     assert gone == {d for d, n, c in groups if n and d != c}
 
 
-def test_factors_name_the_words(documents, rows):
-    texts = dict(pairs(rows))
+def test_factors_name_the_words_and_where_they_stand(documents, rows):
+    texts = {d: brute.plain_words(t) for d, t in pairs(rows)}
+    some = 0
     for r in duplicate_factors(documents).collect():
-        words = brute.plain_words(texts[r.doc_id])
-        for f in reversed(r.factors):
-            del words[f.first_word : f.first_word + f.n_words]
-        assert r.kept == " ".join(words)
+        words = texts[r.doc_id]
+        gone = set()
+        for f in r.factors:
+            own = words[f.first_word : f.first_word + f.n_words]
+            assert f.source < r.doc_id and f.n_words >= 13 and own == texts[f.source][f.source_word : f.source_word + f.n_words]
+            gone |= set(range(f.first_word, f.first_word + f.n_words))
+            some += 1
+        assert r.kept == " ".join(w for i, w in enumerate(words) if i not in gone)
+    assert some > 10
+
+
+def test_a_phrase_across_two_factors_goes_too(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:30])), (2, " ".join(words[18:48])), (3, " ".join(words[:48]))]
+    got = {r.doc_id: r for r in duplicate_factors(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(f.first_word, f.n_words, f.source, f.source_word) for f in got[3].factors] == [(0, 30, 1, 0), (18, 30, 2, 0)]
+    assert got[3].kept == "" and got[2].kept == " ".join(words[18:48])
 
 
 def test_thresholds():
@@ -116,7 +130,7 @@ def test_components_of_paths_and_cycles(spark):
 
 def test_merged_transforms_give_the_repeated_intervals_in_order():
     draw = random.Random(1)
-    for depth in (7, 8, 12, 20):
+    for depth in (1, 2, 7, 8, 12, 20):
         shards = []
         for _ in range(3):
             strings = ["".join(draw.choice("ab") for _ in range(draw.randint(1, 30))) for _ in range(5)]
@@ -129,7 +143,7 @@ def test_merged_transforms_give_the_repeated_intervals_in_order():
             places += (order + at).tolist()
             at += len(symbols)
         left = [np.array([len(suffixes[p]) for p in (order + b).tolist()]) for (order, *_), b in zip(made, np.cumsum([0, *[len(s) for _, s, _ in shards]]))]
-        rows, group = merge_transforms([k for _, k, _, _ in made], [t for _, _, t, _ in made], [x for _, _, _, x in made], left, depth)
+        rows, group = merge_transforms([t for _, t, _ in made], [x for _, _, x in made], left, depth)
         merged = [suffixes[places[r]][:depth] for r in rows]
         counts = {}
         for s in suffixes:

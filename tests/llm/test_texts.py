@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
+import zlib
 
 import brute
 import numpy as np
@@ -10,6 +12,7 @@ import pytest
 from conftest import tuples
 from tokenizers import Tokenizer
 
+from terrafold.llm import pii, toxicity
 from terrafold.llm.bpe import ForcedBoundaryBpe, encode_decode
 from terrafold.llm.decontaminate import Automaton, contamination, without_spans
 from terrafold.llm.imatch import fingerprints
@@ -159,6 +162,27 @@ def test_few_and_many_seeds_carry_unseen_identifiers(spark):
     assert {d: found for d, found in out.items() if found} == want
 
 
+def test_bootstrap_against_plain_dictionaries(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.found} for r in personal_data(row_keyed(docs)).collect()}
+    scanned = {d: pii.scan_text(t)[1] for d, t in texts.items()}
+    want = brute.bootstrap(scanned, pii.ROUNDS, pii.LEAST_SEEDS, pii.LEAST_PATTERN, pii.LEAST_INSTANCE, pii.SMOOTHING, pii.UNSEEN)
+    assert got == want
+    # what it discovers there are access tokens, all of them and nothing else
+    planted = {(d, *m.span(1)) for d, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    found = {(d, a, b) for d, own in got.items() for _, a, b in own}
+    assert len(planted) > 10 and found == planted
+
+
+def test_a_label_discovers_secrets_of_another_form(spark):
+    rows = [(i, f'set api_key = "{i}{"0a1b2c3d4e5f6a7b" * 2}{i}" now') for i in range(6)]
+    rows += [(50, 'then api_key = "Zx9-unlike_the-others77" here'), (51, 'a word = "Zx9-unlike_the-others78" here'), (52, f"a digest {'9f' * 20} alone")]
+    out = {r.doc_id: [(s.kind, rows[[d for d, _ in rows].index(r.doc_id)][1][s.start : s.end]) for s in r.found] for r in personal_data(row_keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert out[50] == [(pii.SECRET, "Zx9-unlike_the-others77")] and out[51] == out[52] == []
+    assert all(len(out[i]) == 1 for i in range(6))
+
+
 @pytest.mark.parametrize("name", TABLES)
 def test_fingerprints(request, name):
     df, rows = data_of(request, name)
@@ -180,6 +204,62 @@ def test_fingerprints(request, name):
                 assert own[d].near_edited == 1
 
 
+def test_likeness_against_brute_force(documents, rows):
+    from terrafold.llm import imatch
+
+    texts = [t or "" for _, t, *_ in sorted(rows)]
+    frequency = {}
+    for t in texts:
+        for w in set(brute.folded_words(t)):
+            frequency[w] = frequency.get(w, 0) + 1
+    band = (0.05, 0.4)
+    n = len(texts)
+
+    def drawn(word):
+        mask = int(imatch.draws(imatch.distinct_terms([word.encode()])[0])[0])
+        return {j for j in range(imatch.SUBSETS) if mask >> j & 1}
+
+    inside = {w for w, f in frequency.items() if max(2, band[0] * n) <= f <= max(2, band[1] * n)}
+    alike = brute.likeness(texts, {"band": inside, "drawn": functools.cache(drawn)}, imatch.SUBSETS)
+    got = sorted(fingerprints(documents, band).collect(), key=lambda r: r.doc_id)
+    for r, t, after in zip(got, texts, texts[1:] + texts[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert r.near_edited == pytest.approx(alike(t, edited)) and r.near_next == pytest.approx(alike(t, after))
+        assert (r.fingerprint == r.edited_fingerprint) == (alike(t, edited) == 1)
+
+
+def test_rows_of_one_id_follow_by_the_hash_of_their_text(repeated, repeated_rows):
+    import xxhash
+
+    key = lambda r: (r[0] is not None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42))))
+    rows = sorted(repeated_rows, key=key)
+    want = []
+    for (d, t, *_), (_, after, *_) in zip(rows, rows[1:] + rows[:1], strict=True):
+        t, after = t or "", after or ""
+        want.append((d, brute.sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])))
+    assert tuples(fingerprints(repeated), "doc_id", "edited_sha256") == sorted(want, key=repr)
+
+
+def test_texts_without_banded_terms_differ(spark):
+    df = spark.createDataFrame([(i, f"only{i} here{i}") for i in range(6)] + [(9, None), (10, "...")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints(df).collect()}
+    assert len({got[i].fingerprint for i in range(6)}) == 6 and all(got[i].near_next == 0 for i in range(6))
+    assert got[9].fingerprint == got[10].fingerprint == "0" * 256 and got[9].near_next == 1
+
+
+def test_counters_of_many_small_tasks_stay_small(spark):
+    from terrafold.llm import jaccard_join, sketch
+
+    df = spark.range(422).selectExpr("id row_key", "id doc_id", "concat('some words of text number ', id, ' ', id * 7, ' and the same end for all') text")
+    made = df.repartition(211).mapInArrow(jaccard_join._profile, jaccard_join._PROFILE_SQL)
+    parts = made.where("block is not null").cache()
+    total = parts.selectExpr("sum(length(at) + length(counts)) b").first().b
+    counts = sketch.summed(parts.select(*sketch.SCHEMA.names), jaccard_join.SKETCH_CELLS)
+    # 211 tasks of two texts: three bytes a shingle, not a block of counters each
+    assert counts.sum() == made.selectExpr("sum(n) n").first().n and total <= 4 * counts.sum()
+    parts.unpersist()
+
+
 @pytest.mark.parametrize("name", TABLES)
 def test_kd_shards(request, name):
     df, rows = data_of(request, name)
@@ -196,6 +276,25 @@ def test_kd_shards(request, name):
         assert max(sizes.values()) - min([sizes.get(i, 0) for i in range(8)]) <= 2 * largest
 
 
+def test_kd_shards_against_brute_force(spark, monkeypatch):
+    from terrafold.llm import kd_sharding
+
+    monkeypatch.setattr(kd_sharding, "FEW_ROWS", 20)
+    monkeypatch.setattr(kd_sharding, "HISTOGRAM_BINS", 16)
+    draw = random.Random(12)
+    rows = [(3 * i - 200, f"text {i} " + "x" * int(draw.paretovariate(1) * 20), draw.choice(["en", "fr", None]), draw.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for shards in (2, 5, 8):
+        got = kd_shards(df, shards=shards).collect()
+        assert {r.doc_id: r.shard for r in got} == brute.kd_shards(rows, shards)
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {d: (len(t) + 1, zlib.crc32(t.encode())) for d, t, *_ in rows}
+
+
+def test_equal_texts_have_equal_checksums(repeated, repeated_rows):
+    want = sorted((zlib.crc32((t or "").encode()) for _, t, *_ in repeated_rows))
+    assert sorted(r.text_crc32 for r in kd_shards(repeated, shards=8).collect()) == want
+
+
 def test_kd_splits_a_group_of_copies(spark):
     df = spark.range(4000).selectExpr("id doc_id", "if(id < 3000, 'same text', concat('text ', id)) text", "'en' lang", "'s' source")
     sizes = [r.b for r in kd_shards(df, shards=8).groupBy("shard").agg({"size": "sum"}).toDF("shard", "b").collect()]
@@ -220,6 +319,56 @@ def test_toxicity_learns_pairs(spark):
     assert len(right) > 200 and sum(right) / len(right) > 0.97
 
 
+def test_toxicity_learns_pairs_without_effect_of_their_own(spark):
+    draw = random.Random(11)
+    filler = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(4000):
+        words = [draw.choice(filler) for _ in range(30)]
+        slur, group = draw.random() < 0.5, draw.random() < 0.5
+        words[3] = "clown" if slur else words[3]
+        words[9] = "strangers" if group else words[9]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(slur != group)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = scored(docs, train(docs, marks)).withColumn("held", held_out()).collect()
+    right = [(r.score >= 0.5) == bool(labels[r.doc_id][2]) for r in out if r.held]
+    assert len(right) > 600 and sum(right) / len(right) > 0.97
+
+
+def test_scores_against_plain_sums(documents, rows):
+    draw = np.random.default_rng(3)
+    words = sorted({w for _, t, *_ in rows for w in brute.folded_words(t)})
+    cell = {w: int(toxicity.distinct_cells([w.encode()])[0][0]) for w in words}
+    known = np.array(sorted({cell[w] for w in words[::2]}))
+    machine = toxicity.FactorizationMachine(known, -0.3, draw.normal(0, 0.2, len(known)), draw.normal(0, 0.3, (len(known), toxicity.FACTORS)))
+    place = {c: i for i, c in enumerate(known.tolist())}
+    got = {r.doc_id: r.score for r in scored(documents, machine).collect()}
+    for d, t, *_ in rows:
+        own = sorted({place[cell[w]] for w in brute.folded_words(t) if cell[w] in place})
+        pairs = sum(float(machine.factors[a] @ machine.factors[b]) for i, a in enumerate(own) for b in own[:i])
+        margin = machine.bias + sum(machine.weights[a] for a in own) + pairs / max(1, len(own))
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9)
+
+
+def test_the_sample_is_bounded_and_keeps_held_out_rows_apart(spark):
+    docs = spark.createDataFrame([(i % 50, f"w{i} x{i} y{i}") for i in range(200)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(50)] + [(None, 1, 1), (3, 1, None), (4, 1, 7)], "doc_id long, quality int, toxic int")
+    free = marks.where(~held_out() & marks.toxic.isin(0, 1) & marks.doc_id.isNotNull()).count()
+    assert toxicity.sample_of(docs, marks).count() == 4 * free
+    assert toxicity.sample_of(docs, marks, most=10).count() == 10
+    assert toxicity.sample_of(docs, marks, most_terms=30).count() == 10
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = scored(docs.select("doc_id", "text"), train(docs, labels)).join(labels, "doc_id").where(held_out()).select("score", "toxic").collect()
+    on, off = ([r.score for r in out if r.toxic == t] for t in (1, 0))
+    auc = np.mean([(a > np.array(off)).mean() + 0.5 * (a == np.array(off)).mean() for a in on])
+    assert len(on) > 80 and auc > 0.9
+    assert np.mean(np.array(on) >= 0.5) > 0.75 and np.mean(np.array(off) >= 0.5) < 0.01
+
+
 @pytest.mark.parametrize("name", TABLES)
 def test_toxicity_scores_every_row(spark, request, name):
     df, rows = data_of(request, name)
