@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 EARTH_RADIUS = 6371000.0
 MEAN_EARTH_RADIUS = 6371008.8
 METRES_PER_DEGREE = 111_000.0
+EDGES_TYPE = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
 
 
 def _c(x) -> Column:
@@ -124,6 +125,45 @@ def utm30n(lat: Column, lon: Column) -> tuple[Column, Column]:
     return 500_000.0 + 0.9996 * a * x, 0.9996 * a * y
 
 
+def from_utm30n(x: Column, y: Column) -> tuple[Column, Column]:
+    """(lat, lon) of metres in zone 30 north, by the inverse series."""
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    a = 6378137.0 / (1 + n) * (1 + n * n / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n * n / 3 + 37 * n**3 / 96, n * n / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n * n / 3 - 2 * n**3, 7 * n * n / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = y / (0.9996 * a), (x - 500_000.0) / (0.9996 * a)
+    u, v = xi, eta
+    for j, k in enumerate(beta, 1):
+        u = u - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        v = v - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(u) / F.cosh(v))
+    p = chi
+    for j, k in enumerate(delta, 1):
+        p = p + k * F.sin(2 * j * chi)
+    return F.degrees(p), F.degrees(F.atan2(F.sinh(v), F.cos(u))) - 3.0
+
+
+def circle_shape(lat: Column, lon: Column, radius_m: Column) -> Column:
+    """A circle in the form that shapes have: (kind, lat, lon, radius_m, edges)."""
+    return F.struct(F.lit("CIRCLE").alias("kind"), lat.alias("lat"), lon.alias("lon"), radius_m.cast("double").alias("radius_m"), F.lit(None).cast(EDGES_TYPE).alias("edges"))
+
+
+def polygon_shape(edges: Column) -> Column:
+    return F.struct(F.lit("POLYGON").alias("kind"), *(F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "radius_m")), edges.cast(EDGES_TYPE).alias("edges"))
+
+
+def shape_area_km2(shape: Column) -> Column:
+    """Of a circle by its radius, of a polygon by its ring."""
+    radius = shape["radius_m"]
+    return F.when(shape["kind"] == "CIRCLE", F.pi() * radius * radius / 1e6).when(shape["kind"] == "POLYGON", ring_area_m2(shape["edges"]) / 1e6)
+
+
+def shape_holds(shape: Column, lat: Column, lon: Column) -> Column:
+    """Membership of a point: inclusive in a circle, half open in a polygon."""
+    return F.when(shape["kind"] == "CIRCLE", haversine_m(shape["lat"], shape["lon"], lat, lon) <= shape["radius_m"]).otherwise(inside(lat, lon, shape["edges"]))
+
+
 def repaired_order(a: Column, b: Column, lat: tuple[float, float], lon: tuple[float, float]) -> Column:
     """(lat, lon) in whichever order fits the box; null where neither does."""
     fits = lambda p, q: p.between(*lat) & q.between(*lon)

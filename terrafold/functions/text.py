@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,5 +88,17 @@ def delta_text(n: Column) -> Column:
 
 
 def canonical(*columns: str) -> Column:
-    """One line a row: the fields in order of name, nulls written out."""
-    return F.concat_ws(",", *(F.concat(F.lit(f'"{c}":'), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)))
+    """One line a row: JSON with the fields in order of name and nulls kept, so that text and missing values differ."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
+def address_signature(kind: Column, name: Column, number: Column, qualifier: Column) -> Column:
+    """(kind, name, number) of an address, folded; two addresses agree where all three do."""
+    text = lambda c: F.coalesce(cosmetic_key(c), F.lit(""))
+    return F.struct(text(kind).alias("kind"), street_key(F.coalesce(name, F.lit(""))).alias("name"), F.concat(text(number), text(qualifier)).alias("number"))
+
+
+def header_name(name: str) -> str:
+    """A column name from a published header: without marks, in lower case, words joined by one underscore."""
+    plain = name.strip().lstrip("\ufeff").translate(str.maketrans(MARKED, PLAIN)).lower()
+    return re.sub("[^a-z0-9]+", "_", plain).strip("_")

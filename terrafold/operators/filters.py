@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.text import fold
+
 #: Ways that people walk on, and those that they may not.
-WALKABLE = ("footway", "path", "pedestrian", "living_street", "residential", "service", "steps", "tertiary", "secondary", "primary", "unclassified", "track", "cycleway")
-BARRED = ("motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed")
+WALKABLE = (
+    "primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link", "unclassified", "residential",
+    "living_street", "pedestrian", "footway", "path", "steps", "service", "track", "road", "cycleway",
+)
+BARRED = (
+    "motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed", "raceway", "bus_guideway", "busway",
+    "escape", "corridor", "platform", "rest_area", "services", "elevator",
+)
+#: Access that bars a way, and tags for walkers that open it again.
+ACCESS_BARS = ("no", "private")
+FOOT_OPENS = ("yes", "designated", "permissive", "official")
+#: Families of planning codes; each ends at a dot, and no code is rewritten.
+AREA_FAMILIES = ("APE", "API", "APR", "AOE", "AOD", "AE", "UZP", "UZPp", "UZI", "UNP", "UNS", "US")
 #: Words of a free text that tell a kind of stay, in order.
 STAY_WORDS = (("hostel", "hostel"), ("apart", "apartment"), ("pensi", "guest house"), ("camping", "campsite"), ("hotel", "hotel"))
 
@@ -30,8 +43,15 @@ def is_total_row(code: Column) -> Column:
 
 
 def record_class(code: Column) -> Column:
-    """Planning areas, zonal norms and protection levels by the form of their code, which is never changed."""
-    return F.when(code.isNull() | (F.trim(code) == ""), "BLANK").when(code.rlike(r"^(AP[EIR]|UZ[IP]|UNP|AOE|UZPP)\.[0-9]{2}\.[0-9]{2}"), "PLANNING_AREA").when(code.rlike(r"^NZ ?[0-9]"), "ZONAL_NORM").when(code.rlike("^NP ?[0-9]"), "PROTECTION").otherwise("OTHER")
+    """Planning areas, zonal norms and land that is not for building, by the form of their code, which is never changed."""
+    return (
+        F.when(code.isNull() | (F.trim(code) == ""), "BLANK")
+        .when(code.rlike(rf"(?i)^({'|'.join(AREA_FAMILIES)})\."), "PLANNING_AREA")
+        .when(code.rlike(r"^(NZ ?[0-9].*|[0-9]+(\.[0-9]+)*(\.[A-Za-z]+)?)$"), "ZONAL_NORM")
+        .when(code.rlike("^NP ?[0-9]"), "PROTECTION")
+        .when(code.rlike(r"(?i)^(NUC|NUP)(\.[0-9]+)?$"), "NON_DEVELOPABLE")
+        .otherwise("OTHER")
+    )
 
 
 def stay_kind(s: Column) -> Column:
@@ -47,7 +67,7 @@ def way_retention(tags: str, with_private: bool = False) -> tuple[Column, Column
     at = lambda k: F.try_element_at(F.col(tags), F.lit(k))
     reason = (
         F.when(at("highway").isNull(), "NOT_A_HIGHWAY").when(at("highway").isin(*BARRED), "BARRED").when(at("foot").isin("no"), "FOOT_NO")
-        .when(~F.coalesce(at("access").isin("private", "no") & ~F.coalesce(at("foot").isin("yes", "designated"), F.lit(False)), F.lit(False)) | F.lit(with_private), F.when(at("highway").isin(*WALKABLE), "KEPT").otherwise("UNKNOWN_CLASS"))
+        .when(~F.coalesce(at("access").isin(*ACCESS_BARS) & ~F.coalesce(at("foot").isin(*FOOT_OPENS), F.lit(False)), F.lit(False)) | F.lit(with_private), F.when(at("highway").isin(*WALKABLE), "KEPT").otherwise("UNKNOWN_CLASS"))
         .otherwise("PRIVATE")
     )
     return reason == "KEPT", reason
@@ -59,6 +79,43 @@ def must_be(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{column}: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))))
 
 
+def surfaces_for(surfaces: DataFrame, mode: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """The surfaces (surface, mode, flag) that a mode shows; those with a flag only where it is set."""
+    shown = F.col("flag").isNull() | F.col("flag").isin(*flags)
+    return surfaces.where((F.col("mode") == mode) & shown)
+
+
+#: Degrees of the felt temperature from which a class holds.
+THERMAL_CLASSES = ((46.0, "EXTREME"), (38.0, "VERY_STRONG"), (32.0, "STRONG"))
+
+
+def thermal_class(value: Column) -> Column:
+    out = F.when(value.isNull() | F.isnan(value), "NO_VALUE")
+    for least, name in THERMAL_CLASSES:
+        out = out.when(value >= least, name)
+    return out.otherwise("MODERATE_OR_BELOW")
+
+
+def phase_value(raw: Column, documented: dict[str, str], variants: dict[str, str], markers: list[str], unresolved: list[str]) -> Column:
+    """(source_value, state, kind, vocabulary, documented_as) of a published phase cell; phases are never ranked nor rewritten.
+
+    documented and variants: folded text -> documented spelling.
+    """
+    value, folded = F.trim(raw), fold(raw)
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
+    known, other = F.try_element_at(table(documented), folded), F.try_element_at(table(variants), folded)
+    blank = value.isNull() | (value == "")
+    kind = F.when(folded.isin(*markers), "PLAN_ORIGIN_MARKER").when(folded.isin(*unresolved), "UNRESOLVED_MEANING").otherwise("PHASE_VALUE")
+    words = F.when(known.isNotNull(), "SOURCE_DOCUMENTED").when(other.isNotNull(), "SOURCE_DOCUMENTED_SPELLING_VARIANT").otherwise("SOURCE_OBSERVED_NOT_DOCUMENTED")
+    return F.struct(
+        F.when(~blank, value).alias("source_value"),
+        F.when(blank, "NOT_PUBLISHED").otherwise("PUBLISHED").alias("state"),
+        F.when(~blank, kind).alias("kind"),
+        F.when(~blank, words).alias("vocabulary"),
+        F.when(~blank, F.coalesce(known, other)).alias("documented_as"),
+    )
+
+
 def activity_class(division: Column, section: Column, override: dict[str, str], default: dict[str, str]) -> Column:
     """A division's own class, else its section's, else AMBIGUOUS."""
     table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,10 +107,20 @@ def _sheets(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
                 values = []
                 for c in row.iterfind("m:c", ns):
                     v = c.findtext("m:v", namespaces=ns)
+                    at = _column(c.get("r"), len(values))
+                    values += [""] * (at - len(values))  # blank cells are left out of the file
                     values.append(shared[int(v)] if c.get("t") == "s" and v is not None else v or "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")))
                 yield sheet.rpartition("/")[2], i, values
 
 
+def _column(reference: str | None, following: int) -> int:
+    """The place of a cell in its row: C5 is 2; a cell without a reference follows the last."""
+    place = 0
+    for letter in (reference or "").rstrip("0123456789"):
+        place = 26 * place + ord(letter) - ord("A") + 1
+    return place - 1 if place else following
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """(path, sheet, row, cells) of every sheet, a workbook to a row of the scan."""
     schema = "path string, sheet string, row int, cells array<string>"
@@ -125,7 +135,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def _records(dbf: bytes, shp: bytes) -> Iterator[tuple[float, float, dict[str, str]]]:
+def _records(dbf: bytes, shp: bytes) -> Iterator[tuple[float | None, float | None, dict[str, str]]]:
     n, head, width = struct.unpack("<IHH", dbf[4:12])
     fields, at = [], 32
     while dbf[at] != 0x0D:
@@ -134,12 +144,15 @@ def _records(dbf: bytes, shp: bytes) -> Iterator[tuple[float, float, dict[str, s
     points, at = [], 100
     while at < len(shp):
         size = struct.unpack(">i", shp[at + 4 : at + 8])[0] * 2
-        points.append(struct.unpack("<dd", shp[at + 12 : at + 28]))
+        kind = struct.unpack("<i", shp[at + 8 : at + 12])[0]
+        points.append(struct.unpack("<dd", shp[at + 12 : at + 28]) if kind else (None, None))  # 0 is a record without a shape
         at += 8 + size
     if len(points) != n:
         raise ValueError(f"{n} records but {len(points)} points")
     for i, (x, y) in enumerate(points):
         row, start = {}, head + i * width + 1
+        if dbf[start - 1 : start] == b"*":  # deleted
+            continue
         for name, size in fields:
             row[name] = dbf[start : start + size].decode("latin-1").strip()
             start += size
@@ -147,7 +160,7 @@ def _records(dbf: bytes, shp: bytes) -> Iterator[tuple[float, float, dict[str, s
 
 
 def read_shapefile_points(spark: SparkSession, folder: str) -> DataFrame:
-    """(x, y, attributes) of point shapefiles: each .dbf with its .shp, whose counts must agree."""
+    """(x, y, attributes) of point shapefiles: each .dbf with its .shp, whose counts must agree. Deleted records go; one without a shape has no place."""
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.(dbf|shp)$"))
     pairs = files.groupBy(F.regexp_replace("path", r"\.[A-Za-z]+$", "").alias("name")).agg(F.max(F.when(F.lower("path").endswith(".dbf"), F.col("content"))).alias("dbf"), F.max(F.when(F.lower("path").endswith(".shp"), F.col("content"))).alias("shp"))
 
@@ -169,3 +182,26 @@ def tiered(layers: list[str], tiers: list[tuple[str, DataFrame]]) -> tuple[DataF
     points = every.join(best.select("layer", "priority"), ["layer", "priority"], "left_semi").drop("priority")
     status = spark.createDataFrame([(x,) for x in layers], "layer string").join(best.select("layer", "status"), "layer", "left").select("layer", F.coalesce("status", F.lit("unavailable")).alias("status"))
     return points, status
+
+
+def series_by_code(observations: DataFrame, codes: dict[str, str], operation: str) -> DataFrame:
+    """(code, name, period, value) of the statistics series with the given codes; series are never picked by name.
+
+    observations: code, operation, period, value. The job fails on a code of another
+    operation, on a code that is not there and on a period that stands twice.
+    """
+    spark = observations.sparkSession
+    wanted = spark.createDataFrame(sorted(codes.items()), "code string, name string")
+    found = wanted.join(observations, "code", "left")
+    twice = F.count("*").over(Window.partitionBy("code", "period")) > 1
+    wrong = F.when(F.col("period").isNull(), "no observations").when(F.col("operation") != operation, "another operation").when(twice, "a period twice")
+    checked = found.withColumn("wrong", wrong)
+    failed = F.raise_error(F.concat("code", F.lit(": "), "wrong"))
+    return checked.select("code", "name", "period", F.when(F.col("wrong").isNull(), F.col("value")).otherwise(failed).alias("value"))
+
+
+def pinned_edition(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The landed sheet of an edition, if its header is exactly the pinned one, in order; else an error before any row is read."""
+    if df.columns != columns:
+        raise ValueError(f"the edition has columns {df.columns}, not {columns}")
+    return df

@@ -12,16 +12,47 @@ from pyspark.sql import functions as F
 from terrafold.functions.text import canonical
 
 
-def fingerprint(df: DataFrame, by: int = 256) -> DataFrame:
-    """One SHA-256 for a set of rows, whatever their order and partitions.
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One SHA-256 for a multiset of rows, whatever their order and partitions, with their number.
 
-    Rows are hashed, dealt by the first byte of the hash into at most 256 groups
-    of sorted hashes, and the groups' hashes are hashed in order.
+    Each row's SHA-256 is read as eight 32-bit words; the words are added up place by
+    place, which every task does for its own rows, and the sums are hashed.
     """
     rows = df.select(F.sha2(canonical(*df.columns), 256).alias("h"))
-    counted = rows.groupBy("h").agg(F.count("*").alias("n"))
-    parts = counted.groupBy(F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string")))), ","), by).alias("p"), F.sum("n").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "p"))), lambda x: x["p"]), ","), by).alias("fingerprint"), F.sum("n").alias("n"))
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
+    sums = rows.agg(F.count("*").alias("n"), *words)
+    joined = F.concat_ws(",", "n", *(F.coalesce(F.col(f"w{i}"), F.lit(0)).cast("string") for i in range(8)))
+    return sums.select(F.sha2(joined, 256).alias("fingerprint"), "n")
+
+
+def schema_fingerprint(df: DataFrame) -> str:
+    """SHA-256 of the column names in order."""
+    return hashlib.sha256("\t".join(df.columns).encode()).hexdigest()
+
+
+def same_rows(rebuilt: DataFrame, committed: DataFrame) -> bool:
+    """Whether a derived table, built again, equals the committed one as a multiset of rows."""
+    columns = committed.columns
+    return sorted(columns) == sorted(rebuilt.columns) and rebuilt.select(*columns).exceptAll(committed).isEmpty() and committed.exceptAll(rebuilt.select(*columns)).isEmpty()
+
+
+def write_pinned(df: DataFrame, folder: str, pinned: dict[str, int], by: str) -> str:
+    """Writes an audit table if its counts by a column are the pinned ones; else an error and nothing is written."""
+    found = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+    if found != pinned:
+        raise ValueError(f"counts by {by}: {found}, not {pinned}")
+    return write_versioned(df, folder)
+
+
+def export_points(df: DataFrame, folder: str, lat: str = "lat", lon: str = "lon") -> tuple[str, str]:
+    """(CSV, line-by-line GeoJSON features) of a table with a place for each row, each written whole or not at all."""
+    rest = [c for c in df.columns if c not in (lat, lon)]
+    geometry = F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
+    features = df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
+    table, shapes = (f"{folder.rstrip('/')}/{name}" for name in ("table", "features"))
+    df.write.option("header", True).csv(table)
+    features.write.text(shapes)
+    return table, shapes
 
 
 def canonical_json(value) -> str:
