@@ -25,16 +25,25 @@ def ratio_state(numerator: Column, denominator: Column, per: float = 1000.0) ->
     return F.when(state == "AVAILABLE", numerator * per / denominator), state
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """sorted[round(p (n - 1))], halves up."""
-    v = F.array_sort(F.collect_list(value))
-    return F.element_at(v, (F.floor(F.lit(p) * (F.size(v) - 1) + 0.5) + 1).cast("int"))
+def values_at(df: DataFrame, value: str, places: dict[str, Column], *by: str) -> DataFrame:
+    """For each group the values at places of its sorted rows; a place counts from 0 and may use ``total``, the rows of the group.
 
+    Equal values are counted first and only running sums are kept, so no group is held as a list.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("rows_"))
+    own = Window.partitionBy(*by)
+    steps = counts.withColumns({"upto": F.sum("rows_").over(own.orderBy(value)), "total": F.sum("rows_").over(own)})
+    return steps.groupBy(*by).agg(*(F.min(F.when(F.col("upto") > place, F.col(value))).alias(name) for name, place in places.items()))
 
-def class_breaks(value: str, classes: int = 5) -> Column:
-    """sorted[ceil((k + 1) n / classes)] for each k, the last value beyond the end."""
-    v = F.array_sort(F.collect_list(value))
-    return F.array(*(F.element_at(v, F.least(F.ceil(F.size(v) * F.lit(k / classes)) + 1, F.size(v)).cast("int")) for k in range(1, classes)))
+
+def nearest_rank(p: float) -> Column:
+    """The place round(p (n - 1)), halves up."""
+    return F.floor(F.lit(p) * (F.col("total") - 1) + 0.5)
+
+
+def class_break(k: int, classes: int = 5) -> Column:
+    """The place ceil(k n / classes), the last row beyond the end."""
+    return F.least(F.ceil(F.col("total") * F.lit(k / classes)), F.col("total") - 1)
 
 
 def break_class(value: Column, cuts: Column) -> Column:
@@ -97,3 +106,24 @@ def missing_months(df: DataFrame, period: str, *by: str) -> DataFrame:
     span = df.groupBy(*by).agg(F.min(period).alias("a"), F.max(period).alias("b")).select(*by, F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias(period))
     held = df.groupBy(*by, period).agg(F.count("*").alias("rows"))
     return span.join(held, [*by, period], "left").withColumn("problem", F.when(F.col("rows").isNull(), "MISSING").when(F.col("rows") > 1, "DUPLICATE")).where("problem is not null").select(*by, period, "problem")
+
+
+def mean_at_key(df: DataFrame, values: str, at: str, *by: str) -> DataFrame:
+    """Mean and number of the finite samples that a map column has at a key; NONE and no mean without any."""
+    v = F.try_element_at(F.col(values), F.lit(at))
+    held = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    return df.groupBy(*by).agg(F.avg(held).alias("mean"), F.count(held).alias("samples"), F.when(F.count(held) > 0, "MODEL_DERIVED").otherwise("NONE").alias("evidence"))
+
+
+def composition(a: str, b: str) -> tuple[Column, Column, Column]:
+    """(state, share of a, share of b) in whole percent of a + b; abstains where a part is missing or nothing is there."""
+    total = F.col(a) + F.col(b)
+    state = F.when(total.isNull(), "CURRENT_MISSING").when(total <= 0, "NOTHING_TO_SHARE").otherwise("AVAILABLE")
+    share = lambda c: F.when(state == "AVAILABLE", F.floor(F.col(c) * 100.0 / total + 0.5))
+    return state, share(a), share(b)
+
+
+def newest(df: DataFrame, date: str, key: str, most: int) -> DataFrame:
+    """The newest rows, ties by the smaller key, with their place from 1; ``most`` of them."""
+    top = df.orderBy(F.desc(date), key).limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc(date), key)))  # so few rows are left

@@ -79,3 +79,36 @@ def same_scope(df: DataFrame, *columns: str) -> DataFrame:
 
 def in_scope(column: Column, name: str, scope: str) -> Column:
     return column.alias(name, metadata={"scope": scope})
+
+
+def activity_state(enabled: Column, source_state: Column, period: Column, a: str, b: str) -> Column:
+    """State of two observed activities, columns {a,b}_mean and {a,b}_n: the source, the layer, the evidence and the period decide in this order."""
+    observed = lambda s: F.coalesce((F.col(f"{s}_mean") >= 0) & ~F.isnan(f"{s}_mean") & (F.col(f"{s}_n") > 0), F.lit(False))
+    return (
+        F.when(~F.coalesce(source_state.isin("live", "published", "snapshot"), F.lit(False)), "UNAVAILABLE").when(~enabled, "OFF")
+        .when(~observed(a) | ~observed(b), "NO_EVIDENCE").when(period.isNull() | (period == ""), "INCOMPATIBLE")
+        .when(source_state == "snapshot", "VALID_PARTIAL").when(source_state == "published", "VALID_DEPLOYMENT").otherwise("VALID")
+    )
+
+
+def temperature_state(enabled: Column, a: str, b: str) -> Column:
+    """State of two modelled temperatures, columns {a,b}_mean, {a,b}_n and {a,b}_step; those of different hours are not compared."""
+    valid = lambda s: F.coalesce(F.col(f"{s}_mean").isNotNull() & ~F.isnan(f"{s}_mean") & (F.col(f"{s}_n") > 0), F.lit(False))
+    return F.when(~enabled, "OFF").when(~valid(a) | ~valid(b), "NO_EVIDENCE").when(~F.col(f"{a}_step").eqNullSafe(F.col(f"{b}_step")), "INCOMPATIBLE").otherwise("VALID")
+
+
+def bridge(compared: DataFrame) -> DataFrame:
+    """What may be said across two sides: the kind of difference and its basis, or why there is none. compared: as ``compare_counts`` gives it."""
+    open_ = F.col("state").isin("RAW", "DENSITY") & F.col("delta").isNotNull()
+    kind = F.when(~open_, None).when(F.col("state") == "DENSITY", "density").otherwise("count")
+    basis = F.when(~open_, None).when(F.col("state") == "DENSITY", "density").otherwise("raw-counts")
+    reason = F.when(open_, None).when(F.col("state") == "WITHHELD_EXTRACTION", "extraction-bounds").otherwise("source-incompatible")
+    side = lambda c: F.when(F.col("state") == "WITHHELD_EXTRACTION", "WITHHELD_EXTRACTION").when(F.col(c).isNull(), "N_A").when(F.col(c) == 0, "ZERO").otherwise("VALID")
+    return compared.select("metric", side("a").alias("a_evidence"), side("b").alias("b_evidence"), kind.alias("delta_kind"), basis.alias("basis"), F.when(open_, F.col("delta")).alias("delta"), reason.alias("withheld_reason"))
+
+
+def readings_compared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two sessions' readings (side, metric, value): SAME, CHANGED, or of one session only."""
+    a, b = left.select("side", "metric", F.col("value").alias("was"), F.lit(True).alias("in_a")), right.select("side", "metric", F.col("value").alias("is"), F.lit(True).alias("in_b"))
+    state = F.when(F.col("in_a").isNull(), "ONLY_SECOND").when(F.col("in_b").isNull(), "ONLY_FIRST").when(F.col("was").eqNullSafe(F.col("is")), "SAME").otherwise("CHANGED")
+    return a.join(b, ["side", "metric"], "full_outer").select("side", "metric", "was", "is", state.alias("state"))

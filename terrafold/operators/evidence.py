@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geo
 from terrafold.operators import linkage, series, spatial
-from terrafold.plans.fixtures import table
 
 EVIDENCE = "kind string, shape string, value string, scope string, unit string, source_id string, reference_date string, source_state string, ceiling string, derivation string, applied string, reason string, message string"
 
@@ -30,7 +29,7 @@ PROHIBITED = {
     "imputation": "missing figures are not filled in",
 }
 
-#: id, scope, unit, reference date, state, ceiling
+#: A register of sources: id, scope, unit, reference date, state, ceiling. This one fits the demonstration views.
 SOURCES = [
     ("licences", "licence register", "licences", "2001-08-01", "published", "counts of granted licences only"),
     ("areas", "administrative areas", "areas", None, "published", "membership, never a share"),
@@ -69,11 +68,15 @@ def intent(question: str) -> str | None:
 
 
 class Registry:
-    """query(shape, **params) -> one row. Flags are screened before any data is read."""
+    """query(shape, **params) -> one row. Flags are screened before any data is read.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.view = spark, lambda name: table(spark, sf_dir, name)
-        self.sources = {s[0]: s for s in SOURCES}
+    view: gives the tables licences, area_edges, editions, population and monthly by name.
+    sources: the register that answers take their scope, unit, date, state and ceiling from.
+    """
+
+    def __init__(self, spark: SparkSession, view: Callable[[str], DataFrame], sources: list[tuple] = SOURCES) -> None:
+        self.spark, self.view = spark, view
+        self.sources = {s[0]: s for s in sources}
         self.shapes: dict[str, Callable[..., DataFrame]] = {
             "LICENCES_IN_LENS": self.licences_in_lens, "AREA_AT_POINT": self.area_at_point, "AREAS_IN_LENS": self.areas_in_lens, "AREA_PHASE": self.area_phase, "AREA_QUANTITY": self.area_quantity,
             "EDITION_DIFF": self.edition_diff, "AREA_COMPARE": self.area_compare, "SOURCE_PROVENANCE": self.source_provenance, "AREA_PROFILE": self.area_profile, "CITY_DEMAND": self.city_demand,

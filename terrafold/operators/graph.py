@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.runtime import materialise
@@ -31,20 +31,50 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Written rounds between two sweeps of the table of best distances.
+SWEEP = 8
+
+
 def distances(edges: DataFrame, seeds: DataFrame, most_m: float | None = None) -> DataFrame:
     """(node, distance_m, label): the exact distance to the nearest seed (node, cost_m, label), ties to the smaller label.
 
-    Each round relaxes the edges of the nodes that fell in the last one; it ends
-    when none falls. Distances above most_m are not followed.
+    Each round offers the edges of the frontier, the nodes that fell in the last one, and
+    keeps the offers that beat what is known; it ends when none does. A round writes its
+    frontier only. What is known is the written table and the frontiers since; every
+    SWEEP rounds they become one table again. Distances above most_m are not followed.
     """
     links = materialise(both_ways(edges), "links")
-    best = seeds.groupBy("node").agg(F.min(F.struct(F.col("cost_m").alias("distance_m"), "label")).alias("best")).select("node", "best.*", F.lit(True).alias("fell"))
-    best = materialise(best, "distances")
-    while not best.where("fell").isEmpty():
-        reach = best.where("fell").join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), "label")
+    least = lambda df: df.groupBy("node").agg(F.min(F.struct("distance_m", "label")).alias("best")).select("node", "best.*")
+    frontier = materialise(least(seeds.select("node", F.col("cost_m").alias("distance_m"), "label")), "frontier")
+    whole, since = frontier, []
+    while not frontier.isEmpty():
+        reach = frontier.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), "label")
         if most_m is not None:
             reach = reach.where(F.col("distance_m") <= most_m)
-        offers = best.select("node", "distance_m", "label", F.lit(0).alias("new")).union(reach.withColumn("new", F.lit(1)))
-        chosen = offers.groupBy("node").agg(F.min(F.struct("distance_m", "label", "new")).alias("best"))
-        best = materialise(chosen.select("node", "best.distance_m", "best.label", (F.col("best.new") == 1).alias("fell")), "distances")
-    return best.select("node", "distance_m", "label")
+        offers = least(reach)
+        known = whole
+        for part in since:
+            known = known.unionByName(part)
+        # only what is known of the nodes on offer takes part
+        known = least(known.join(offers.select("node"), "node", "left_semi")).select("node", F.struct("distance_m", "label").alias("known"))
+        better = offers.join(known, "node", "left").where(F.col("known").isNull() | (F.struct("distance_m", "label") < F.col("known")))
+        frontier = materialise(better.select("node", "distance_m", "label"), "frontier")
+        since.append(frontier)
+        if len(since) == SWEEP:
+            for part in since:
+                whole = whole.unionByName(part)
+            whole, since = materialise(least(whole), "distances"), []
+    for part in since:
+        whole = whole.unionByName(part)
+    return least(whole)
+
+
+def lengths(edges: DataFrame) -> DataFrame:
+    """One row: the total length, that of the part with the most of it, and its share."""
+    per = edges.join(components(edges).withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum("length_m").alias("length_m"))
+    return per.agg(F.sum("length_m").alias("total_m"), F.max("length_m").alias("largest_m"), F.count("*").alias("parts")).withColumn("share", F.try_divide(F.col("largest_m"), F.col("total_m")))
+
+
+def detour_ratio(network_m: str, straight_m: str, least_m: float) -> Column:
+    """Network over straight distance; null where the straight one is too short to divide by."""
+    return F.when(F.col(straight_m) >= least_m, F.col(network_m) / F.col(straight_m))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.functions.text import cosmetic_key
+from terrafold.sources.sinks import fingerprint
+
 
 def active(start: str, end: str, at: str) -> Column:
     """An open end is null; both ends are included."""
@@ -85,3 +88,66 @@ def universes(**sides: DataFrame) -> DataFrame:
     for m in marked[1:]:
         out = out.union(m)
     return out.groupBy("id").agg(*(F.max(n).alias(n) for n in sides))
+
+
+def by_position(left: DataFrame, right: DataFrame, content: list[str]) -> DataFrame:
+    """Row i of one table with row i of another (row_index), if both have the same rows under ``content``.
+
+    The guard compares counts and order-free fingerprints of (row_index, content); where
+    they differ, each row comes back unmatched with the state FINGERPRINT_DIFFERS.
+    """
+    sides = [fingerprint(df.select("row_index", *content)).select(F.col("fingerprint").alias(f"{p}_hash"), F.col("n").alias(f"{p}_n")) for p, df in (("a", left), ("b", right))]
+    guard = sides[0].crossJoin(sides[1]).select((F.col("a_hash") == F.col("b_hash")).alias("same"))  # one row each
+    rest = right.drop(*content)
+    guarded = left.crossJoin(F.broadcast(guard))
+    joined = guarded.join(rest.withColumnRenamed("row_index", "at"), F.col("same") & (F.col("row_index") == F.col("at")), "left")
+    return joined.withColumn("state", F.when(~F.col("same"), "FINGERPRINT_DIFFERS").when(F.col("at").isNull(), "NO_ROW").otherwise("JOINED")).drop("same", "at")
+
+
+def code_then_name(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Each source row by its code, else by district and folded name, else SOURCE_NULL or UNMATCHED; the method says which.
+
+    source: id, era, code, district, name. target: era, code, district, name, of all
+    eras; a row only meets the targets of its own era. A code whose district differs is a
+    conflict, not a match. Several targets of one name in a district match by none.
+    """
+    known = target.select("era", "code", F.col("district").alias("t_district"), F.col("name").alias("t_name"))
+    named = target.groupBy("era", "district", cosmetic_key(F.col("name")).alias("key")).agg(F.min("code").alias("n_code"), F.count("*").alias("n")).where("n = 1").drop("n")
+    met = source.join(known, ["era", "code"], "left").withColumn("key", cosmetic_key(F.col("name"))).join(named, ["era", "district", "key"], "left")
+    by_code, agrees = F.col("t_name").isNotNull(), F.col("t_district") == F.col("district")
+    blank = F.col("code").isNull() & (F.col("name").isNull() | F.col("key").contains("NULO"))
+    method = F.when(by_code & agrees, "CODE").when(by_code, "CODE_DISTRICT_MISMATCH").when(F.col("n_code").isNotNull(), "DISTRICT_PLUS_NAME").when(blank, "SOURCE_NULL").otherwise("UNMATCHED")
+    relation = F.when(F.col("name") == F.col("t_name"), "EXACT").when(F.col("key") == cosmetic_key(F.col("t_name")), "NORMALISED_EQUAL").when(by_code, "VARIANT").when(F.col("n_code").isNotNull(), "NORMALISED_EQUAL")
+    found = F.when(method == "CODE", F.col("code")).when(method == "DISTRICT_PLUS_NAME", F.col("n_code"))
+    return met.select("id", "era", method.alias("method"), F.when(found.isNotNull(), F.concat_ws(":", "era", found)).alias("entity"), F.when(method != "UNMATCHED", relation).alias("name_relation"))
+
+
+def era_of(observed: DataFrame, snapshot: str, marks: dict[str, list[str]], otherwise: str) -> DataFrame:
+    """(snapshot, era): the first era all of whose marking codes a snapshot has; decided from the codes seen, not from the calendar."""
+    codes = observed.groupBy(snapshot).agg(*(F.count_distinct(F.when(F.col("code").isin(*own), F.col("code"))).alias(era) for era, own in marks.items()))
+    era = F.lit(otherwise)
+    for name, own in reversed(marks.items()):
+        era = F.when(F.col(name) == len(own), name).otherwise(era)
+    return codes.select(snapshot, era.alias("era"))
+
+
+def match_gain(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(keys, exact, normalised): how many of the left keys the right side has as they are, and how many more it would have if folded. Nothing is joined by a folded key."""
+    keys = left.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("f", cosmetic_key(F.col("k")))
+    there = right.select(F.col(key).alias("k")).where("k is not null").distinct().withColumn("exact", F.lit(1))
+    folded = right.select(cosmetic_key(F.col(key)).alias("f")).where("f is not null").distinct().withColumn("normal", F.lit(1))
+    met = keys.join(there, "k", "left").join(folded, "f", "left")
+    return met.agg(F.count("*").alias("keys"), F.count("exact").alias("exact"), F.count(F.when(F.col("exact").isNull(), F.col("normal"))).alias("gained"))
+
+
+def routes_agree(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each code of two routes to one geometry: whether names and the multisets of vertices agree.
+
+    a, b: code, name, x, y, a row for each vertex. Vertices are counted, not listed.
+    """
+    side = lambda df, n: df.groupBy("code", "x", "y").agg(F.min("name").alias("name"), (F.count("*") * n).alias("n"), F.lit(n).alias("side"))
+    both = side(a, 1).union(side(b, -1))
+    points = both.groupBy("code", "x", "y").agg(F.sum("n").alias("n"), F.min(F.when(F.col("side") == 1, F.col("name"))).alias("a_name"), F.min(F.when(F.col("side") == -1, F.col("name"))).alias("b_name"), F.max("side").alias("high"), F.min("side").alias("low"))
+    codes = points.groupBy("code").agg(F.min("a_name").alias("a_name"), F.min("b_name").alias("b_name"), F.sum(F.abs("n")).alias("vertices_apart"), F.max("high").alias("high"), F.min("low").alias("low"))
+    state = F.when(F.col("low") > 0, "ONLY_A").when(F.col("high") < 0, "ONLY_B").when(~F.col("a_name").eqNullSafe(F.col("b_name")), "NAME_DIFFERS").when(F.col("vertices_apart") > 0, "VERTICES_DIFFER").otherwise("EQUIVALENT")
+    return codes.select("code", "vertices_apart", state.alias("state"))

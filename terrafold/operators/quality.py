@@ -35,3 +35,51 @@ def valid_rings(edges: DataFrame) -> DataFrame:
     crossing = a.join(b, "area_id").where(F.col("a_seq") < F.col("b_seq")).groupBy("area_id").agg(F.count_if(cut).alias("crossings"))
     n = edges.groupBy("area_id").agg(F.count("*").alias("edges"))
     return n.join(loose, "area_id").join(crossing, "area_id", "left").select("area_id", "edges", "loose", F.coalesce("crossings", F.lit(0)).alias("crossings"), ((F.col("edges") >= 3) & (F.col("loose") == 0) & (F.coalesce("crossings", F.lit(0)) == 0)).alias("valid"))
+
+
+def sums_match(parts: DataFrame, wholes: DataFrame, source: str, key: str, value: str) -> DataFrame:
+    """Wholes that differ from the sum of their parts, exactly; a whole without parts must be zero."""
+    summed = parts.groupBy(key).agg(F.sum(value).alias("parts"))
+    both = wholes.select(key, F.col(value).alias("whole")).join(summed, key, "full_outer")
+    bad = both.agg(F.count_if(~F.coalesce("parts", F.lit(0)).eqNullSafe(F.col("whole"))).alias("bad"))
+    return bad.select(F.lit(source).alias("source"), F.lit(f"{key}_sums").alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+
+
+def complete(df: DataFrame, universe: DataFrame, source: str, key: str) -> DataFrame:
+    """Keys of the universe that the table has no row for."""
+    bad = universe.select(key).distinct().join(df.select(key), key, "left_anti").agg(F.count("*").alias("bad"))
+    return bad.select(F.lit(source).alias("source"), F.lit(f"every_{key}").alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+
+
+def expected_count(df: DataFrame, source: str, check: str, wanted: int) -> DataFrame:
+    """How far the number of rows is from the expected one."""
+    bad = df.agg(F.abs(F.count("*") - wanted).alias("bad"))
+    return bad.select(F.lit(source).alias("source"), F.lit(check).alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+
+
+#: How a source's freshness may be stated.
+FRESHNESS_STATES = ("live", "published", "snapshot", "unavailable")
+PRECISIONS = ("day", "month", "year")
+
+
+def freshness_rules() -> dict[str, Column]:
+    """The contract of a source's five freshness fields: closed vocabularies, and a missing date that says so."""
+    date, precision = F.col("reference_date"), F.col("precision")
+    forms = {"day": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "month": "^[0-9]{4}-(0[1-9]|1[0-2])$", "year": "^[0-9]{4}$"}
+    fits = F.lit(False)
+    for name, form in forms.items():
+        fits = fits | ((precision == name) & date.rlike(form))
+    return {
+        "known_state": F.col("state").isin(*FRESHNESS_STATES),
+        "known_precision": precision.isNull() | precision.isin(*PRECISIONS),
+        "date_fits_precision": F.when(date.isNull(), precision.isNull()).otherwise(fits),
+        "unavailable_has_no_date": (F.col("state") != "unavailable") | date.isNull(),
+        "has_publisher": F.trim("publisher") != "",
+    }
+
+
+def manifest(gated: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row for each source: its rows, period and verdict, and the checks that failed. facts: source, rows, first, last."""
+    per = gated.groupBy("source").agg(F.count("*").alias("checks"), F.count_if(~F.col("ok")).alias("failed"))
+    verdict = F.when(F.coalesce("rows", F.lit(0)) == 0, "UNAVAILABLE").when(F.col("failed") > 0, "FAIL").otherwise("PASS")
+    return facts.join(per, "source", "left").select("source", "rows", "first", "last", "checks", "failed", verdict.alias("verdict"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
+from terrafold.runtime import materialise
 
 #: Degrees of a cell; an area is found in every cell that its box touches.
 CELL = 0.02
@@ -39,16 +40,21 @@ def _cells(low_x, high_x, low_y, high_y, size: float) -> tuple[Column, Column]:
 
 
 def covering(areas: DataFrame, size: float = CELL) -> DataFrame:
-    """The areas, once for each cell their box touches."""
+    """(area_id, box), once for each cell the box touches; edges stay behind."""
     xs, ys = _cells(F.col("west"), F.col("east"), F.col("south"), F.col("north"), size)
-    return areas.withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
+    return areas.select("area_id", "west", "east", "south", "north").withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
 
 
 def in_areas(points: DataFrame, areas: DataFrame, size: float = CELL) -> DataFrame:
-    """Each point with each area that holds it; areas as ``polygons`` gives them."""
+    """Each point with each area that holds it; areas as ``polygons`` gives them.
+
+    Points meet boxes by cell; only pairs whose box holds the point meet the area's edges.
+    """
     placed = points.withColumn("cell_x", _cell(F.col("lon"), size)).withColumn("cell_y", _cell(F.col("lat"), size))
     met = placed.join(covering(areas, size), ["cell_x", "cell_y"])
-    return met.where(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")) & geo.inside(F.col("lat"), F.col("lon"), F.col("edges"))).drop("cell_x", "cell_y", "west", "east", "south", "north")
+    boxed = met.where(F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
+    edged = boxed.select(*points.columns, "area_id").join(areas.drop("west", "east", "south", "north"), "area_id")
+    return edged.where(geo.inside(F.col("lat"), F.col("lon"), F.col("edges")))
 
 
 def locate(points: DataFrame, areas: DataFrame, key: str = "id", first: bool = True) -> DataFrame:
@@ -63,10 +69,12 @@ def circles_meet_areas(circles: DataFrame, areas: DataFrame, radius_m: float, ke
     reach = radius_m / geo.METRES_PER_DEGREE
     wide = F.lit(reach) / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     xs, ys = _cells(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - reach, F.col("lat") + reach, size)
-    spread = circles.select(key, "lat", "lon", xs.alias("xs"), ys.alias("ys")).withColumn("cell_x", F.explode("xs")).withColumn("cell_y", F.explode("ys")).drop("xs", "ys")
-    pairs = spread.join(covering(areas, size), ["cell_x", "cell_y"])
+    spread = circles.select(key, "lat", "lon", wide.alias("wide"), xs.alias("xs"), ys.alias("ys")).withColumn("cell_x", F.explode("xs")).withColumn("cell_y", F.explode("ys")).drop("xs", "ys")
+    near = F.col("lon").between(F.col("west") - F.col("wide"), F.col("east") + F.col("wide")) & F.col("lat").between(F.col("south") - reach, F.col("north") + reach)
+    pairs = spread.join(covering(areas, size), ["cell_x", "cell_y"]).where(near).select(key, "lat", "lon", "area_id").distinct()
+    pairs = pairs.join(areas.select("area_id", "edges"), "area_id")
     meets = geo.inside(F.col("lat"), F.col("lon"), F.col("edges")) | (geo.boundary_m(F.col("lat"), F.col("lon"), F.col("edges")) <= radius_m)
-    return pairs.dropDuplicates([key, "area_id"]).where(meets).select(key, "area_id")
+    return pairs.where(meets).select(key, "area_id")
 
 
 def within(left: DataFrame, right: DataFrame, radius_m: float, lat_limit: float = 60.0) -> DataFrame:
@@ -91,6 +99,31 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius_m: float, key: str
     return within(left, right, radius_m).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: No two places are further apart.
+HALF_ROUND_M = 20_020_000.0
+
+
+def nearest_anywhere(left: DataFrame, right: DataFrame, k: int, start_m: float, key: str, tie: str) -> DataFrame:
+    """The k nearest right rows of each left row, however far; fewer only where the right side has fewer.
+
+    Rows that find k within a radius are done, since nothing outside is nearer; the others
+    try again with a radius four times as large, so few meet many.
+    """
+    out, rest, radius = None, left, start_m
+    while True:
+        last = radius >= HALF_ROUND_M
+        found = materialise(nearest(rest, right, k, radius, key, tie), "nearest")
+        full = found.groupBy(key).count().where(F.lit(last) | (F.col("count") == k)).select(key)
+        done = found.join(full, key, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        rest = materialise(rest.join(full, key, "left_anti"), "unanswered")
+        if rest.isEmpty():
+            return out
+        radius = min(4 * radius, HALF_ROUND_M)
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, radius_m: float, key: str = "id", size: float = 0.01) -> DataFrame:
     """(key, segment, offset_m): the nearest segment (segment, x0, y0, x1, y1) within a radius, ties to the lowest number."""
     reach = radius_m / geo.METRES_PER_DEGREE
@@ -117,6 +150,6 @@ def interior_span(areas: DataFrame, rungs: int = 33) -> DataFrame:
     lines = lines.withColumn("y", F.col("south") + (F.col("north") - F.col("south")) * F.col("rung") / (rungs + 1))
     hit = F.filter("edges", lambda e: (e["y0"] > F.col("y")) != (e["y1"] > F.col("y")))
     xs = F.array_sort(F.transform(hit, lambda e: (e["x1"] - e["x0"]) * (F.col("y") - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]))
-    spans = lines.select("area_id", "rung", "y", F.posexplode(F.arrays_zip(xs.alias("a"), F.slice(xs, 2, 1000000).alias("b"))).alias("i", "s")).where("i % 2 = 0 and s.b is not null")
+    spans = lines.select("area_id", "rung", "y", F.posexplode(F.arrays_zip(xs.alias("a"), F.slice(xs, 2, F.size(xs)).alias("b"))).alias("i", "s")).where("i % 2 = 0 and s.b is not null")
     width = F.round(F.col("s.b") - F.col("s.a"), 12)
     return spans.groupBy("area_id").agg(F.max(F.struct(width.alias("width"), (-F.col("rung")).alias("rung"), "y", ((F.col("s.a") + F.col("s.b")) / 2).alias("x"))).alias("best")).select("area_id", "best.width", "best.x", "best.y")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators import graph, quality
 from terrafold.operators.evidence import Registry
+from terrafold.plans.fixtures import table
 from terrafold.plans.registry import QUERIES, query
 from terrafold.plans.spatial_queries import LAT, LON, areas
 from terrafold.sources.readers import tiered
@@ -21,6 +22,63 @@ def _segments(view):
     return c.union(n)
 
 
+def _streets(view):
+    """A street net with cycles: suppliers in a row, chords that skip four or eleven of them, and a spur to each part."""
+    s = view("supplier").select(F.col("s_suppkey").cast("long").alias("s"))
+    last = view("supplier").agg(F.max("s_suppkey").alias("last"))
+    row = lambda skip, least: s.crossJoin(F.broadcast(last)).where(F.col("s") + skip <= F.col("last")).select(F.col("s").alias("a"), (F.col("s") + skip).alias("b"), (F.col("s") * 13 % 17 + float(least)).alias("length_m"))  # noqa: E731  one row of last
+    spurs = view("part").select((F.col("p_partkey") + 1_000_000).cast("long").alias("a"), (F.col("p_partkey") % 10 + 1).cast("long").alias("b"), (F.col("p_partkey") % 5 + 1.0).alias("length_m"))
+    return row(1, 10).union(row(4, 20).where("a % 3 = 0")).union(row(11, 30).where("a % 5 = 0")).union(spurs)
+
+
+_STREETS = """
+last as (select max(s_suppkey) as last from supplier),
+net as (
+ select s_suppkey as a, s_suppkey + 1 as b, s_suppkey * 13 % 17 + 10e0 as m from supplier, last where s_suppkey + 1 <= last
+ union all select s_suppkey, s_suppkey + 4, s_suppkey * 13 % 17 + 20e0 from supplier, last where s_suppkey + 4 <= last and s_suppkey % 3 = 0
+ union all select s_suppkey, s_suppkey + 11, s_suppkey * 13 % 17 + 30e0 from supplier, last where s_suppkey + 11 <= last and s_suppkey % 5 = 0
+ union all select p_partkey + 1000000, p_partkey % 10 + 1, p_partkey % 5 + 1e0 from part),
+ways as (select a, b, m from net union all select b, a, m from net),
+dist(node, d) using key (node) as (
+ select cast(1 as bigint), 0e0
+ union
+ select e.b, min(dist.d + e.m) from dist join ways e on e.a = dist.node left join recurring.dist r on r.node = e.b
+ where r.d is null or dist.d + e.m < r.d group by e.b)"""
+
+
+@query("", f"with recursive {_STREETS} select node, d as distance_m from dist")
+def street_distances(view):
+    """Exact distances in a net with cycles from its first node."""
+    return street_distances_of(view)
+
+
+def street_distances_of(view):
+    seeds = view("supplier").where("s_suppkey = 1").select(F.col("s_suppkey").cast("long").alias("node"), F.lit(0.0).alias("cost_m"), F.lit("first").alias("label"))
+    return graph.distances(_streets(view), seeds).select("node", "distance_m")
+
+
+@query("", f"""
+with recursive {_STREETS}
+select dist.node, case when dist.d >= 25e0 then round(dist.d / (10e0 * abs(dist.node - 1)), 6) end as ratio
+from dist where dist.node > 1 and dist.node < 1000000""")
+def detour_ratios(view):
+    """Distance in the net over the straight one to each supplier; none where the net's is too short to tell."""
+    far = street_distances_of(view).where("node > 1 and node < 1000000").withColumn("straight_m", 10.0 * F.abs(F.col("node") - 1))
+    ratio = F.when(F.col("distance_m") >= 25.0, graph.detour_ratio("distance_m", "straight_m", 10.0))
+    return far.select("node", F.round(ratio, 6).alias("ratio"))
+
+
+@query("", """
+with n as (
+ select c_nationkey - c_nationkey % 5 as part, c_custkey % 97 + 1e0 as m from customer
+ union all select n_nationkey - n_nationkey % 5, 50e0 from nation where n_nationkey % 5 <> 4),
+p as (select part, sum(m) as m from n group by part)
+select sum(m) as total_m, max(m) as largest_m, count(*) as parts, round(max(m) / sum(m), 9) as share from p""")
+def length_shares(view):
+    """The length of a net, and the share of its longest part."""
+    return graph.lengths(_segments(view)).withColumn("share", F.round("share", 9))
+
+
 @query("", """
 with e as (select c_custkey + 1000 as node, c_nationkey - c_nationkey % 5 as component from customer union all select n_nationkey, n_nationkey - n_nationkey % 5 from nation)
 select cast(component as bigint) as component, count(*) as nodes from e group by 1""")
@@ -68,15 +126,21 @@ def ring_validity(view):
     return quality.valid_rings(view("area_edges")).select("area_id", "edges", "loose", F.col("crossings").cast("long").alias("crossings"), "valid")
 
 
-@query("population", """
-, h as (select sha256('"area_id":' || area_id || ',"district_id":' || district_id || ',"residents":' || residents) as h from population), p as (select substr(h, 1, 2) as part, sha256(string_agg(h || ':1', ',' order by h)) as p, count(*) as n from h group by 1)
-select sha256(string_agg(p, ',' order by part)) as fingerprint, cast(sum(n) as bigint) as n from p""")
+_WORDS = " || ',' || ".join(f"cast(sum(cast('0x' || substr(h, {8 * i + 1}, 8) as bigint)) as varchar)" for i in range(8))
+
+
+@query("population", f"""
+, h as (
+ select sha256('{{{{"area_id":' || area_id || ',"district_id":' || district_id || ',"residents":' || residents || '}}}}') as h from population)
+select sha256(cast(count(*) as varchar) || ',' || {_WORDS}) as fingerprint, count(*) as n from h""".replace("{{", "{").replace("}}", "}"))
 def population_fingerprint(view):
     """One hash of a table's rows, in any order."""
     return fingerprint(view("population"))
 
 
-@query()
+@query("area_edges population", """
+, b as (select area_id, min(least(x0, x1)) as west, min(least(y0, y1)) as south from area_edges group by area_id)
+select p.area_id, residents, west, south from population p join b on b.area_id = p.area_id order by residents desc, p.area_id limit 10""")
 def residents_of_areas_by_rank(view):
     """Areas by residents, for a map's labels."""
     return areas(view).join(view("population").select("area_id", "residents"), "area_id").select("area_id", "residents", "west", "south").orderBy(F.desc("residents"), "area_id").limit(10)
@@ -84,7 +148,7 @@ def residents_of_areas_by_rank(view):
 
 def evidence_rows(spark, sf_dir: str):
     """One row for each of the registry's questions, answered or not."""
-    r = Registry(spark, sf_dir)
+    r = Registry(spark, lambda name: table(spark, sf_dir, name))
     asked = [
         r.query("LICENCES_IN_LENS", lat=LAT, lon=LON, radius_m=3000.0, first=dt.date(1990, 1, 1), last=dt.date(1996, 1, 1)), r.query("LICENCES_IN_LENS", lat=LAT, lon=LON, radius_m=3000.0, first=dt.date(1980, 1, 1), last=dt.date(1981, 1, 1)),
         r.query("AREA_AT_POINT", lat=LAT, lon=LON), r.query("AREA_AT_POINT", lat=0.0, lon=0.0), r.query("AREAS_IN_LENS", lat=LAT, lon=LON, radius_m=4000.0), r.query("AREA_PHASE", code=5), r.query("AREA_PHASE", code=999), r.query("AREA_QUANTITY", code=5),

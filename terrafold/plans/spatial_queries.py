@@ -116,12 +116,12 @@ def weighted_activity(view):
 
 @query("stations poi", f"""
 , d as (select s.station_id, p.id, {_HAVERSINE.format(a="s.lat", b="p.lat", c="s.lon", d="p.lon")} as distance_m from stations s cross join poi p)
-, r as (select *, row_number() over (partition by station_id order by distance_m, id) as rank from d where distance_m <= 3000)
+, r as (select *, row_number() over (partition by station_id order by distance_m, id) as rank from d)
 select station_id, id, rank, round(distance_m, 3) as distance_m from r where rank <= 5""")
 def nearest_five(view):
-    """The five nearest points within 3 km of each station."""
+    """The five nearest points of each station, however far."""
     right = view("poi").select("id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    out = spatial.nearest(view("stations").select("station_id", "lat", "lon"), right, 5, 3000.0, "station_id", "id")
+    out = spatial.nearest_anywhere(view("stations").select("station_id", "lat", "lon"), right, 5, 3000.0, "station_id", "id")
     return out.select("station_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance_m", 3).alias("distance_m"))
 
 
@@ -135,7 +135,8 @@ def neighbours_of_kind(view):
     right = poi.select(F.col("id").alias("other"), F.col("type").alias("r_type"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     met = spatial.within(poi, right, 800.0).where("type = r_type and id <> other").groupBy("id").agg(F.count("*").alias("n"))
     counted = poi.select("id", "type").join(met, "id", "left").select("type", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    return counted.groupBy("type").agg(F.max("n").alias("most"), aggregates.nearest_rank("n", 0.95).alias("p95"))
+    most = counted.groupBy("type").agg(F.max("n").alias("most"))
+    return most.join(aggregates.values_at(counted, "n", {"p95": aggregates.nearest_rank(0.95)}, "type"), "type")
 
 
 @query("poi", """
@@ -172,7 +173,17 @@ def snapped_offsets(view):
     return spatial.nearest_segment(view("poi"), segments, 1500.0).select("id", F.round("offset_m", 3).alias("offset_m"))
 
 
-@query()
+@query("area_edges", """
+, a as (select area_id, min(least(y0, y1)) as south, max(greatest(y0, y1)) as north from area_edges group by area_id),
+l as (select area_id, rung, south + (north - south) * rung / 34e0 as y from a, unnest(range(1, 34)) u(rung)),
+x as (
+ select l.area_id, rung, y, (x1 - x0) * (y - y0) / (y1 - y0) + x0 as x
+ from l join area_edges e on e.area_id = l.area_id and (y0 > y) <> (y1 > y)),
+o as (
+ select *, row_number() over (partition by area_id, rung order by x) as i, lead(x) over (partition by area_id, rung order by x) as b from x),
+s as (select area_id, rung, y, round(b - x, 12) as width, (x + b) / 2 as x from o where i % 2 = 1 and b is not null),
+r as (select *, row_number() over (partition by area_id order by width desc, rung) as nth from s)
+select area_id, round(width, 9) as width, round(x, 9) as x, round(y, 9) as y from r where nth = 1""")
 def label_places(view):
     """The widest interior stretch of each area."""
     out = spatial.interior_span(areas(view))
@@ -192,8 +203,8 @@ def threshold_confusion(view):
 
 @query("poi", """
 , r as (select round(lon, 2) as lon2, round(lat, 2) as lat2, id from poi)
-select lon2, lat2, min(id) as first_id, count(*) as members, string_agg(cast(id as varchar), ',' order by id) as ids from r group by lon2, lat2""")
+select lon2, lat2, min(id) as first_id, max(id) as last_id, count(*) as members from r group by lon2, lat2""")
 def colocated_points(view):
-    """One record for each place to two decimals: the lowest id, and all ids."""
+    """One record for each place to two decimals, named by its lowest id."""
     g = view("poi").groupBy(F.round("lon", 2).alias("lon2"), F.round("lat", 2).alias("lat2"))
-    return g.agg(F.min("id").alias("first_id"), F.count("*").alias("members"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("ids"))
+    return g.agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("members"))

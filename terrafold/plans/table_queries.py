@@ -119,8 +119,10 @@ select g, max(case when rn = cast(floor(0.3e0*(n-1)+0.5e0) as bigint)+1 then v e
  max(case when rn = least(cast(ceil(n*0.2e0) as bigint)+1, n) then v end) as break1, max(case when rn = least(cast(ceil(n*0.8e0) as bigint)+1, n) then v end) as break4 from v group by g""")
 def three_quantile_rules(view):
     """Nearest rank, interpolation and class breaks are three rules."""
-    cuts = aggregates.class_breaks("o_totalprice")
-    return view("orders").groupBy(F.col("o_orderpriority").alias("g")).agg(aggregates.nearest_rank("o_totalprice", 0.3).alias("nearest_rank"), F.round(F.percentile("o_totalprice", 0.3), 6).alias("interpolated"), F.element_at(cuts, 1).alias("break1"), F.element_at(cuts, 4).alias("break4"))
+    orders = view("orders").withColumnRenamed("o_orderpriority", "g")
+    places = {"nearest_rank": aggregates.nearest_rank(0.3), "break1": aggregates.class_break(1), "break4": aggregates.class_break(4)}
+    between = orders.groupBy("g").agg(F.round(F.percentile("o_totalprice", 0.3), 6).alias("interpolated"))
+    return aggregates.values_at(orders, "o_totalprice", places, "g").join(between, "g")
 
 
 @query("", "select o_orderstatus as g, count(o_totalprice) as n, min(o_totalprice) as least, round(quantile_cont(o_totalprice, 0.1), 6) as p10, round(median(o_totalprice), 6) as median, round(quantile_cont(o_totalprice, 0.9), 6) as p90, max(o_totalprice) as most, round(avg(o_totalprice), 6) as mean, round(stddev_pop(o_totalprice)/avg(o_totalprice), 6) as cv from orders group by o_orderstatus")
@@ -156,12 +158,20 @@ def category_mix(view):
 
 
 @query("", """
-with s as (select c_nationkey as g, cast(o_orderdate as date) as d, case when o_orderkey % 97 = 0 then null else cast(o_orderdate as date) end as maybe, case o_orderstatus when 'F' then 1 when 'O' then 2 else 4 end as sev from orders join customer on o_custkey = c_custkey where o_orderkey % 50 < 3)
-select g, case when count(*) > count(maybe) then null else min(maybe) end as oldest, case max(sev) when 1 then 'live' when 2 then 'published' when 3 then 'snapshot' else 'unavailable' end as status from s group by g""")
+with s as (
+ select c_nationkey as g,
+  case when c_nationkey % 5 = 3 and o_orderkey % 97 = 0 then null else cast(o_orderdate as date) end as maybe,
+  case o_orderstatus when 'F' then 1 when 'O' then 2 else 4 end as sev
+ from orders join customer on o_custkey = c_custkey where not (c_nationkey % 2 = 0 and o_orderstatus = 'P'))
+select g, case when count(*) > count(maybe) then null else min(maybe) end as oldest,
+ case max(sev) when 1 then 'live' when 2 then 'published' when 3 then 'snapshot' else 'unavailable' end as status
+from s group by g""")
 def oldest_date_and_worst_status(view):
-    """The oldest reference date, which one missing date makes missing, and the worst status."""
-    s = view("orders").where("o_orderkey % 50 < 3").join(view("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    s = s.select(F.col("c_nationkey").alias("g"), F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate").cast("date")).alias("maybe"), F.lit("day").alias("precision"), F.when(F.col("o_orderstatus") == "F", "live").when(F.col("o_orderstatus") == "O", "published").otherwise("unavailable").alias("status"))
+    """The oldest reference date, which one missing date makes missing, and the worst status; every fifth nation misses dates."""
+    s = view("orders").join(view("customer"), F.col("o_custkey") == F.col("c_custkey")).where("not (c_nationkey % 2 = 0 and o_orderstatus = 'P')")
+    known = ~((F.col("c_nationkey") % 5 == 3) & (F.col("o_orderkey") % 97 == 0))
+    status = F.when(F.col("o_orderstatus") == "F", "live").when(F.col("o_orderstatus") == "O", "published").otherwise("unavailable")
+    s = s.select(F.col("c_nationkey").alias("g"), F.when(known, F.col("o_orderdate").cast("date")).alias("maybe"), F.lit("day").alias("precision"), status.alias("status"))
     return s.groupBy("g").agg(aggregates.oldest_date("maybe", "precision").alias("oldest"), aggregates.worst_status("status").alias("status"))
 
 
@@ -290,12 +300,18 @@ def linkage_coverage(view):
 
 
 @query("", """
-with l as (select c_custkey % 700 as k, c_nationkey as v from customer where c_custkey < 800), r as (select s_suppkey as k, s_nationkey as v from supplier), a as (select k, count(*) n, min(v) v from l group by 1), b as (select k, count(*) n, min(v) v from r group by 1)
-select coalesce(a.k, b.k) as k, case when a.n > 1 or b.n > 1 then 'DUPLICATE' when b.n is null then 'LEFT_ONLY' when a.n is null then 'RIGHT_ONLY' when a.v is not distinct from b.v then 'MATCHED' else 'DIFFERS' end as state from a full outer join b on a.k = b.k""")
+with l as (select case when c_custkey % 50 = 0 then c_custkey - 1 else c_custkey end as k, c_nationkey as v from customer),
+r as (select case when s_suppkey % 10 = 0 then -s_suppkey else s_suppkey end as k, s_nationkey as v from supplier),
+a as (select k, count(*) n, min(v) v from l group by 1), b as (select k, count(*) n, min(v) v from r group by 1)
+select coalesce(a.k, b.k) as k, case when a.n > 1 or b.n > 1 then 'DUPLICATE' when b.n is null then 'LEFT_ONLY' when a.n is null then 'RIGHT_ONLY' when a.v is not distinct from b.v then 'MATCHED' else 'DIFFERS' end as state
+from a full outer join b on a.k = b.k""")
 def reconciled_keys(view):
-    """Keys of two tables, each with one verdict."""
-    left = view("customer").where("c_custkey < 800").select((F.col("c_custkey") % 700).alias("k"), F.col("c_nationkey").alias("v"))
-    return linkage.reconcile(left, view("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("v")), "k", ["v"])
+    """Keys of two whole tables, each with one verdict; every fiftieth customer repeats a key."""
+    k = F.col("c_custkey")
+    left = view("customer").select(F.when(k % 50 == 0, k - 1).otherwise(k).alias("k"), F.col("c_nationkey").alias("v"))
+    s = F.col("s_suppkey")
+    right = view("supplier").select(F.when(s % 10 == 0, -s).otherwise(s).alias("k"), F.col("s_nationkey").alias("v"))
+    return linkage.reconcile(left, right, "k", ["v"])
 
 
 @query("", """

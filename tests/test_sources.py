@@ -10,6 +10,7 @@ import zipfile
 import pytest
 
 from terrafold.operators.evidence import Registry, clamp_window, intent
+from terrafold.plans.fixtures import table
 from terrafold.sources import readers, sinks
 from terrafold.streaming.counters import hourly_counts
 
@@ -69,7 +70,7 @@ def test_fingerprint_ignores_order(spark):
 def test_versions_and_bundle(spark, tmp_path):
     one, two = (sinks.write_versioned(spark.range(n), str(tmp_path)) for n in (3, 4))
     assert one != two and spark.read.parquet(two).count() == 4
-    r = Registry(spark, SF)
+    r = Registry(spark, lambda name: table(spark, SF, name))
     row = r.query("AREA_AT_POINT", lat=40.4168, lon=-3.7038).first().asDict()
     files = sinks.reading_bundle(row, [{"id": "areas"}], 40.4168, -3.7038, 900)
     assert set(files) == {"reading.json", "sources.json", "geometry.geojson", "state.url", "README.txt"} and json.loads(files["sources.json"]) == [{"id": "areas"}]
@@ -78,7 +79,7 @@ def test_versions_and_bundle(spark, tmp_path):
 
 
 def test_registry_refuses_before_it_reads(spark):
-    r = Registry(spark, "/nowhere")
+    r = Registry(spark, lambda name: table(spark, "/nowhere", name))
     assert r.query("CITY_DEMAND", flags=("causal",)).first()["reason"] == "PROHIBITED"
     assert r.query("NO_SUCH").first()["reason"] == "UNKNOWN_SHAPE"
     assert intent("How many licences within the circle?") == "LICENCES_IN_LENS" and intent("tell me a joke") is None
