@@ -80,3 +80,64 @@ def dominant_overlap(current: DataFrame, historical: DataFrame, step: float) ->
     total = held.groupBy("current_id").agg(F.count("*").alias("total"))
     best = met.groupBy("current_id").agg(F.max(F.struct("n", (-F.col("area_id")).alias("id"))).alias("b"))
     return best.join(total, "current_id").select(F.col("current_id").alias("area_id"), (-F.col("b.id")).alias("historical_id"), (F.col("b.n") / F.col("total")).alias("share"))
+
+
+def overlay(left: DataFrame, right: DataFrame, size: float = spatial.CELL) -> DataFrame:
+    """(area_id, other_id, overlap, share): the exact area that two areas have in common, in square degrees, and its share of area_id.
+
+    left, right: as ``polygons`` gives them, of any shape, holes and parts included; pairs
+    without common area are left out. The edges of a pair cut the plane into
+    horizontal slabs at every vertex and every crossing of two edges. Inside a slab no
+    edges cross, so the common width changes evenly and its value at half height,
+    times the height, is the slab's common area.
+    """
+    other = right.select(F.col("area_id").alias("other_id"), *(F.col(c).alias(f"o_{c}") for c in ("west", "east", "south", "north")), F.col("edges").alias("o_edges"))
+    there = spatial.covering(right, size).select(F.col("area_id").alias("other_id"), "cell_x", "cell_y")
+    pairs = spatial.covering(left, size).join(there, ["cell_x", "cell_y"]).select("area_id", "other_id").distinct()
+    met = pairs.join(left.select("area_id", "west", "east", "south", "north", "edges"), "area_id").join(other, "other_id").where("west < o_east and o_west < east and south < o_north and o_south < north")
+    ys = F.array_sort(F.array_distinct(F.concat(_levels("edges"), _levels("o_edges"), _crossing_levels("edges", "o_edges"))))
+    slabs = met.withColumn("ys", ys).withColumn("slab", F.explode(F.arrays_zip(F.slice("ys", 1, F.greatest(F.size("ys") - 1, F.lit(0))).alias("low"), F.slice("ys", 2, F.size("ys")).alias("high"))))
+    inside = slabs.where("slab.low >= greatest(south, o_south) and slab.high <= least(north, o_north)").withColumn("y", (F.col("slab.low") + F.col("slab.high")) / 2)
+    width = _common_width(F.concat(_cuts("edges", 1), _cuts("o_edges", 2)))
+    common = inside.groupBy("area_id", "other_id").agg(F.sum(width * (F.col("slab.high") - F.col("slab.low"))).alias("overlap")).where("overlap > 0")
+    whole = left.select("area_id", _planar_area("edges").alias("whole"))
+    return common.join(whole, "area_id").select("area_id", "other_id", "overlap", (F.col("overlap") / F.col("whole")).alias("share"))
+
+
+def _levels(edges: str) -> Column:
+    return F.transform(edges, lambda e: e["y0"])
+
+
+def _crossing_levels(edges: str, others: str) -> Column:
+    """Heights at which an edge of one area crosses an edge of the other."""
+
+    def level(e: Column, f: Column) -> Column:
+        ex, ey, fx, fy = e["x1"] - e["x0"], e["y1"] - e["y0"], f["x1"] - f["x0"], f["y1"] - f["y0"]
+        turn = ex * fy - ey * fx
+        t = F.try_divide((f["x0"] - e["x0"]) * fy - (f["y0"] - e["y0"]) * fx, turn)
+        u = F.try_divide((f["x0"] - e["x0"]) * ey - (f["y0"] - e["y0"]) * ex, turn)
+        return F.when(t.between(0, 1) & u.between(0, 1), e["y0"] + t * ey)
+
+    each = F.flatten(F.transform(edges, lambda e: F.transform(F.col(others), lambda f: level(e, f))))
+    return F.filter(each, lambda y: y.isNotNull())
+
+
+def _cuts(edges: str, which: int) -> Column:
+    """(x, which) where the line at height y meets the edges."""
+    hit = F.filter(edges, lambda e: (e["y0"] > F.col("y")) != (e["y1"] > F.col("y")))
+    return F.transform(hit, lambda e: F.struct(((e["x1"] - e["x0"]) * (F.col("y") - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]).alias("x"), F.lit(which).alias("which")))
+
+
+def _common_width(cuts: Column) -> Column:
+    """The length of a line that lies in both areas, from its cuts by either."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("a"), F.lit(False).alias("b"), F.lit(0.0).alias("x"))
+
+    def step(at: Column, c: Column) -> Column:
+        more = F.when(at["a"] & at["b"], c["x"] - at["x"]).otherwise(0.0)
+        return F.struct((at["sum"] + more).alias("sum"), (at["a"] != (c["which"] == 1)).alias("a"), (at["b"] != (c["which"] == 2)).alias("b"), c["x"].alias("x"))
+
+    return F.aggregate(F.array_sort(cuts), start, step, lambda at: at["sum"])
+
+
+def _planar_area(edges: str) -> Column:
+    return F.abs(F.aggregate(F.transform(edges, lambda e: e["x0"] * e["y1"] - e["x1"] * e["y0"]), F.lit(0.0), lambda a, x: a + x)) / 2

@@ -250,6 +250,18 @@ def dominant_historical_areas(view):
     return out.select("area_id", "historical_id", F.round("share", 6).alias("share"))
 
 
+@query("area_edges", """
+, a as (select area_id, min(least(x0, x1)) as w, max(greatest(x0, x1)) as e, min(least(y0, y1)) as s, max(greatest(y0, y1)) as n from area_edges group by area_id),
+h as (select area_id as hid, w + 0.0287e0 as w, e + 0.0287e0 as e, s - 0.0113e0 as s, n - 0.0113e0 as n from a),
+o as (select area_id, hid, (least(a.e, h.e) - greatest(a.w, h.w)) * (least(a.n, h.n) - greatest(a.s, h.s)) / ((a.e - a.w) * (a.n - a.s)) as share from a join h on least(a.e, h.e) > greatest(a.w, h.w) and least(a.n, h.n) > greatest(a.s, h.s))
+select area_id, hid as other_id, round(share, 6) as share from o where share > 1e-9""")
+def overlay_shares(view):
+    """The share of each area that each older area covers, exactly."""
+    moved = view("area_edges").withColumns({c: F.col(c) + d for c, d in (("x0", 0.0287), ("x1", 0.0287), ("y0", -0.0113), ("y1", -0.0113))})
+    out = topology.overlay(areas(view), spatial.polygons(moved))
+    return out.where("share > 1e-9").select("area_id", "other_id", F.round("share", 6).alias("share"))
+
+
 @query("poi", """
 , c as (select type as metric, count(case when id % 2 = 0 then 1 end) as a, count(case when id % 2 = 1 then 1 end) as b from poi group by type), s as (select metric, a, b, case when metric = 'bike' then 'WITHHELD_EXTRACTION' else 'RAW' end as state, case when metric <> 'bike' then b - a end as d from c)
 , i as (select count(*) as metrics, count(case when state = 'RAW' then 1 end) as available, count(case when d > 0 then 1 end) as hi, count(case when d < 0 then 1 end) as lo from s)

@@ -79,3 +79,20 @@ def test_scopes_and_withholding(spark):
     assert [r.n for r in compare.withheld_unless(states, "s", ["WITHIN"], ["n"]).collect()] == [1, None]
     signs = spark.createDataFrame([("BREAK", "CONTINUOUS"), ("CONTINUOUS", "NONE"), ("NONE", "NONE")], "a string, b string")
     assert [r.v for r in signs.select(compare.governing_outcome(F.col("a"), F.col("b")).alias("v")).collect()] == ["BREAK", "CONTINUOUS", "NO_EVIDENCE"]
+
+
+def test_overlay_of_any_shapes(spark):
+    ring = lambda area, points: [(area, 0, i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(points, points[1:] + points[:1]))]
+    hollow = ring(1, [(0, 0), (4, 0), (4, 4), (0, 4)]) + ring(1, [(1, 1), (3, 1), (3, 3), (1, 3)])
+    left = spatial.polygons(spark.createDataFrame(hollow + ring(2, [(10, 0), (14, 0), (12, 4)]), EDGE))
+    right = spatial.polygons(spark.createDataFrame(ring(5, [(2, -1), (6, -1), (6, 5), (2, 5)]) + ring(6, [(10, 4), (14, 4), (12, 0)]) + ring(7, [(1.5, 1.5), (2, 1.5), (2, 2)]), EDGE))
+    got = {(r.area_id, r.other_id): round(r.overlap, 9) for r in topology.overlay(left, right, size=0.8).collect()}
+    # half of the hollow square, and two triangles upside down to each other
+    assert got == {(1, 5): 6.0, (2, 6): 4.0}
+    draw = __import__("random").Random(5)
+    stars = [[(i % 7 * 3 + draw.random() * 2, draw.random() * 2) for _ in range(3)] for i in range(12)]
+    a = spatial.polygons(spark.createDataFrame([e for i, p in enumerate(stars) for e in ring(i, p)], EDGE))
+    both = {(r.area_id, r.other_id): r.overlap for r in topology.overlay(a, a, size=0.5).collect()}
+    area = lambda p: abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(p, p[1:] + p[:1]))) / 2
+    assert all(abs(both[i, i] - area(p)) < 1e-9 for i, p in enumerate(stars))
+    assert all(abs(v - both[j, i]) < 1e-9 for (i, j), v in both.items())
