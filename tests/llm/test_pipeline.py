@@ -61,3 +61,46 @@ def test_empty_and_repeated_tables(spark, repeated_rows, tmp_path):
     where = folder(spark, tmp_path / "repeated", repeated_rows, [(5, 1, 0)])
     groups = brute.jaccard_components([(r[0], r[1]) for r in repeated_rows])
     assert corpus_pipeline.run(spark, where).count() <= len(groups)
+
+
+def test_stages_pass_clashing_columns_and_rows_without_an_id(spark, repeated_rows, tmp_path):
+    names = ["row_key", "score", "node", "spans", "root", "n", "text_", "block", "answers", "toxic", "runs"]
+    rows = [(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(repeated_rows)]
+    plain = folder(spark, tmp_path / "plain", repeated_rows, [(5, 1, 0)])
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in names))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, plain)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/clash/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/clash/{name}")
+        kept[name] = docs.collect()
+    whole = {tuple(r[5:]): (r[0], r[1]) for r in rows}
+    for got in kept.values():
+        assert all(whole[tuple(r)[5:]][0] == r.doc_id for r in got)
+    # nobody is toxic; each group keeps one row, and all rows without words stay
+    assert len(kept["toxicity"]) == len(rows)
+    assert sum(1 for r in kept["ngram_jaccard_join"] if not brute.plain_words(r.text)) == sum(1 for r in rows if not brute.plain_words(r[1]))
+    want = len({c if c is not None else ("lone", i) for i, (_, n, c) in enumerate(brute.jaccard_components([(r[0], r[1]) for r in rows])) if n})
+    assert sum(1 for r in kept["ngram_jaccard_join"] if brute.plain_words(r.text)) == want
+    assert len(bpe := corpus_pipeline.bpe(spark, docs, plain).collect()) == len(kept["pii"]) and all(r.n_tokens >= 0 for r in bpe)
+
+
+def test_each_stage_on_an_empty_table(spark, empty, tmp_path):
+    where = folder(spark, tmp_path, [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, where)
+        assert out.count() == 0 and (name == "bpe" or out.columns == DOCUMENT_COLUMNS)
+
+
+def test_a_text_over_a_chunk_in_every_stage(spark, tmp_path):
+    body = " ".join(f"word{i * 7919 % 100_003}" for i in range(110_000))
+    assert len(body) > 1_000_000
+    rows = [(1, body, "en", "s", 0), (2, body + " more", "en", "s", 0), (3, f"{body[:600_000]} {ITEM} {body[600_000:]} mail a.b@c.example.com", "en", "s", 0), (4, "short clean text of a few words", "en", "s", 0)]
+    where = folder(spark, tmp_path, rows, [(1, 1, 0), (4, 1, 0)])
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    assert corpus_pipeline.ngram_jaccard_join(spark, docs, where).count() == 2
+    clean = {r.doc_id: r.text for r in corpus_pipeline.decontamination(spark, docs, where).collect()}
+    assert clean[1] == body and ITEM not in clean[3] and clean[3].startswith(body[:600_000]) and clean[3].endswith("example.com")
+    private = {r.doc_id: r.text for r in corpus_pipeline.pii(spark, docs, where).collect()}
+    assert private[3].endswith("mail <EMAIL>") and private[1] == body
