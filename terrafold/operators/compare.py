@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.text import fold
+
 
 def count_state(a: str, b: str, a_ok: str, b_ok: str, a_area: str, b_area: str) -> Column:
     """Extraction withheld, then unavailable, then areas of different size (density), else raw."""
@@ -112,3 +114,19 @@ def readings_compared(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = left.select("side", "metric", F.col("value").alias("was"), F.lit(True).alias("in_a")), right.select("side", "metric", F.col("value").alias("is"), F.lit(True).alias("in_b"))
     state = F.when(F.col("in_a").isNull(), "ONLY_SECOND").when(F.col("in_b").isNull(), "ONLY_FIRST").when(F.col("was").eqNullSafe(F.col("is")), "SAME").otherwise("CHANGED")
     return a.join(b, ["side", "metric"], "full_outer").select("side", "metric", "was", "is", state.alias("state"))
+
+
+def published_metrics(sides: DataFrame) -> DataFrame:
+    """Two areas metric by metric: pair, metric, kind, and for each side {a,b}_state, _text, _value and _edition.
+
+    Categories are the same, different or indeterminate and never get a number.
+    Quantities differ by a number only within one edition, where both sides publish one value.
+    """
+    same_edition = F.col("a_edition").eqNullSafe(F.col("b_edition"))
+    both = (F.col("a_state") == "PUBLISHED") & (F.col("b_state") == "PUBLISHED")
+    category = F.col("kind") == "CATEGORY"
+    several = (F.col("a_state") == "MULTIPLE_ROWS_NOT_COMBINED") | (F.col("b_state") == "MULTIPLE_ROWS_NOT_COMBINED")
+    relation = F.when(~category, None).when(~same_edition | ~both, "INDETERMINATE").when(fold(F.col("a_text")) == fold(F.col("b_text")), "SAME").otherwise("DIFFERENT")
+    withheld = F.when(~same_edition, "CROSS_EDITION").when(category, None).when(several, "MULTIPLE_ROWS_NOT_COMBINED").when(~both, "VALUE_NOT_PUBLISHED")
+    delta = F.when(~category & withheld.isNull(), F.col("b_value") - F.col("a_value"))
+    return sides.select("pair", "metric", "kind", relation.alias("relation"), delta.alias("delta"), withheld.alias("withheld"))

@@ -294,6 +294,37 @@ def shape_areas(view):
     return rings.union(circles).select("shape.kind", "area_id", F.round(geo.shape_area_km2(F.col("shape")), 6).alias("km2"))
 
 
+#: Four phases and five quantities of a planning area.
+NINE = ("phase_plan", "phase_project", "phase_works", "phase_transfer", "surface", "housing", "offices", "industry", "other")
+
+
+@query("", f"""
+with m as (select unnest({list(NINE)}) as metric, unnest(range(9)) as m),
+s as (
+ select n_nationkey as area, m.metric, m.m,
+  case when (n_nationkey + m) % 7 = 0 then 'NOT_PUBLISHED' when m >= 5 and n_nationkey % 6 = 5 then 'MULTIPLE_ROWS_NOT_COMBINED' when n_nationkey % 11 = 10 then 'NOT_PUBLISHED_IN_EDITION' else 'PUBLISHED' end as state,
+  case (n_nationkey * m) % 3 when 0 then 'aprobado' when 1 then 'aprobado' else 'en curso' end as text, n_nationkey * 100 + m as value, case when n_nationkey % 5 = 4 then 'B' else 'A' end as edition
+ from nation cross join m)
+select a.area as pair, a.metric, case when a.m < 4 then 'CATEGORY' else 'QUANTITY' end as kind,
+ case when a.m >= 4 then null when a.edition <> b.edition or a.state <> 'PUBLISHED' or b.state <> 'PUBLISHED' then 'INDETERMINATE' when a.text = b.text then 'SAME' else 'DIFFERENT' end as relation,
+ case when a.m >= 4 and a.edition = b.edition and a.state = 'PUBLISHED' and b.state = 'PUBLISHED' then b.value - a.value end as delta,
+ case when a.edition <> b.edition then 'CROSS_EDITION' when a.m < 4 then null when a.state = 'MULTIPLE_ROWS_NOT_COMBINED' or b.state = 'MULTIPLE_ROWS_NOT_COMBINED' then 'MULTIPLE_ROWS_NOT_COMBINED' when a.state <> 'PUBLISHED' or b.state <> 'PUBLISHED' then 'VALUE_NOT_PUBLISHED' end as withheld
+from s a join s b on b.area = a.area + 1 and b.metric = a.metric""")
+def planning_areas_compared(view):
+    """Neighbouring planning areas by nine metrics: four phases that are equal or not, five quantities with a difference."""
+    area = F.col("n_nationkey")
+    metrics = F.explode(F.array(*(F.struct(F.lit(name).alias("metric"), F.lit(i).alias("m")) for i, name in enumerate(NINE))))
+    s = view("nation").select(area.alias("area"), metrics.alias("x")).select("area", "x.metric", "x.m")
+    a, m = F.col("area"), F.col("m")
+    state = F.when((a + m) % 7 == 0, "NOT_PUBLISHED").when((m >= 5) & (a % 6 == 5), "MULTIPLE_ROWS_NOT_COMBINED").when(a % 11 == 10, "NOT_PUBLISHED_IN_EDITION").otherwise("PUBLISHED")
+    words = F.when((a * m) % 3 == 0, "Aprobado").when((a * m) % 3 == 1, " aprobado ").otherwise("En curso")
+    s = s.select("area", "metric", F.when(m < 4, "CATEGORY").otherwise("QUANTITY").alias("kind"), state.alias("state"), words.alias("text"), (a * 100 + m).alias("value"), F.when(a % 5 == 4, "B").otherwise("A").alias("edition"))
+    side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("state", "text", "value", "edition")]
+    left = s.select(F.col("area").alias("pair"), "metric", "kind", *side("a"))
+    right = s.select((F.col("area") - 1).alias("pair"), "metric", *side("b"))
+    return compare.published_metrics(left.join(right, ["pair", "metric"]))
+
+
 # ---- gates: (source, check, ok, bad)
 
 
