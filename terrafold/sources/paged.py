@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Iterable, Iterator
+from urllib.error import URLError
+from urllib.parse import quote
 from urllib.request import urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.types import StructType
 
 
 class PageRange(InputPartition):
@@ -15,32 +19,76 @@ class PageRange(InputPartition):
 
 
 class PagedReader(DataSourceReader):
+    """Reads pages with a time limit and some tries each; checks that a stated total is reached."""
+
     def __init__(self, options: dict, names: list[str]) -> None:
-        self.url, self.pages = options["url"], int(options["pages"])
-        self.per, self.key, self.names = int(options.get("pagesperpartition", 8)), options.get("records", "records"), names
+        self.url, self.names = options["url"], names
+        self.pages = int(options["pages"]) if "pages" in options else None
+        self.per, self.key = int(options.get("pagesperpartition", 8)), options.get("records", "records")
+        self.total, self.tries, self.timeout = options.get("total"), int(options.get("tries", 3)), float(options.get("timeout", 8))
+        self.equal: dict[str, str] = {}
 
     def partitions(self) -> list[PageRange]:
+        if self.pages is None:
+            first = self._page(0)
+            if self.total is None:
+                raise ValueError("give the number of pages, or the key of the total")
+            self.pages = -(-int(first[self.total]) // max(1, len(first[self.key])))
         return [PageRange(a, min(a + self.per, self.pages)) for a in range(0, self.pages, self.per)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         for page in range(partition.first, partition.last):
-            with urlopen(self.url.replace("{page}", str(page)), timeout=8) as reply:
-                for record in json.load(reply)[self.key]:
-                    yield tuple(None if record.get(n) is None else str(record[n]) for n in self.names)
+            reply = self._page(page)
+            records = reply[self.key]
+            # the last page may be short, no other may be empty
+            if self.total is not None and not records and self.pages is not None and page < self.pages - 1:
+                raise ValueError(f"page {page} is empty before the total of {reply[self.total]} is reached")
+            for record in records:
+                yield tuple(None if record.get(n) is None else str(record[n]) for n in self.names)
+
+    def _page(self, page: int) -> dict:
+        where = "&".join(f"{quote(k)}={quote(v)}" for k, v in sorted(self.equal.items()))
+        url = self.url.replace("{page}", str(page)).replace("{where}", where).replace("{columns}", ",".join(map(quote, self.names)))
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                with urlopen(url, timeout=self.timeout) as reply:
+                    return json.load(reply)
+            except (URLError, TimeoutError):
+                if not left:
+                    raise
+                time.sleep(0.5 * (self.tries - left))
+        raise AssertionError("tries is at least 1")
+
+
+class FilteringReader(PagedReader):
+    """A reader of a service that filters: its address has {where}."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Equalities go into the address; Spark keeps the rest."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1:
+                self.equal[f.attribute[0]] = str(f.value)
+            else:
+                yield f
 
 
 class PagedSource(DataSource):
-    """format("paged"): options url with {page}, pages, columns (comma-joined), records, pagesPerPartition. All columns are strings."""
+    """format("paged"): all columns are strings.
+
+    Options: url with {page}, and where the service takes them {columns} and {where};
+    columns (comma-joined, or give a schema of fewer); pages, or total, the key of a
+    reply that holds the number of records; records, the key of the records;
+    pagesPerPartition; tries; timeout in seconds. Equalities are pushed into {where};
+    Spark asks for spark.sql.python.filterPushdown.enabled then.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
-    def _names(self) -> list[str]:
-        return self.options["columns"].split(",")
-
     def schema(self) -> str:
-        return ", ".join(f"`{n}` string" for n in self._names())
+        return ", ".join(f"`{n}` string" for n in self.options["columns"].split(","))
 
-    def reader(self, schema) -> PagedReader:
-        return PagedReader(dict(self.options), self._names())
+    def reader(self, schema: StructType) -> PagedReader:
+        kind = FilteringReader if "{where}" in self.options["url"] else PagedReader
+        return kind(dict(self.options), schema.fieldNames())

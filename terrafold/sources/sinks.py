@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
+from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import canonical
@@ -68,6 +70,42 @@ def write_versioned(df: DataFrame, folder: str, fmt: str = "parquet", *partition
     return path
 
 
+def publish(tables: dict[str, DataFrame], folder: str) -> str:
+    """Writes several tables as one version: all of them, then a pointer that is renamed into place. Readers see the old set or the new one."""
+    spark = next(iter(tables.values())).sparkSession
+    version = uuid.uuid4().hex
+    root = folder.rstrip("/")
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/version={version}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fresh = path(f"{root}/_pointer-{version}")
+    files = fresh.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(fresh, True)
+    out.write(version.encode())
+    out.close()
+    files.mkdirs(path(f"{root}/pointers"))
+    files.rename(fresh, path(f"{root}/pointers/{time.time_ns():020d}-{version}"))
+    return version
+
+
+def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the version that was published last."""
+    root = folder.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    last = max(f.getPath().getName() for f in found)
+    return spark.read.parquet(f"{root}/version={last.rpartition('-')[2]}/{name}")
+
+
+def dossier_html(evidence: dict, sources: list[dict]) -> str:
+    """The evidence and its sources as one page of tables; every text is escaped, nothing is computed again."""
+    row = lambda k, v: f"<tr><th>{escape(str(k))}</th><td>{escape('' if v is None else str(v))}</td></tr>"
+    table = lambda d: "<table>" + "".join(row(k, v) for k, v in sorted(d.items())) + "</table>"
+    used = [s for s in sources if s.get("id") == evidence.get("source_id")]
+    body = "<h1>Evidence</h1>" + table(evidence) + "<h2>Sources</h2>" + "".join(map(table, used))
+    return f"<!doctype html><html><head><meta charset=\"utf-8\"><title>{escape(str(evidence.get('shape', '')))}</title></head><body>{body}</body></html>"
+
+
 def reading_bundle(evidence: dict, sources: list[dict], lat: float, lon: float, radius_m: float) -> dict[str, str]:
     """The files of one answered question: a transcript of computed rows, nothing is computed again."""
     reading = canonical_json(evidence)

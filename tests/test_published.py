@@ -216,3 +216,32 @@ def test_eras_and_names(spark):
     source = spark.createDataFrame([(1, "NOW", "192", "19", "VALDEBERNARDO"), (2, "OLD", "192", "19", "Ambroz"), (3, "NOW", "192", "18", "x"), (4, "NOW", None, "19", "Valdebernardo "), (5, "NOW", None, None, None), (6, "NOW", "999", "10", "A")], "id int, era string, code string, district string, name string")
     got = {r.id: (r.method, r.entity) for r in linkage.code_then_name(source, target).collect()}
     assert got == {1: ("CODE", "NOW:192"), 2: ("CODE", "OLD:192"), 3: ("CODE_DISTRICT_MISMATCH", None), 4: ("DISTRICT_PLUS_NAME", "NOW:192"), 5: ("SOURCE_NULL", None), 6: ("UNMATCHED", None)}
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    a = spark.range(3)
+    sinks.publish({"one": a, "two": a.where("id = 1")}, str(tmp_path))
+    sinks.publish({"one": a.where("id > 0"), "two": a}, str(tmp_path))
+    assert sinks.published(spark, str(tmp_path), "one").count() == 2 and sinks.published(spark, str(tmp_path), "two").count() == 3
+
+
+def test_dossiers_escape_what_they_show():
+    page = sinks.dossier_html({"shape": "A<B", "value": "x & y", "source_id": "s"}, [{"id": "s", "name": "<script>"}, {"id": "t", "name": "other"}])
+    assert "A&lt;B" in page and "x &amp; y" in page and "&lt;script&gt;" in page and "other" not in page and "<script>" not in page
+
+
+def test_pages_by_total_with_filters_and_fewer_columns(spark, tmp_path):
+    from terrafold.runtime import ship
+    from terrafold.sources.paged import FilteringReader, PagedSource
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    ship(spark)
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"total": 5, "records": [{"id": 2 * i + k, "name": "x"} for k in range(2 if i < 2 else 1)]}))
+    spark.dataSource.register(PagedSource)
+    options = {"url": f"file://{tmp_path}/{{page}}.json", "total": "total", "columns": "id,name"}
+    assert spark.read.format("paged").options(**options).load().count() == 5
+    assert spark.read.format("paged").schema("id string").options(**options).load().columns == ["id"]
+    reader = FilteringReader({"url": "u?{where}", "pages": 1}, ["id"])
+    rest = [GreaterThan(("id",), 3)]
+    assert list(reader.pushFilters([EqualTo(("name",), "a b"), *rest])) == rest and reader.equal == {"name": "a b"}
