@@ -33,7 +33,7 @@ from terrafold.llm.rows import texts_of
 from terrafold.runtime import ship
 
 MIN_WORDS = 10
-#: A benchmark beyond this is refused: built, it takes the driver about 100 times as many bytes, and flat, each worker about 12 times.
+#: A benchmark beyond this is refused: while built, it takes the driver about 120 times as many bytes, and flat, each worker about 10 times.
 MAX_BENCHMARK_BYTES = 8 << 20
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -45,7 +45,7 @@ from terrafold.runtime import ship
 
 TERM_CELLS = 1 << 22
 MAX_TRAINING_ROWS = 20_000
-MAX_TRAINING_TERMS = 4_000_000
+MAX_TRAINING_TERMS = 2_000_000
 #: Labelled rows that must hold a cell.
 LEAST_ROWS = 5
 FACTORS = 4
@@ -89,6 +89,7 @@ class FactorizationMachine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    places: np.ndarray | None = None
 
     def sums(self, x: Terms) -> tuple[np.ndarray, np.ndarray]:
         """(sum of the factors of each text, one over its number of features)."""
@@ -112,12 +113,16 @@ class FactorizationMachine:
 
     def features(self, cells: np.ndarray, text: np.ndarray, n: int) -> Terms:
         """Distinct cells of some texts as features; unknown cells go."""
-        if not len(self.cells):
-            return Terms(np.zeros(0, np.int64), np.zeros(0, np.int64), n)
-        at = np.searchsorted(self.cells, cells)
-        at[at == len(self.cells)] = 0
-        known = self.cells[at] == cells
-        return Terms(at[known], text[known], n)
+        at = self._places()[cells]
+        known = at >= 0
+        return Terms(at[known].astype(np.int64), text[known], n)
+
+    def _places(self) -> np.ndarray:
+        """Cell -> feature, -1 for none; made once where it is used."""
+        if self.places is None:
+            self.places = np.full(TERM_CELLS, -1, np.int32)
+            self.places[self.cells] = np.arange(len(self.cells))
+        return self.places
 
     @classmethod
     def fit(cls, cells: np.ndarray, text: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorizationMachine:
@@ -125,12 +130,14 @@ class FactorizationMachine:
         rate = float(y.mean()) if len(y) else 0.0
         prior = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
         known, own, rows = np.unique(cells, return_inverse=True, return_counts=True)
-        frequent = rows >= LEAST_ROWS
-        known = known[frequent] if 0 < rate < 1 else known[:0]
+        frequent = (rows >= LEAST_ROWS) & (0 < rate < 1)
+        kept = frequent[own]
+        x = Terms((np.cumsum(frequent) - 1)[own[kept]], text[kept].astype(np.int64), len(y))
+        known = known[frequent].astype(np.int64)
+        del own, kept
         machine = cls(known, prior, np.zeros(len(known)), np.zeros((len(known), FACTORS)))
         if not len(known):
             return machine
-        x = machine.features(cells, text, len(y))
         machine._fit_weights(x, y, ROUNDS["weights"], NOISE[0])
         apart = np.arange(len(y)) % APART == 0
         machine._fit_factors(x.rows(~apart), y[~apart], x.rows(apart), y[apart], seed)
@@ -220,10 +227,11 @@ def sample_of(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> FactorizationMachine:
     """The machine fitted on at most ``most`` labelled rows."""
     sample = sample_of(documents, labels, most).collect()
-    packed = [np.frombuffer(r.cells, np.int32) for r in sample]
-    text = np.repeat(np.arange(len(packed)), list(map(len, packed)))
-    cells = np.concatenate(packed).astype(np.int64) if packed else np.zeros(0, np.int64)
-    return FactorizationMachine.fit(cells, text, np.array([r.toxic == 1 for r in sample], bool))
+    toxic = np.array([r.toxic == 1 for r in sample], bool)
+    counts = [len(r.cells) // 4 for r in sample]
+    cells = np.frombuffer(b"".join(r.cells for r in sample), np.int32)
+    del sample
+    return FactorizationMachine.fit(cells, np.repeat(np.arange(len(counts), dtype=np.int32), counts), toxic)
 
 
 def scored(documents: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
