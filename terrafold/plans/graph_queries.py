@@ -80,7 +80,8 @@ def length_shares(view):
 
 
 @query("", """
-with e as (select c_custkey + 1000 as node, c_nationkey - c_nationkey % 5 as component from customer union all select n_nationkey, n_nationkey - n_nationkey % 5 from nation)
+with e as (select c_custkey + 1000 as node, c_nationkey - c_nationkey % 5 as component from customer
+ union all select n_nationkey, n_nationkey - n_nationkey % 5 from nation)
 select cast(component as bigint) as component, count(*) as nodes from e group by 1""")
 def graph_components(view):
     """Connected parts and their sizes."""
@@ -88,7 +89,8 @@ def graph_components(view):
 
 
 @query("", """
-select c_custkey + 1000 as node, c_custkey % 97 + 1e0 + 50e0 * (c_nationkey % 5) as distance_m, 'seed ' || cast(c_nationkey - c_nationkey % 5 as varchar) as label from customer
+select c_custkey + 1000 as node, c_custkey % 97 + 1e0 + 50e0 * (c_nationkey % 5) as distance_m,
+ 'seed ' || cast(c_nationkey - c_nationkey % 5 as varchar) as label from customer
 union all select n_nationkey, 50e0 * (n_nationkey % 5), 'seed ' || cast(n_nationkey - n_nationkey % 5 as varchar) from nation""")
 def network_distances(view):
     """Exact distances along segments to the nearest seed."""
@@ -97,9 +99,11 @@ def network_distances(view):
 
 
 @query("poi", """
-, p as (select 'published' as tier, 0 as pr, * from poi where type in ('museum', 'stay')), s as (select 'snapshot' as tier, 1 as pr, * from poi where type in ('museum', 'info')), u as (select * from p union all select * from s), b as (select type, min(pr) as pr from u group by type)
+, p as (select 'published' as tier, 0 as pr, * from poi where type in ('museum', 'stay')), s as (select 'snapshot' as tier, 1 as pr, * from poi
+ where type in ('museum', 'info')), u as (select * from p union all select * from s), b as (select type, min(pr) as pr from u group by type)
 , l(layer) as (values ('museum'),('info'),('stay'),('bike'))
-select l.layer, coalesce(max(u.tier), 'unavailable') as status, count(u.id) as points from l left join b on b.type = l.layer left join u on u.type = b.type and u.pr = b.pr group by l.layer""")
+select l.layer, coalesce(max(u.tier), 'unavailable') as status, count(u.id) as points from l left join b on b.type = l.layer left
+ join u on u.type = b.type and u.pr = b.pr group by l.layer""")
 def layers_with_fallback(view):
     """The best tier of each layer, and layers that have none."""
     poi = view("poi").withColumnRenamed("type", "layer")
@@ -109,9 +113,13 @@ def layers_with_fallback(view):
 
 
 @query("licences poi", """
-select 'licences' as source, 'inside_scope' as check, count(case when not (lon between -3.889e0 and -3.518e0 and lat between 40.312e0 and 40.564e0) then 1 end) = 0 as ok, count(case when not (lon between -3.889e0 and -3.518e0 and lat between 40.312e0 and 40.564e0) then 1 end) as bad from licences
-union all select 'licences', 'known_family', count(case when family not in ('ACTIVITY','BUILDING') then 1 end) = 0, count(case when family not in ('ACTIVITY','BUILDING') then 1 end) from licences
-union all select 'licences', 'unique_key', count(case when n > 1 then 1 end) = 0, count(case when n > 1 then 1 end) from (select id, count(*) n from licences group by id) t
+select 'licences' as source, 'inside_scope' as check, count(case
+ when not (lon between -3.889e0 and -3.518e0 and lat between 40.312e0 and 40.564e0) then 1 end) = 0 as ok, count(case
+ when not (lon between -3.889e0 and -3.518e0 and lat between 40.312e0 and 40.564e0) then 1 end) as bad from licences
+union all select 'licences', 'known_family', count(case when family not in ('ACTIVITY','BUILDING') then 1 end) = 0, count(case
+ when family not in ('ACTIVITY','BUILDING') then 1 end) from licences
+union all select 'licences', 'unique_key', count(case when n > 1 then 1 end) = 0, count(case when n > 1 then 1 end) from (select id, count(*) n
+ from licences group by id) t
 union all select 'licences', 'known_ndp', count(*) = 0, count(*) from (select distinct ndp from licences where ndp not in (select id from poi)) t""")
 def licence_gates(view):
     """Quality rules of the licences, with how many rows break each."""
@@ -120,7 +128,8 @@ def licence_gates(view):
     return quality.gates(licences, "licences", rules).union(quality.unique(licences, "licences", "id")).union(quality.references(licences, view("poi").select(F.col("id").alias("ndp")), "licences", "ndp"))
 
 
-@query("area_edges", "select area_id, count(*) as edges, cast(0 as bigint) as loose, cast(0 as bigint) as crossings, true as valid from area_edges group by area_id")
+@query("area_edges", """
+select area_id, count(*) as edges, cast(0 as bigint) as loose, cast(0 as bigint) as crossings, true as valid from area_edges group by area_id""")
 def ring_validity(view):
     """Rings that close and do not cross themselves."""
     return quality.valid_rings(view("area_edges")).select("area_id", "edges", "loose", F.col("crossings").cast("long").alias("crossings"), "valid")

@@ -23,7 +23,8 @@ def newest_licences(view):
 
 
 @query("", """
-select surface from (values ('lens', 'circle', null), ('origins', 'city', null), ('hotels', 'city', 'demand'), ('areas', 'circle', 'planning')) s(surface, mode, flag)
+select surface from (values ('lens', 'circle', null), ('origins', 'city', null), ('hotels', 'city', 'demand'),
+ ('areas', 'circle', 'planning')) s(surface, mode, flag)
 where mode = 'circle' and (flag is null or flag in ('planning'))""")
 def shown_surfaces(view):
     """What a mode shows with some flags set."""
@@ -65,9 +66,12 @@ def _named_sources(view):
 @query("", _SOURCES + """
 select s.id, s.era,
  case when k.name is not null and k.district = s.district then 'CODE' when k.name is not null then 'CODE_DISTRICT_MISMATCH'
-  when n.code is not null then 'DISTRICT_PLUS_NAME' when s.code is null and (s.name is null or contains(upper(s.name), 'NULO')) then 'SOURCE_NULL' else 'UNMATCHED' end as method,
- case when k.name is not null and k.district = s.district then s.era || ':' || s.code when k.name is null and n.code is not null then s.era || ':' || n.code end as entity,
- case when s.name = k.name then 'EXACT' when upper(s.name) = upper(k.name) then 'NORMALISED_EQUAL' when k.name is not null then 'VARIANT' when n.code is not null then 'NORMALISED_EQUAL' end as name_relation
+  when n.code is not null then 'DISTRICT_PLUS_NAME' when s.code is null and (s.name is null or contains(upper(s.name),
+ 'NULO')) then 'SOURCE_NULL' else 'UNMATCHED' end as method,
+ case when k.name is not null and k.district = s.district then s.era || ':' || s.code
+ when k.name is null and n.code is not null then s.era || ':' || n.code end as entity,
+ case when s.name = k.name then 'EXACT' when upper(s.name) = upper(k.name) then 'NORMALISED_EQUAL' when k.name is not null then 'VARIANT'
+ when n.code is not null then 'NORMALISED_EQUAL' end as name_relation
 from s left join t k on k.era = s.era and k.code = s.code
 left join t n on n.era = s.era and n.district = s.district and upper(n.name) = upper(s.name)""")
 def code_then_name(view):
@@ -76,8 +80,11 @@ def code_then_name(view):
 
 
 @query("", """
-with o as (select cast(year(o_orderdate) as bigint) as snapshot, cast(c_nationkey as varchar) as code from orders join customer on c_custkey = o_custkey where not (year(o_orderdate) < 1995 and c_nationkey in (3, 4)) and not (year(o_orderdate) < 1997 and c_nationkey = 7)),
-e as (select snapshot, count(distinct case when code in ('3', '4') then code end) as two, count(distinct case when code = '7' then code end) as one from o group by 1)
+with o as (select cast(year(o_orderdate) as bigint) as snapshot, cast(c_nationkey as varchar) as code from orders
+ join customer on c_custkey = o_custkey where not (year(o_orderdate) < 1995 and c_nationkey in (3,
+ 4)) and not (year(o_orderdate) < 1997 and c_nationkey = 7)),
+e as (select snapshot, count(distinct case when code in ('3', '4') then code end) as two, count(distinct case when code = '7' then code end) as one
+ from o group by 1)
 select snapshot, case when one = 1 then 'CURRENT' when two = 2 then 'TRANSITIONAL' else 'HISTORICAL' end as era from e""")
 def eras_of_snapshots(view):
     """The era of each snapshot by the codes it holds."""
@@ -88,9 +95,11 @@ def eras_of_snapshots(view):
 
 
 @query("", """
-with a as (select case when c_custkey % 4 = 0 then lower(c_mktsegment) || c_nationkey when c_custkey % 9 = 0 then 'none' || c_custkey else c_mktsegment || c_nationkey end as k from customer),
+with a as (select case when c_custkey % 4 = 0 then lower(c_mktsegment) || c_nationkey
+ when c_custkey % 9 = 0 then 'none' || c_custkey else c_mktsegment || c_nationkey end as k from customer),
 b as (select 'BUILDING' || n_nationkey as k from nation union all select 'MACHINERY' || n_nationkey from nation), k as (select distinct k from a)
-select count(*) as keys, count(case when k in (select k from b) then 1 end) as exact, count(case when k not in (select k from b) and upper(k) in (select k from b) then 1 end) as gained from k""")
+select count(*) as keys, count(case when k in (select k from b) then 1 end) as exact, count(case when k not in (select k
+ from b) and upper(k) in (select k from b) then 1 end) as gained from k""")
 def gain_by_folding(view):
     """How many keys match as they are, and how many more would if folded."""
     c, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
@@ -101,10 +110,15 @@ def gain_by_folding(view):
 
 @query("area_edges", """
 , a as (select cast(area_id as varchar) as code, 'n' || area_id as name, x0 as x, y0 as y from area_edges where area_id <> 4),
-b as (select cast(area_id as varchar) as code, case when area_id = 6 then 'other' else 'n' || area_id end as name, case when area_id = 8 and seq = 2 then x0 + 1 else x0 end as x, y0 as y from area_edges where area_id <> 5),
-d as (select coalesce(a.code, b.code) as code, count(*) as apart from (select code, x, y, count(*) n from a group by 1, 2, 3) a full outer join (select code, x, y, count(*) n from b group by 1, 2, 3) b on a.code = b.code and a.x = b.x and a.y = b.y where a.n is distinct from b.n group by 1),
-c as (select coalesce(a.code, b.code) as code, a.name as a_name, b.name as b_name from (select distinct code, name from a) a full outer join (select distinct code, name from b) b on a.code = b.code)
-select c.code, coalesce(d.apart, 0) as vertices_apart, case when b_name is null then 'ONLY_A' when a_name is null then 'ONLY_B' when a_name <> b_name then 'NAME_DIFFERS' when d.apart > 0 then 'VERTICES_DIFFER' else 'EQUIVALENT' end as state
+b as (select cast(area_id as varchar) as code, case when area_id = 6 then 'other' else 'n' || area_id end as name, case
+ when area_id = 8 and seq = 2 then x0 + 1 else x0 end as x, y0 as y from area_edges where area_id <> 5),
+d as (select coalesce(a.code, b.code) as code, count(*) as apart from (select code, x, y, count(*) n from a group by 1, 2, 3) a full outer
+ join (select code, x, y, count(*) n from b group by 1, 2, 3) b on a.code = b.code and a.x = b.x and a.y = b.y where a.n is distinct from b.n
+ group by 1),
+c as (select coalesce(a.code, b.code) as code, a.name as a_name, b.name as b_name from (select distinct code, name from a) a full outer
+ join (select distinct code, name from b) b on a.code = b.code)
+select c.code, coalesce(d.apart, 0) as vertices_apart, case when b_name is null then 'ONLY_A' when a_name is null then 'ONLY_B'
+ when a_name <> b_name then 'NAME_DIFFERS' when d.apart > 0 then 'VERTICES_DIFFER' else 'EQUIVALENT' end as state
 from c left join d on d.code = c.code""")
 def routes_to_geometry(view):
     """Two routes to the same areas: names and vertices agree, or which does not."""
@@ -135,7 +149,8 @@ def refused_by_position(view):
 @query("", """
 with f as (select p_partkey as id from part where p_partkey % 10 <> 0), i as (select p_partkey as id from part where p_partkey % 10 <> 1)
 select (select count(*) from part) as count, (select count(*) from i) as ids, (select count(*) from f) as features,
- (select count(*) from (select id from i except select id from f)) as without_feature, (select count(*) from (select id from f except select id from i)) as without_id, false as consistent""")
+ (select count(*) from (select id from i except select id from f)) as without_feature, (select count(*) from (select id from f except select id
+ from i)) as without_id, false as consistent""")
 def service_counts(view):
     """A service's count, ids and features hold the same set, or how they differ."""
     p = view("part").select(F.col("p_partkey").alias("id"))
@@ -150,7 +165,8 @@ def service_counts(view):
 
 @query("", """
 with a as (select c_custkey as id, upper(c_mktsegment) as kind, 'CALLE' as name, cast(c_custkey % 30 as varchar) as number from customer),
-b as (select c_custkey as id, case when c_custkey % 8 = 0 then 'OTHER' else upper(c_mktsegment) end as kind, 'CALLE' as name, case when c_custkey % 12 = 0 then '31' else cast(c_custkey % 30 as varchar) end as number from customer)
+b as (select c_custkey as id, case when c_custkey % 8 = 0 then 'OTHER' else upper(c_mktsegment) end as kind, 'CALLE' as name, case
+ when c_custkey % 12 = 0 then '31' else cast(c_custkey % 30 as varchar) end as number from customer)
 select a.kind = b.kind as kind, a.name = b.name as name, a.number = b.number as number, count(*) as n from a join b on a.id = b.id group by 1, 2, 3""")
 def address_agreement(view):
     """Whether two records of one address agree in kind, name and number."""
@@ -162,7 +178,8 @@ def address_agreement(view):
 
 
 @query("area_edges", """
-select area_id, round(max(sqrt(power((round(x0, 3) - x0) * 84000e0, 2) + power((round(y0, 3) - y0) * 111000e0, 2))), 6) as deviation_m, count(*) as vertices from area_edges group by area_id""")
+select area_id, round(max(sqrt(power((round(x0, 3) - x0) * 84000e0, 2) + power((round(y0, 3) - y0) * 111000e0, 2))),
+ 6) as deviation_m, count(*) as vertices from area_edges group by area_id""")
 def reprojection_deviation(view):
     """The largest distance of a vertex from its place in another rendering of the same ring, vertex by vertex."""
     a = view("area_edges").select("area_id", "seq", "x0", "y0")
@@ -175,10 +192,13 @@ def reprojection_deviation(view):
 
 
 @query("", """
-with p as (select p_partkey as id, case p_partkey % 6 when 0 then 'Aprobado' when 1 then ' En tramite ' when 2 then 'PGOUM 97' when 3 then 'No Necesita' when 4 then '' else 'En curso' end as raw from part)
+with p as (select p_partkey as id, case p_partkey % 6 when 0 then 'Aprobado' when 1 then ' En tramite ' when 2 then 'PGOUM 97'
+ when 3 then 'No Necesita' when 4 then '' else 'En curso' end as raw from part)
 select case when trim(raw) = '' then 'NOT_PUBLISHED' else 'PUBLISHED' end as state,
- case when trim(raw) = '' then null when raw = 'PGOUM 97' then 'PLAN_ORIGIN_MARKER' when raw = 'No Necesita' then 'UNRESOLVED_MEANING' else 'PHASE_VALUE' end as kind,
- case when trim(raw) = '' then null when raw in ('Aprobado', 'PGOUM 97', 'No Necesita') then 'SOURCE_DOCUMENTED' when trim(raw) = 'En tramite' then 'SOURCE_DOCUMENTED_SPELLING_VARIANT' else 'SOURCE_OBSERVED_NOT_DOCUMENTED' end as vocabulary,
+ case when trim(raw) = '' then null when raw = 'PGOUM 97' then 'PLAN_ORIGIN_MARKER'
+ when raw = 'No Necesita' then 'UNRESOLVED_MEANING' else 'PHASE_VALUE' end as kind,
+ case when trim(raw) = '' then null when raw in ('Aprobado', 'PGOUM 97', 'No Necesita') then 'SOURCE_DOCUMENTED'
+ when trim(raw) = 'En tramite' then 'SOURCE_DOCUMENTED_SPELLING_VARIANT' else 'SOURCE_OBSERVED_NOT_DOCUMENTED' end as vocabulary,
  case when raw in ('Aprobado', 'PGOUM 97', 'No Necesita') then raw when trim(raw) = 'En tramite' then 'En trámite' end as documented_as, count(*) as n
 from p group by 1, 2, 3, 4""")
 def phase_values(view):
@@ -190,9 +210,11 @@ def phase_values(view):
 
 
 @query("", """
-with s as (select c_custkey as id, c_nationkey as g, case when c_custkey % 9 = 0 then null else 20 + c_acctbal / 300 end as noon, 25 + c_acctbal / 300 as three from customer)
+with s as (select c_custkey as id, c_nationkey as g, case when c_custkey % 9 = 0 then null else 20 + c_acctbal / 300 end as noon,
+ 25 + c_acctbal / 300 as three from customer)
 select g, round(avg(noon), 6) as mean, count(noon) as samples, case when count(noon) > 0 then 'MODEL_DERIVED' else 'NONE' end as evidence,
- case when avg(noon) is null then 'NO_VALUE' when avg(noon) >= 46 then 'EXTREME' when avg(noon) >= 38 then 'VERY_STRONG' when avg(noon) >= 32 then 'STRONG' else 'MODERATE_OR_BELOW' end as class
+ case when avg(noon) is null then 'NO_VALUE' when avg(noon) >= 46 then 'EXTREME' when avg(noon) >= 38 then 'VERY_STRONG'
+ when avg(noon) >= 32 then 'STRONG' else 'MODERATE_OR_BELOW' end as class
 from s group by g""")
 def thermal_classes(view):
     """Mean felt temperature at an hour, over the samples that have one, and its class."""
@@ -203,8 +225,10 @@ def thermal_classes(view):
 
 
 @query("monthly", """
-select period, case when residents_home + residents_abroad is null then 'CURRENT_MISSING' when residents_home + residents_abroad <= 0 then 'NOTHING_TO_SHARE' else 'AVAILABLE' end as state,
- cast(floor(residents_home * 100e0 / (residents_home + residents_abroad) + 0.5e0) as bigint) as home, cast(floor(residents_abroad * 100e0 / (residents_home + residents_abroad) + 0.5e0) as bigint) as abroad from monthly""")
+select period, case when residents_home + residents_abroad is null then 'CURRENT_MISSING'
+ when residents_home + residents_abroad <= 0 then 'NOTHING_TO_SHARE' else 'AVAILABLE' end as state,
+ cast(floor(residents_home * 100e0 / (residents_home + residents_abroad) + 0.5e0) as bigint) as home,
+ cast(floor(residents_abroad * 100e0 / (residents_home + residents_abroad) + 0.5e0) as bigint) as abroad from monthly""")
 def residence_composition(view):
     """Shares of travellers from here and from abroad, of the two added together."""
     state, home, abroad = aggregates.composition("residents_home", "residents_abroad")
@@ -213,8 +237,10 @@ def residence_composition(view):
 
 @query("editions", """
 , w as (select n_nationkey as code from nation), c as (select * from editions where edition = 'current')
-select w.code, u.use, case when c.code is null then 'NOT_PUBLISHED_IN_EDITION' when u.use = 'other' and w.code % 4 = 0 then 'NOT_PUBLISHED' else 'PUBLISHED' end as availability,
- case when c.code is not null and not (u.use = 'other' and w.code % 4 = 0) then case u.use when 'housing' then c.quantity * 10 else c.quantity % 3 end end as square_m, c.phase
+select w.code, u.use, case when c.code is null then 'NOT_PUBLISHED_IN_EDITION'
+ when u.use = 'other' and w.code % 4 = 0 then 'NOT_PUBLISHED' else 'PUBLISHED' end as availability,
+ case when c.code is not null and not (u.use = 'other' and w.code % 4 = 0) then case u.use
+ when 'housing' then c.quantity * 10 else c.quantity % 3 end end as square_m, c.phase
 from w cross join (values ('housing'), ('other')) u(use) left join c on c.code = w.code""")
 def buildability_rows(view):
     """What an edition publishes for each exact code and use; a blank is not zero, and rows are never added up."""
@@ -230,7 +256,8 @@ def buildability_rows(view):
 
 _PAIRS = """
 with s as (select c_custkey as id, case when c_custkey % 5 = 0 then null else c_acctbal end as a_mean, c_custkey % 4 as a_n, c_acctbal * 2 as b_mean, 3 as b_n,
- case c_custkey % 7 when 0 then 'live' when 1 then 'snapshot' when 2 then 'odd' else 'published' end as source, c_custkey % 6 <> 0 as enabled, case when c_custkey % 11 = 0 then null else '1996' end as period,
+ case c_custkey % 7 when 0 then 'live' when 1 then 'snapshot' when 2 then 'odd' else 'published' end as source, c_custkey % 6 <> 0 as enabled, case
+ when c_custkey % 11 = 0 then null else '1996' end as period,
  case when c_custkey % 3 = 0 then '12:00' else '15:00' end as a_step, '15:00' as b_step from customer)"""
 
 
@@ -244,7 +271,9 @@ def _two_sides(view):
 
 
 @query("", _PAIRS + """
-, t as (select *, case when source = 'odd' then 'UNAVAILABLE' when not enabled then 'OFF' when not coalesce(a_mean >= 0 and a_n > 0, false) or not (b_mean >= 0 and b_n > 0) then 'NO_EVIDENCE' when period is null then 'INCOMPATIBLE' when source = 'snapshot' then 'VALID_PARTIAL' when source = 'published' then 'VALID_DEPLOYMENT' else 'VALID' end as state from s)
+, t as (select *, case when source = 'odd' then 'UNAVAILABLE' when not enabled then 'OFF' when not coalesce(a_mean >= 0 and a_n > 0,
+ false) or not (b_mean >= 0 and b_n > 0) then 'NO_EVIDENCE' when period is null then 'INCOMPATIBLE' when source = 'snapshot' then 'VALID_PARTIAL'
+ when source = 'published' then 'VALID_DEPLOYMENT' else 'VALID' end as state from s)
 select state, count(*) as n, round(sum(case when starts_with(state, 'VALID') then b_mean - a_mean end), 2) as delta from t group by state""")
 def activities_compared(view):
     """States of observed activity in two circles; a difference only where both are evidence."""
@@ -254,7 +283,8 @@ def activities_compared(view):
 
 
 @query("", _PAIRS + """
-, t as (select *, case when not enabled then 'OFF' when not (a_mean is not null and a_n > 0) then 'NO_EVIDENCE' when a_step <> b_step then 'INCOMPATIBLE' else 'VALID' end as state from s)
+, t as (select *, case when not enabled then 'OFF' when not (a_mean is not null and a_n > 0) then 'NO_EVIDENCE'
+ when a_step <> b_step then 'INCOMPATIBLE' else 'VALID' end as state from s)
 select state, count(*) as n, round(sum(case when state = 'VALID' then b_mean - a_mean end), 2) as delta from t group by state""")
 def temperatures_compared(view):
     """States of modelled temperature in two circles; hours that differ are not compared."""
@@ -265,7 +295,8 @@ def temperatures_compared(view):
 @query("poi", _ONE + """
 select metric, case when state = 'WITHHELD_EXTRACTION' then state when a is null then 'N_A' when a = 0 then 'ZERO' else 'VALID' end as a_evidence,
  case when state = 'WITHHELD_EXTRACTION' then state when b is null then 'N_A' when b = 0 then 'ZERO' else 'VALID' end as b_evidence,
- case when state = 'DENSITY' then 'density' when state = 'RAW' then 'count' end as delta_kind, case when state = 'DENSITY' then 'density' when state = 'RAW' then 'raw-counts' end as basis, delta,
+ case when state = 'DENSITY' then 'density' when state = 'RAW' then 'count' end as delta_kind, case when state = 'DENSITY' then 'density'
+ when state = 'RAW' then 'raw-counts' end as basis, delta,
  case when state = 'WITHHELD_EXTRACTION' then 'extraction-bounds' when state = 'UNAVAILABLE' then 'source-incompatible' end as withheld_reason from t1""")
 def comparison_bridge(view):
     """What may be said across two circles, metric by metric, or why not."""
@@ -274,8 +305,10 @@ def comparison_bridge(view):
 
 @query("", """
 with a as (select o_orderstatus as side, o_orderpriority as metric, count(*) as value from orders where o_orderpriority <> '5-LOW' group by 1, 2),
-b as (select o_orderstatus as side, o_orderpriority as metric, count(*) + case when o_orderpriority = '2-HIGH' then 1 else 0 end as value from orders where o_orderpriority <> '1-URGENT' group by 1, 2)
-select coalesce(a.side, b.side) as side, coalesce(a.metric, b.metric) as metric, a.value as was, b.value as "is", case when a.side is null then 'ONLY_SECOND' when b.side is null then 'ONLY_FIRST' when a.value = b.value then 'SAME' else 'CHANGED' end as state
+b as (select o_orderstatus as side, o_orderpriority as metric, count(*) + case when o_orderpriority = '2-HIGH' then 1 else 0 end as value from orders
+ where o_orderpriority <> '1-URGENT' group by 1, 2)
+select coalesce(a.side, b.side) as side, coalesce(a.metric, b.metric) as metric, a.value as was, b.value as "is", case
+ when a.side is null then 'ONLY_SECOND' when b.side is null then 'ONLY_FIRST' when a.value = b.value then 'SAME' else 'CHANGED' end as state
 from a full outer join b on a.side = b.side and a.metric = b.metric""")
 def session_readings(view):
     """Readings of two sessions, side by side."""
@@ -285,8 +318,10 @@ def session_readings(view):
 
 
 @query("area_edges", """
-, a as (select area_id, abs(sum(radians(x1 - x0) * (2 + sin(radians(y0)) + sin(radians(y1))))) * (6371000e0 * 6371000e0 / 2) / 1e6 as km2 from area_edges group by area_id)
-select 'POLYGON' as kind, area_id, round(km2, 6) as km2 from a union all select 'CIRCLE', cast(r_regionkey as int), round(pi() * power(500e0 * (r_regionkey + 1), 2) / 1e6, 6) from region""")
+, a as (select area_id, abs(sum(radians(x1 - x0) * (2 + sin(radians(y0)) + sin(radians(y1))))) * (6371000e0 * 6371000e0 / 2) / 1e6 as km2
+ from area_edges group by area_id)
+select 'POLYGON' as kind, area_id, round(km2, 6) as km2 from a union all select 'CIRCLE', cast(r_regionkey as int),
+ round(pi() * power(500e0 * (r_regionkey + 1), 2) / 1e6, 6) from region""")
 def shape_areas(view):
     """Areas of circles and polygons by one rule for each kind."""
     rings = areas(view).select("area_id", geo.polygon_shape(F.col("edges")).alias("shape"))
@@ -302,13 +337,18 @@ NINE = ("phase_plan", "phase_project", "phase_works", "phase_transfer", "surface
 with m as (select unnest({list(NINE)}) as metric, unnest(range(9)) as m),
 s as (
  select n_nationkey as area, m.metric, m.m,
-  case when (n_nationkey + m) % 7 = 0 then 'NOT_PUBLISHED' when m >= 5 and n_nationkey % 6 = 5 then 'MULTIPLE_ROWS_NOT_COMBINED' when n_nationkey % 11 = 10 then 'NOT_PUBLISHED_IN_EDITION' else 'PUBLISHED' end as state,
-  case (n_nationkey * m) % 3 when 0 then 'aprobado' when 1 then 'aprobado' else 'en curso' end as text, n_nationkey * 100 + m as value, case when n_nationkey % 5 = 4 then 'B' else 'A' end as edition
+  case when (n_nationkey + m) % 7 = 0 then 'NOT_PUBLISHED' when m >= 5 and n_nationkey % 6 = 5 then 'MULTIPLE_ROWS_NOT_COMBINED'
+ when n_nationkey % 11 = 10 then 'NOT_PUBLISHED_IN_EDITION' else 'PUBLISHED' end as state,
+  case (n_nationkey * m) % 3 when 0 then 'aprobado' when 1 then 'aprobado' else 'en curso' end as text, n_nationkey * 100 + m as value, case
+ when n_nationkey % 5 = 4 then 'B' else 'A' end as edition
  from nation cross join m)
 select a.area as pair, a.metric, case when a.m < 4 then 'CATEGORY' else 'QUANTITY' end as kind,
- case when a.m >= 4 then null when a.edition <> b.edition or a.state <> 'PUBLISHED' or b.state <> 'PUBLISHED' then 'INDETERMINATE' when a.text = b.text then 'SAME' else 'DIFFERENT' end as relation,
+ case when a.m >= 4 then null when a.edition <> b.edition or a.state <> 'PUBLISHED' or b.state <> 'PUBLISHED' then 'INDETERMINATE'
+ when a.text = b.text then 'SAME' else 'DIFFERENT' end as relation,
  case when a.m >= 4 and a.edition = b.edition and a.state = 'PUBLISHED' and b.state = 'PUBLISHED' then b.value - a.value end as delta,
- case when a.edition <> b.edition then 'CROSS_EDITION' when a.m < 4 then null when a.state = 'MULTIPLE_ROWS_NOT_COMBINED' or b.state = 'MULTIPLE_ROWS_NOT_COMBINED' then 'MULTIPLE_ROWS_NOT_COMBINED' when a.state <> 'PUBLISHED' or b.state <> 'PUBLISHED' then 'VALUE_NOT_PUBLISHED' end as withheld
+ case when a.edition <> b.edition then 'CROSS_EDITION' when a.m < 4 then null
+ when a.state = 'MULTIPLE_ROWS_NOT_COMBINED' or b.state = 'MULTIPLE_ROWS_NOT_COMBINED' then 'MULTIPLE_ROWS_NOT_COMBINED'
+ when a.state <> 'PUBLISHED' or b.state <> 'PUBLISHED' then 'VALUE_NOT_PUBLISHED' end as withheld
 from s a join s b on b.area = a.area + 1 and b.metric = a.metric""")
 def planning_areas_compared(view):
     """Neighbouring planning areas by nine metrics: four phases that are equal or not, five quantities with a difference."""
@@ -489,7 +529,8 @@ def station_gates(view):
     return quality.gates(s, "stations", rules).union(quality.unique(s, "stations", "station_id"))
 
 
-_FRESH = """(values ('licences', 'published', '2001-08-01', 'day', 'city'), ('areas', 'published', null, null, 'city'), ('monthly', 'snapshot', '2001-08', 'month', 'office'),
+_FRESH = """(values ('licences', 'published', '2001-08-01', 'day', 'city'), ('areas', 'published', null, null, 'city'),
+ ('monthly', 'snapshot', '2001-08', 'month', 'office'),
  ('hotels', 'old', '2001', 'year', 'office'), ('heat', 'unavailable', '2023-08-21', 'day', 'lab'), ('rail', 'live', '2024-13', 'month', ' '))"""
 
 
@@ -512,8 +553,10 @@ def freshness_gates(view):
 
 
 @query("licences monthly", """
-, g as (select 'licences' as source, count(case when family not in ('ACTIVITY', 'BUILDING') then 1 end) = 0 as ok from licences union all select 'licences', true union all select 'monthly', count(case when not coalesce(overnight_stays > 0, false) then 1 end) = 0 from monthly),
-f as (select 'licences' as source, count(*) as rows, min(grant_date) as first, max(grant_date) as last from licences union all select 'monthly', count(*), min(period), max(period) from monthly union all select 'none', 0, null, null)
+, g as (select 'licences' as source, count(case when family not in ('ACTIVITY', 'BUILDING') then 1 end) = 0 as ok from licences
+ union all select 'licences', true union all select 'monthly', count(case when not coalesce(overnight_stays > 0, false) then 1 end) = 0 from monthly),
+f as (select 'licences' as source, count(*) as rows, min(grant_date) as first, max(grant_date) as last from licences
+ union all select 'monthly', count(*), min(period), max(period) from monthly union all select 'none', 0, null, null)
 select f.source, f.rows, f.first, f.last, c.checks, c.failed, case when f.rows = 0 then 'UNAVAILABLE' when c.failed > 0 then 'FAIL' else 'PASS' end as verdict
 from f left join (select source, count(*) as checks, count(case when not ok then 1 end) as failed from g group by 1) c on c.source = f.source""")
 def deployment_manifest(view):

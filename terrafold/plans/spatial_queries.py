@@ -24,7 +24,8 @@ def areas(view):
 
 @query("licences", f"""
 , f(family) as (values ('ACTIVITY'),('BUILDING'),('TEMPORARY'))
-select f.family, count(l.id) as n from f left join (select * from licences where {_FROM_CENTRE} <= 5000 and grant_date between date '1996-01-01' and date '1999-12-31') l on l.family = f.family group by f.family""")
+select f.family, count(l.id) as n from f left join (select * from licences
+ where {_FROM_CENTRE} <= 5000 and grant_date between date '1996-01-01' and date '1999-12-31') l on l.family = f.family group by f.family""")
 def licences_in_lens(view):
     """Licences by family in a circle and a window; each family is listed, none summed over."""
     held = view("licences").where(F.col("grant_date").between(dt.date(1996, 1, 1), dt.date(1999, 12, 31)) & geo.in_circle(F.col("lat"), F.col("lon"), LAT, LON, RADIUS))
@@ -33,7 +34,8 @@ def licences_in_lens(view):
 
 @query("poi area_edges", f"""
 , par as (select p.id, e.area_id, {_CROSSINGS} as crossings from poi p cross join area_edges e group by p.id, e.area_id)
-select a.area_id, count(h.id) as n from (select distinct area_id from area_edges) a left join (select * from par where crossings % 2 = 1) h on h.area_id = a.area_id group by a.area_id""")
+select a.area_id, count(h.id) as n from (select distinct area_id from area_edges) a left join (select * from par
+ where crossings % 2 = 1) h on h.area_id = a.area_id group by a.area_id""")
 def points_by_area(view):
     """Points of each area, areas without one too."""
     hits = spatial.in_areas(view("poi"), areas(view)).groupBy("area_id").agg(F.count("*").alias("n"))
@@ -43,7 +45,8 @@ def points_by_area(view):
 @query("poi area_edges", f"""
 , par as (select p.id, e.area_id, {_CROSSINGS} as crossings from poi p cross join area_edges e group by p.id, e.area_id)
 select p.id, h.area_id, d.district_id, case when h.area_id is null then 'OUTSIDE_ALL' else 'RESOLVED' end as state
-from poi p left join (select id, min(area_id) as area_id from par where crossings % 2 = 1 group by id) h on h.id = p.id left join (select distinct area_id, district_id from area_edges) d on d.area_id = h.area_id""")
+from poi p left join (select id, min(area_id) as area_id from par where crossings % 2 = 1 group by id) h on h.id = p.id left
+ join (select distinct area_id, district_id from area_edges) d on d.area_id = h.area_id""")
 def area_and_district_of_points(view):
     """The area of each point, its district from the area's parent, and a state."""
     at = spatial.locate(view("poi"), areas(view))
@@ -53,7 +56,8 @@ def area_and_district_of_points(view):
 @query("poi area_edges", f"""
 , par as (select p.id, e.area_id, {_CROSSINGS} as crossings from poi p cross join area_edges e where e.area_id % 3 <> 0 group by p.id, e.area_id),
 h as (select id, count(*) as hits from par where crossings % 2 = 1 group by id)
-select case when h.hits is null then 'OUTSIDE_ALL' when h.hits > 1 then 'BOUNDARY_OR_AMBIGUOUS' else 'RESOLVED' end as state, count(*) as n from poi p left join h on h.id = p.id group by 1""")
+select case when h.hits is null then 'OUTSIDE_ALL' when h.hits > 1 then 'BOUNDARY_OR_AMBIGUOUS' else 'RESOLVED' end as state, count(*) as n
+ from poi p left join h on h.id = p.id group by 1""")
 def unique_area_states(view):
     """States of points where several covering areas name none."""
     some = areas(view).where("area_id % 3 <> 0")
@@ -66,10 +70,13 @@ l as (select station_id, area_id, lat, lon, y0, x0, y1, x1,
  acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y0))+cos(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))))) as c0,
  acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y1))+cos(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))))) as c1 from s),
 m as (select station_id, area_id, lat, lon, y0, x0, y1, x1,
- c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax, c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
- c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx, c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
+ c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax,
+ c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
+ c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx,
+ c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
 t as (select *, greatest(0e0, least(1e0, -(ax*(bx-ax)+ay*(b_y-ay))/((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)))) as t from m),
-d as (select station_id, area_id, min(sqrt(power(ax+t*(bx-ax),2)+power(ay+t*(b_y-ay),2))) as dist, sum(case when ((y0>lat)<>(y1>lat)) and lon < (x1-x0)*(lat-y0)/(y1-y0)+x0 then 1 else 0 end) % 2 as inside from t group by station_id, area_id)
+d as (select station_id, area_id, min(sqrt(power(ax+t*(bx-ax),2)+power(ay+t*(b_y-ay),2))) as dist, sum(case
+ when ((y0>lat)<>(y1>lat)) and lon < (x1-x0)*(lat-y0)/(y1-y0)+x0 then 1 else 0 end) % 2 as inside from t group by station_id, area_id)
 select area_id, count(*) as n from d where inside = 1 or dist <= 900 group by area_id""")
 def areas_met_by_circles(view):
     """How many of the stations' circles meet each area."""
@@ -78,12 +85,15 @@ def areas_met_by_circles(view):
 
 
 @query("licences area_edges", """
-, p as (select id, lat, lon, cast(floor((lon+3.889e0)/0.0742e0) as bigint) as gx, cast(floor((lat-40.312e0)/0.0504e0) as bigint) as gy from licences where family = 'BUILDING'),
+, p as (select id, lat, lon, cast(floor((lon+3.889e0)/0.0742e0) as bigint) as gx, cast(floor((lat-40.312e0)/0.0504e0) as bigint) as gy from licences
+ where family = 'BUILDING'),
 s as (select p.id, e.area_id, lat, lon, y0, x0, y1, x1 from p join area_edges e on e.area_id % 5 = p.gx and cast(floor(e.area_id/5e0) as bigint) = p.gy),
 l as (select *, acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y0))+cos(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))))) as c0,
  acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y1))+cos(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))))) as c1 from s),
-m as (select id, area_id, c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax, c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
- c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx, c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
+m as (select id, area_id, c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax,
+ c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
+ c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx,
+ c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
 t as (select *, greatest(0e0, least(1e0, -(ax*(bx-ax)+ay*(b_y-ay))/((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)))) as t from m),
 d as (select id, area_id, min(sqrt(power(ax+t*(bx-ax),2)+power(ay+t*(b_y-ay),2))) as dist from t group by id, area_id)
 select area_id, count(*) as licences, count(case when dist <= 100 then 1 end) as near_boundary, round(min(dist), 3) as nearest_m from d group by area_id""")
@@ -94,8 +104,11 @@ def licences_by_area_near_boundary(view):
 
 
 @query("poi", f"""
-, c as (select count(case when type='museum' then 1 end) museum, count(case when type='info' then 1 end) info, count(case when type='stay' then 1 end) stay, count(case when type='bike' then 1 end) bike, count(case when type='rail' then 1 end) rail from poi where {_FROM_CENTRE} <= 5000)
-select *, bike+rail as mobility, museum+info as tourism, museum+info+stay+bike+rail as total, round((museum+info+stay+bike+rail)/(pi()*25), 6) as per_km2 from c""")
+, c as (select count(case when type='museum' then 1 end) museum, count(case when type='info' then 1 end) info, count(case
+ when type='stay' then 1 end) stay, count(case when type='bike' then 1 end) bike, count(case when type='rail' then 1 end) rail from poi
+ where {_FROM_CENTRE} <= 5000)
+select *, bike+rail as mobility, museum+info as tourism, museum+info+stay+bike+rail as total, round((museum+info+stay+bike+rail)/(pi()*25),
+ 6) as per_km2 from c""")
 def lens_counts(view):
     """Counts in a circle by kind, their sums and the density."""
     held = view("poi").where(geo.in_circle(F.col("lat"), F.col("lon"), LAT, LON, RADIUS))
@@ -105,8 +118,10 @@ def lens_counts(view):
 
 
 @query("stations", f"""
-select round(sum(case when observation_count > 0 then mean_observed*observation_count end)/sum(case when observation_count > 0 then observation_count end), 6) as mean, cast(coalesce(sum(observation_count),0) as bigint) as observations,
- case when sum(observation_count) > 0 then 'OBSERVED' else 'NONE' end as evidence, min(date_min) as first_day, max(date_max) as last_day from stations where {_FROM_CENTRE} <= 5000""")
+select round(sum(case when observation_count > 0 then mean_observed*observation_count end)/sum(case
+ when observation_count > 0 then observation_count end), 6) as mean, cast(coalesce(sum(observation_count),0) as bigint) as observations,
+ case when sum(observation_count) > 0 then 'OBSERVED' else 'NONE' end as evidence, min(date_min) as first_day, max(date_max) as last_day
+ from stations where {_FROM_CENTRE} <= 5000""")
 def weighted_activity(view):
     """Mean activity of the stations in a circle, weighted by their observations, with the days it spans."""
     held = view("stations").where(geo.in_circle(F.col("lat"), F.col("lon"), LAT, LON, RADIUS))
@@ -126,7 +141,8 @@ def nearest_five(view):
 
 
 @query("poi", f"""
-, n as (select a.id, a.type, count(b.id) as n from poi a left join poi b on a.type = b.type and a.id <> b.id and {_HAVERSINE.format(a="a.lat", b="b.lat", c="a.lon", d="b.lon")} <= 800 group by a.id, a.type)
+, n as (select a.id, a.type, count(b.id) as n from poi a left
+ join poi b on a.type = b.type and a.id <> b.id and {_HAVERSINE.format(a="a.lat", b="b.lat", c="a.lon", d="b.lon")} <= 800 group by a.id, a.type)
 , o as (select type, n, row_number() over (partition by type order by n) as rn, count(*) over (partition by type) as k from n)
 select type, max(n) as most, max(case when rn = cast(floor(0.95e0*(k-1)+0.5e0) as bigint)+1 then n end) as p95 from o group by type""")
 def neighbours_of_kind(view):
@@ -140,7 +156,8 @@ def neighbours_of_kind(view):
 
 
 @query("poi", """
-, c as (select id, lat, lon, cast(floor((lon+180e0)/360e0*(256e0*8192e0)/76) as bigint) as cell_x, cast(floor((0.5e0 - ln((1+sin(radians(lat)))/(1-sin(radians(lat))))/(4*pi()))*(256e0*8192e0)/76) as bigint) as cell_y from poi)
+, c as (select id, lat, lon, cast(floor((lon+180e0)/360e0*(256e0*8192e0)/76) as bigint) as cell_x,
+ cast(floor((0.5e0 - ln((1+sin(radians(lat)))/(1-sin(radians(lat))))/(4*pi()))*(256e0*8192e0)/76) as bigint) as cell_y from poi)
 select cell_x, cell_y, count(*) as n, round(avg(lat), 9) as lat, round(avg(lon), 9) as lon, min(id) as first_id from c group by cell_x, cell_y""")
 def pixel_clusters(view):
     """Points on a pixel grid of zoom 13: counts and mean places."""
@@ -150,7 +167,8 @@ def pixel_clusters(view):
 
 @query("area_edges", f"""
 select area_id, count(*) as vertices, min(least(x0,x1)) as west, max(greatest(x0,x1)) as east, round(avg(x0), 9) as ref_lon, round(avg(y0), 9) as ref_lat,
- round(abs(sum(radians(x1-x0)*(2+sin(radians(y0))+sin(radians(y1)))))*6371000e0*6371000e0/2, 2) as area_m2, round(sum({_HAVERSINE.format(a="y0", b="y1", c="x0", d="x1")}), 4) as perimeter_m from area_edges group by area_id""")
+ round(abs(sum(radians(x1-x0)*(2+sin(radians(y0))+sin(radians(y1)))))*6371000e0*6371000e0/2, 2) as area_m2,
+ round(sum({_HAVERSINE.format(a="y0", b="y1", c="x0", d="x1")}), 4) as perimeter_m from area_edges group by area_id""")
 def area_measures(view):
     """Box, reference point, area and perimeter."""
     e = F.col("edges")
@@ -160,10 +178,14 @@ def area_measures(view):
 
 @query("poi area_edges", """
 , s as (select row_number() over (order by area_id, seq) as segment, x0, y0, x1, y1 from area_edges),
-l as (select p.id, s.segment, acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y0))+cos(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))))) as c0,
- acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y1))+cos(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))))) as c1, lat, lon, x0, y0, x1, y1 from poi p cross join s),
-m as (select id, segment, c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax, c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
- c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx, c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
+l as (select p.id, s.segment, acos(greatest(-1e0, least(1e0,
+ sin(radians(lat))*sin(radians(y0))+cos(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))))) as c0,
+ acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y1))+cos(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))))) as c1, lat, lon, x0,
+ y0, x1, y1 from poi p cross join s),
+m as (select id, segment, c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax,
+ c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
+ c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx,
+ c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
 t as (select *, greatest(0e0, least(1e0, -(ax*(bx-ax)+ay*(b_y-ay))/((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)))) as t from m),
 d as (select id, segment, round(sqrt(power(ax+t*(bx-ax),2)+power(ay+t*(b_y-ay),2)), 3) as d from t)
 select id, min(d) as offset_m from d where d <= 1500 group by id""")
@@ -193,7 +215,8 @@ def label_places(view):
 @query("poi", f"""
 , d as (select id, {_FROM_CENTRE} as d from poi)
 , t(threshold) as (values (2000), (4000), (8000))
-select threshold, count(case when d <= threshold then 1 end) as inside_straight, count(case when d*1.3e0 <= threshold then 1 end) as inside_network, count(case when d <= threshold and d*1.3e0 > threshold then 1 end) as false_inclusions from d cross join t group by threshold""")
+select threshold, count(case when d <= threshold then 1 end) as inside_straight, count(case when d*1.3e0 <= threshold then 1 end) as inside_network,
+ count(case when d <= threshold and d*1.3e0 > threshold then 1 end) as false_inclusions from d cross join t group by threshold""")
 def threshold_confusion(view):
     """Points inside by the straight line and by a longer way, and those only inside by the first."""
     d = view("poi").select(geo.haversine_m(LAT, LON, F.col("lat"), F.col("lon")).alias("d")).withColumn("threshold", F.explode(F.array(*map(F.lit, (2000, 4000, 8000)))))
