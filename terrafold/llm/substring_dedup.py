@@ -76,22 +76,49 @@ class Runs:
 
 
 def positions(hashes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each phrase: whether a smaller document holds it, the smallest that does, and where it stands there first.
+    """(phrases that a smaller document holds, in order; the smallest that does; where it stands there first).
 
     Entries of one document stand in order of place.
     """
     order = np.argsort(hashes, kind="stable")
-    ordered, holder = hashes[order], doc[order]
+    ordered = hashes[order]
     begins = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+    del ordered
+    holder, counts = doc[order], np.diff(np.append(begins, len(order)))
     least = np.minimum.reduceat(holder, begins)
+    group = np.repeat(np.arange(len(begins), dtype=np.int32), counts)
+    late = np.flatnonzero(holder > least[group])
     own = np.flatnonzero(holder == least[group])
     first = own[np.flatnonzero(np.diff(group[own], prepend=-1))]
-    held, source, start = np.empty(len(order), bool), np.empty(len(order), np.int64), np.empty(len(order), np.int32)
-    held[order] = holder > least[group]
-    source[order] = least[group]
-    start[order] = place[order][first][group]
-    return held, source, start
+    held, which = order[late], group[late]
+    back = np.argsort(held)
+    return held[back], least[which][back], place[order[first]][which][back]
+
+
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, a byte each where they are below 255: 255 stands for itself and what follows."""
+    more = values // 255
+    out = np.full(int(more.sum()) + len(values), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = values % 255
+    return out.tobytes()
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    each = np.frombuffer(data, np.uint8)
+    sums = np.cumsum(each, dtype=np.int64)[each < 255]
+    return np.diff(sums, prepend=0)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids as the smallest of them and the distances from it, in 4 bytes where those fit."""
+    base = int(ids.min())
+    off = ids.astype(np.uint64) - np.uint64(base % (1 << 64))
+    return np.int64(base).tobytes() + (off.astype(np.uint32) if int(off.max()) < 1 << 32 else off).tobytes()
+
+
+def unpacked_ids(data: bytes, n: int) -> np.ndarray:
+    off = np.frombuffer(data, np.uint32 if len(data) == 8 + 4 * n else np.uint64, offset=8).astype(np.uint64)
+    return (off + np.frombuffer(data, np.uint64, 1)).view(np.int64)
 
 
 _SENT = pa.schema([("block", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("steps", pa.binary()), ("phrases", pa.binary()), *((f"run_{name}", pa.binary()) for name, _ in _PARTS)])
@@ -123,9 +150,9 @@ def _send(window: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 hashes, place = words.windows(window)[start], (start - words.first[text]).astype(np.int32)
                 text = text + at
                 held, source, begin = positions(hashes, ids[text], place)
-                near = Runs(keys[text[held]], place[held], np.ones(int(held.sum()), np.int32), source[held], begin[held]).joined()
+                near = Runs(keys[text[held]], place[held], np.ones(len(held), np.int32), source, begin).joined()
                 rows = [(-1 - box, *[None] * 5, *packed) for box, *packed in _mail(near, blocks)]
-                kept = np.flatnonzero(~held)
+                kept = np.delete(np.arange(len(hashes)), held)
                 block = bucket_of(hashes[kept], blocks)
                 order = np.argsort(block, kind="stable")
                 kept, block = kept[order], block[order]
@@ -141,12 +168,11 @@ def _packed_phrases(at: np.ndarray, hashes, text, place, ids, keys) -> tuple[byt
     """(documents, their row keys where those differ, phrases of each, steps from place to place, hashes) of some phrases of a chunk."""
     own, where = text[at], place[at]
     begins = np.flatnonzero(np.diff(own, prepend=-1))
-    counts = np.diff(np.append(begins, len(own))).astype(np.int32)
+    counts = np.diff(np.append(begins, len(own)))
     steps = np.diff(where, prepend=0)
     steps[begins] = where[begins]
     docs, names = ids[own[begins]], keys[own[begins]]
-    kind = np.uint16 if steps.max() < 1 << 16 else np.uint32
-    return docs.tobytes(), b"" if (docs == names).all() else names.tobytes(), counts.tobytes(), steps.astype(kind).tobytes(), hashes[at].tobytes()
+    return packed_ids(docs), b"" if (docs == names).all() else packed_ids(names), packed_numbers(counts), packed_numbers(steps), hashes[at].tobytes()
 
 
 def _answer(blocks: int) -> Callable[[pa.Table], pa.Table]:
@@ -155,21 +181,22 @@ def _answer(blocks: int) -> Callable[[pa.Table], pa.Table]:
         block = table.column("block")[0].as_py()
         if block < 0:
             return pa.table([pa.array([-1 - block] * table.num_rows, pa.int32()), *(table.column(f"run_{name}") for name, _ in _PARTS)], schema=_MAIL)
-        docs, keys, counts, places, hashes = [], [], [], [], []
-        for d, k, n, s, p in zip(*(table.column(c).to_pylist() for c in ("docs", "keys", "counts", "steps", "phrases")), strict=True):
-            docs.append(np.frombuffer(d, np.int64))
-            keys.append(np.frombuffer(k or d, np.int64))
-            counts.append(np.frombuffer(n, np.int32))
-            hashes.append(np.frombuffer(p, np.uint64))
-            steps = np.frombuffer(s, np.uint16 if len(s) == 2 * len(hashes[-1]) else np.uint32).astype(np.int64)
+        docs, keys, counts, places = [], [], [], []
+        for d, k, n, s in zip(*(table.column(c).to_pylist() for c in ("docs", "keys", "counts", "steps")), strict=True):
+            counts.append(own := unpacked_numbers(n))
+            docs.append(unpacked_ids(d, len(own)))
+            keys.append(unpacked_ids(k, len(own)) if k else docs[-1])
+            steps = unpacked_numbers(s)
             sums = np.cumsum(steps)
-            begins = np.cumsum(counts[-1]) - counts[-1]
-            places.append((sums - np.repeat(sums[begins] - steps[begins], counts[-1])).astype(np.int32))
-        n = np.concatenate(counts)
-        doc, place = np.repeat(np.concatenate(docs), n), np.concatenate(places)
-        held, source, start = positions(np.concatenate(hashes), doc, place)
-        key = np.repeat(np.concatenate(keys), n)[held]
-        rows = list(_mail(Runs(key, place[held], np.ones(len(key), np.int32), source[held], start[held]), blocks))
+            begins = np.cumsum(own) - own
+            places.append((sums - np.repeat(sums[begins] - steps[begins], own)).astype(np.int32))
+        ids, rank = np.unique(np.concatenate(docs), return_inverse=True)
+        n, place = np.concatenate(counts), np.concatenate(places)
+        del docs, counts, places
+        hashes = np.frombuffer(b"".join(table.column("phrases").to_pylist()), np.uint64)
+        held, source, start = positions(hashes, np.repeat(rank.astype(np.int32), n), place)
+        key = np.concatenate(keys)[np.searchsorted(np.cumsum(n), held, "right")]
+        rows = list(_mail(Runs(key, place[held], np.ones(len(key), np.int32), ids[source], start), blocks))
         return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MAIL)], schema=_MAIL)
 
     return answer

@@ -102,6 +102,15 @@ def test_factors_name_the_words_and_where_they_stand(documents, rows):
     assert some > 10
 
 
+def test_numbers_and_ids_there_and_back():
+    from terrafold.llm.substring_dedup import packed_ids, packed_numbers, unpacked_ids, unpacked_numbers
+
+    for values in ([], [0], [254, 255, 256, 509, 510, 511, 0, 70_000, 1]):
+        assert unpacked_numbers(packed_numbers(np.array(values, np.int64))).tolist() == values
+    for values in ([5], [-3, 9, 2], [-(1 << 63), 0, (1 << 63) - 1], [1 << 40, (1 << 40) + (1 << 32) - 1]):
+        assert unpacked_ids(packed_ids(np.array(values, np.int64)), len(values)).tolist() == values
+
+
 def test_a_phrase_across_two_factors_goes_too(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words[:30])), (2, " ".join(words[18:48])), (3, " ".join(words[:48]))]
