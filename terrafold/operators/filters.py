@@ -73,6 +73,18 @@ def way_retention(tags: str, with_private: bool = False) -> tuple[Column, Column
     return reason == "KEPT", reason
 
 
+def publishable(df: DataFrame, count: str, above: int = 30) -> DataFrame:
+    """Rows whose count may be published: above the threshold, never at it."""
+    return df.where(F.col(count) > above)
+
+
+def licence_family(kind: Column, families: dict[str, str]) -> Column:
+    """The family of a licence by a closed table of kinds; a kind that is not in it fails the job, and a missing one stays missing."""
+    table = F.create_map(*(F.lit(x) for kv in families.items() for x in kv))
+    found = F.try_element_at(table, kind)
+    return F.when(kind.isNull() | found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("unknown kind of licence: "), kind)))
+
+
 def must_be(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """The rows unchanged; the job fails on a value outside the closed set."""
     ok = F.col(column).isin(*allowed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.runtime import materialise
@@ -69,6 +69,13 @@ def distances(edges: DataFrame, seeds: DataFrame, most_m: float | None = None) -
     return least(whole)
 
 
+def largest_first(edges: DataFrame, most: int) -> DataFrame:
+    """(place, component, nodes): the parts with the most nodes, ties by the smaller name."""
+    sizes = components(edges).groupBy("component").agg(F.count("*").alias("nodes"))
+    top = sizes.orderBy(F.desc("nodes"), "component").limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("nodes"), "component")))  # so few rows are left
+
+
 def lengths(edges: DataFrame) -> DataFrame:
     """One row: the total length, that of the part with the most of it, and its share."""
     per = edges.join(components(edges).withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.sum("length_m").alias("length_m"))

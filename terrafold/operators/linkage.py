@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.text import cosmetic_key
+from terrafold.functions.text import cosmetic_key, street_key
 from terrafold.sources.sinks import fingerprint
 
 
@@ -151,3 +151,10 @@ def routes_agree(a: DataFrame, b: DataFrame) -> DataFrame:
     codes = points.groupBy("code").agg(F.min("a_name").alias("a_name"), F.min("b_name").alias("b_name"), F.sum(F.abs("n")).alias("vertices_apart"), F.max("high").alias("high"), F.min("low").alias("low"))
     state = F.when(F.col("low") > 0, "ONLY_A").when(F.col("high") < 0, "ONLY_B").when(~F.col("a_name").eqNullSafe(F.col("b_name")), "NAME_DIFFERS").when(F.col("vertices_apart") > 0, "VERTICES_DIFFER").otherwise("EQUIVALENT")
     return codes.select("code", "vertices_apart", state.alias("state"))
+
+
+def by_street(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """Rows of two sides whose street names are equal once folded and without leading particles; no name is only near another."""
+    key = street_key(F.col(name))
+    a, b = left.withColumn("street", key).drop(name), right.withColumn("street", key).drop(name)
+    return a.where("street <> ''").join(b, "street")

@@ -64,6 +64,20 @@ def locate(points: DataFrame, areas: DataFrame, key: str = "id", first: bool = T
     return points.join(hits, key, "left").withColumn("state", state).withColumn("area_id", F.when(F.col("state") == "RESOLVED", F.col("area_id"))).drop("hits")
 
 
+def locate_in_hierarchy(points: DataFrame, areas: DataFrame, parent: str, whole: str, key: str = "id") -> DataFrame:
+    """(key, area_id, parent, whole, via) of points with a column ``hint``, an area they may lie in.
+
+    The hint decides where the point does lie there (HINT), else the smallest area that
+    holds it (SEARCH), else none (NONE); a point outside all areas has no parent, and the
+    whole is named for those inside only.
+    """
+    hits = in_areas(points.select(key, "lat", "lon", "hint"), areas).groupBy(key).agg(F.max(F.when(F.col("area_id") == F.col("hint"), F.col("area_id"))).alias("hinted"), F.min("area_id").alias("found"))
+    chosen = hits.select(key, F.coalesce("hinted", "found").alias("area_id"), F.when(F.col("hinted").isNotNull(), "HINT").otherwise("SEARCH").alias("via"))
+    named = chosen.join(areas.select("area_id", parent), "area_id")
+    out = points.select(key).join(named, key, "left")
+    return out.select(key, "area_id", parent, F.when(F.col("area_id").isNotNull(), whole).alias("whole"), F.coalesce("via", F.lit("NONE")).alias("via"))
+
+
 def circles_meet_areas(circles: DataFrame, areas: DataFrame, radius_m: float, key: str = "id", size: float = CELL) -> DataFrame:
     """(key, area_id): the centre lies in the area, or an edge comes within the radius. Membership, never a share."""
     reach = radius_m / geo.METRES_PER_DEGREE

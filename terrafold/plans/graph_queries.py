@@ -98,6 +98,17 @@ def network_distances(view):
     return graph.distances(_segments(view), seeds)
 
 
+@query("", """
+with e as (
+ select c_custkey + 1000 as node, c_nationkey - c_nationkey % 5 as component from customer
+ union all select n_nationkey, n_nationkey - n_nationkey % 5 from nation),
+s as (select cast(component as bigint) as component, count(*) as nodes from e group by 1)
+select row_number() over (order by nodes desc, component) as place, component, nodes from s qualify place <= 3""")
+def largest_parts(view):
+    """The three largest connected parts, largest first."""
+    return graph.largest_first(_segments(view), 3).withColumn("place", F.col("place").cast("long"))
+
+
 @query("poi", """
 , p as (select 'published' as tier, 0 as pr, * from poi where type in ('museum', 'stay')), s as (select 'snapshot' as tier, 1 as pr, * from poi
  where type in ('museum', 'info')), u as (select * from p union all select * from s), b as (select type, min(pr) as pr from u group by type)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, text
-from terrafold.operators import aggregates, compare, filters, linkage, quality
+from terrafold.operators import aggregates, compare, filters, linkage, quality, spatial
 from terrafold.plans.registry import query
 from terrafold.plans.spatial_queries import _FROM_CENTRE, LAT, LON, areas
 from terrafold.plans.table_queries import _ONE, _sides
@@ -188,6 +188,52 @@ def reprojection_deviation(view):
     return a.join(b, ["area_id", "seq"]).groupBy("area_id").agg(F.round(F.max(apart), 6).alias("deviation_m"), F.count("*").alias("vertices"))
 
 
+@query("poi area_edges", """
+, b as (
+ select area_id, district_id, min(least(x0, x1)) as w, max(greatest(x0, x1)) as e, min(least(y0, y1)) as s, max(greatest(y0, y1)) as n
+ from area_edges group by 1, 2),
+p as (select id, case when id % 9 = 0 then lon + 1 else lon end as lon, lat, case when id % 2 = 0 then id % 25 end as hint from poi),
+h as (select p.id, b.area_id, b.district_id from p join b on lon > w and lon < e and lat > s and lat < n)
+select p.id, h.area_id, h.district_id, case when h.area_id is not null then 'city' end as whole,
+ case when h.area_id is null then 'NONE' when h.area_id = p.hint then 'HINT' else 'SEARCH' end as via
+from p left join h on h.id = p.id""")
+def places_in_hierarchy(view):
+    """Area, district and city of points that come with a hint, and whether the hint held."""
+    far = F.when(F.col("id") % 9 == 0, F.col("lon") + 1).otherwise(F.col("lon"))
+    points = view("poi").select("id", "lat", far.alias("lon"), F.when(F.col("id") % 2 == 0, F.col("id") % 25).alias("hint"))
+    return spatial.locate_in_hierarchy(points, areas(view), "district_id", "city")
+
+
+@query("", """
+with a as (select s_suppkey as a, case s_suppkey % 3 when 0 then 'DE LA ' when 1 then 'El ' else '' end || 'Vía ' || s_nationkey as name from supplier),
+b as (select n_nationkey as b, 'de vIa ' || n_nationkey as name from nation)
+select 'VIA ' || b.b as street, a.a, b.b from a join supplier on s_suppkey = a.a join b on b.b = s_nationkey""")
+def joined_by_street(view):
+    """Two sides by their street names, folded and without particles."""
+    n = F.col("s_suppkey") % 3
+    name = F.concat(F.when(n == 0, "DE LA ").when(n == 1, "El ").otherwise(""), F.lit("Vía "), F.col("s_nationkey").cast("string"))
+    left = view("supplier").select(F.col("s_suppkey").alias("a"), name.alias("name"))
+    right = view("nation").select(F.col("n_nationkey").alias("b"), F.concat(F.lit("de vIa "), F.col("n_nationkey").cast("string")).alias("name"))
+    return linkage.by_street(left, right, "name")
+
+
+@query("", """
+with o as (select l_returnflag as flag, l_suppkey as origin, count(*) as n from lineitem group by 1, 2)
+select flag, origin, n from o where n > 30""")
+def published_counts(view):
+    """Counts above the publication threshold."""
+    o = view("lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("origin")).agg(F.count("*").alias("n"))
+    return filters.publishable(o, "n")
+
+
+@query("", """
+select case o_orderstatus when 'F' then 'BUILDING' when 'O' then 'ACTIVITY' else 'TEMPORARY' end as family, count(*) as n from orders group by 1""")
+def licence_families(view):
+    """Licences by the closed table of families."""
+    family = filters.licence_family(F.col("o_orderstatus"), {"F": "BUILDING", "O": "ACTIVITY", "P": "TEMPORARY"})
+    return view("orders").groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+
+
 # ---- states
 
 
