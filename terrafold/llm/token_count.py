@@ -43,7 +43,7 @@ OVERLAP_CHARS = 256
 GUARD = 64
 MAX_TOKENS = 2048
 #: Bytes of words whose counts a worker keeps.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 192 << 20
 
 _BLANK = re.compile("[^ \t\n\r\x0b\x0c]+")
 #: What str.split takes for white space beyond ASCII's six.
