@@ -90,3 +90,39 @@ kept as (
 select t.doc_id, cast(len(digits) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed,
  coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(digits, 2 * coalesce(last, 0) + 1))) as kept_sha256
 from t left join kept using (doc_id)"""
+
+AUDIT = r"""
+with marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+d as (
+ select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
+ from documents),
+m as (
+ select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+  case when len(ws) < 100 then 1 else 0 end
+  + case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 2 else 0 end
+  + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) then 4 else 0 end
+  + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+  + case when coalesce(doc_id, 9223372036854775807) > min(doc_id) over (partition by text) then 16 else 0 end as mask
+ from d left join marks using (doc_id)),
+cell as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+letter(l) as (select unnest(['A', 'B', 'C', 'D', 'E'])),
+orders as (
+ select a.l || b.l || c.l || d.l || e.l as filter_order from letter a, letter b, letter c, letter d, letter e
+ where a.l not in (b.l, c.l, d.l, e.l) and b.l not in (c.l, d.l, e.l) and c.l not in (d.l, e.l) and d.l <> e.l),
+step as (
+ select filter_order, i as step, 1 << (ascii(filter_order[i]) - 65) as own,
+  list_sum([1 << (ascii(filter_order[j]) - 65) for j in range(1, i)]) as before
+ from orders, unnest(range(1, 6)) u(i)),
+x as (
+ select part, filter_order, step, own, n, good, toxic, mask,
+  mask & own <> 0 as fails, mask & cast(coalesce(before, 0) as integer) <> 0 as gone from cell, step),
+y as (
+ select part, filter_order, step, own, coalesce(sum(n) filter (not fails and not gone), 0) as kept,
+  coalesce(sum(n) filter (fails and not gone), 0) as removed, coalesce(sum(n) filter (fails and gone), 0) as redundant,
+  coalesce(sum(n) filter (mask = own), 0) as unique_fails, coalesce(sum(good) filter (fails and not gone), 0) as good_lost,
+  coalesce(sum(toxic) filter (fails and not gone), 0) as toxic_lost
+ from x group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+ cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+ cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from y"""

@@ -6,6 +6,7 @@ from terrafold.llm import oracles
 from terrafold.llm.bpe import op4_forced_boundary_bpe
 from terrafold.llm.bwt_dedup import op8_bwt_merge_dedup
 from terrafold.llm.decontaminate import op7_suffix_automaton
+from terrafold.llm.filter_audit import op11_filter_interaction_audit
 from terrafold.llm.imatch import op9_imatch_fingerprints
 from terrafold.llm.jaccard_join import op5_heavy_light_jaccard
 from terrafold.llm.kd_sharding import op2_kd_sharding
@@ -25,6 +26,7 @@ _ALL = (
     op8_bwt_merge_dedup,
     op9_imatch_fingerprints,
     op10_factorization_toxicity,
+    op11_filter_interaction_audit,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -33,4 +35,5 @@ SQL: dict[str, str] = {
     "op6_substring_dedup": oracles.SUBSTRING,
     "op7_suffix_automaton": oracles.CONTAMINATION,
     "op8_bwt_merge_dedup": oracles.BYTES,
+    "op11_filter_interaction_audit": oracles.AUDIT,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -203,3 +204,40 @@ def bootstrap(scanned, rounds, least_seeds, least_pattern, least_instance, smoot
         d: {(m["kind"], m["start"], m["end"]) for m in mentions if (not m["seed"] or m["kind"] == 4) and confidence.get((m["kind"], m["instance"]), 0) >= least_instance and any((m["kind"], p) in trusted for p in m["patterns"])}
         for d, mentions in scanned.items()
     }
+
+
+def audit(docs, labels):
+    """docs: (doc_id, text, lang); labels: (doc_id, quality, toxic); every document walks through every order."""
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    least = {}
+    for d, text, _ in docs:
+        if d is not None:
+            least[text or ""] = min(d, least.get(text or "", d))
+    parts = defaultdict(list)
+    for d, text, lang in docs:
+        t = text or ""
+        w = plain_words(t)
+        first = least.get(t)
+        fails = {
+            "A": len(w) < 100,
+            "B": 100 * len(set(w)) < 80 * len(w),
+            "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)),
+            "E": first is not None and d != first,
+        }
+        parts[lang or ""].append((fails, d in good, d in toxic))
+    out = []
+    for part, own in parts.items():
+        shapley, rows = defaultdict(int), []
+        for order in itertools.permutations("ABCDE"):
+            left = own
+            for step, f in enumerate(order, 1):
+                here = [x for x in left if x[0][f]]
+                redundant = sum(x[0][f] for x in own) - len(here)
+                unique = sum(x[0][f] and sum(x[0].values()) == 1 for x in own)
+                left = [x for x in left if not x[0][f]]
+                shapley[f] += len(here)
+                rows.append((f, "".join(order), step, len(left), len(here), redundant, unique, sum(x[1] for x in here), sum(x[2] for x in here)))
+        out += [(part, *r[1:], shapley[r[0]]) for r in rows]
+    return out
