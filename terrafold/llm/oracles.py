@@ -126,3 +126,18 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, own) as bigint) as shapley
 from y"""
+
+LINES = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (
+ select doc_id, i, ls[i] as line,
+  translate(regexp_replace(regexp_replace(ls[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+ from d, unnest(range(1, len(ls) + 1)) u(i)),
+many as (
+ select k, max(doc_id) as last from l where length(k) >= 40 group by k
+ having count(distinct doc_id) >= 5),
+mark as (select l.*, last is not null and doc_id <> last as gone from l left join many using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from mark group by doc_id"""

@@ -10,6 +10,7 @@ from terrafold.llm.filter_audit import op11_filter_interaction_audit
 from terrafold.llm.imatch import op9_imatch_fingerprints
 from terrafold.llm.jaccard_join import op5_heavy_light_jaccard
 from terrafold.llm.kd_sharding import op2_kd_sharding
+from terrafold.llm.line_dedup import op12_bloom_line_dedup
 from terrafold.llm.pii import op3_bootstrapped_pii
 from terrafold.llm.substring_dedup import op6_substring_dedup
 from terrafold.llm.token_count import op1_overlap_token_counts
@@ -27,6 +28,7 @@ _ALL = (
     op9_imatch_fingerprints,
     op10_factorization_toxicity,
     op11_filter_interaction_audit,
+    op12_bloom_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -36,4 +38,5 @@ SQL: dict[str, str] = {
     "op7_suffix_automaton": oracles.CONTAMINATION,
     "op8_bwt_merge_dedup": oracles.BYTES,
     "op11_filter_interaction_audit": oracles.AUDIT,
+    "op12_bloom_line_dedup": oracles.LINES,
 }

@@ -241,3 +241,21 @@ def audit(docs, labels):
                 rows.append((f, "".join(order), step, len(left), len(here), redundant, unique, sum(x[1] for x in here), sum(x[2] for x in here)))
         out += [(part, *r[1:], shapley[r[0]]) for r in rows]
     return out
+
+
+def line_dedup(docs, least_chars=40, least_documents=5):
+    """docs: (doc_id, text), each row a document."""
+    white = " \t\n\x0b\x0c\r"
+    key = lambda line: lower_ascii(line.strip(white))
+    holders = defaultdict(list)
+    for d, text in docs:
+        for k in {key(x) for x in (text or "").split("\n")}:
+            if len(k) >= least_chars:
+                holders[k].append(d)
+    last = {k: max(named) for k, own in holders.items() if len(own) >= least_documents and (named := [d for d in own if d is not None])}
+    out = []
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if last.get(key(x), d) == d]
+        out.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    return out
