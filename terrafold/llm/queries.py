@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from terrafold.llm import oracles
+from terrafold.llm.alignment import op13_bitset_alignment
 from terrafold.llm.bpe import op4_forced_boundary_bpe
 from terrafold.llm.bwt_dedup import op8_bwt_merge_dedup
 from terrafold.llm.decontaminate import op7_suffix_automaton
@@ -29,6 +30,7 @@ _ALL = (
     op10_factorization_toxicity,
     op11_filter_interaction_audit,
     op12_bloom_line_dedup,
+    op13_bitset_alignment,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

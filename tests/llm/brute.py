@@ -259,3 +259,40 @@ def line_dedup(docs, least_chars=40, least_documents=5):
         kept = [x for x in lines if last.get(key(x), d) == d]
         out.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return out
+
+
+def alignment(docs, a_ids, a_bytes, b_ids, b_bytes):
+    """docs: (doc_id, text); the ids of a text and the bytes of an id, for both; every pair of tokens is looked at by its byte range."""
+    out, pair_counts, rows = [], defaultdict(int), []
+    for d, text in docs:
+        full = (" " + (text or "")).encode()
+        a, b = (a_ids(text), b_ids(text)) if text else ([], [])
+        if not text or b"".join(map(a_bytes, a)) != full or b"".join(map(b_bytes, b)) != full:
+            rows.append((d, [], [], [], []))
+            continue
+        ends_a, ends_b = list(itertools.accumulate(len(a_bytes(i)) for i in a)), list(itertools.accumulate(len(b_bytes(i)) for i in b))
+        shared = sorted(set(ends_a) & set(ends_b))
+        place_a, place_b = {e: i + 1 for i, e in enumerate(ends_a)}, {e: i + 1 for i, e in enumerate(ends_b)}
+        groups, i, j = [], 0, 0
+        for cut in shared:
+            groups.append((a[i : place_a[cut]], b[j : place_b[cut]]))
+            i, j = place_a[cut], place_b[cut]
+        links, j = [], 0
+        for i, (id_a, end) in enumerate(zip(a, ends_a)):
+            start = ends_a[i - 1] if i else 0
+            while ends_b[j] <= start:
+                j += 1
+            k = j
+            while k < len(b) and (ends_b[k - 1] if k else 0) < end:
+                links.append((id_a, b[k]))
+                k += 1
+        for p in links:
+            pair_counts[p] += 1
+        rows.append((d, a, b, groups, links))
+    best = defaultdict(int)
+    for (_, b), n in pair_counts.items():
+        best[b] = max(best[b], n)
+    for d, a, b, groups, links in rows:
+        spelled = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((d, len(a), len(b), len(groups), len(links), sum(pair_counts[p] == best[p[1]] for p in links), sum(pair_counts[p] for p in links), sha(spelled) if a else ""))
+    return out
