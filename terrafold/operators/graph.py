@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.runtime import materialise
+from terrafold.runtime import materialise, release
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -21,13 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = materialise(both_ways(edges).select("a", "b").distinct(), "links")
     labels = materialise(links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    written = labels
     while True:
         near = links.join(labels.select(F.col("node").alias("b"), F.col("component").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         low = labels.join(near, "node").select("node", F.least("component", "seen").alias("low"), "component")
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("onward"))
         new = materialise(low.join(jump, "low").select("node", F.least("low", "onward").alias("component"), (F.least("low", "onward") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("node", "component")
+        release(written)
+        written, labels = new, new.select("node", "component")
         if new.where("moved").isEmpty():
+            release(links)
             return labels
 
 
@@ -61,12 +64,21 @@ def distances(edges: DataFrame, seeds: DataFrame, most_m: float | None = None) -
         frontier = materialise(better.select("node", "distance_m", "label"), "frontier")
         since.append(frontier)
         if len(since) == SWEEP:
-            for part in since:
-                whole = whole.unionByName(part)
-            whole, since = materialise(least(whole), "distances"), []
+            # the frontier itself is still read
+            whole, since = _folded(whole, since[:-1], least), since[-1:]
+    out = _folded(whole, since, least)
+    release(links)
+    return out
+
+
+def _folded(whole: DataFrame, since: list[DataFrame], least) -> DataFrame:
+    """One written table of the best of all; the others go."""
+    every = whole
     for part in since:
-        whole = whole.unionByName(part)
-    return least(whole)
+        every = every.unionByName(part)
+    out = materialise(least(every), "distances")
+    release(whole, *since)
+    return out
 
 
 def largest_first(edges: DataFrame, most: int) -> DataFrame:

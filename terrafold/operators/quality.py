@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators import rings
+
 
 def gates(df: DataFrame, source: str, rules: dict[str, Column]) -> DataFrame:
     """Counts, in one pass, the rows for which a rule is not true; an unknown rule value is a failure."""
@@ -25,16 +27,8 @@ def references(df: DataFrame, dim: DataFrame, source: str, key: str) -> DataFram
 
 
 def valid_rings(edges: DataFrame) -> DataFrame:
-    """For each area: whether its edges close, are four or more, and cross no other edge of it."""
-    closed = edges.select("area_id", F.struct("x0", "y0").alias("p"), F.lit(1).alias("s")).union(edges.select("area_id", F.struct("x1", "y1"), F.lit(-1)))
-    loose = closed.groupBy("area_id", "p").agg(F.sum("s").alias("s")).groupBy("area_id").agg(F.count_if(F.col("s") != 0).alias("loose"))
-    a = edges.select("area_id", *(F.col(c).alias(f"a_{c}") for c in ("seq", "x0", "y0", "x1", "y1")))
-    b = edges.select("area_id", *(F.col(c).alias(f"b_{c}") for c in ("seq", "x0", "y0", "x1", "y1")))
-    turn = lambda p, q, r: (F.col(f"{q[0]}_x{q[1]}") - F.col(f"{p[0]}_x{p[1]}")) * (F.col(f"{r[0]}_y{r[1]}") - F.col(f"{p[0]}_y{p[1]}")) - (F.col(f"{q[0]}_y{q[1]}") - F.col(f"{p[0]}_y{p[1]}")) * (F.col(f"{r[0]}_x{r[1]}") - F.col(f"{p[0]}_x{p[1]}"))
-    cut = (turn("a0", "a1", "b0") * turn("a0", "a1", "b1") < 0) & (turn("b0", "b1", "a0") * turn("b0", "b1", "a1") < 0)
-    crossing = a.join(b, "area_id").where(F.col("a_seq") < F.col("b_seq")).groupBy("area_id").agg(F.count_if(cut).alias("crossings"))
-    n = edges.groupBy("area_id").agg(F.count("*").alias("edges"))
-    return n.join(loose, "area_id").join(crossing, "area_id", "left").select("area_id", "edges", "loose", F.coalesce("crossings", F.lit(0)).alias("crossings"), ((F.col("edges") >= 3) & (F.col("loose") == 0) & (F.coalesce("crossings", F.lit(0)) == 0)).alias("valid"))
+    """For each area: whether its rings close, are three edges or more, and meet themselves nowhere else."""
+    return rings.validity(edges)
 
 
 def sums_match(parts: DataFrame, wholes: DataFrame, source: str, key: str, value: str) -> DataFrame:

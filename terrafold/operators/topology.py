@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.operators import spatial
+from terrafold.operators import rings, spatial
+from terrafold.runtime import materialise
 
 
 def union_boundary(edges: DataFrame, group: str, digits: int = 9) -> DataFrame:
@@ -90,42 +91,55 @@ def overlay(left: DataFrame, right: DataFrame, size: float = spatial.CELL) -> Da
     horizontal slabs at every vertex and every crossing of two edges. Inside a slab no
     edges cross, so the common width changes evenly and its value at half height,
     times the height, is the slab's common area.
+
+    Slabs are rows, and an edge is sent to those that it passes; a task holds the edges of
+    one slab, however many a pair has. Crossings are found by cells that fit the pair.
     """
-    other = right.select(F.col("area_id").alias("other_id"), *(F.col(c).alias(f"o_{c}") for c in ("west", "east", "south", "north")), F.col("edges").alias("o_edges"))
+    sides = ("west", "east", "south", "north")
+    other = right.select(F.col("area_id").alias("other_id"), *(F.col(c).alias(f"o_{c}") for c in sides))
     there = spatial.covering(right, size).select(F.col("area_id").alias("other_id"), "cell_x", "cell_y")
     pairs = spatial.covering(left, size).join(there, ["cell_x", "cell_y"]).select("area_id", "other_id").distinct()
-    met = pairs.join(left.select("area_id", "west", "east", "south", "north", "edges"), "area_id").join(other, "other_id").where("west < o_east and o_west < east and south < o_north and o_south < north")
-    ys = F.array_sort(F.array_distinct(F.concat(_levels("edges"), _levels("o_edges"), _crossing_levels("edges", "o_edges"))))
-    slabs = met.withColumn("ys", ys).withColumn("slab", F.explode(F.arrays_zip(F.slice("ys", 1, F.greatest(F.size("ys") - 1, F.lit(0))).alias("low"), F.slice("ys", 2, F.size("ys")).alias("high"))))
-    inside = slabs.where("slab.low >= greatest(south, o_south) and slab.high <= least(north, o_north)").withColumn("y", (F.col("slab.low") + F.col("slab.high")) / 2)
-    width = _common_width(F.concat(_cuts("edges", 1), _cuts("o_edges", 2)))
-    common = inside.groupBy("area_id", "other_id").agg(F.sum(width * (F.col("slab.high") - F.col("slab.low"))).alias("overlap")).where("overlap > 0")
+    met = pairs.join(left.select("area_id", *sides), "area_id").join(other, "other_id").where("west < o_east and o_west < east and south < o_north and o_south < north")
+    box = materialise(met.select("area_id", "other_id", F.greatest("south", "o_south").alias("low"), F.least("north", "o_north").alias("high")), "pairs")
+    pair = ["area_id", "other_id"]
+    both = materialise(_active(box, left, "area_id", 1).unionByName(_active(box, right, "other_id", 2)), "active")
+    ends = both.select(*pair, F.explode(F.array("y0", "y1")).alias("y")).unionByName(_crossing_heights(both, pair))
+    levels = ends.unionByName(box.select(*pair, F.explode(F.array("low", "high")).alias("y"))).join(box, pair).where("y between low and high").select(*pair, "y").distinct()
+    w = Window.partitionBy(*pair).orderBy("y")
+    placed = materialise(levels.select(*pair, "y", F.row_number().over(w).alias("place"), F.lead("y").over(w).alias("above")), "levels")
+    # an edge's part inside the box begins and ends on levels of its own
+    clip = lambda y: F.greatest("low", F.least("high", y))
+    clipped = both.join(box, pair).withColumns({"from_y": clip(F.least("y0", "y1")), "to_y": clip(F.greatest("y0", "y1"))}).where("from_y < to_y")
+    at = lambda name, y: placed.select(*pair, F.col("y").alias(y), F.col("place").alias(name))
+    spans = clipped.join(at("first", "from_y"), [*pair, "from_y"]).join(at("last", "to_y"), [*pair, "to_y"])
+    passed = spans.select(*pair, "which", "x0", "y0", "x1", "y1", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("place"))
+    slabs = placed.where("above is not null").select(*pair, "place", ((F.col("y") + F.col("above")) / 2).alias("y"), (F.col("above") - F.col("y")).alias("height"))
+    x = (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
+    cuts = passed.join(slabs, [*pair, "place"]).groupBy(*pair, "place", "height").agg(F.collect_list(F.struct(x.alias("x"), "which")).alias("cuts"))
+    common = cuts.groupBy(*pair).agg(F.sum(_common_width(F.col("cuts")) * F.col("height")).alias("overlap")).where("overlap > 0")
     whole = left.select("area_id", _planar_area("edges").alias("whole"))
     return common.join(whole, "area_id").select("area_id", "other_id", "overlap", (F.col("overlap") / F.col("whole")).alias("share"))
 
 
-def _levels(edges: str) -> Column:
-    return F.transform(edges, lambda e: e["y0"])
-
-
-def _crossing_levels(edges: str, others: str) -> Column:
-    """Heights at which an edge of one area crosses an edge of the other."""
-
-    def level(e: Column, f: Column) -> Column:
-        ex, ey, fx, fy = e["x1"] - e["x0"], e["y1"] - e["y0"], f["x1"] - f["x0"], f["y1"] - f["y0"]
-        turn = ex * fy - ey * fx
-        t = F.try_divide((f["x0"] - e["x0"]) * fy - (f["y0"] - e["y0"]) * fx, turn)
-        u = F.try_divide((f["x0"] - e["x0"]) * ey - (f["y0"] - e["y0"]) * ex, turn)
-        return F.when(t.between(0, 1) & u.between(0, 1), e["y0"] + t * ey)
-
-    each = F.flatten(F.transform(edges, lambda e: F.transform(F.col(others), lambda f: level(e, f))))
-    return F.filter(each, lambda y: y.isNotNull())
-
-
-def _cuts(edges: str, which: int) -> Column:
-    """(x, which) where the line at height y meets the edges."""
-    hit = F.filter(edges, lambda e: (e["y0"] > F.col("y")) != (e["y1"] > F.col("y")))
-    return F.transform(hit, lambda e: F.struct(((e["x1"] - e["x0"]) * (F.col("y") - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]).alias("x"), F.lit(which).alias("which")))
+def _active(box: DataFrame, areas: DataFrame, key: str, which: int) -> DataFrame:
+    """The edges of one side of each pair that reach into the heights both have."""
+    edges = areas.select(F.col("area_id").alias(key), F.explode("edges").alias("e")).select(key, "e.*").where("y0 <> y1")
+    reach = box.join(edges, key).where("least(y0, y1) < high and greatest(y0, y1) > low")
+    return reach.select("area_id", "other_id", F.lit(which).alias("which"), "x0", "y0", "x1", "y1")
+
+
+def _crossing_heights(both: DataFrame, pair: list[str]) -> DataFrame:
+    """(pair, y) where an edge of one area crosses an edge of the other."""
+    there = rings.laid(both.join(rings.fitting_size(both, *pair), pair), F.col("size")).drop("size")
+    cell = [*pair, "cell_x", "cell_y"]
+    ends = ("x0", "y0", "x1", "y1")
+    e = there.where("which = 1").select(*cell, *ends)
+    f = there.where("which = 2").select(*cell, *(F.col(c).alias(f"f_{c}") for c in ends))
+    ex, ey, fx, fy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("f_x1") - F.col("f_x0"), F.col("f_y1") - F.col("f_y0")
+    turn = ex * fy - ey * fx
+    t = F.try_divide((F.col("f_x0") - F.col("x0")) * fy - (F.col("f_y0") - F.col("y0")) * fx, turn)
+    u = F.try_divide((F.col("f_x0") - F.col("x0")) * ey - (F.col("f_y0") - F.col("y0")) * ex, turn)
+    return e.join(f, cell).where(t.between(0, 1) & u.between(0, 1)).select(*pair, (F.col("y0") + t * ey).alias("y"))
 
 
 def _common_width(cuts: Column) -> Column:

@@ -56,6 +56,34 @@ select c_custkey as ndp, v.version as version,
  case when v.version = 1 then null else date '1998-07-01' end as valid_from,
  case when v.version = 1 and c_custkey % 10 <> 0 then date '1998-06-30' else null end as valid_to
 from customer cross join (values (1),(2)) v(version) where c_custkey % 4 = 0""",
+    "brick_edges": """
+with b as (
+ select c_custkey as brick, cast(floor((c_custkey-1)/100e0) as int) as band, ((c_custkey-1)%20)*2e0 + cast(floor((c_custkey-1)/20e0) as int)%2 as x,
+  cast(floor((c_custkey-1)/20e0) as int)*1e0 as y
+ from customer where c_custkey%13 <> 0)
+select brick, band, k.seq as seq, x + k.x0 as x0, y + k.y0 as y0, x + k.x1 as x1, y + k.y1 as y1
+from b cross join (values (0,0,0,2,0),(1,2,0,2,1),(2,2,1,0,1),(3,0,1,0,0)) k(seq,x0,y0,x1,y1)""",
+    "shape_edges": """
+with o as (
+ select c_custkey as area_id, c_custkey%7 as kind, (c_custkey%1000)*10e0 as ox, cast(floor(c_custkey/1000e0) as int)*10e0 as oy from customer)
+select o.area_id, o.kind, k.ring, k.seq, ox + k.x0 as x0, oy + k.y0 as y0, ox + k.x1 as x1, oy + k.y1 as y1
+from o join (values
+ (0,0,0,0,0,4,0),(0,0,1,4,0,4,4),(0,0,2,4,4,0,4),(0,0,3,0,4,0,0),
+ (1,0,0,0,0,4,4),(1,0,1,4,4,4,0),(1,0,2,4,0,0,4),(1,0,3,0,4,0,0),
+ (2,0,0,0,0,4,0),(2,0,1,4,0,4,4),(2,0,2,4,4,0,4),
+ (3,0,0,0,0,4,0),(3,0,1,4,0,4,4),(3,0,2,4,4,2,0),(3,0,3,2,0,0,4),(3,0,4,0,4,0,0),
+ (4,0,0,0,0,2,2),(4,0,1,2,2,4,0),(4,0,2,4,0,4,4),(4,0,3,4,4,2,2),(4,0,4,2,2,0,4),(4,0,5,0,4,0,0),
+ (5,0,0,0,0,6,0),(5,0,1,6,0,6,6),(5,0,2,6,6,4,6),(5,0,3,4,6,4,4),(5,0,4,4,4,0,4),(5,0,5,0,4,0,0),
+ (5,1,6,1,1,1,2),(5,1,7,1,2,2,2),(5,1,8,2,2,2,1),(5,1,9,2,1,1,1),
+ (5,2,10,0,5,2,5),(5,2,11,2,5,2,7),(5,2,12,2,7,0,7),(5,2,13,0,7,0,5),
+ (6,0,0,0,0,4,0),(6,0,1,4,0,4,4),(6,0,2,4,4,4,6),(6,0,3,4,6,4,4),(6,0,4,4,4,0,4),(6,0,5,0,4,0,0)) k(kind,ring,seq,x0,y0,x1,y1) on k.kind = o.kind""",
+    "street_segments": """
+select n_nationkey*2 + k.way as segment, n_nationkey%5 + 6*cast(floor(n_nationkey/5e0) as int) as a,
+ n_nationkey%5 + k.dx + 6*(cast(floor(n_nationkey/5e0) as int) + k.dy) as b, (n_nationkey%5)*100e0 as x0, cast(floor(n_nationkey/5e0) as int)*100e0 as y0,
+ (n_nationkey%5 + k.dx)*100e0 as x1, (cast(floor(n_nationkey/5e0) as int) + k.dy)*100e0 as y1
+from nation cross join (values (0,1,0),(1,0,1)) k(way,dx,dy)""",
+    "doors": """
+select c_custkey as id, cast((c_custkey*7919)%521 as double) as x, cast((c_custkey*104729)%499 as double) as y from customer""",
     "stations": """
 select user_id as station_id,
  -3.889e0 + (cast((user_id*7919)%10007 as double)+0.5e0)/10007e0*0.371e0 as lon,
@@ -79,4 +107,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(names: str, body: str) -> str:
     """SQL text whose views stand before it as common table expressions."""
     parts = ", ".join(f"{n} as ({VIEWS[n]})" for n in names.split())
-    return f"with {parts} {body}"
+    recursive = "recursive " if " reach r " in body or " using key " in body else ""
+    return f"with {recursive}{parts} {body}"
