@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from math import cos, radians
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
+from terrafold.operators import nearest as nearest_rows
 from terrafold.runtime import materialise
 
 #: Degrees of a cell; an area is found in every cell that its box touches.
@@ -91,18 +90,21 @@ def circles_meet_areas(circles: DataFrame, areas: DataFrame, radius_m: float, ke
     return pairs.where(meets).select(key, "area_id")
 
 
-def within(left: DataFrame, right: DataFrame, radius_m: float, lat_limit: float = 60.0) -> DataFrame:
+def within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of left and right rows at most radius_m apart, with distance_m. right: r_lat, r_lon and other columns of its own.
 
-    The right side is spread over its cell and the eight around it; cells are as
-    wide as the radius at lat_limit, the farthest latitude of the data.
+    Cells lie in bands of latitude, each with as many around the earth as its latitude
+    allows, so the radius reaches into the next cell at most, at any latitude and across the
+    180th meridian. The right side is spread over its cell and the ones around it.
     """
-    size_y = radius_m / geo.METRES_PER_DEGREE
-    size_x = size_y / max(0.01, cos(radians(lat_limit)))
-    here = left.withColumn("cell_x", _cell(F.col("lon"), size_x)).withColumn("cell_y", _cell(F.col("lat"), size_y))
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    there = right.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-    there = there.withColumn("cell_x", _cell(F.col("r_lon"), size_x) + F.col("dx")).withColumn("cell_y", _cell(F.col("r_lat"), size_y) + F.col("dy")).drop("dx", "dy")
+    band, height = nearest_rows.band_cells("lat", "lon", radius_m)
+    turn = lambda c: F.pmod(F.col(c) + 180.0, F.lit(360.0)) / 360.0
+    in_round = lambda c, n: F.least(n - 1, F.floor(turn(c) * n))
+    around = lambda b: nearest_rows.cells_round(b, height, radius_m)
+    here = left.withColumn("cell_y", band).withColumn("cell_x", in_round("lon", around(F.col("cell_y"))))
+    own, _ = nearest_rows.band_cells("r_lat", "r_lon", radius_m)
+    there = right.withColumn("cell_y", F.explode(F.array(own - 1, own, own + 1))).withColumn("_n", around(F.col("cell_y"))).withColumn("_at", in_round("r_lon", F.col("_n")))
+    there = there.withColumn("cell_x", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("_at") + i, F.col("_n")) for i in (-1, 0, 1)))))).drop("_n", "_at")
     met = here.join(there, ["cell_x", "cell_y"]).withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return met.where(F.col("distance_m") <= radius_m).drop("cell_x", "cell_y")
 
@@ -113,29 +115,17 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius_m: float, key: str
     return within(left, right, radius_m).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: No two places are further apart.
-HALF_ROUND_M = 20_020_000.0
-
-
 def nearest_anywhere(left: DataFrame, right: DataFrame, k: int, start_m: float, key: str, tie: str) -> DataFrame:
     """The k nearest right rows of each left row, however far; fewer only where the right side has fewer.
 
-    Rows that find k within a radius are done, since nothing outside is nearer; the others
-    try again with a radius four times as large, so few meet many.
+    Rows that find k within start_m are done, since nothing outside is nearer; the others
+    search the tree of ``nearest.k_nearest``.
     """
-    out, rest, radius = None, left, start_m
-    while True:
-        last = radius >= HALF_ROUND_M
-        found = materialise(nearest(rest, right, k, radius, key, tie), "nearest")
-        full = found.groupBy(key).count().where(F.lit(last) | (F.col("count") == k)).select(key)
-        done = found.join(full, key, "left_semi")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            return out
-        rest = materialise(rest.join(full, key, "left_anti"), "unanswered")
-        if rest.isEmpty():
-            return out
-        radius = min(4 * radius, HALF_ROUND_M)
+    found = materialise(nearest(left, right, k, start_m, key, tie), "nearest")
+    full = found.groupBy(key).count().where(F.col("count") == k).select(key)
+    rest = materialise(left.join(full, key, "left_anti"), "unanswered")
+    done = found.join(full, key, "left_semi")
+    return done if rest.isEmpty() else done.unionByName(nearest_rows.k_nearest(rest, right, k, key, tie))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, radius_m: float, key: str = "id", size: float = 0.01) -> DataFrame:

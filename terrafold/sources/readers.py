@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -195,9 +197,34 @@ def series_by_code(observations: DataFrame, codes: dict[str, str], operation: st
     found = wanted.join(observations, "code", "left")
     twice = F.count("*").over(Window.partitionBy("code", "period")) > 1
     wrong = F.when(F.col("period").isNull(), "no observations").when(F.col("operation") != operation, "another operation").when(twice, "a period twice")
-    checked = found.withColumn("wrong", wrong)
-    failed = F.raise_error(F.concat("code", F.lit(": "), "wrong"))
-    return checked.select("code", "name", "period", F.when(F.col("wrong").isNull(), F.col("value")).otherwise(failed).alias("value"))
+    # a filter holds for the row, whichever of its columns are read later
+    failed = F.raise_error(F.concat("code", F.lit(": "), "wrong")).cast("boolean")
+    checked = found.withColumn("wrong", wrong).where(F.when(F.col("wrong").isNull(), True).otherwise(failed))
+    return checked.select("code", "name", "period", "value")
+
+
+def header_key(name: str | None) -> str:
+    """A column's name without accents, case and marks: words joined by one underscore."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name or "") if not unicodedata.combining(c))
+    return re.sub(r"[^a-z0-9]+", "_", plain.casefold()).strip("_")
+
+
+def with_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """One column for each name: the first of its published names, in the order given, that holds more than blanks; null where none does.
+
+    Published names meet by ``header_key``, so accents, case and marks of an edition do not
+    matter. A file that has none of a column's names fails before a row is read.
+    """
+    there: dict[str, list[str]] = {}
+    for c in df.columns:
+        there.setdefault(header_key(c), []).append(c)
+    out = []
+    for name, published in aliases.items():
+        own = [c for a in published for c in there.get(header_key(a), ())]
+        if not own:
+            raise ValueError(f"no column is called {' or '.join(published)}; there are {', '.join(df.columns)}")
+        out.append(F.coalesce(*(F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in dict.fromkeys(own))).alias(name))
+    return df.select(*out)
 
 
 def pinned_edition(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,10 +8,12 @@ import time
 import uuid
 from html import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import canonical
+from terrafold.operators.guardrails import Guard
+from terrafold.runtime import materialise
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -47,14 +49,60 @@ def write_pinned(df: DataFrame, folder: str, pinned: dict[str, int], by: str) ->
 
 
 def export_points(df: DataFrame, folder: str, lat: str = "lat", lon: str = "lon") -> tuple[str, str]:
-    """(CSV, line-by-line GeoJSON features) of a table with a place for each row, each written whole or not at all."""
+    """(CSV, line-by-line GeoJSON features) of a table with a place for each row; one rename brings both into place, or neither is there."""
     rest = [c for c in df.columns if c not in (lat, lon)]
     geometry = F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates")))
     features = df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*rest).alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
-    table, shapes = (f"{folder.rstrip('/')}/{name}" for name in ("table", "features"))
-    df.write.option("header", True).csv(table)
-    features.write.text(shapes)
-    return table, shapes
+    root, version = folder.rstrip("/"), uuid.uuid4().hex
+    fresh, place = f"{root}/_writing-{version}", f"{root}/version={version}"
+    df.write.option("header", True).csv(f"{fresh}/table")
+    features.write.text(f"{fresh}/features")
+    where, files = _hadoop(df.sparkSession, fresh)
+    files.rename(where, _hadoop(df.sparkSession, place)[0])
+    return f"{place}/table", f"{place}/features"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_ordered(df: DataFrame, folder: str, keys: list[Column], parts: int | None = None) -> str:
+    """Writes rows as lines of canonical JSON in a total order: the files one behind another are the same bytes, whatever the number of parts.
+
+    Rows are dealt by ranges of the keys and sorted within; rows with equal keys stand in the
+    order of their text. A key can carry a collation, as ``in_collation`` gives it.
+    """
+    order = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    lines = df.select(canonical(*df.columns).alias("value"), *order)
+    names = [*(f"k{i}" for i in range(len(keys))), "value"]
+    path = f"{folder.rstrip('/')}/version={uuid.uuid4().hex}"
+    dealt = lines.repartitionByRange(parts, *names) if parts else lines.repartitionByRange(*names)
+    dealt.sortWithinPartitions(*names).select("value").write.text(path)
+    return path
+
+
+def in_collation(column: Column | str, collation: str = "UNICODE") -> Column:
+    """A text key in the order that people of any language expect, accents and case last."""
+    return F.collate(column, collation)
+
+
+def numbered(df: DataFrame, keys: list[str], name: str = "position") -> DataFrame:
+    """Rows with their place from 0 on in the total order of the keys, without a window over all rows.
+
+    Rows are dealt by ranges, sorted and written; a place is the row's own in its part and the
+    number of rows in the parts before, which are as few numbers as there are parts.
+    """
+    sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = materialise(sorted_rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    counts = sorted((r["_part"], r["n"]) for r in at.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    before, total = {}, 0
+    for part, n in counts:
+        before[part], total = total, total + n
+    if not before:
+        return at.select(*df.columns, F.lit(0).cast("long").alias(name))
+    starts = df.sparkSession.createDataFrame(sorted(before.items()), "_part int, _start long")
+    return at.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
 
 
 def canonical_json(value) -> str:
@@ -72,27 +120,58 @@ def write_versioned(df: DataFrame, folder: str, fmt: str = "parquet", *partition
 
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
     """Writes several tables as one version: all of them, then a pointer that is renamed into place. Readers see the old set or the new one."""
-    spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
-    root = folder.rstrip("/")
     for name, df in tables.items():
-        df.write.parquet(f"{root}/version={version}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fresh = path(f"{root}/_pointer-{version}")
-    files = fresh.getFileSystem(spark._jsc.hadoopConfiguration())
+        df.write.parquet(f"{folder.rstrip('/')}/version={version}/{name}")
+    _point(next(iter(tables.values())).sparkSession, folder.rstrip("/"), version)
+    return version
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    fresh, files = _hadoop(spark, f"{root}/_pointer-{version}")
     out = files.create(fresh, True)
     out.write(version.encode())
     out.close()
-    files.mkdirs(path(f"{root}/pointers"))
-    files.rename(fresh, path(f"{root}/pointers/{time.time_ns():020d}-{version}"))
-    return version
+    files.mkdirs(_hadoop(spark, f"{root}/pointers")[0])
+    files.rename(fresh, _hadoop(spark, f"{root}/pointers/{time.time_ns():020d}-{version}")[0])
+
+
+class Refused(ValueError):
+    """A version that guardrails kept from being published, with what they measured."""
+
+    def __init__(self, report: list[dict]) -> None:
+        super().__init__("; ".join(f"{r['table']} {r['guard']}: {r['value']} is not between {r['least']} and {r['most']}" for r in report if r["state"] == "FAIL"))
+        self.report = report
+
+
+def publish_guarded(tables: dict[str, DataFrame], folder: str, guards: dict[str, list[Guard]]) -> tuple[str, list[dict]]:
+    """Publishes as ``publish`` does if every guardrail of every table holds; (version, report).
+
+    What a guardrail measures is observed while its table is written, so no table is read
+    twice. Where one that blocks does not hold, ``Refused`` is raised, the version that was
+    written is deleted and readers keep the one before. Others only warn.
+    """
+    spark, root, version = next(iter(tables.values())).sparkSession, folder.rstrip("/"), uuid.uuid4().hex
+    report = []
+    for name, df in tables.items():
+        own = guards.get(name, [])
+        seen = Observation(f"{name}-{version}")
+        watched = df.observe(seen, *(g.measure.alias(f"g{i}") for i, g in enumerate(own))) if own else df
+        watched.write.parquet(f"{root}/version={version}/{name}")
+        report += [{"table": name, **g.judged(seen.get[f"g{i}"])} for i, g in enumerate(own)]
+    if any(r["state"] == "FAIL" for r in report):
+        where, files = _hadoop(spark, f"{root}/version={version}")
+        files.delete(where, True)
+        raise Refused(report)
+    _point(spark, root, version)
+    return version, report
 
 
 def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the version that was published last."""
     root = folder.rstrip("/")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/pointers")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    path, files = _hadoop(spark, f"{root}/pointers")
+    found = files.listStatus(path)
     last = max(f.getPath().getName() for f in found)
     return spark.read.parquet(f"{root}/version={last.rpartition('-')[2]}/{name}")
 
