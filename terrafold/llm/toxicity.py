@@ -17,7 +17,8 @@ Weights are then fitted beside them once more, and last without being held back.
 
 The fit uses at most MAX_TRAINING_ROWS labelled rows, those of the smallest
 hashes of their id, and of these as many as have MAX_TRAINING_TERMS distinct terms
-in all; the rows held out (crc32 of the id as text is 0 modulo 5) are never among
+in all; a labelled row of more than MAX_ROW_TERMS terms is no example, so that no single
+text takes the place of many; the rows held out (crc32 of the id as text is 0 modulo 5) are never among
 them. Only the text is an input of a score.
 
 Cases: null is the empty text, scored by the bias alone; a term counts once
@@ -41,11 +42,12 @@ from pyspark.sql import types as T
 
 from terrafold.llm import kernel
 from terrafold.llm.rows import texts_of
-from terrafold.runtime import ship
+from terrafold.runtime import materialise, ship
 
 TERM_CELLS = 1 << 22
 MAX_TRAINING_ROWS = 20_000
 MAX_TRAINING_TERMS = 2_000_000
+MAX_ROW_TERMS = 50_000
 #: Labelled rows that must hold a cell.
 LEAST_ROWS = 5
 FACTORS = 4
@@ -210,18 +212,21 @@ def sample_of(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_
     """(toxic, cells): the labelled rows that a fit may use, with their distinct cells packed.
 
     Rows stand in order of the hash of their id; ``most`` rows are taken, then those
-    whose terms, added up in that order, come to ``most_terms`` at most.
+    whose terms, added up in that order, come to ``most_terms`` at most. Rows of more than
+    MAX_ROW_TERMS, or than fit at all, are passed over, and the next ones take their place.
     """
     ship(documents.sparkSession)
     marks = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     # at most ``most`` ids and labels: they go to each task
     wanted = texts_of(documents).join(F.broadcast(marks.orderBy(*order).limit(most)), "doc_id")
-    rows = wanted.select("doc_id", "toxic", "text").mapInArrow(_features, "doc_id long, toxic int, n long, cells binary")
-    # rows that share an id can still be more than ``most``; so few are left that one task can add up their sizes
-    rows = rows.orderBy(*order, F.xxhash64("cells")).limit(most)
-    before = Window.orderBy(*order, F.xxhash64("cells")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("so_far", F.sum("n").over(before)).where(F.col("so_far") <= most_terms).select("toxic", "cells")
+    found = wanted.select("doc_id", "toxic", "text").mapInArrow(_features, "doc_id long, toxic int, n long, cells binary").where(F.col("n") <= min(MAX_ROW_TERMS, most_terms))
+    rows = materialise(found.withColumns({"row": F.monotonically_increasing_id(), "same": F.xxhash64("cells")}), "features")
+    # rows that share an id can still be more than ``most``; only their sizes come to one task
+    sizes = rows.select("row", "doc_id", "toxic", "same", "n").orderBy(*order, "same", "row").limit(most)
+    before = Window.orderBy(*order, "same", "row").rowsBetween(Window.unboundedPreceding, 0)
+    taken = sizes.withColumns({"so_far": F.sum("n").over(before), "place": F.row_number().over(before)}).where(F.col("so_far") <= most_terms)
+    return rows.select("row", "cells", "toxic").join(F.broadcast(taken.select("row", "place")), "row").orderBy("place").select("toxic", "cells")
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> FactorizationMachine:

@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terrafold.llm import pii, toxicity
@@ -360,6 +361,15 @@ def test_the_sample_is_bounded_and_keeps_held_out_rows_apart(spark):
     assert toxicity.sample_of(docs, marks, most_terms=30).count() == 10
 
 
+def test_a_huge_labelled_row_does_not_crowd_out_the_rest(spark):
+    huge = " ".join(f"u{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, huge if i % 7 == 0 else f"w{i} x{i}") for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    free = marks.where(~held_out() & (F.col("doc_id") % 7 != 0)).count()
+    assert toxicity.sample_of(docs, marks).count() == free
+    assert toxicity.sample_of(docs, marks, most_terms=2 * free).count() == free
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = scored(docs.select("doc_id", "text"), train(docs, labels)).join(labels, "doc_id").where(held_out()).select("score", "toxic").collect()
