@@ -16,8 +16,10 @@ from pyspark.sql.types import StructType
 
 
 class PageRange(InputPartition):
-    def __init__(self, first: int, last: int) -> None:
-        self.first, self.last = first, last
+    """Pages first to last - 1 of so many; size and stated are what the first reply says of a page and of all, where that was asked."""
+
+    def __init__(self, first: int, last: int, pages: int, size: int | None = None, stated: int | None = None) -> None:
+        self.first, self.last, self.pages, self.size, self.stated = first, last, pages, size, stated
 
 
 #: How a value of each type is read; anything else stays text.
@@ -41,36 +43,35 @@ class PagedReader(DataSourceReader):
         self.equal: dict[str, str] = {}
         self.where: list[str] = []
         self.box = [-180.0, -90.0, 180.0, 90.0]
-        self.size: int | None = None
-        self.stated: int | None = None
 
     def partitions(self) -> list[PageRange]:
-        if self.pages is None:
+        pages, size, stated = self.pages, None, None
+        if pages is None:
             first = self._page(0)
             if self.total is None:
                 raise ValueError("give the number of pages, or the key of the total")
-            self.size, self.stated = len(first[self.key]), int(first[self.total])
-            self.pages = -(-self.stated // max(1, self.size)) if self.size else 1
-            if self.stated and not self.size:
-                raise ValueError(f"page 0 is empty before the total of {self.stated} is reached")
-        return [PageRange(a, min(a + self.per, self.pages)) for a in range(0, self.pages, self.per)]
+            size, stated = len(first[self.key]), int(first[self.total])
+            if stated and not size:
+                raise ValueError(f"page 0 is empty before the total of {stated} is reached")
+            pages = -(-stated // size) if size else 1
+        return [PageRange(a, min(a + self.per, pages), pages, size, stated) for a in range(0, pages, self.per)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         for page in range(partition.first, partition.last):
             reply = self._page(page)
             records = reply[self.key]
-            self._check(page, reply, len(records))
+            self._check(page, reply, len(records), partition)
             for record in records:
                 yield tuple(None if (v := record.get(n)) is None else read(v) for n, read in zip(self.names, self.read_as, strict=True))
 
-    def _check(self, page: int, reply: dict, found: int) -> None:
+    def _check(self, page: int, reply: dict, found: int, of: PageRange) -> None:
         """Every page but the last is full, and the last has the rest; so all pages together have the total."""
-        if self.total is not None and not found and self.pages is not None and page < self.pages - 1:
+        if self.total is not None and not found and page < of.pages - 1:
             raise ValueError(f"page {page} is empty before the total of {reply[self.total]} is reached")
-        if self.stated is not None and self.size:
-            due = min(self.size, self.stated - page * self.size)
-            if found != due or int(reply[self.total]) != self.stated:
-                raise ValueError(f"page {page} has {found} of {due} records, and the total is {reply[self.total]} after {self.stated}")
+        if of.stated is not None and of.size:
+            due = min(of.size, of.stated - page * of.size)
+            if found != due or int(reply[self.total]) != of.stated:
+                raise ValueError(f"page {page} has {found} of {due} records, and the total is {reply[self.total]} after {of.stated}")
 
     def _page(self, page: int) -> dict:
         where = "&".join([*(self.forms["equals"].format(column=quote(k), value=quote(v)) for k, v in sorted(self.equal.items())), *self.where])
