@@ -97,6 +97,12 @@ def surfaces_for(surfaces: DataFrame, mode: str, flags: tuple[str, ...] = ()) ->
     return surfaces.where((F.col("mode") == mode) & shown)
 
 
+def surfaces_of_sessions(sessions: DataFrame, surfaces: DataFrame, key: str = "id") -> DataFrame:
+    """(key, surface) of all sessions (key, mode, flags): those of a session's mode, and of these the ones with a flag where it is set."""
+    met = sessions.select(key, "mode", "flags").join(surfaces.select("surface", "mode", "flag"), "mode")
+    return met.where(F.col("flag").isNull() | F.array_contains("flags", F.col("flag"))).select(key, "surface")
+
+
 #: Degrees of the felt temperature from which a class holds.
 THERMAL_CLASSES = ((46.0, "EXTREME"), (38.0, "VERY_STRONG"), (32.0, "STRONG"))
 

@@ -81,6 +81,27 @@ def complete_edition(records: DataFrame, edition: str, key: str, canonical: Data
     return per.join(F.broadcast(n)).where("rows = wanted and keys = wanted and known = wanted").agg(F.max(edition).alias(edition))
 
 
+def resolved_inputs(requests: DataFrame, manifest: DataFrame, records: DataFrame, families: tuple[str, ...], key: str = "id", newest: str = "current") -> DataFrame:
+    """(key, code, edition, state, inputs) of requests (key, code, wanted: map of family -> snapshot, or null).
+
+    A request without a map takes the newest edition. Else every family, and no other, must be
+    asked for by the snapshot that one and the same edition has; anything else resolves to
+    nothing: NO_SUCH_EDITION, or UNKNOWN_CODE for a code that no edition has. A code that the
+    edition itself lacks is ABSENT_FROM_EDITION, which is an answer. manifest: family, edition,
+    snapshot; records: family, edition, code, value.
+    """
+    held = manifest.where(F.col("family").isin(*families)).groupBy("edition").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("family", "snapshot")))).alias("held"))
+    whole = held.where(F.size("held") == len(families)).select("edition", F.to_json("held").alias("selector"))
+    ordered = F.map_from_entries(F.sort_array(F.map_entries("wanted")))
+    asked = requests.select(key, "code", F.col("wanted").isNull().alias("open"), F.when(F.col("wanted").isNotNull(), F.to_json(ordered)).alias("selector"))
+    matched = asked.join(whole, "selector", "left").select(key, "code", F.when(F.col("open"), newest).otherwise(F.col("edition")).alias("edition"))
+    own = records.where(F.col("family").isin(*families)).groupBy("edition", "code").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("family", "value")))).alias("inputs"))
+    known = records.select("code").distinct().withColumn("known", F.lit(True))
+    found = matched.join(known, "code", "left").join(own, ["edition", "code"], "left")
+    state = F.when(F.col("known").isNull(), "UNKNOWN_CODE").when(F.col("edition").isNull(), "NO_SUCH_EDITION").when(F.col("inputs").isNull(), "ABSENT_FROM_EDITION").otherwise("RESOLVED")
+    return found.select(key, "code", "edition", state.alias("state"), F.when(state == "RESOLVED", F.col("inputs")).alias("inputs"))
+
+
 def universes(**sides: DataFrame) -> DataFrame:
     """One row for each id, with a flag for each set: differences and intersections are filters on it."""
     marked = [df.select("id", *(F.lit(n == name).alias(n) for n in sides)) for name, df in sides.items()]

@@ -84,6 +84,23 @@ select n_nationkey*2 + k.way as segment, n_nationkey%5 + 6*cast(floor(n_nationke
 from nation cross join (values (0,1,0),(1,0,1)) k(way,dx,dy)""",
     "doors": """
 select c_custkey as id, cast((c_custkey*7919)%521 as double) as x, cast((c_custkey*104729)%499 as double) as y from customer""",
+    "sources": """
+with m as (select o_custkey, max(cast(o_orderdate as date)) as last from orders group by o_custkey),
+o as (
+ select c_custkey as o_custkey, coalesce(last, case when c_custkey%89 <> 0 then date '1992-01-01' end) as last
+ from customer left join m on m.o_custkey = c_custkey)
+select c_custkey as source, case c_custkey%4 when 0 then 'city ' when 1 then 'area ' when 2 then 'register ' else 'circle ' end || cast(c_nationkey as string) as scope, last,
+ case when c_custkey%23 = 0 then 'old' when last is null then 'unavailable' when c_custkey%29 = 0 then 'unavailable' when c_custkey%3 = 0 then 'published'
+  when c_custkey%3 = 1 then 'snapshot' else 'live' end as state,
+ case when last is null or c_custkey%41 = 0 then null when c_custkey%31 = 0 then cast(last as string) when c_custkey%5 < 2 then cast(last as string)
+  when c_custkey%5 < 4 then substr(cast(last as string), 1, 7) else substr(cast(last as string), 1, 4) end as reference_date,
+ case when last is null then null when c_custkey%43 = 0 then 'week' when c_custkey%5 < 2 then 'day' when c_custkey%5 < 4 then 'month' else 'year' end as precision,
+ case when c_custkey%37 = 0 then ' ' else c_name end as publisher
+from customer left join o on o_custkey = c_custkey""",
+    "edition_manifest": """
+select f.family, e.edition, f.family || ':' || e.edition || ':' || cast(count(*) as string) as snapshot
+from editions x cross join (values ('state'), ('quantity')) f(family) cross join (values ('previous'), ('current')) e(edition)
+where x.edition = e.edition group by f.family, e.edition""",
     "stations": """
 select user_id as station_id,
  -3.889e0 + (cast((user_id*7919)%10007 as double)+0.5e0)/10007e0*0.371e0 as lon,
@@ -98,6 +115,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or one of the views over them."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    for inner in VIEWS:
+        if f" {inner} " in f" {VIEWS[name]} ".replace("\n", " "):
+            table(spark, sf_dir, inner).createOrReplaceTempView(inner)
     for base in TABLES:
         if f" {base} " in f" {VIEWS[name]} ".replace("\n", " "):
             spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)

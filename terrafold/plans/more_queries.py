@@ -225,14 +225,17 @@ def quantity_difference(view):
     return both.groupBy(state.alias("state")).agg(F.count("*").alias("codes"), F.sum(F.col("now") - F.col("was")).alias("change"))
 
 
-@query("licences population", """
-, s(source, scope, d, prec) as (values ('licences','register',date '2001-08-01','month'),('population','area',date '2001-01-01','day'),('areas','area',null,'day'),('monthly','city',date '2001-08-01','month'),('editions','area',date '2000-12-31','day'))
-select scope, count(*) as sources, case when count(*) > count(d) then null else min(d) end as oldest from s group by scope""")
+@query("sources", """
+select scope, count(*) as sources, count(case when state in ('live', 'published', 'snapshot') then 1 end) as contributing,
+ case when count(*) filter (last is null or precision is null) > 0 then null
+  else min(case precision when 'month' then date_trunc('month', last) when 'year' then date_trunc('year', last) else last end) end as oldest
+from sources group by scope""")
 def scope_rail(view):
-    """Sources by scope with the oldest reference date, which an undated source makes missing."""
-    spark = view("population").sparkSession
-    s = spark.sql("select * from values ('licences','register',date '2001-08-01','month'),('population','area',date '2001-01-01','day'),('areas','area',null,'day'),('monthly','city',date '2001-08-01','month'),('editions','area',date '2000-12-31','day') s(source, scope, d, prec)")
-    return s.groupBy("scope").agg(F.count("*").alias("sources"), aggregates.oldest_date("d", "prec").alias("oldest"))
+    """Sources by scope, how many of them contribute, and the oldest reference date, which an undated source makes missing."""
+    s = view("sources")
+    day = F.when(F.col("precision").isNotNull(), F.when(F.col("precision") == "month", F.trunc("last", "month")).when(F.col("precision") == "year", F.trunc("last", "year")).otherwise(F.col("last")))
+    dated = s.withColumn("d", day)
+    return dated.groupBy("scope").agg(F.count("*").alias("sources"), F.count_if(F.col("state").isin("live", "published", "snapshot")).alias("contributing"), aggregates.oldest_date("d", "precision").alias("oldest"))
 
 
 @query("address_versions", """

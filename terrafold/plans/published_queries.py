@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo, text
-from terrafold.operators import aggregates, compare, filters, linkage, quality, spatial
+from terrafold.operators import aggregates, compare, filters, guardrails, linkage, quality, spatial
 from terrafold.plans.registry import query
 from terrafold.plans.spatial_queries import _FROM_CENTRE, LAT, LON, areas
 from terrafold.plans.table_queries import _ONE, _sides
+from terrafold.sources.sinks import numbered
 
 # ---- listings
 
@@ -23,14 +24,18 @@ def newest_licences(view):
 
 
 @query("", """
-select surface from (values ('lens', 'circle', null), ('origins', 'city', null), ('hotels', 'city', 'demand'),
- ('areas', 'circle', 'planning')) s(surface, mode, flag)
-where mode = 'circle' and (flag is null or flag in ('planning'))""")
+with s as (
+ select n_name as surface, n_regionkey as mode, case n_nationkey % 3 when 1 then 'planning' when 2 then 'demand' end as flag from nation),
+c as (
+ select c_custkey as id, c_custkey % 5 as mode, c_custkey % 4 in (1, 3) as planning, c_custkey % 4 >= 2 as demand from customer)
+select c.id, s.surface from c join s on s.mode = c.mode and (flag is null or flag = 'planning' and planning or flag = 'demand' and demand)""")
 def shown_surfaces(view):
-    """What a mode shows with some flags set."""
-    rows = [("lens", "circle", None), ("origins", "city", None), ("hotels", "city", "demand"), ("areas", "circle", "planning")]
-    surfaces = view("region").sparkSession.createDataFrame(rows, "surface string, mode string, flag string")
-    return filters.surfaces_for(surfaces, "circle", ("planning",)).select("surface")
+    """What each session's mode shows, with the flags that it has set."""
+    n = view("nation")
+    surfaces = n.select(F.col("n_name").alias("surface"), F.col("n_regionkey").alias("mode"), F.when(F.col("n_nationkey") % 3 == 1, "planning").when(F.col("n_nationkey") % 3 == 2, "demand").alias("flag"))
+    c = F.col("c_custkey")
+    flags = F.array_compact(F.array(F.when((c % 4).isin(1, 3), "planning"), F.when(c % 4 >= 2, "demand")))
+    return filters.surfaces_of_sessions(view("customer").select(c.alias("id"), (c % 5).cast("int").alias("mode"), flags.alias("flags")), surfaces)
 
 
 # ---- linkage
@@ -580,22 +585,21 @@ _FRESH = """(values ('licences', 'published', '2001-08-01', 'day', 'city'), ('ar
  ('hotels', 'old', '2001', 'year', 'office'), ('heat', 'unavailable', '2023-08-21', 'day', 'lab'), ('rail', 'live', '2024-13', 'month', ' '))"""
 
 
-@query("", _gates_sql(
-    f"with f as (select * from {_FRESH} t(source, state, reference_date, precision, publisher))",
-    ("freshness", "known_state", "select count(case when state not in ('live', 'published', 'snapshot', 'unavailable') then 1 end) as bad from f"),
-    ("freshness", "known_precision", "select count(case when precision not in ('day', 'month', 'year') then 1 end) as bad from f"),
-    ("freshness", "date_fits_precision", "select count(case when (reference_date is null) <> (precision is null) or (precision = 'day' and not regexp_full_match(reference_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) or (precision = 'month' and not regexp_full_match(reference_date, '[0-9]{4}-(0[1-9]|1[0-2])')) or (precision = 'year' and not regexp_full_match(reference_date, '[0-9]{4}')) then 1 end) as bad from f"),
-    ("freshness", "unavailable_has_no_date", "select count(case when state = 'unavailable' and reference_date is not null then 1 end) as bad from f"),
-    ("freshness", "has_publisher", "select count(case when trim(publisher) = '' then 1 end) as bad from f"),
-))
+_FORM = {"day": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "month": "^[0-9]{4}-(0[1-9]|1[0-2])$", "year": "^[0-9]{4}$"}
+_FITS = " or ".join(f"(precision = '{k}' and regexp_matches(reference_date, '{v}'))" for k, v in _FORM.items())
+
+
+@query("sources", f"""
+, r as (
+ select state in ('live', 'published', 'snapshot', 'unavailable') as known_state, precision is null or precision in ('day', 'month', 'year') as known_precision,
+  case when reference_date is null then precision is null else {_FITS} end as date_fits_precision,
+  state <> 'unavailable' or reference_date is null as unavailable_has_no_date, trim(publisher) <> '' as has_publisher from sources),
+t as (unpivot (select {", ".join(f"cast(coalesce({c}, false) as integer) as {c}" for c in ("known_state", "known_precision", "date_fits_precision", "unavailable_has_no_date", "has_publisher"))} from r)
+ on known_state, known_precision, date_fits_precision, unavailable_has_no_date, has_publisher into name "check" value good)
+select 'freshness' as source, "check", count(*) filter (good = 0) = 0 as ok, count(*) filter (good = 0) as bad from t group by "check\"""")
 def freshness_gates(view):
     """The five freshness fields of each source: closed vocabularies, and a missing date that says so."""
-    rows = [
-        ("licences", "published", "2001-08-01", "day", "city"), ("areas", "published", None, None, "city"), ("monthly", "snapshot", "2001-08", "month", "office"),
-        ("hotels", "old", "2001", "year", "office"), ("heat", "unavailable", "2023-08-21", "day", "lab"), ("rail", "live", "2024-13", "month", " "),
-    ]
-    f = view("region").sparkSession.createDataFrame(rows, "source string, state string, reference_date string, precision string, publisher string")
-    return quality.gates(f, "freshness", quality.freshness_rules())
+    return quality.gates(view("sources"), "freshness", quality.freshness_rules())
 
 
 @query("licences monthly", """
@@ -616,3 +620,53 @@ def deployment_manifest(view):
     fact = lambda df, name, date: df.agg(F.lit(name).alias("source"), F.count("*").alias("rows"), F.min(date).alias("first"), F.max(date).alias("last"))
     facts = _all(fact(licences, "licences", "grant_date"), fact(monthly, "monthly", "period"), fact(licences.where("false"), "none", "grant_date"))
     return quality.manifest(gated, facts)
+
+
+@query("poi", """
+select 'rows' as guard, cast(count(*) as double) as value, 50e0 as least, cast(null as double) as most, case when count(*) >= 50 then 'PASS' else 'FAIL' end as state from poi
+union all select 'type=bike', count(*) filter (type = 'bike'), 5e0, null, case when count(*) filter (type = 'bike') >= 5 then 'PASS' else 'FAIL' end from poi
+union all select 'type=rail', count(*) filter (type = 'rail'), 100000000e0, null, 'FAIL' from poi
+union all select 'unclassified', round(count(*) filter (type = 'info') / count(*), 9), null, 0.1e0, case when count(*) filter (type = 'info') / count(*) <= 0.1 then 'PASS' else 'WARN' end from poi
+union all select 'museum_to_stay', round(count(*) filter (type = 'museum') / count(*) filter (type = 'stay'), 9), 0.2e0, null,
+ case when count(*) filter (type = 'museum') / count(*) filter (type = 'stay') >= 0.2 then 'PASS' else 'FAIL' end from poi
+union all select 'outside', count(*) filter (not lon between -3.889e0 and -3.518e0), null, 0e0,
+ case when count(*) filter (not lon between -3.889e0 and -3.518e0) = 0 then 'PASS' else 'FAIL' end from poi""")
+def layer_guardrails(view):
+    """Floors of a layer and of its kinds, shares and ratios; a kind that is missing fails although the layer looks healthy."""
+    kind = F.col("type")
+    guards = [
+        guardrails.least_rows(50), *guardrails.least_of_each("type", {"bike": 5, "rail": 100_000_000}), guardrails.most_share("unclassified", kind == "info", 0.1, blocks=False),
+        guardrails.least_ratio("museum_to_stay", kind == "museum", kind == "stay", 0.2), guardrails.none_where("outside", ~F.col("lon").between(-3.889, -3.518)),
+    ]
+    return guardrails.report(view("poi"), guards).withColumn("value", F.round("value", 9))
+
+
+@query("licences", "select id, row_number() over (order by grant_date desc, family, id) - 1 as position from licences")
+def licence_positions(view):
+    """The place of each licence in an artifact's order: newest first, then by family and number."""
+    keyed = view("licences").select("id", "family", (-F.unix_date("grant_date")).alias("age"))
+    return numbered(keyed, ["age", "family", "id"]).select("id", "position")
+
+
+@query("editions edition_manifest", """
+, m as (select edition, max(snapshot) filter (family = 'state') as s, max(snapshot) filter (family = 'quantity') as q from edition_manifest group by edition),
+c as (
+ select c_custkey as id, c_custkey % 31 as code, c_custkey % 6 as k, (select s from m where edition = 'current') as cs, (select q from m where edition = 'current') as cq,
+  (select s from m where edition = 'previous') as ps, (select q from m where edition = 'previous') as pq from customer),
+r as (
+ select id, code, case k when 0 then 'current' when 1 then 'current' when 2 then 'previous' end as edition from c),
+f as (select r.*, e.phase, e.quantity, exists (select 1 from editions x where x.code = r.code) as known from r left join editions e on e.edition = r.edition and e.code = r.code),
+z as (select *, case when not known then 'UNKNOWN_CODE' when edition is null then 'NO_SUCH_EDITION' when phase is null then 'ABSENT_FROM_EDITION' else 'RESOLVED' end as state from f)
+select id, code, edition, state, case when state = 'RESOLVED' then phase end as phase, case when state = 'RESOLVED' then cast(quantity as string) end as quantity from z""")
+def inputs_by_edition(view):
+    """Requests that name the snapshots of both families: the edition that has exactly those, or nothing."""
+    e, k = view("editions"), F.col("c_custkey")
+    of = {(r.family, r.edition): F.lit(r.snapshot) for r in view("edition_manifest").collect()}  # two families, two editions
+    pair = lambda s, q: F.create_map(F.lit("state"), s, F.lit("quantity"), q)
+    s = lambda x: of["state", x]
+    q = lambda x: of["quantity", x]
+    wanted = F.when(k % 6 == 1, pair(s("current"), q("current"))).when(k % 6 == 2, pair(s("previous"), q("previous"))).when(k % 6 == 3, pair(s("current"), q("previous"))).when(k % 6 == 4, F.create_map(F.lit("state"), s("current"))).when(k % 6 == 5, pair(F.lit("x"), F.lit("y")))
+    requests = view("customer").select(k.alias("id"), (k % 31).alias("code"), wanted.alias("wanted"))
+    records = e.select(F.lit("state").alias("family"), "edition", "code", F.col("phase").alias("value")).union(e.select(F.lit("quantity"), "edition", "code", F.col("quantity").cast("string")))
+    out = linkage.resolved_inputs(requests, view("edition_manifest"), records, ("state", "quantity"))
+    return out.select("id", "code", "edition", "state", F.col("inputs")["state"].alias("phase"), F.col("inputs")["quantity"].alias("quantity"))
