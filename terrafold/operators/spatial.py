@@ -77,19 +77,35 @@ def locate_in_hierarchy(points: DataFrame, areas: DataFrame, parent: str, whole:
     return out.select(key, "area_id", parent, F.when(F.col("area_id").isNotNull(), whole).alias("whole"), F.coalesce("via", F.lit("NONE")).alias("via"))
 
 
-def circles_meet_areas(circles: DataFrame, areas: DataFrame, radius_m: float, key: str = "id", size: float = CELL) -> DataFrame:
-    """(key, area_id): the centre lies in the area, or an edge comes within the radius. Membership, never a share."""
-    reach = radius_m / geo.METRES_PER_DEGREE
-    wide = F.lit(reach) / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+def circles_meet_areas(circles: DataFrame, areas: DataFrame, radius_m: float | str, key: str = "id", size: float = CELL) -> DataFrame:
+    """(key, area_id): the centre lies in the area, or an edge comes within the radius. Membership, never a share.
+
+    radius_m: metres, or the column of the circles that has them.
+    """
+    radius = F.col(radius_m) if isinstance(radius_m, str) else F.lit(float(radius_m))
+    reach = radius / geo.METRES_PER_DEGREE
+    wide = reach / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     xs, ys = _cells(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - reach, F.col("lat") + reach, size)
-    spread = circles.select(key, "lat", "lon", wide.alias("wide"), xs.alias("xs"), ys.alias("ys")).withColumn("cell_x", F.explode("xs")).withColumn("cell_y", F.explode("ys")).drop("xs", "ys")
-    near = F.col("lon").between(F.col("west") - F.col("wide"), F.col("east") + F.col("wide")) & F.col("lat").between(F.col("south") - reach, F.col("north") + reach)
-    pairs = spread.join(covering(areas, size), ["cell_x", "cell_y"]).where(near).select(key, "lat", "lon", "area_id").distinct()
+    own = circles.select(key, "lat", "lon", radius.alias("radius"), reach.alias("reach"), wide.alias("wide"), xs.alias("xs"), ys.alias("ys"))
+    spread = own.withColumn("cell_x", F.explode("xs")).withColumn("cell_y", F.explode("ys")).drop("xs", "ys")
+    near = F.col("lon").between(F.col("west") - F.col("wide"), F.col("east") + F.col("wide")) & F.col("lat").between(F.col("south") - F.col("reach"), F.col("north") + F.col("reach"))
+    pairs = spread.join(covering(areas, size), ["cell_x", "cell_y"]).where(near).select(key, "lat", "lon", "radius", "area_id").distinct()
     pairs = pairs.join(areas.select("area_id", "edges"), "area_id")
-    meets = geo.inside(F.col("lat"), F.col("lon"), F.col("edges")) | (geo.boundary_m(F.col("lat"), F.col("lon"), F.col("edges")) <= radius_m)
+    meets = geo.inside(F.col("lat"), F.col("lon"), F.col("edges")) | (geo.boundary_m(F.col("lat"), F.col("lon"), F.col("edges")) <= F.col("radius"))
     return pairs.where(meets).select(key, "area_id")
 
 
+def points_in_circles(circles: DataFrame, points: DataFrame, radius: str, size: float = CELL) -> DataFrame:
+    """Each circle (its columns, with lat, lon and a radius in metres) with each point (p_lat, p_lon and other columns) in it, inclusive; circles are spread over the cells that they touch."""
+    reach = F.col(radius) / geo.METRES_PER_DEGREE
+    wide = reach / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    xs, ys = _cells(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - reach, F.col("lat") + reach, size)
+    spread = circles.withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
+    placed = points.withColumn("cell_x", _cell(F.col("p_lon"), size)).withColumn("cell_y", _cell(F.col("p_lat"), size))
+    met = spread.join(placed, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
+    return met.where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= F.col(radius))
+
+
 def within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of left and right rows at most radius_m apart, with distance_m. right: r_lat, r_lon and other columns of its own.
 

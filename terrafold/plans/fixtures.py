@@ -97,6 +97,17 @@ select c_custkey as source, case c_custkey%4 when 0 then 'city ' when 1 then 'ar
  case when last is null then null when c_custkey%43 = 0 then 'week' when c_custkey%5 < 2 then 'day' when c_custkey%5 < 4 then 'month' else 'year' end as precision,
  case when c_custkey%37 = 0 then ' ' else c_name end as publisher
 from customer left join o on o_custkey = c_custkey""",
+    "questions": """
+select cast(id as bigint) as id, case id%12 when 0 then 'LICENCES_IN_LENS' when 1 then 'AREA_AT_POINT' when 2 then 'AREAS_IN_LENS' when 3 then 'AREA_PHASE'
+  when 4 then 'AREA_QUANTITY' when 5 then 'EDITION_DIFF' when 6 then 'AREA_COMPARE' when 7 then 'SOURCE_PROVENANCE' when 8 then 'AREA_PROFILE'
+  when 9 then 'CITY_DEMAND' when 10 then 'LICENCES_IN_LENS' else 'RANK_AREAS' end as shape,
+ case when id%17 = 0 then 'predictive' when id%19 = 0 then 'ranking' when id%23 = 0 then 'noted' end as flag,
+ case when id%8 = 2 then 'BUILDING' end as family, lat, case when id%13 = 0 then lon + 1 else lon end as lon, 500e0 + (id%7)*300e0 as radius_m,
+ case when id%5 <> 0 then make_date(cast(1988 + id%16 as int), cast(1 + id%11 as int), 1) end as first,
+ case when id%5 <> 1 then make_date(cast(1990 + id%9 as int), cast(1 + (id*7)%12 as int), 28) end as last,
+ cast(id%31 as int) as code, case when id%3 = 0 then 'previous' when id%3 = 1 then 'current' end as edition, cast(id%25 as int) as a, cast((id*7)%27 as int) as b,
+ case cast(floor(id/12e0) as int)%6 when 0 then 'licences' when 1 then 'areas' when 2 then 'population' when 3 then 'monthly' when 4 then 'editions' else 'rumour' end as source
+from poi""",
     "edition_manifest": """
 select f.family, e.edition, f.family || ':' || e.edition || ':' || cast(count(*) as string) as snapshot
 from editions x cross join (values ('state'), ('quantity')) f(family) cross join (values ('previous'), ('current')) e(edition)
