@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.operators import rings
+from terrafold.sources.sinks import fingerprint
 
 
 def gates(df: DataFrame, source: str, rules: dict[str, Column]) -> DataFrame:
@@ -51,6 +52,27 @@ def expected_count(df: DataFrame, source: str, check: str, wanted: int) -> DataF
     return bad.select(F.lit(source).alias("source"), F.lit(check).alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
 
 
+def chronological(df: DataFrame, source: str, period: str, *by: str) -> DataFrame:
+    """Months that do not follow the one before by exactly one, within a series."""
+    w = Window.partitionBy(*by).orderBy(period)
+    steps = df.select(F.months_between(F.col(period), F.lag(period).over(w)).alias("step"))
+    bad = steps.agg(F.count_if(F.col("step").isNotNull() & (F.col("step") != 1)).alias("bad"))
+    return bad.select(F.lit(source).alias("source"), F.lit("chronological").alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+
+
+def pinned_rows(df: DataFrame, source: str, wanted: str) -> DataFrame:
+    """Whether a table's fingerprint is the pinned one."""
+    bad = fingerprint(df).select(F.when(F.col("fingerprint") == wanted, 0).otherwise(1).cast("long").alias("bad"))
+    return bad.select(F.lit(source).alias("source"), F.lit("fingerprint").alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+
+
+def outcomes_total(changes: DataFrame, source: str, codes: DataFrame, key: str, outcome: str, known: tuple[str, ...]) -> DataFrame:
+    """Codes of a union that have no outcome, more than one, or one of no known name."""
+    per = codes.select(key).distinct().join(changes.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col(outcome).isin(*known)).alias("good")), key, "full_outer")
+    bad = per.agg(F.count_if(~F.coalesce((F.col("n") == 1) & (F.col("good") == 1), F.lit(False))).alias("bad"))
+    return bad.select(F.lit(source).alias("source"), F.lit("one_outcome").alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+
+
 #: How a source's freshness may be stated.
 FRESHNESS_STATES = ("live", "published", "snapshot", "unavailable")
 PRECISIONS = ("day", "month", "year")
