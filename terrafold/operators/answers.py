@@ -35,7 +35,7 @@ class Answers:
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """(id and the columns of evidence) for each question."""
-        first_flag = F.element_at(F.filter("flags", lambda f: f.isin(*PROHIBITED)), 1)
+        first_flag = F.get(F.filter("flags", lambda f: f.isin(*PROHIBITED)), F.lit(0))
         asked = questions.withColumn("barred", F.when(F.col("shape").isin(*SHAPES) & (F.size(F.filter("flags", lambda f: f.isin(*PROHIBITED))) > 0), first_flag))
         heard = asked.where(F.col("shape").isin(*SHAPES) & F.col("barred").isNull())
         of = {s: heard.where(F.col("shape") == s) for s in SHAPES}

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.sources.sinks import fingerprint as content_fingerprint
+
 POINT = "id string, name string, lat double, lon double"
 
 
@@ -227,6 +229,28 @@ def with_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.select(*out)
 
 
+def read_committed(spark: SparkSession, path: str, schema: str, form: str = "parquet", rows: int | None = None, fingerprint: str | None = None, **options: str) -> DataFrame:
+    """A committed artifact (parquet, json, csv) of a fixed schema, checked against the number of rows and the fingerprint that its manifest declares.
+
+    A column that is not there, a malformed line, another count or another fingerprint fails
+    before anything is read from it; both checks are one pass over the table.
+    """
+    fields = T._parse_datatype_string(schema)
+    if form == "parquet":
+        found = spark.read.parquet(path)
+        lost = [f.name for f in fields if f.name not in found.columns or found.schema[f.name].dataType != f.dataType]
+        if lost:
+            raise ValueError(f"{path} has no {', '.join(lost)} of the declared type")
+        df = found.select(*fields.fieldNames())
+    else:
+        df = spark.read.format(form).schema(schema).options(mode="FAILFAST", **options).load(path)
+    if rows is not None or fingerprint is not None:
+        own = content_fingerprint(df).first()
+        if (rows is not None and own["n"] != rows) or (fingerprint is not None and own["fingerprint"] != fingerprint):
+            raise ValueError(f"{path} has {own['n']} rows of fingerprint {own['fingerprint']}, declared are {rows} of {fingerprint}")
+    return df
+
+
 def pinned_edition(df: DataFrame, columns: list[str]) -> DataFrame:
     """The landed sheet of an edition, if its header is exactly the pinned one, in order; else an error before any row is read."""
     if df.columns != columns:

@@ -176,6 +176,55 @@ def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={last.rpartition('-')[2]}/{name}")
 
 
+#: Versions of a dossier's layout: with a verification record it is the second.
+DOSSIER_VERSIONS = (1, 2)
+
+
+class StaleContext(ValueError):
+    """An answer that was given for another context than the one in force."""
+
+
+def context_key(context: dict) -> str:
+    """What an answer depends on, as one text: the circle, the selection, the window and which tables were ready. Wording and language are no part of it."""
+    plain = lambda v: v if v is None or isinstance(v, (int, float, str)) else str(v)
+    of = lambda name, *keys: [plain(context[name].get(k)) for k in keys] if context.get(name) else None
+    return canonical_json([of("lens", "which", "lat", "lon", "radius_m"), of("selection", "type", "code"), of("window", "first", "last"), of("ready", "planning", "licences", "editions")])
+
+
+def dossier(outcome: dict, sources: list[dict], context: dict, generated_at: str, verification: dict | None = None) -> dict:
+    """The record of one question: what was asked, in which context, the row that answered it or why none did, and the sources used.
+
+    outcome: as ``questions.ask`` gives it. A context that has changed since is refused, as are
+    an answer whose source is not registered, an unfinished outcome, and a verification of no answer.
+    """
+    if context_key(context) != outcome["context_key"]:
+        raise StaleContext(f"the answer is for {outcome['context_key']}, in force is {context_key(context)}")
+    if outcome["status"] not in ("answered", "abstained"):
+        raise ValueError(f"the outcome is {outcome['status']}")
+    answered = outcome["status"] == "answered"
+    if verification is not None and not answered:
+        raise ValueError("only an answer is verified")
+    row = outcome["result"]
+    used = [s for s in sources if s["id"] == row.get("source_id")]
+    if answered and not used:
+        raise ValueError(f"source {row.get('source_id')} is not registered")
+    out = {
+        "schema_version": DOSSIER_VERSIONS[verification is not None], "generated_at": generated_at,
+        "question": {"id": outcome["question"], "shape": outcome["shape"], "params": outcome["params"], "context_key": outcome["context_key"]},
+        "context": context, "evidence": row if answered else None, "abstention": None if answered else row, "sources": used,
+        "method": {"derivation": row["derivation"], "performed_at_export": False} if answered else None, "limits": [row["ceiling"]] if answered else [],
+    }
+    return out | ({"verification": verification} if verification is not None else {})
+
+
+def open_dossier(text: str) -> dict:
+    """A dossier from its text; another layout, or a second version without its verification, is refused."""
+    out = json.loads(text)
+    if out.get("schema_version") not in DOSSIER_VERSIONS or (out["schema_version"] == 2) != ("verification" in out):
+        raise ValueError(f"a dossier of version {out.get('schema_version')} cannot be read")
+    return out
+
+
 def dossier_html(evidence: dict, sources: list[dict]) -> str:
     """The evidence and its sources as one page of tables; every text is escaped, nothing is computed again."""
     row = lambda k, v: f"<tr><th>{escape(str(k))}</th><td>{escape('' if v is None else str(v))}</td></tr>"
