@@ -45,12 +45,12 @@ from terrafold.llm.tokenizers_public import Bounded, tokenizer_path
 from terrafold.runtime import materialise, ship, shuffle_partitions
 
 #: Bytes of text that are aligned at once.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 #: Bytes of text for each bucket of pairs, and buckets at most.
 BUCKET_BYTES = 64 << 20
 MOST_BUCKETS = 4096
 #: Bytes of words and their ids that a worker keeps for B.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 64 << 20
 #: An id of A takes so many bits of a pair's key, an id of B the bits above.
 A_BITS = 16
 
@@ -115,22 +115,26 @@ class PieceBpe:
         self.lengths = np.fromiter(map(len, self.token_bytes), np.int64, len(pieces))
         self.by_word = not any(re.search(f"[^{self._SPACE}]{self._SPACE}", p) for p in pieces)
         self.cache = Bounded(CACHED_BYTES)
+        self.bad: set[str] = set()
+        """Words whose pieces do not spell them; pieces never take more bytes than their word, so a text with one is not spelt either."""
         self.space = np.array([self.model.piece_to_id(self._SPACE)], "<u4").tobytes()
 
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """For space + text, which is what the model makes of a text."""
+    def ids(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """For space + text, which is what the model makes of a text; none where the pieces do not spell it."""
         split = [self._WORD.findall(x.decode()) if self.by_word else [x.decode()] for x in texts]
         known = self.cache
         new = {w for own in split for w in own if w not in known}
         known.room(new, 4)
         if not known:
-            new = {w for own in split for w in own}
+            new, self.bad = {w for own in split for w in own}, set()
         order = list(new)
         for a in range(0, len(order), 4096):
             part = order[a : a + 4096]
             for w, ids in zip(part, self.model.encode([w[1:] for w in part], num_threads=1), strict=True):
                 known[w] = np.array(ids, "<u4").tobytes() if len(w) > 1 else self.space
-        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in split]
+                if len(w) > 1 and b"".join(map(self.token_bytes.__getitem__, ids)) != w.encode():
+                    self.bad.add(w)
+        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") if not self.bad or self.bad.isdisjoint(own) else None for own in split]
 
 
 @dataclass
@@ -168,7 +172,7 @@ def align(a: list[np.ndarray], b: list[np.ndarray], a_lengths: np.ndarray, b_len
 
     # a1,a2|b1;a3|b2,b3: after the tokens of A of a group those of B, each with the sign that follows it.
     order = np.empty(len(ids_a) + len(ids_b), np.int64)
-    in_a, in_b = np.searchsorted(last_a, np.arange(len(ids_a)), "right"), np.searchsorted(last_b, np.arange(len(ids_b)), "right")
+    in_a, in_b = (np.repeat(np.arange(len(cut)), np.diff(x, prepend=0)) for x in (last_a, last_b))
     first_b = np.concatenate(([0], last_b))
     v_a, v_b = len(a_lengths), len(b_lengths)
     closes_a, closes_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
@@ -232,8 +236,8 @@ def _aligned_rows(chunk: int, doc_ids: list[int | None], texts: list[bytes], pai
     full = [b" " + x for x in texts]
     some = [i for i, x in enumerate(texts) if x]
     ids_a, ids_b = tok_a.ids([full[i] for i in some]), tok_b.ids([full[i] for i in some])
-    spells = lambda tok, ids: b"".join(map(tok.token_bytes.__getitem__, ids.tolist()))
-    good = [k for k, i in enumerate(some) if spells(tok_a, ids_a[k]) == full[i] == spells(tok_b, ids_b[k])]
+    spelt = lambda ids: b"".join(map(tok_a.token_bytes.__getitem__, ids.tolist()))
+    good = [k for k, i in enumerate(some) if ids_b[k] is not None and spelt(ids_a[k]) == full[i]]
     columns = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
     digests, doc_keys, doc_counts = [""] * n, [b""] * n, [b""] * n
     rows: list[tuple] = []
@@ -245,7 +249,7 @@ def _aligned_rows(chunk: int, doc_ids: list[int | None], texts: list[bytes], pai
         # The chunk's pairs, bucket by bucket, and each document's pairs as steps between their indices.
         pairs, index, counts = np.unique(got.links, return_inverse=True, return_counts=True)
         bucket = _bucket_of(pairs, buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.uint16), kind="stable")
         at = np.empty(len(pairs), np.int64)
         at[order] = np.arange(len(pairs))
         edges = _runs(bucket[order])
