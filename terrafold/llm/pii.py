@@ -14,7 +14,11 @@ form that tells them from other strings, only contexts. Both seed a bootstrap:
   known of an instance weighs UNSEEN only: no form is no evidence against it. An
   instance's confidence is 1 for a seed, else the noisy-or of its trusted patterns. Spark
   joins and sums score both in turn, ROUNDS times;
-- mentions in a trusted pattern whose instance is confident join the result.
+- mentions in a trusted pattern whose instance is confident join the result: seeds that
+  their context confirms, and discoveries, which no form gives away. They are told apart.
+
+How well contexts discover is measured by ``discovery``, which hides a share of the seeds
+from the bootstrap and counts how many of them come back.
 
 A pattern is trusted when it scores LEAST_PATTERN and holds LEAST_SEEDS distinct
 seeds, so chance contexts find nothing: LEAST_SEEDS seeds carry as many unseen
@@ -183,14 +187,14 @@ def _digest(kind: str, text: str) -> int:
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+_MENTION = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("hidden", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 _SCAN = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(_SPAN)), ("mentions", pa.list_(_MENTION))])
 _SPAN_SQL = "array<struct<kind: int, start: long, end: long>>"
-_SCAN_SQL = f"row_key long, doc_id long, spans {_SPAN_SQL}, mentions array<struct<kind: int, start: long, end: long, instance: long, seed: boolean, patterns: array<string>>>"
+_SCAN_SQL = f"row_key long, doc_id long, spans {_SPAN_SQL}, mentions array<struct<kind: int, start: long, end: long, instance: long, seed: boolean, hidden: boolean, patterns: array<string>>>"
 
 
-def scan_text(text: str) -> tuple[list[dict], list[dict]]:
-    """(base spans, mentions with their patterns) of one text."""
+def scan_text(text: str, hide: int = 0) -> tuple[list[dict], list[dict]]:
+    """(base spans, mentions with their patterns) of one text; of the strings that seed secrets, one in ``hide`` by digest is no seed but hidden."""
     base = base_spans(text)
     spans = [{"kind": k, "start": a, "end": b} for k, kind in enumerate(BASE_KINDS) for a, b in base[kind]]
     taken = sorted((x["start"], x["end"]) for x in spans)
@@ -198,7 +202,9 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
 
     def note(kind: int, a: int, b: int, seed: bool) -> None:
         if found := _patterns(text, a, b):
-            mentions.append({"kind": kind, "start": a, "end": b, "instance": _digest(KINDS[kind], text[a:b]), "seed": seed, "patterns": found})
+            instance = _digest(KINDS[kind], text[a:b])
+            hidden = bool(seed and hide and kind == SECRET and instance % hide == 0)
+            mentions.append({"kind": kind, "start": a, "end": b, "instance": instance, "seed": seed and not hidden, "hidden": hidden, "patterns": found})
 
     for x in spans:  # base spans are seeds and need no context to count
         note(x["kind"], x["start"], x["end"], True)
@@ -212,12 +218,15 @@ def scan_text(text: str) -> tuple[list[dict], list[dict]]:
     return spans, mentions
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = [scan_text(t or "") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array([s for s, _ in found], _SCAN.field("spans").type), pa.array([m for _, m in found], _SCAN.field("mentions").type)], schema=_SCAN)
+def _scan(hide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [scan_text(t or "", hide) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row_key"), part.column("doc_id"), pa.array([s for s, _ in found], _SCAN.field("spans").type), pa.array([m for _, m in found], _SCAN.field("mentions").type)], schema=_SCAN)
+
+    return run
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -241,18 +250,37 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, base, found): base spans, and those that patterns add; spans are (kind, start, end), kind an index into KINDS.
+    """(row_key, doc_id, base, found, seeded): base spans, those that patterns add, and those of the added ones that are seeds; spans are (kind, start, end), kind an index into KINDS.
 
     docs: row_key, doc_id, text, as ``row_keyed`` gives them.
     """
+    scanned, new = _bootstrapped(docs, 0)
+    span = F.struct("kind", "start", "end")
+    found = new.groupBy("row_key").agg(F.sort_array(F.collect_set(span)).alias("found"), F.sort_array(F.collect_set(F.when(F.col("seed"), span))).alias("seeded"))
+    none = F.expr(f"cast(array() as {_SPAN_SQL})")
+    return scanned.join(found, "row_key", "left").select("row_key", "doc_id", F.col("spans").alias("base"), F.coalesce("found", none).alias("found"), F.coalesce("seeded", none).alias("seeded"))
+
+
+def _bootstrapped(docs: DataFrame, hide: int) -> tuple[DataFrame, DataFrame]:
+    """(scanned texts; mentions that patterns add: row_key, kind, start, end, seed, hidden, a row for each trusted pattern)."""
     ship(docs.sparkSession)
-    scanned = materialise(docs.select("row_key", "doc_id", "text").mapInArrow(_scan, _SCAN_SQL), "scanned")
-    mentions = scanned.select("row_key", F.inline("mentions")).select("row_key", "kind", "start", "end", "instance", "seed", F.explode("patterns").alias("pattern"))
+    scanned = materialise(docs.select("row_key", "doc_id", "text").mapInArrow(_scan(hide), _SCAN_SQL), "scanned")
+    mentions = scanned.select("row_key", F.inline("mentions")).select("row_key", "kind", "start", "end", "instance", "seed", "hidden", F.explode("patterns").alias("pattern"))
     edges = materialise(mentions.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     trusted, confident = score_patterns(edges)
     new = mentions.where(f"not seed or kind = {SECRET}").join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(confident.select("kind", "instance"), ["kind", "instance"], "left_semi")
-    found = new.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("found"))
-    return scanned.join(found, "row_key", "left").select("row_key", "doc_id", F.col("spans").alias("base"), F.coalesce("found", F.expr(f"cast(array() as {_SPAN_SQL})")).alias("found"))
+    return scanned, new.select("row_key", "kind", "start", "end", "seed", "hidden")
+
+
+def discovery(docs: DataFrame, hide: int = 2) -> DataFrame:
+    """One row (hidden, back, discovered): mentions of secrets hidden from the bootstrap, how many of them it finds, and all that it finds beyond its seeds.
+
+    Recall is back / hidden, precision back / discovered, where the hidden are all that is known to be true.
+    """
+    scanned, new = _bootstrapped(docs, hide)
+    hidden = scanned.select(F.inline("mentions")).agg(F.count_if("hidden").alias("hidden"))
+    once = new.where("not seed").dropDuplicates(["row_key", "kind", "start", "end"])
+    return hidden.crossJoin(once.agg(F.count_if("hidden").alias("back"), F.count("*").alias("discovered")))  # one row each
 
 
 def redact(text: str | None, spans: list[dict]) -> str | None:
@@ -294,4 +322,4 @@ def _joined(spans: str) -> str:
 def op3_bootstrapped_pii(spark, sf_dir: str) -> DataFrame:
     out = personal_data(row_keyed(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
-    return out.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("concat(base, found)")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return out.select("doc_id", *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), F.expr(_joined("concat(base, found)")).alias("spans"), (F.size("found") - F.size("seeded")).cast("long").alias("n_found"), F.size("seeded").cast("long").alias("n_seeded"))

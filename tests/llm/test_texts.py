@@ -163,6 +163,22 @@ def test_few_and_many_seeds_carry_unseen_identifiers(spark):
     assert {d: found for d, found in out.items() if found} == want
 
 
+def test_hidden_secrets_are_discovered_by_their_contexts(spark):
+    docs = row_keyed(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    r = pii.discovery(docs).first()
+    assert r.hidden > 50 and r.back / r.hidden >= 0.9 and r.back / r.discovered >= 0.9
+    seen = personal_data(docs).selectExpr("sum(size(found)) f", "sum(size(seeded)) s").first()
+    assert seen.f >= seen.s >= 2 * r.back - r.hidden
+
+
+def test_seeds_and_discoveries_are_told_apart(spark):
+    hexes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(6)]
+    texts = {i: f'the token = "{h}" is set' for i, h in enumerate(hexes)} | {9: 'the token = "Zx9-unlike_the-others77" is set', 10: f"lone {hexes[0]} here"}
+    out = {r.doc_id: r for r in personal_data(row_keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).collect()}
+    assert all(out[i].found == out[i].seeded and len(out[i].found) == 1 for i in range(6))
+    assert len(out[9].found) == 1 and out[9].seeded == [] and out[10].found == []
+
+
 def test_bootstrap_against_plain_dictionaries(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
