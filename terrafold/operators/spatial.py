@@ -145,7 +145,7 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, k: int, start_m: float,
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, radius_m: float, key: str = "id", size: float = 0.01) -> DataFrame:
-    """(key, segment, offset_m): the nearest segment (segment, x0, y0, x1, y1) within a radius, ties to the lowest number."""
+    """(key, segment, offset_m): the nearest segment (segment, x0, y0, x1, y1) within a radius; ties, to a micrometre, go to the lowest number."""
     reach = radius_m / geo.METRES_PER_DEGREE
     wide = F.lit(reach) / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     px, py = _cells(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - reach, F.col("lat") + reach, size)
@@ -154,7 +154,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, radius_m: float, key
     laid = segments.withColumn("cell_x", F.explode(sx)).withColumn("cell_y", F.explode(sy))
     offset = F.element_at(geo.edge_distances_m(F.col("lat"), F.col("lon"), F.array(F.struct("x0", "y0", "x1", "y1"))), 1)
     met = spread.join(laid, ["cell_x", "cell_y"]).withColumn("offset_m", offset).where(F.col("offset_m") <= radius_m)
-    return met.groupBy(key).agg(F.min(F.struct("offset_m", "segment")).alias("best")).select(key, "best.segment", "best.offset_m")
+    return met.groupBy(key).agg(F.min(F.struct(F.round("offset_m", 6).alias("near"), "segment", "offset_m")).alias("best")).select(key, "best.segment", "best.offset_m")
 
 
 def clusters(points: DataFrame, zoom: int, pixels: int) -> DataFrame:

@@ -195,6 +195,25 @@ def snapped_offsets(view):
     return spatial.nearest_segment(view("poi"), segments, 1500.0).select("id", F.round("offset_m", 3).alias("offset_m"))
 
 
+@query("poi area_edges", """
+, s as (select row_number() over (order by area_id, seq) - 1 as segment, x0, y0, x1, y1 from area_edges),
+l as (select p.id, s.segment, acos(greatest(-1e0, least(1e0,
+ sin(radians(lat))*sin(radians(y0))+cos(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))))) as c0,
+ acos(greatest(-1e0, least(1e0, sin(radians(lat))*sin(radians(y1))+cos(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))))) as c1, lat, lon, x0,
+ y0, x1, y1 from poi p cross join s),
+m as (select id, segment, c0/sin(c0)*6371008.8e0*cos(radians(y0))*sin(radians(x0-lon)) as ax,
+ c0/sin(c0)*6371008.8e0*(cos(radians(lat))*sin(radians(y0))-sin(radians(lat))*cos(radians(y0))*cos(radians(x0-lon))) as ay,
+ c1/sin(c1)*6371008.8e0*cos(radians(y1))*sin(radians(x1-lon)) as bx,
+ c1/sin(c1)*6371008.8e0*(cos(radians(lat))*sin(radians(y1))-sin(radians(lat))*cos(radians(y1))*cos(radians(x1-lon))) as b_y from l),
+t as (select *, greatest(0e0, least(1e0, -(ax*(bx-ax)+ay*(b_y-ay))/((bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay)))) as t from m),
+d as (select id, segment, sqrt(power(ax+t*(bx-ax),2)+power(ay+t*(b_y-ay),2)) as d from t)
+select id, segment, round(d, 3) as offset_m from d where d <= 1500 qualify row_number() over (partition by id order by round(d, 6), segment) = 1""")
+def snapped_segments(view):
+    """The segment that each point stands nearest to, up to 1.5 km; the border of two areas is the lower number's."""
+    segments = view("area_edges").select((F.col("area_id") * 4 + F.col("seq")).cast("long").alias("segment"), "x0", "y0", "x1", "y1")
+    return spatial.nearest_segment(view("poi"), segments, 1500.0).select("id", "segment", F.round("offset_m", 3).alias("offset_m"))
+
+
 @query("area_edges", """
 , a as (select area_id, min(least(y0, y1)) as south, max(greatest(y0, y1)) as north from area_edges group by area_id),
 l as (select area_id, rung, south + (north - south) * rung / 34e0 as y from a, unnest(range(1, 34)) u(rung)),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.functions.text import strip_tags
 from terrafold.sources.sinks import fingerprint as content_fingerprint
 
 POINT = "id string, name string, lat double, lon double"
@@ -83,7 +84,7 @@ def read_json_graph(spark: SparkSession, path: str) -> DataFrame:
     schema = "`@graph` array<struct<`@id`: string, title: string, latitude: string, longitude: string, location: struct<latitude: string, longitude: string>>>"
     each = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("@graph").alias("g"))
     number = lambda c: F.coalesce(F.col(f"g.location.{c}"), F.col(f"g.{c}")).try_cast("double")
-    return each.select(F.col("g.`@id`").alias("id"), F.trim(F.regexp_replace("g.title", "<[^>]*>", " ")).alias("name"), number("latitude").alias("lat"), number("longitude").alias("lon")).where("lat is not null and lon is not null")
+    return each.select(F.col("g.`@id`").alias("id"), strip_tags(F.col("g.title")).alias("name"), number("latitude").alias("lat"), number("longitude").alias("lon")).where("lat is not null and lon is not null")
 
 
 def read_osm(spark: SparkSession, path: str) -> DataFrame:
