@@ -40,6 +40,16 @@ def cosmetic_key(s: Column) -> Column:
     return squeeze(F.upper(F.translate(s, MARKED, PLAIN)))
 
 
+def canonical_key(s: Column) -> Column:
+    """Upper case, blanks squeezed, marks kept: the key of an official identifier; missing is the empty key."""
+    return squeeze(F.upper(F.coalesce(s, F.lit(""))))
+
+
+def ascii_key(s: Column) -> Column:
+    """Lower case without marks, blanks inside kept as they are; missing is the empty key."""
+    return F.trim(F.lower(F.translate(F.coalesce(s, F.lit("")), MARKED, PLAIN)))
+
+
 def street_key(s: Column) -> Column:
     """The cosmetic key without leading particles, however many."""
     return F.regexp_replace(cosmetic_key(s), f"^(({'|'.join(PARTICLES)}) )+", "")

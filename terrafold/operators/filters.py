@@ -91,6 +91,12 @@ def must_be(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{column}: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))))
 
 
+def granted_universe(df: DataFrame, status: str, date: str, granted: str = "GRANTED") -> DataFrame:
+    """The records, if the whole table holds granted ones only, each with a date; the job fails on any other row, whichever columns are read."""
+    wrong = F.when(~F.col(status).eqNullSafe(granted), F.concat(F.lit("status "), F.coalesce(F.col(status).cast("string"), F.lit("null")))).when(F.col(date).isNull(), "no date")
+    return df.where(F.when(wrong.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("not a granted universe: "), wrong)).cast("boolean")))
+
+
 def surfaces_for(surfaces: DataFrame, mode: str, flags: tuple[str, ...] = ()) -> DataFrame:
     """The surfaces (surface, mode, flag) that a mode shows; those with a flag only where it is set."""
     shown = F.col("flag").isNull() | F.col("flag").isin(*flags)

@@ -102,6 +102,18 @@ def resolved_inputs(requests: DataFrame, manifest: DataFrame, records: DataFrame
     return found.select(key, "code", "edition", state.alias("state"), F.when(state == "RESOLVED", F.col("inputs")).alias("inputs"))
 
 
+def published_uses(codes: DataFrame, edition: DataFrame, uses: tuple[str, ...], key: str = "code", *keep: str) -> DataFrame:
+    """(key, use, availability, square_m, keep) of each exact code and use: an edition without the code, a blank and a figure are three things, and rows are never added up.
+
+    edition: key, a column for each use, and the columns to keep. The lookup is by the code
+    alone, never by a place; a code of several rows gives each of them.
+    """
+    met = codes.select(key).join(edition.select(key, *uses, *keep, F.lit(True).alias("known")), key, "left")
+    tall = met.select(key, "known", *keep, F.explode(F.array(*(F.struct(F.lit(u).alias("use"), F.col(u).alias("square_m")) for u in uses))).alias("u"))
+    state = F.when(F.col("known").isNull(), "NOT_PUBLISHED_IN_EDITION").when(F.col("u.square_m").isNull(), "NOT_PUBLISHED").otherwise("PUBLISHED")
+    return tall.select(key, "u.use", state.alias("availability"), "u.square_m", *keep)
+
+
 def universes(**sides: DataFrame) -> DataFrame:
     """One row for each id, with a flag for each set: differences and intersections are filters on it."""
     marked = [df.select("id", *(F.lit(n == name).alias(n) for n in sides)) for name, df in sides.items()]

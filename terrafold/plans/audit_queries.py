@@ -273,3 +273,22 @@ def four_metrics(view):
     shown = compare.withheld_unless(both.withColumn("delta", F.col("b") - F.col("a")), "state", ["MEASURED"], ["delta"])
     sign = F.when(F.col("a").isNull(), "NONE").when(F.col("b") > F.col("a"), "BREAK").otherwise("CONTINUOUS")
     return shown.select(F.col("type").alias("metric"), "state", "delta", compare.governing_outcome(sign, F.lit("NONE")).alias("outcome"))
+
+
+@query("licences", "select family, count(*) as n, min(grant_date) as first, max(grant_date) as last from licences group by family")
+def granted_by_family(view):
+    """Licences by family, of a table that must hold granted ones only."""
+    held = filters.granted_universe(view("licences").withColumn("status", F.lit("GRANTED")), "status", "grant_date")
+    return held.groupBy("family").agg(F.count("*").alias("n"), F.min("grant_date").alias("first"), F.max("grant_date").alias("last"))
+
+
+@query("", r"""
+with c as (
+ select c_custkey as id, case when c_custkey % 9 = 0 then null else '  ' || case when c_custkey % 2 = 0 then 'Árbol' else 'ÑANDÚ' end || '   ' || c_mktsegment || ' ' end as name from customer)
+select id, upper(trim(regexp_replace(coalesce(name, ''), '\s+', ' ', 'g'))) as canonical,
+ trim(translate(lower(coalesce(name, '')), 'áñú', 'anu')) as ascii from c""")
+def name_keys(view):
+    """The two keys that names are compared by: with marks in upper case, and without them in lower case."""
+    c = F.col("c_custkey")
+    name = F.when(c % 9 != 0, F.concat(F.lit("  "), F.when(c % 2 == 0, "Árbol").otherwise("ÑANDÚ"), F.lit("   "), "c_mktsegment", F.lit(" ")))
+    return view("customer").select(c.alias("id"), text.canonical_key(name).alias("canonical"), text.ascii_key(name).alias("ascii"))

@@ -296,11 +296,8 @@ from w cross join (values ('housing'), ('other')) u(use) left join c on c.code =
 def buildability_rows(view):
     """What an edition publishes for each exact code and use; a blank is not zero, and rows are never added up."""
     codes = view("nation").select(F.col("n_nationkey").alias("code"))
-    c = view("editions").where("edition = 'current'").select("code", "phase", (F.col("quantity") * 10).alias("housing"), F.when(F.col("code") % 4 != 0, F.col("quantity") % 3).alias("other"), F.lit(True).alias("known"))
-    met = codes.join(c, "code", "left")
-    tall = met.select("code", "phase", "known", F.explode(F.array(*(F.struct(F.lit(u).alias("use"), F.col(u).alias("square_m")) for u in ("housing", "other")))).alias("u"))
-    state = F.when(F.col("known").isNull(), "NOT_PUBLISHED_IN_EDITION").when(F.col("u.square_m").isNull(), "NOT_PUBLISHED").otherwise("PUBLISHED")
-    return tall.select("code", "u.use", state.alias("availability"), "u.square_m", "phase")
+    c = view("editions").where("edition = 'current'").select("code", "phase", (F.col("quantity") * 10).alias("housing"), F.when(F.col("code") % 4 != 0, F.col("quantity") % 3).alias("other"))
+    return linkage.published_uses(codes, c, ("housing", "other"), "code", "phase")
 
 
 # ---- comparison

@@ -129,3 +129,16 @@ def test_committed_artifacts_are_what_their_manifest_says(spark, tmp_path):
             readers.read_committed(spark, f"{tmp_path}/{form[0]}", "id int, name string", form, rows=3)
     with pytest.raises(ValueError, match="no id, other"):
         readers.read_committed(spark, f"{tmp_path}/p", "id string, other int")
+
+
+def test_a_universe_of_granted_records_only(spark):
+    from pyspark.errors import PySparkException
+
+    from terrafold.operators import filters
+
+    good = spark.createDataFrame([(1, "GRANTED", "2020-01-01")], "id int, status string, day string")
+    assert filters.granted_universe(good, "status", "day").count() == 1
+    for row, why in (((2, "REFUSED", "2020-01-01"), "status REFUSED"), ((3, None, "2020-01-01"), "status null"), ((4, "GRANTED", None), "no date")):
+        bad = good.union(spark.createDataFrame([row], good.schema))
+        with pytest.raises(PySparkException, match=why):
+            filters.granted_universe(bad, "status", "day").select("id").collect()
