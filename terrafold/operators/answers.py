@@ -36,12 +36,13 @@ class Answers:
     def answer(self, questions: DataFrame) -> DataFrame:
         """(id and the columns of evidence) for each question."""
         first_flag = F.get(F.filter("flags", lambda f: f.isin(*PROHIBITED)), F.lit(0))
-        asked = questions.withColumn("barred", F.when(F.col("shape").isin(*SHAPES) & (F.size(F.filter("flags", lambda f: f.isin(*PROHIBITED))) > 0), first_flag))
+        asked = questions.withColumn("barred", F.when(F.col("shape").isin(*SHAPES), first_flag))
         heard = asked.where(F.col("shape").isin(*SHAPES) & F.col("barred").isNull())
         of = {s: heard.where(F.col("shape") == s) for s in SHAPES}
         found = [
-            self._licences(of["LICENCES_IN_LENS"]), self._area(of["AREA_AT_POINT"]), self._areas_met(of["AREAS_IN_LENS"]), self._edition(of["AREA_PHASE"], "phase"), self._edition(of["AREA_QUANTITY"], "quantity"),
-            self._whole(of["EDITION_DIFF"], "EDITION_DIFF", self._diff()), self._compare(of["AREA_COMPARE"]), self._provenance(of["SOURCE_PROVENANCE"]), self._profile(of["AREA_PROFILE"]), self._whole(of["CITY_DEMAND"], "CITY_DEMAND", self._demand()),
+            self._licences(of["LICENCES_IN_LENS"]), self._area(of["AREA_AT_POINT"]), self._areas_met(of["AREAS_IN_LENS"]),
+            self._edition(of["AREA_PHASE"], "phase"), self._edition(of["AREA_QUANTITY"], "quantity"), self._whole(of["EDITION_DIFF"], "EDITION_DIFF", self._diff()),
+            self._compare(of["AREA_COMPARE"]), self._provenance(of["SOURCE_PROVENANCE"]), self._profile(of["AREA_PROFILE"]), self._whole(of["CITY_DEMAND"], "CITY_DEMAND", self._demand()),
         ]
         valued = reduce(DataFrame.unionByName, found)
         refused = asked.where(~F.col("shape").isin(*SHAPES) | F.col("barred").isNotNull())

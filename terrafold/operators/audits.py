@@ -58,7 +58,8 @@ def reconciled(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def audit_counts(both: DataFrame) -> DataFrame:
     """(audit, outcome, codes, cosmetic, diverging) of all outcomes, those with no code too."""
-    tall = both.select(F.explode(F.array(F.struct(F.lit("legacy").alias("audit"), F.col("legacy").alias("outcome"), F.col("legacy_cosmetic").alias("cosmetic")), F.struct(F.lit("production").alias("audit"), F.col("production").alias("outcome"), F.col("production_cosmetic").alias("cosmetic")))).alias("r"), "diverges")
+    of = lambda audit: F.struct(F.lit(audit).alias("audit"), F.col(audit).alias("outcome"), F.col(f"{audit}_cosmetic").alias("cosmetic"))
+    tall = both.select(F.explode(F.array(of("legacy"), of("production"))).alias("r"), "diverges")
     counted = tall.groupBy("r.audit", "r.outcome").agg(F.count("*").alias("codes"), F.count_if("r.cosmetic").alias("cosmetic"), F.count_if("diverges").alias("diverging"))
     every = both.sparkSession.createDataFrame([(a, o) for a in ("legacy", "production") for o in OUTCOMES], "audit string, outcome string")
     none = F.lit(0).cast("long")

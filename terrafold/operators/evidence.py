@@ -63,7 +63,10 @@ def intent(question: str) -> str | None:
     """The first named question whose words fit."""
     import re
 
-    table_ = [("licen[cs]e", "LICENCES_IN_LENS"), ("compare|versus", "AREA_COMPARE"), ("edition|changed|diff", "EDITION_DIFF"), ("phase|stage", "AREA_PHASE"), ("source|origin of", "SOURCE_PROVENANCE"), ("hotel|traveller|visitor", "CITY_DEMAND"), ("profile|live|resident", "AREA_PROFILE"), ("around|circle|within", "AREAS_IN_LENS"), ("where|which area", "AREA_AT_POINT")]
+    table_ = [
+        ("licen[cs]e", "LICENCES_IN_LENS"), ("compare|versus", "AREA_COMPARE"), ("edition|changed|diff", "EDITION_DIFF"), ("phase|stage", "AREA_PHASE"), ("source|origin of", "SOURCE_PROVENANCE"),
+        ("hotel|traveller|visitor", "CITY_DEMAND"), ("profile|live|resident", "AREA_PROFILE"), ("around|circle|within", "AREAS_IN_LENS"), ("where|which area", "AREA_AT_POINT"),
+    ]
     return next((shape for words, shape in table_ if re.search(words, question.lower())), None)
 
 
@@ -98,7 +101,11 @@ class Registry:
         id_, scope, unit, date, state, ceiling = self.sources[source]
         none = F.col("value").isNull()
         pick = lambda v: F.when(~none, F.lit(v))
-        return df.select(F.when(none, "ABSTENTION").otherwise("EVIDENCE").alias("kind"), F.lit(shape).alias("shape"), F.col("value").cast("string").alias("value"), pick(scope).alias("scope"), pick(unit).alias("unit"), pick(id_).alias("source_id"), pick(date).alias("reference_date"), pick(state).alias("source_state"), pick(ceiling).alias("ceiling"), pick(derivation).alias("derivation"), pick(applied).alias("applied"), F.when(none, "NO_RECORD").alias("reason"), F.when(none, "the source has no such record").alias("message"))
+        return df.select(
+            F.when(none, "ABSTENTION").otherwise("EVIDENCE").alias("kind"), F.lit(shape).alias("shape"), F.col("value").cast("string").alias("value"), pick(scope).alias("scope"), pick(unit).alias("unit"),
+            pick(id_).alias("source_id"), pick(date).alias("reference_date"), pick(state).alias("source_state"), pick(ceiling).alias("ceiling"), pick(derivation).alias("derivation"), pick(applied).alias("applied"),
+            F.when(none, "NO_RECORD").alias("reason"), F.when(none, "the source has no such record").alias("message"),
+        )
 
     def licences_in_lens(self, lat: float, lon: float, radius_m: float, first: dt.date | None = None, last: dt.date | None = None, families: tuple[str, ...] = ()) -> DataFrame:
         licences = self.view("licences")

@@ -68,7 +68,8 @@ def noded(edges: DataFrame, group: str, tolerance: float = 1e-9) -> DataFrame:
     t, off = (px * dx + py * dy) / (length * length), F.abs(px * dy - py * dx) / length
     inner = (off <= tolerance) & (t * length > tolerance) & ((1 - t) * length > tolerance)
     cuts = there.join(placed, [group, "cell_x", "cell_y"]).where(inner).select(group, "edge", t.alias("t"), "x", "y").distinct()
-    ends = numbered.select(group, "edge", F.explode(F.array(F.struct(F.lit(0.0).alias("t"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1.0).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("v")).select(group, "edge", "v.t", "v.x", "v.y")
+    end = lambda t, i: F.struct(F.lit(t).alias("t"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
+    ends = numbered.select(group, "edge", F.explode(F.array(end(0.0, 0), end(1.0, 1))).alias("v")).select(group, "edge", "v.t", "v.x", "v.y")
     w = Window.partitionBy("edge").orderBy("t")
     parts = ends.unionByName(cuts).select(group, F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"))
     return parts.where("x1 is not null")

@@ -58,7 +58,8 @@ def landed_features(view):
     """Points of feature collections; features without a place go."""
     poi = view("poi")
     place = F.when(F.col("id") % 50 == 0, F.array().cast("array<double>")).otherwise(F.array("lon", "lat"))
-    feature = _json(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("id").cast("string").alias("id"), F.col("type").alias("name")).alias("properties"), F.struct(F.lit("Point").alias("type"), place.alias("coordinates")).alias("geometry")))
+    names = F.struct(F.col("id").cast("string").alias("id"), F.col("type").alias("name"))
+    feature = _json(F.struct(F.lit("Feature").alias("type"), names.alias("properties"), F.struct(F.lit("Point").alias("type"), place.alias("coordinates")).alias("geometry")))
     return _rounded(readers.read_geojson_points(poi.sparkSession, _landed(poi, "features", feature, '{"type":"FeatureCollection","features":[', "]}")), "id", "name")
 
 
@@ -69,7 +70,9 @@ def landed_graph(view):
     lat = F.when(F.col("id") % 40 == 0, "no").otherwise(F.col("lat").cast("string"))
     pair = F.struct(lat.alias("latitude"), F.col("lon").cast("string").alias("longitude"))
     beside = F.col("id") % 3 == 0
-    record = F.struct(F.concat(F.lit("urn:"), F.col("id").cast("string")).alias("@id"), F.concat(F.lit("<b>"), "type", F.lit("</b> "), F.col("id").cast("string")).alias("title"), F.when(beside, pair["latitude"]).alias("latitude"), F.when(beside, pair["longitude"]).alias("longitude"), F.when(~beside, pair).alias("location"))
+    title = F.concat(F.lit("<b>"), "type", F.lit("</b> "), F.col("id").cast("string"))
+    place = [F.when(beside, pair["latitude"]).alias("latitude"), F.when(beside, pair["longitude"]).alias("longitude"), F.when(~beside, pair).alias("location")]
+    record = F.struct(F.concat(F.lit("urn:"), F.col("id").cast("string")).alias("@id"), title.alias("title"), *place)
     return _rounded(readers.read_json_graph(poi.sparkSession, _landed(poi, "graph", _json(record), '{"@graph":[', "]}")), "id", "name")
 
 
