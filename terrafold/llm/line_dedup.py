@@ -135,10 +135,10 @@ class TwiceSeen:
     """The twice-seen filters of all blocks."""
 
     def __init__(self, blocks: int, parts: dict[int, bytes]) -> None:
-        self.blocks, self.parts = blocks, {b: np.frombuffer(x, np.uint8) for b, x in parts.items()}
+        self.blocks = blocks
         self.index = np.full(blocks, -1, np.int32)
-        self.index[list(self.parts)] = np.arange(len(self.parts))
-        self.bits = np.concatenate(list(self.parts.values())) if self.parts else np.zeros(0, np.uint8)
+        self.index[list(parts)] = np.arange(len(parts))
+        self.bits = np.frombuffer(b"".join(parts.values()), np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         block, prints = _place(hashes, self.blocks)
