@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import MONTHS, spanish_date
+from terrafold.runtime import ship
 
 #: Fixed values of the format: marks, special sectors and the numbers of records.
 _MARK = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
@@ -160,6 +161,7 @@ def sheets(raw: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
 
 def read_legacy_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """One row for each row of each sheet of each workbook; a workbook is read by one task."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator) -> Iterator:

@@ -9,11 +9,13 @@ from urllib.error import URLError
 from urllib.parse import quote
 from urllib.request import urlopen
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
+from terrafold.runtime import ship
+
 
 class PageRange(InputPartition):
     """Pages first to last - 1 of so many; size and stated are what the first reply says of a page and of all, where that was asked."""
@@ -149,3 +151,9 @@ class PagedSource(DataSource):
     def reader(self, schema: StructType) -> PagedReader:
         kind = FilteringReader if "{where}" in self.options["url"] or "{envelope}" in self.options["url"] else PagedReader
         return kind(dict(self.options), schema.fieldNames(), [f.dataType.simpleString() for f in schema.fields])
+
+
+def register(spark: SparkSession) -> None:
+    """Makes format("paged") known to a session; its readers run on executors that need not have this package."""
+    ship(spark)
+    spark.dataSource.register(PagedSource)

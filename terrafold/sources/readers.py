@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.functions.text import strip_tags
+from terrafold.runtime import ship
 from terrafold.sources.sinks import fingerprint as content_fingerprint
 
 POINT = "id string, name string, lat double, lon double"
@@ -49,6 +50,7 @@ def sniff(content: bytes) -> dict[str, str]:
 
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, encoding, delimiter, header) of each file, read on the executors."""
+    ship(spark)
     heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 16).alias("head"))
 
     def run(batches: Iterator) -> Iterator:
@@ -128,6 +130,7 @@ def _column(reference: str | None, following: int) -> int:
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """(path, sheet, row, cells) of every sheet, a workbook to a row of the scan."""
+    ship(spark)
     schema = "path string, sheet string, row int, cells array<string>"
 
     def run(batches: Iterator) -> Iterator:
@@ -166,6 +169,7 @@ def _records(dbf: bytes, shp: bytes) -> Iterator[tuple[float | None, float | Non
 
 def read_shapefile_points(spark: SparkSession, folder: str) -> DataFrame:
     """(x, y, attributes) of point shapefiles: each .dbf with its .shp, whose counts must agree. Deleted records go; one without a shape has no place."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.(dbf|shp)$"))
     pairs = files.groupBy(F.regexp_replace("path", r"\.[A-Za-z]+$", "").alias("name")).agg(F.max(F.when(F.lower("path").endswith(".dbf"), F.col("content"))).alias("dbf"), F.max(F.when(F.lower("path").endswith(".shp"), F.col("content"))).alias("shp"))
 
