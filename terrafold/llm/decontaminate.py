@@ -10,7 +10,8 @@ task, as flat arrays, after a check of its size (``MAX_BENCHMARK_BYTES``).
 
 Cases: null and empty texts have no words; an item without words matches
 nothing; items with equal words are all counted; items are named by item_id, and
-an item without one is left out and matches nothing; an empty benchmark hits nothing
+the words of an item without one are hit like any other's, but it has no name to
+list or count; an empty benchmark hits nothing
 and an empty table of documents gives an empty result; texts of any length are
 streamed whole; repeated rows each get their count; other columns, whatever their
 names, pass by.
@@ -92,7 +93,7 @@ class Automaton:
     items that end there.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], min_words: int) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], min_words: int) -> None:
         self.min_words = min_words
         self.vocabulary: dict[bytes, int] = {}
         coded = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]) for name, words in items if words]
@@ -101,14 +102,14 @@ class Automaton:
         for _, words in coded:
             built.add(words)
         self._flatten(built, coded)
-        self.short: dict[tuple[int, ...], set[str]] = {}
+        self.short: dict[tuple[int, ...], set[str | None]] = {}
         for name, words in coded:
             if len(words) < min_words:
                 self.short.setdefault(tuple(words), set()).add(name)
         self.short_lengths = sorted({len(w) for w in self.short})
         self.shortest = min([min_words, *self.short_lengths])
 
-    def _flatten(self, built: _Builder, coded: list[tuple[str, list[int]]]) -> None:
+    def _flatten(self, built: _Builder, coded: list[tuple[str | None, list[int]]]) -> None:
         n = len(built.next)
         self.link, self.length = _ints(built.link), _ints(built.length)
         self.first = _ints(np.cumsum([0, *map(len, built.next)]))
@@ -150,10 +151,10 @@ class Automaton:
         i = bisect_left(self.word, w, self.first[state], end := self.first[state + 1])
         return self.to[i] if i < end and self.word[i] == w else 0
 
-    def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of the hit words, and the items with an occurring window; words are codes, 0 unknown."""
+    def scan(self, words: list[int]) -> tuple[list[tuple[int, int]], set[str | None]]:
+        """Spans of the hit words, and the items with an occurring window, None for those without a name; words are codes, 0 unknown."""
         spans: list[tuple[int, int]] = []
-        names: set[str] = set()
+        names: set[str | None] = set()
         seen: set[int] = set()
         link, length, least = self.link, self.length, self.min_words
         state = matched = 0
@@ -193,7 +194,7 @@ def _runs_known(codes: list[int], least: int) -> list[tuple[int, int]]:
     return list(zip(a[keep].tolist(), b[keep].tolist(), strict=True))
 
 
-def _hits(automaton: Automaton, raw: bytes) -> tuple[int, np.ndarray | None, set[str], list[bytes]]:
+def _hits(automaton: Automaton, raw: bytes) -> tuple[int, np.ndarray | None, set[str | None], list[bytes]]:
     words = _WORD.findall(raw.translate(kernel.LOWER_BYTES))
     known = automaton.vocabulary.get
     codes = [known(w, 0) for w in words]
@@ -214,7 +215,7 @@ def automaton_of(benchmark: DataFrame, min_words: int = MIN_WORDS) -> Automaton:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; at most {MAX_BENCHMARK_BYTES} go to each task")
-    rows = items.where("item_id is not null and text is not null").collect()
+    rows = items.where("text is not null").collect()
     return Automaton([(r.item_id, _WORD.findall(r.text.encode().translate(kernel.LOWER_BYTES))) for r in rows], min_words)
 
 
@@ -223,7 +224,7 @@ _SQL = "doc_id long, n_words long, n_hit long, items array<string>"
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document: its words, how many are hit, and the items with occurring windows, sorted."""
+    """Per document: its words, how many are hit, and the named items with occurring windows, sorted."""
     spark = documents.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(automaton_of(benchmark, min_words))
@@ -237,7 +238,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_words: int = M
                     count, mask, names, _ = _hits(automaton, raw)
                     n.append(count)
                     hit.append(0 if mask is None else int(mask.sum()))
-                    items.append(sorted(names))
+                    items.append(sorted(names - {None}))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip((n, hit, items), list(_SCHEMA)[1:], strict=True))], schema=_SCHEMA)
 
     return texts_of(documents).mapInArrow(scan, _SQL)

@@ -55,7 +55,7 @@ CONTAMINATION = f"""
 with d as (select doc_id, regexp_extract_all({_LOWER}, {_FOLDED}) as ws from documents),
 b as (
  select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, {_FOLDED}) as ws
- from benchmark where item_id is not null),
+ from benchmark),
 t as (
  select distinct item, least(len(ws), 10) as n, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') as phrase
  from b, unnest(range(1, greatest(len(ws) - 9, least(len(ws), 1)) + 1)) u(i)),
@@ -64,7 +64,7 @@ hit as (
  from d, (select distinct n from t) k, unnest(range(1, greatest(len(ws) - k.n + 2, 1))) u(i)
  join t on t.n = k.n and t.phrase = array_to_string(ws[i : i + k.n - 1], ' ')),
 words as (select doc_id, count(distinct i + k) as n from hit, unnest(range(0, n)) u(k) group by 1),
-items as (select doc_id, string_agg(item, ',' order by item) as names, count(*) as n from (select distinct doc_id, item from hit) x group by 1)
+items as (select doc_id, string_agg(item, ',' order by item) as names, count(item) as n from (select distinct doc_id, item from hit) x group by 1)
 select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(words.n, 0) as n_hit, coalesce(items.n, 0) as n_items,
  sha256(coalesce(items.names, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
 from d left join words on words.doc_id = d.doc_id left join items on items.doc_id = d.doc_id"""

@@ -71,10 +71,10 @@ def contamination(docs, items, k=10):
     windows = {}
     for item_id, text in items:
         w = folded_words(text)
-        if item_id is None or not w:
+        if not w:
             continue
         for i in range(max(1, len(w) - k + 1)):
-            windows.setdefault(tuple(w[i : i + k]), set()).add(str(item_id))
+            windows.setdefault(tuple(w[i : i + k]), set()).add(None if item_id is None else str(item_id))
     lengths = {len(w) for w in windows}
     out = []
     for doc_id, text in docs:
@@ -85,6 +85,7 @@ def contamination(docs, items, k=10):
                 if own := windows.get(tuple(w[i : i + n])):
                     hit |= set(range(i, i + n))
                     names |= own
+        names.discard(None)  # hit, but without a name
         out.append((doc_id, len(w), len(hit), len(names), sha(",".join(sorted(names))), bool(hit)))
     return out
 

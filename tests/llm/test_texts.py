@@ -76,15 +76,15 @@ def test_forced_boundaries_never_move_the_pretokenizer():
         assert bpe.decode(packed) == bpe.tokenizer.decode(want, skip_special_tokens=False)
 
 
-ITEMS = [(0, "a b c d e f g h i j k l m"), (1, "Short one"), (2, "short ONE"), (3, None), (4, "..."), (10, "f g h i j k l m n o p"), (5, "x"), (None, "the of")]
+ITEMS = [(0, "a b c d e f g h i j k l m"), (1, "Short one"), (2, "short ONE"), (3, None), (4, "..."), (10, "f g h i j k l m n o p"), (5, "x"), (None, "the of"), (None, "q r s t u v w x y z A b"), (None, "q r s t u v w x y z aa"), (None, None)]
 
 
 def test_contamination(spark, request):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for name in TABLES:
         df, rows = data_of(request, name)
-        rows += [(9001, "zz A b C d e f g h i j k l m n o p q"), (9002, "a short one, x-y x"), (9003, "b c d e f g h i j k"), (9004, "a b c d e f g h i")]
-        df = df.select("doc_id", "text").union(spark.createDataFrame(rows[-4:], "doc_id long, text string"))
+        rows += [(9001, "zz A b C d e f g h i j k l m n o p q"), (9002, "a short one, x-y x"), (9003, "b c d e f g h i j k"), (9004, "a b c d e f g h i"), (9005, "the of q r s t u v w x y z a")]
+        df = df.select("doc_id", "text").union(spark.createDataFrame(rows[-5:], "doc_id long, text string"))
         got = contamination(df, items).selectExpr("doc_id", "n_words", "n_hit", "cast(size(items) as long) n", "sha2(array_join(items, ','), 256) s", "n_hit > 0 c")
         assert tuples(got, "doc_id", "n_words", "n_hit", "n", "s", "c") == sorted(brute.contamination(rows, ITEMS), key=repr)
 
