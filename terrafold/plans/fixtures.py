@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
@@ -122,15 +124,20 @@ from events group by user_id""",
 }
 
 
+def _reads(view: str, name: str) -> bool:
+    """Whether the text of a view has a table or view after one of its FROMs and JOINs."""
+    return re.search(rf"\b(?:from|join)\s+{name}\b", VIEWS[view]) is not None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or one of the views over them."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     for inner in VIEWS:
-        if f" {inner} " in f" {VIEWS[name]} ".replace("\n", " "):
+        if _reads(name, inner):
             table(spark, sf_dir, inner).createOrReplaceTempView(inner)
     for base in TABLES:
-        if f" {base} " in f" {VIEWS[name]} ".replace("\n", " "):
+        if _reads(name, base):
             spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
     return spark.sql(VIEWS[name])
 
