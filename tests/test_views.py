@@ -17,3 +17,7 @@ def test_a_view_finds_its_tables(spark, name):
 
 def test_flawed_rings_alone(spark):
     assert QUERIES["flawed_rings"](spark.newSession(), SF).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def test_landed_shapes_alone(spark):
+    assert not QUERIES["landed_shapes"](spark.newSession(), SF).isEmpty()
