@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import defaultdict
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.runtime import materialise, release
+from terrafold.runtime import materialise, release, ship
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -36,39 +42,98 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Written rounds between two sweeps of the table of best distances.
 SWEEP = 8
+#: What the nodes of a block weigh together: each as many as its links, at most the root of this. So a block holds a few times as many links at most.
+BLOCK = 1 << 16
+
+
+def _dealt(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block) and (block, a, b, length_m, to): the nodes in ranges, each a block, and the links with the blocks of their ends."""
+    weight = links.groupBy("a").agg(F.least(F.count("*"), F.lit(math.isqrt(BLOCK))).cast("int").alias("weight"))
+    parts = math.ceil((weight.agg(F.sum("weight")).first()[0] or 0) / BLOCK) or 1
+    ranged = weight.select("a", F.explode(F.sequence(F.lit(1), "weight"))).select(F.col("a").alias("node")).repartitionByRange(parts, "node")
+    blocks = materialise(ranged.withColumn("block", F.spark_partition_id()).distinct(), "blocks")
+    side = lambda end, block: blocks.select(F.col("node").alias(end), F.col("block").alias(block))
+    return blocks, materialise(links.join(side("a", "block"), "a").join(side("b", "to"), "b").select("block", "a", "b", "length_m", "to"), "dealt")
+
+
+def _settled(most_m: float | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What falls in a block by offers (``fresh``) beside what is known, followed along the block's own links until nothing does."""
+
+    def run(given: pa.Table, links: pa.Table) -> pa.Table:
+        best, offers, fell = {}, [], {}
+        for i, (node, distance, label, fresh) in enumerate(zip(*(given[c].to_pylist() for c in ("node", "distance_m", "label", "fresh")), strict=True)):
+            own = (distance, label is not None, label)  # no label is less than any
+            if fresh:
+                offers.append((own, i, node))
+            else:
+                best[node] = own
+        near = defaultdict(list)
+        if offers:
+            for a, b, length in zip(*(links[c].to_pylist() for c in ("a", "b", "length_m")), strict=True):
+                near[a].append((b, length))
+        heapq.heapify(offers)
+        count = given.num_rows
+        while offers:
+            own, _, node = heapq.heappop(offers)
+            if node in best and best[node] <= own:
+                continue
+            best[node] = fell[node] = own
+            for b, length in near.get(node, ()):
+                new = (own[0] + length, *own[1:])
+                if (most_m is None or new[0] <= most_m) and (b not in best or new < best[b]):
+                    count += 1
+                    heapq.heappush(offers, (new, count, b))
+        block = given["block"][0].as_py() if fell else None
+        rows = {"block": [block] * len(fell), "node": list(fell), "distance_m": [v[0] for v in fell.values()], "label": [v[2] for v in fell.values()]}
+        return pa.table([pa.array(rows[f.name], f.type) for f in given.schema if f.name in rows], names=[f.name for f in given.schema if f.name in rows])
+
+    return run
 
 
 def distances(edges: DataFrame, seeds: DataFrame, most_m: float | None = None) -> DataFrame:
     """(node, distance_m, label): the exact distance to the nearest seed (node, cost_m, label), ties to the smaller label.
 
-    Each round offers the edges of the frontier, the nodes that fell in the last one, and
-    keeps the offers that beat what is known; it ends when none does. A round writes its
-    frontier only. What is known is the written table and the frontiers since; every
-    SWEEP rounds they become one table again. Distances above most_m are not followed.
+    Nodes lie in blocks, ranges of their names. A round takes the offers that the last one
+    made to nodes of other blocks, follows those that beat what is known along the links
+    inside each block, and offers the links that leave it what fell. It ends when nothing
+    does, so there are as many rounds as the longest of the shortest paths changes blocks,
+    few where neighbours have names near each other. A round writes its offers and what
+    fell. What is known is the written table and what fell since; every SWEEP rounds they
+    become one table again. Distances above most_m are not followed.
     """
-    links = materialise(both_ways(edges), "links")
-    least = lambda df: df.groupBy("node").agg(F.min(F.struct("distance_m", "label")).alias("best")).select("node", "best.*")
-    frontier = materialise(least(seeds.select("node", F.col("cost_m").alias("distance_m"), "label")), "frontier")
-    whole, since = frontier, []
-    while not frontier.isEmpty():
-        reach = frontier.join(links, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), "label")
-        if most_m is not None:
-            reach = reach.where(F.col("distance_m") <= most_m)
-        offers = least(reach)
+    ship(edges.sparkSession)
+    links = both_ways(edges).where("a is not null and b is not null and length_m is not null").groupBy("a", "b").agg(F.min("length_m").cast("double").alias("length_m"))
+    links = materialise(links, "links")
+    blocks, dealt = _dealt(links)
+    inner, outer = dealt.where("block = to").drop("to"), dealt.where("block <> to").drop("block")
+    row = ("block", "node", "distance_m", "label")
+    least = lambda df: df.groupBy("block", "node").agg(F.min(F.struct("distance_m", "label")).alias("best")).select("block", "node", "best.*")
+    # seeds that no edge has lie beside the blocks
+    apart = -1 - F.pmod(F.hash("node"), F.lit(1024))
+    given = seeds.where("cost_m is not null").join(blocks, "node", "left").select(F.coalesce("block", apart).alias("block"), "node", F.col("cost_m").cast("double").alias("distance_m"), "label")
+    offers = materialise(least(given), "offers")
+    whole, since = edges.sparkSession.createDataFrame([], offers.schema), []
+    while not offers.isEmpty():
+        open_ = offers.select("block").distinct()
         known = whole
         for part in since:
             known = known.unionByName(part)
-        # only what is known of the nodes on offer takes part
-        known = least(known.join(offers.select("node"), "node", "left_semi")).select("node", F.struct("distance_m", "label").alias("known"))
-        better = offers.join(known, "node", "left").where(F.col("known").isNull() | (F.struct("distance_m", "label") < F.col("known")))
-        frontier = materialise(better.select("node", "distance_m", "label"), "frontier")
+        known = least(known.join(open_, "block", "left_semi"))
+        both = offers.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False)))
+        there = inner.join(open_, "block", "left_semi")
+        fell = both.groupBy("block").cogroup(there.groupBy("block")).applyInArrow(_settled(most_m), offers.schema)
+        frontier = materialise(fell, "frontier")
+        release(offers)
         since.append(frontier)
+        reach = frontier.join(outer, F.col("node") == F.col("a")).select(F.col("to").alias("block"), F.col("b").alias("node"), (F.col("distance_m") + F.col("length_m")).alias("distance_m"), "label")
+        if most_m is not None:
+            reach = reach.where(F.col("distance_m") <= most_m)
+        offers = materialise(least(reach).select(*row), "offers")
         if len(since) == SWEEP:
-            # the frontier itself is still read
-            whole, since = _folded(whole, since[:-1], least), since[-1:]
+            whole, since = _folded(whole, since, least), []
     out = _folded(whole, since, least)
-    release(links)
-    return out
+    release(links, blocks, dealt, offers)
+    return out.select("node", "distance_m", "label")
 
 
 def _folded(whole: DataFrame, since: list[DataFrame], least) -> DataFrame:
