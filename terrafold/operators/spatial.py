@@ -11,6 +11,8 @@ from terrafold.runtime import materialise
 
 #: Degrees of a cell; an area is found in every cell that its box touches.
 CELL = 0.02
+#: Rows around a row beyond which its nearest are sought by the tree.
+CROWD = 2048
 
 
 def edges_of_rings(areas: DataFrame, key: str = "area_id", ring: str = "ring") -> DataFrame:
@@ -106,8 +108,8 @@ def points_in_circles(circles: DataFrame, points: DataFrame, radius: str, size:
     return met.where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= F.col(radius))
 
 
-def within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of left and right rows at most radius_m apart, with distance_m. right: r_lat, r_lon and other columns of its own.
+def _celled(left: DataFrame, right: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cells (cell_x, cell_y) in which all pairs at most radius_m apart meet, once each.
 
     Cells lie in bands of latitude, each with as many around the earth as its latitude
     allows, so the radius reaches into the next cell at most, at any latitude and across the
@@ -121,6 +123,12 @@ def within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     own, _ = nearest_rows.band_cells("r_lat", "r_lon", radius_m)
     there = right.withColumn("cell_y", F.explode(F.array(own - 1, own, own + 1))).withColumn("_n", around(F.col("cell_y"))).withColumn("_at", in_round("r_lon", F.col("_n")))
     there = there.withColumn("cell_x", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("_at") + i, F.col("_n")) for i in (-1, 0, 1)))))).drop("_n", "_at")
+    return here, there
+
+
+def within(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of left and right rows at most radius_m apart, with distance_m. right: r_lat, r_lon and other columns of its own."""
+    here, there = _celled(left, right, radius_m)
     met = here.join(there, ["cell_x", "cell_y"]).withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return met.where(F.col("distance_m") <= radius_m).drop("cell_x", "cell_y")
 
@@ -134,10 +142,14 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius_m: float, key: str
 def nearest_anywhere(left: DataFrame, right: DataFrame, k: int, start_m: float, key: str, tie: str) -> DataFrame:
     """The k nearest right rows of each left row, however far; fewer only where the right side has fewer.
 
-    Rows that find k within start_m are done, since nothing outside is nearer; the others
-    search the tree of ``nearest.k_nearest``.
+    Rows that find k within start_m are done, since nothing outside is nearer; the others,
+    and those that would meet more than CROWD rows there, search the tree of
+    ``nearest.k_nearest``, so that no row meets more and more as the right side grows.
     """
-    found = materialise(nearest(left, right, k, start_m, key, tie), "nearest")
+    here, there = _celled(left, right, start_m)
+    crowded = there.groupBy("cell_x", "cell_y").count().where(F.col("count") > CROWD).select("cell_x", "cell_y")
+    quiet = here.join(crowded, ["cell_x", "cell_y"], "left_anti").select(*left.columns)
+    found = materialise(nearest(quiet, right, k, start_m, key, tie), "nearest")
     full = found.groupBy(key).count().where(F.col("count") == k).select(key)
     rest = materialise(left.join(full, key, "left_anti"), "unanswered")
     done = found.join(full, key, "left_semi")

@@ -87,3 +87,14 @@ def test_a_crowd_is_met_at_its_edge(spark):
         opened = frontier.where("not leaf").select("row", "x", "y", "z", F.col("node").alias("parent")).join(level, "parent").drop("parent")
         frontier = frontier.where("leaf").unionByName(opened)
     assert nearest._pruned(frontier, 5).agg(F.sum("n")).first()[0] < 1000
+
+
+def test_a_crowd_within_the_radius_is_left_to_the_tree(spark, monkeypatch):
+    met = []
+    keep = spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: met.append(keep(*a)) or met[-1])
+    right = [(i, 40 + i / 1e6, -3.0) for i in range(spatial.CROWD + 1)] + [(10_000 + i, 50 + i / 1000, 5.0) for i in range(5)]
+    left = [(i, 40.0, -3 + i / 1e6) for i in range(20)] + [(100, 50.0, 5.0)]
+    got = spatial.nearest_anywhere(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), 3, 3000.0, "key", "id").collect()
+    check(got, left, right, 3)
+    assert {r.key for r in met[0].select("key").distinct().collect()} == {100}
