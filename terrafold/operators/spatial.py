@@ -157,15 +157,22 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, k: int, start_m: float,
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, radius_m: float, key: str = "id", size: float = 0.01) -> DataFrame:
-    """(key, segment, offset_m): the nearest segment (segment, x0, y0, x1, y1) within a radius; ties, to a micrometre, go to the lowest number."""
+    """(key, segment, offset_m): the nearest segment (segment, x0, y0, x1, y1) within a radius; ties, to a micrometre, go to the lowest number.
+
+    Segments are laid through all cells that the radius reaches from their box, points stand
+    in one, so a point meets a segment once.
+    """
     reach = radius_m / geo.METRES_PER_DEGREE
-    wide = F.lit(reach) / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
-    px, py = _cells(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - reach, F.col("lat") + reach, size)
-    sx, sy = _cells(F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("y0", "y1"), F.greatest("y0", "y1"), size)
-    spread = points.select(key, "lat", "lon", F.explode(px).alias("cell_x"), py.alias("ys")).withColumn("cell_y", F.explode("ys")).drop("ys")
-    laid = segments.withColumn("cell_x", F.explode(sx)).withColumn("cell_y", F.explode(sy))
+    south, north = F.least("y0", "y1") - reach, F.greatest("y0", "y1") + reach
+    # degrees of longitude are shortest at the highest latitude that the radius reaches
+    wide = F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(north))))), F.lit(0.01))
+    boxed = segments.withColumns({"west": F.least("x0", "x1") - wide, "east": F.greatest("x0", "x1") + wide, "south": south, "north": north})
+    sx, sy = _cells(F.col("west"), F.col("east"), F.col("south"), F.col("north"), size)
+    laid = boxed.withColumn("cell_x", F.explode(sx)).withColumn("cell_y", F.explode(sy))
+    placed = points.select(key, "lat", "lon", _cell(F.col("lon"), size).alias("cell_x"), _cell(F.col("lat"), size).alias("cell_y"))
+    near = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
     offset = F.element_at(geo.edge_distances_m(F.col("lat"), F.col("lon"), F.array(F.struct("x0", "y0", "x1", "y1"))), 1)
-    met = spread.join(laid, ["cell_x", "cell_y"]).withColumn("offset_m", offset).where(F.col("offset_m") <= radius_m)
+    met = placed.join(laid, ["cell_x", "cell_y"]).where(near).withColumn("offset_m", offset).where(F.col("offset_m") <= radius_m)
     return met.groupBy(key).agg(F.min(F.struct(F.round("offset_m", 6).alias("near"), "segment", "offset_m")).alias("best")).select(key, "best.segment", "best.offset_m")
 
 
