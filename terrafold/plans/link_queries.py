@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import links
 from terrafold.plans.registry import query
+from terrafold.runtime import shuffle_partitions
 
 _CIRCLE = "printf('%.5f%%2C%.5f%%2C%d', lat, lon, cast(radius_m as int)"
 
@@ -52,7 +53,9 @@ def shared_states(view):
         metric=F.when(i % 3 == 0, F.struct(F.lit("stays").alias("id"), (i % 2 == 1).alias("locked"))),
     )
     told = F.when(i % 20 == 1, F.regexp_replace(link, "^v=1", "v=2")).when(i % 20 == 2, F.regexp_replace(link, "^v=1&", "")).otherwise(link)
-    read = links.read_links(view("questions").select("id", told.alias("link")), "link", snapshot="current", known={"code": [str(c) for c in range(25)]})
+    q = view("questions")
+    q = q.repartition(shuffle_partitions(q.sparkSession), "id")  # a state takes long and few bytes, so a split of a file holds far too many
+    read = links.read_links(q.select("id", told.alias("link")), "link", snapshot="current", known={"code": [str(c) for c in range(25)]})
     issues = F.array_join(F.transform("issues", lambda x: F.concat(x["dimension"], F.lit(":"), x["code"])), ",")
     held = F.col("state.ring_a")
     return read.select("id", "link", "outcome", "snapshot_status", issues.alias("issues"), F.col("state.lens_b.radius_m").alias("radius_b"), F.when(held.isNotNull(), F.size(held)).alias("vertices_a"), F.col("state.window.first").alias("first_day"))

@@ -98,3 +98,9 @@ def test_rings_that_do_not_fit_are_named(spark):
 
     assert set(drawn(24, 0)) == {"ga"} and drawn(25, 3) == {"gx": "AB"} and drawn(0, 25) == {"gx": "B"} and drawn(0, 0) == {}
     assert drawn(24, 24) == {"gx": "AB"}  # both fit, but not together
+
+
+def test_states_of_one_split_are_dealt(spark):
+    from terrafold.plans.catalog import QUERIES
+
+    assert QUERIES["shared_states"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
