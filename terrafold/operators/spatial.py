@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geo
 from terrafold.operators import nearest as nearest_rows
-from terrafold.runtime import materialise
+from terrafold.runtime import materialise, shuffle_partitions
 
 #: Degrees of a cell; an area is found in every cell that its box touches.
 CELL = 0.02
@@ -170,6 +170,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, radius_m: float, key
     sx, sy = _cells(F.col("west"), F.col("east"), F.col("south"), F.col("north"), size)
     laid = boxed.withColumn("cell_x", F.explode(sx)).withColumn("cell_y", F.explode(sy))
     placed = points.select(key, "lat", "lon", _cell(F.col("lon"), size).alias("cell_x"), _cell(F.col("lat"), size).alias("cell_y"))
+    # distances take long and points few bytes; what is grouped later is dealt now
+    placed = placed.repartition(shuffle_partitions(points.sparkSession), key)
     near = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
     offset = F.element_at(geo.edge_distances_m(F.col("lat"), F.col("lon"), F.array(F.struct("x0", "y0", "x1", "y1"))), 1)
     met = placed.join(laid, ["cell_x", "cell_y"]).where(near).withColumn("offset_m", offset).where(F.col("offset_m") <= radius_m)

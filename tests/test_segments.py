@@ -20,3 +20,6 @@ def test_points_are_not_spread(spark):
     want = every.groupBy("id").agg(F.min_by("segment", "offset_m").alias("segment"))
     assert {(r.id, r.segment) for r in got.collect()} == {(r.id, r.segment) for r in want.collect()}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2  # both of the segments' cells
+    assert points.coalesce(1).rdd.getNumPartitions() == 1
+    one = spatial.nearest_segment(points.coalesce(1), segments, 1500.0)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
