@@ -1,7 +1,7 @@
 """The registry's questions asked by the table: one evidence row, or one reasoned abstention, for each row of questions.
 
 Rows of one shape are answered together by joins, so a million circles cost a spatial join
-and no loop. The rules are those of ``evidence.Registry``: flags are screened first, a window
+and no loop, and licences are counted in them without a row for each pair. The rules are those of ``evidence.Registry``: flags are screened first, a window
 is put in order and clamped, zero is an answer and a missing record is not.
 """
 
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.operators import linkage, series, spatial
+from terrafold.operators import circles, linkage, series, spatial
 from terrafold.operators.evidence import FAMILIES, PROHIBITED, clamp_window
 
 #: What a row of questions may hold; a shape reads its own columns only.
@@ -84,10 +84,11 @@ class Answers:
         low_, high_ = F.lit(low), F.lit(high)
         covered = (F.col("d1") >= low_) & (F.col("d0") <= high_)
         window = put.withColumns({"covered": covered, "from": F.greatest("d0", low_), "to": F.least("d1", high_), "clamped": (F.col("d0") < low_) | (F.col("d1") > high_)})
-        circles = window.where("covered").select("id", "lat", "lon", "radius_m", "from", "to")
-        points = licences.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "family", "grant_date")
-        held = spatial.points_in_circles(circles, points, "radius_m").where(F.col("grant_date").between(F.col("from"), F.col("to")))
-        counts = held.groupBy("id").agg(*(F.count_if(F.col("family") == f).alias(f"n_{f}") for f in FAMILIES))
+        every = F.array(*map(F.lit, FAMILIES))
+        asked = F.when(F.coalesce(F.size("families") <= 0, F.lit(True)), every).otherwise(F.array_intersect(every, F.col("families")))
+        lenses = window.where("covered").select("id", F.explode(asked).alias("kind"), "lat", "lon", "radius_m", F.col("from").alias("first"), F.col("to").alias("last"))
+        held = circles.count_in_circles(lenses, licences.withColumnsRenamed({"family": "kind", "grant_date": "day"}))
+        counts = held.groupBy("id").agg(*(F.sum(F.when(F.col("kind") == f, F.col("n"))).alias(f"n_{f}") for f in FAMILIES))
         named = lambda f: F.when(F.coalesce(F.size("families") <= 0, F.lit(True)) | F.array_contains("families", f), F.concat(F.lit(f'"{f}":'), F.coalesce(f"n_{f}", F.lit(0)).cast("string")))
         value = F.concat(F.lit("{"), F.concat_ws(",", *map(named, FAMILIES)), F.lit("}"))
         applied = F.format_string('{"first":"%s","last":"%s","clamped":%s}', F.col("from").cast("string"), F.col("to").cast("string"), F.col("clamped").cast("string"))

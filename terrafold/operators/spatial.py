@@ -97,17 +97,6 @@ def circles_meet_areas(circles: DataFrame, areas: DataFrame, radius_m: float | s
     return pairs.where(meets).select(key, "area_id")
 
 
-def points_in_circles(circles: DataFrame, points: DataFrame, radius: str, size: float = CELL) -> DataFrame:
-    """Each circle (its columns, with lat, lon and a radius in metres) with each point (p_lat, p_lon and other columns) in it, inclusive; circles are spread over the cells that they touch."""
-    reach = F.col(radius) / geo.METRES_PER_DEGREE
-    wide = reach / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
-    xs, ys = _cells(F.col("lon") - wide, F.col("lon") + wide, F.col("lat") - reach, F.col("lat") + reach, size)
-    spread = circles.withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
-    placed = points.withColumn("cell_x", _cell(F.col("p_lon"), size)).withColumn("cell_y", _cell(F.col("p_lat"), size))
-    met = spread.join(placed, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
-    return met.where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= F.col(radius))
-
-
 def _celled(left: DataFrame, right: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
     """Both sides with cells (cell_x, cell_y) in which all pairs at most radius_m apart meet, once each.
 
