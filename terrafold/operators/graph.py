@@ -49,9 +49,16 @@ BLOCK = 1 << 16
 def _dealt(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, block) and (block, a, b, length_m, to): the nodes in ranges, each a block, and the links with the blocks of their ends."""
     weight = links.groupBy("a").agg(F.least(F.count("*"), F.lit(math.isqrt(BLOCK))).cast("int").alias("weight"))
-    parts = math.ceil((weight.agg(F.sum("weight")).first()[0] or 0) / BLOCK) or 1
+    total = weight.agg(F.sum("weight")).first()[0] or 1
+    parts = math.ceil(total / BLOCK)
     ranged = weight.select("a", F.explode(F.sequence(F.lit(1), "weight"))).select(F.col("a").alias("node")).repartitionByRange(parts, "node")
-    blocks = materialise(ranged.withColumn("block", F.spark_partition_id()).distinct(), "blocks")
+    pieces = materialise(ranged.withColumn("piece", F.spark_partition_id()).groupBy("piece", "node").agg(F.count("*").alias("weight")), "pieces")
+    # a session may give more ranges than were asked for, and each block more is a round more: ranges become blocks by what they weigh
+    sizes = pieces.groupBy("piece").agg(F.sum("weight").alias("weight"))
+    middle = F.sum("weight").over(Window.orderBy("piece")) - F.col("weight") / 2  # one row for each range
+    of = sizes.select("piece", F.floor(middle * parts / total).cast("int").alias("block"))
+    blocks = materialise(pieces.join(of, "piece").select("node", "block"), "blocks")
+    release(pieces)
     side = lambda end, block: blocks.select(F.col("node").alias(end), F.col("block").alias(block))
     return blocks, materialise(links.join(side("a", "block"), "a").join(side("b", "to"), "b").select("block", "a", "b", "length_m", "to"), "dealt")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.operators import graph
 
@@ -48,3 +49,16 @@ def test_blocks_of_any_size(spark, monkeypatch, block, most_m):
     seeds = [(3, 0.0, "b"), (7, 0.0, "a"), (7, 0.0, "c"), (45, 1.0, None), (50, 1.0, "z"), (999, 2.0, "alone")]
     got = graph.distances(spark.createDataFrame(edges, EDGES), spark.createDataFrame(seeds, SEEDS), most_m).collect()
     assert {r.node: (r.distance_m, r.label) for r in got} == brute(edges, seeds, most_m) and len(got) == len({r.node for r in got})
+
+
+def test_blocks_follow_the_links_and_not_the_ranges(spark, monkeypatch):
+    chain = spark.range(400).selectExpr("id a", "id + 1 b", "1D length_m")
+    frame = type(chain)
+    asked = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *names: asked(self, max(n, 40), *names))
+    blocks, _ = graph._dealt(graph.both_ways(chain))
+    assert [r.n for r in blocks.groupBy("block").agg(F.count("*").alias("n")).collect()] == [401]
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    blocks, _ = graph._dealt(graph.both_ways(chain))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).orderBy("block").collect()
+    assert len(sizes) == 8 and all(r.last - r.first + 1 == r.n <= 100 for r in sizes)
