@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators import circles, linkage, series, spatial
 from terrafold.operators.evidence import FAMILIES, PROHIBITED, clamp_window
+from terrafold.runtime import materialise
 
 #: What a row of questions may hold; a shape reads its own columns only.
 QUESTIONS = "id long, shape string, flags array<string>, families array<string>, lat double, lon double, radius_m double, first date, last date, code int, edition string, a int, b int, source string"
@@ -31,7 +32,13 @@ class Answers:
     """view: gives licences, area_edges, editions, population and monthly by name; sources: the register (id, scope, unit, reference_date, state, ceiling)."""
 
     def __init__(self, view: Callable[[str], DataFrame], sources: list[tuple]) -> None:
-        self.view, self.sources = view, sources
+        self.view, self.sources, self.written = view, sources, {}
+
+    def _once(self, name: str) -> DataFrame:
+        """A view that several shapes read, worked out once: the plan of ten shapes would hold it many times."""
+        if name not in self.written:
+            self.written[name] = materialise(self.view(name), name)
+        return self.written[name]
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """(id and the columns of evidence) for each question."""
@@ -96,7 +103,7 @@ class Answers:
         return self._of(out, "LICENCES_IN_LENS", F.when(F.col("covered"), value), F.when(F.col("covered"), applied), F.when(~F.col("covered"), "OUTSIDE_COVERAGE"))
 
     def _polygons(self) -> DataFrame:
-        return spatial.polygons(self.view("area_edges"), "district_id")
+        return spatial.polygons(self._once("area_edges"), "district_id")
 
     def _located(self, q: DataFrame) -> DataFrame:
         return spatial.locate(q.select("id", "lat", "lon"), self._polygons())
@@ -109,17 +116,17 @@ class Answers:
         return self._of(q.select("id").join(met, "id", "left"), "AREAS_IN_LENS", F.col("value"))
 
     def _edition(self, q: DataFrame, column: str) -> DataFrame:
-        e = self.view("editions").groupBy("edition", "code").agg(F.max(column).alias("value"))
+        e = self._once("editions").groupBy("edition", "code").agg(F.max(column).alias("value"))
         asked = q.select("id", "code", F.coalesce("edition", F.lit("current")).alias("edition"))
         return self._of(asked.join(e, ["edition", "code"], "left"), f"AREA_{column.upper()}", F.col("value"))
 
     def _diff(self) -> DataFrame:
-        side = lambda name: self.view("editions").where(F.col("edition") == name)
+        side = lambda name: self._once("editions").where(F.col("edition") == name)
         found = linkage.classify_editions(side("previous"), side("current"), "code", "phase", "quantity")
         return found.agg(F.to_json(F.struct(*(F.count_if(F.col("outcome") == o).alias(o) for o in linkage.EDITION_OUTCOMES))).alias("value"))
 
     def _demand(self) -> DataFrame:
-        yoy = series.year_over_year(self.view("monthly"), "period", "travellers")
+        yoy = series.year_over_year(self._once("monthly"), "period", "travellers")
         return yoy.agg(F.max_by(F.struct("period", "travellers", F.col("state").alias("change_state")), "period").alias("v")).select(F.to_json("v").alias("value"))
 
     def _whole(self, q: DataFrame, shape: str, one: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ class Answers:
         return self._of(q.select("id", F.lit(1).alias("k")).join(F.broadcast(one.withColumn("k", F.lit(1))), "k", "left"), shape, F.col("value"))
 
     def _compare(self, q: DataFrame) -> DataFrame:
-        p = self.view("population").select("area_id", "residents")
+        p = self._once("population").select("area_id", "residents")
         side = lambda name: p.select(F.col("area_id").alias(name), F.col("residents").alias(f"{name}_residents"))
         both = q.select("id", "a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
         return self._of(both, "AREA_COMPARE", F.col("b_residents") - F.col("a_residents"))
@@ -137,5 +144,5 @@ class Answers:
         return self._of(q, "SOURCE_PROVENANCE", known, reason=F.when(known.isNull(), "UNKNOWN_SOURCE"), source=known)
 
     def _profile(self, q: DataFrame) -> DataFrame:
-        at = self._located(q).select("id", "area_id").join(self.view("population"), "area_id", "left")
+        at = self._located(q).select("id", "area_id").join(self._once("population"), "area_id", "left")
         return self._of(at, "AREA_PROFILE", F.when(F.col("area_id").isNotNull(), F.to_json(F.struct("area_id", "district_id", "residents"))))
