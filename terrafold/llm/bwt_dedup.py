@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm import kernel
-from terrafold.llm.phrase_index import FOUND_SQL, LOCAL, answers, any_held, bucket_of, dealt_flags, deliver, held_before, mail, read_answers
-from terrafold.llm.rows import NO_ID, buckets_for, row_keyed, text_bytes
+from terrafold.llm.phrase_index import CHUNK_BYTES, FOUND_SQL, LOCAL, MAIL_SQL, Answers, Narrow, Owners, answers, as_batch, bucket_of, deliver, gathered, held_before, mail, mailed, passed_on, runs_of, unpacked_owners, whole, widened
+from terrafold.llm.rows import buckets_for, row_keyed, text_bytes
 from terrafold.runtime import ship
 
 WIDTH = 50
@@ -57,8 +57,12 @@ FINER = 4
 CROWD = 1 << 14
 #: Bytes of text for which there is a bucket of the phrase index, which gets about as many bytes of hashes.
 BUCKET_BYTES = 16 << 20
-#: Senders whose fragments make one shard of a bucket.
-SHARD_ROWS = 32
+#: Bytes of contested fragments that are sent together.
+SEND_BYTES = 4 << 20
+#: Bytes of fragments that make one shard of a bucket, with the last sender's.
+SHARD_BYTES = 1 << 17
+#: Places whose anchors are sought at a time, so that their hashes stay in the processor's cache.
+PIECE = 1 << 14
 
 _U = np.uint64
 
@@ -78,26 +82,45 @@ class Fragments:
             self.first, self.last, self.text, self.place, self.hash, self.prefix = empty, empty, empty, *(empty.astype(_U) for _ in range(3))
             return
         prefix = self.prefix = kernel.prefix_hash(self.data)
-        grams = prefix[gram:] - prefix[:-gram]
-        grams *= kernel.tables(n + 1)[1][: len(grams)]
+        anchor = _anchors(prefix, width, gram)
+        begins = self.begin[:-1]
+        ends = begins + np.maximum(np.diff(self.begin) - (width - 1), 0)
+        edge = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        stop = np.minimum(ends, len(edge))
+        edge[kernel.ramps(stop, np.minimum(self.begin[1:], len(edge)) - stop)] = False  # no string begins in a text's last bytes
+        some = ends > begins
+        edge[begins[some]] = True
+        self.first = np.flatnonzero(edge)
+        self.text = np.searchsorted(self.begin, self.first, "right") - 1
+        self.last = np.append(self.first[1:] - 1, 0)[: len(self.first)]
+        final = np.flatnonzero(np.diff(self.text, append=-1))
+        self.last[final] = ends[self.text[final]] - 1
+        at = anchor[self.first].astype(np.int64)
+        self.place = kernel.slice_hash(prefix, at, at + gram)
+        self.hash = kernel.mix(kernel.slice_hash(prefix, self.first, self.last + width) ^ (self.place * _U(kernel._STEP)))
+
+
+def _anchors(prefix: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Where the anchor of the string at each place begins, text ends or not."""
+    n, span = len(prefix) - width, width - gram + 1
+    inverse, place = kernel.tables(len(prefix))[1], np.arange(PIECE + span, dtype=_U)
+    out = np.empty(n, np.int32)
+    for a in range(0, n, PIECE):
+        b = min(a + PIECE, n)
+        m = b - a + span - 1
+        grams = prefix[a + gram : a + gram + m] - prefix[a : a + m]
+        grams *= inverse[a : a + m]
         grams *= _U(0xFF51AFD7ED558CCD)
         grams &= _U(0xFFFFFFFF00000000)
-        grams |= np.arange(len(grams), dtype=_U)
-        reach, span = 1, width - gram + 1
+        grams |= place[:m]
+        reach = 1
         while 2 * reach <= span:
             grams = np.minimum(grams[:-reach], grams[reach:])
             reach *= 2
         if span > reach:
             grams = np.minimum(grams[: -(span - reach)], grams[span - reach :])
-        counts = np.maximum(np.diff(self.begin) - (width - 1), 0)
-        start = kernel.ramps(self.begin[:-1], counts)
-        anchor = (grams[start] & _U(0xFFFFFFFF)).astype(np.int64)
-        text = np.repeat(np.arange(len(counts)), counts)
-        edge = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))) if len(start) else np.zeros(0, np.int64)
-        self.first, self.text = start[edge], text[edge]
-        self.last = start[np.append(edge[1:], len(start)) - 1] if len(start) else start
-        self.place = kernel.slice_hash(prefix, anchor[edge], anchor[edge] + gram)
-        self.hash = kernel.mix(kernel.slice_hash(prefix, self.first, self.last + width) ^ (self.place * _U(kernel._STEP)))
+        out[a:b] = (grams & _U(0xFFFFFFFF)).astype(np.int32) + a
+    return out
 
 
 def _phrases(width: int, gram: int):
@@ -114,18 +137,17 @@ def _phrases(width: int, gram: int):
 def shard_transform(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, transform, longer) of strings symbols[begin[i]:begin[i + 1]], each of which ends with 0 and has none before.
 
-    order: the places of the suffixes, sorted to SHARD_DEPTH symbols. transform: the
-    symbol before each; 0 where a string begins. longer: the row of the suffix that
-    begins there.
+    order: the places of the suffixes, sorted to SHARD_DEPTH symbols, those past a
+    string's end included. transform: the symbol before each; 0 where a string begins.
+    longer: the row of the suffix that begins there.
     """
     n = len(symbols)
-    to_end = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)
-    padded = np.concatenate((symbols.astype(_U), np.zeros(SHARD_DEPTH, _U)))
-    key = np.zeros(n, _U)
-    for j in range(SHARD_DEPTH):
-        key <<= _U(9)
-        key |= np.where(j < to_end, padded[j : j + n], _U(0))
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    padded = np.concatenate((symbols.astype(np.int64), np.zeros(SHARD_DEPTH - 1, np.int64)))
+    key = padded[:n].copy()
+    for j in range(1, SHARD_DEPTH):
+        key <<= 9
+        key |= padded[j : j + n]
+    order = np.argsort(key).astype(np.int32)
     row = np.empty(n, np.int32)
     row[order] = np.arange(n, dtype=np.int32)
     before = np.concatenate((symbols[:1] * 0, symbols[:-1]))
@@ -133,35 +155,38 @@ def shard_transform(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray,
     return order, before[order], row[np.maximum(order - 1, 0)]
 
 
-def _kept(same: np.ndarray, long_enough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that stay, group of each): rows of long enough suffixes in groups of two or more; same: whether a row is in the group of the row before."""
-    edge = np.concatenate(([True], ~same))
-    keep = ~(edge & np.concatenate((edge[1:], [True]))) & long_enough
-    return keep, np.cumsum(edge, dtype=np.int32)[keep]
-
-
-def _pass(rows: np.ndarray, group: np.ndarray, before: np.ndarray, step: np.ndarray, reach: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """One refinement: the rows of the longer suffixes, ordered to ``known`` symbols, and their groups."""
+def _pass(rows: np.ndarray, group: np.ndarray, before: np.ndarray, step: np.ndarray, reach: np.ndarray | None, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """One refinement: the rows of the longer suffixes, ordered to ``known`` symbols, and their groups; of groups of two or more, and of suffixes that ``reach`` so far."""
     own = before[rows]
     order = np.argsort(own, kind="stable")
-    order = order[np.searchsorted(own[order], 1) :]  # where a string begins, nothing stands before
-    own, group, rows = own[order], group[order], step[rows[order]]
-    if not len(rows):
+    own = own[order]
+    none = np.searchsorted(own, 1)  # where a string begins, nothing stands before
+    order, own = order[none:], own[none:]
+    if not len(order):
+        return rows[:0], group[:0]
+    group = group[order]
+    edge = np.concatenate(([True], (own[1:] != own[:-1]) | (group[1:] != group[:-1]), [True]))
+    keep = np.flatnonzero(~(edge[:-1] & edge[1:]))
+    rows, group = step[rows[order[keep]]], np.cumsum(edge[:-1], dtype=np.int32)[keep]
+    if reach is None:
         return rows, group
-    keep, group = _kept((own[1:] == own[:-1]) & (group[1:] == group[:-1]), reach[rows] >= known)
-    return rows[keep], group
+    long_enough = reach[rows] >= known
+    return rows[long_enough], group[long_enough]
 
 
-def merge_transforms(transforms: list[np.ndarray], longer: list[np.ndarray], left: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(transforms: list[np.ndarray], longer: list[np.ndarray], left: list[np.ndarray] | None, depth: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, group): the merged rows of the suffixes whose first ``depth`` symbols occur again, and the interval that each is in.
 
-    Rows count through all shards. left: how many symbols each suffix has.
+    Rows count through all shards. left: how many symbols each suffix has. rows:
+    instead of it, those of the suffixes that have ``depth`` symbols before them in
+    their string, from which alone the passes come to suffixes of that length.
     """
     base = np.cumsum([0, *map(len, transforms)]).astype(np.int32)
-    symbols, reach = np.concatenate(transforms), np.concatenate(left)
+    symbols, reach = np.concatenate(transforms), None if left is None else np.concatenate(left)
     step = np.concatenate([x + b for x, b in zip(longer, base, strict=False)])
     # the first interleave: shard after shard, nothing known of any suffix
-    rows, group, known = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32), 0
+    rows = np.arange(len(symbols), dtype=np.int32) if rows is None else rows
+    group, known = np.zeros(len(rows), np.int32), 0
     if depth % 2 and len(rows):
         known = 1
         rows, group = _pass(rows, group, symbols, step, reach, known)
@@ -184,32 +209,32 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
 
     docs: the document of each string of a shard.
     """
-    transforms, longer, left, places, doc = [], [], [], [], []
+    transforms, longer, orders, enter, begins = [], [], [], [], []
     at = 0
-    for (data, begin), own in zip(shards, docs, strict=True):
+    for data, begin in shards:
         lengths = np.diff(begin)
         closed = begin + np.arange(len(begin))
         symbols = np.zeros(closed[-1], np.uint16)
-        inner = kernel.ramps(closed[:-1], lengths)
-        symbols[inner] = data.astype(np.uint16) + 1
+        inside = np.ones(len(symbols), bool)
+        inside[closed[1:] - 1] = False
+        symbols[inside] = data.astype(np.uint16) + 1
         order, transform, onward = shard_transform(symbols, closed)
         transforms.append(transform)
         longer.append(onward)
-        to_end = (np.repeat(closed[1:], lengths + 1) - 1 - np.arange(len(symbols))).astype(np.int32)
-        left.append(to_end[order])
-        source = np.zeros(len(symbols), np.int32)
-        source[inner] = np.arange(len(data)) + at
-        places.append(source[order])
-        doc.append(np.repeat(own, lengths + 1)[order])
-        at += len(data)
-    doc, places = np.concatenate(doc), np.concatenate(places)
-    rows, group = merge_transforms(transforms, longer, left, width)
-    out = np.zeros(at, bool)
+        behind = np.arange(len(symbols), dtype=np.int32) - np.repeat(closed[:-1].astype(np.int32), lengths + 1)
+        enter.append((np.flatnonzero(behind[order] >= width) + at).astype(np.int32))
+        orders.append(order + np.int32(at))
+        begins.append(closed[:-1] + at)
+        at += len(symbols)
+    rows, group = merge_transforms(transforms, longer, None, width, np.concatenate(enter))
+    out = np.zeros(at - sum(map(len, begins)), bool)
     if len(rows):
-        doc, place = doc[rows], places[rows]
-        begins = np.flatnonzero(np.diff(group, prepend=-1))
-        least = np.repeat(np.minimum.reduceat(doc, begins), np.diff(np.append(begins, len(group))))
-        out[place] = least < doc
+        place = np.concatenate(orders)[rows]
+        string = np.searchsorted(np.concatenate(begins), place, "right") - 1
+        doc = np.concatenate(docs)[string]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(group))))
+        out[place - string] = least < doc
     return np.split(out, np.cumsum([len(d) for d, _ in shards])[:-1])
 
 
@@ -217,15 +242,6 @@ def repeated(shards: list[tuple[np.ndarray, np.ndarray]], docs: list[np.ndarray]
 
 _SENT = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 _SENT_SQL = "bucket int, docs binary, keys binary, counts binary, lengths binary, data binary"
-_MAIL = pa.schema([("mailbox", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("packed", pa.binary())])
-_MAIL_SQL = "mailbox int, bucket int, keys binary, counts binary, packed binary"
-
-
-def _per_text(found: Fragments, n: int) -> list[slice]:
-    edges = np.searchsorted(found.text, np.arange(n + 1)).tolist()
-    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
 def _parts(found: Fragments, pick: np.ndarray, crowded: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, text, hash to deal by, whether single) of what is dealt of some fragments: they themselves, or the single strings of crowded ones."""
     count = np.where(crowded, found.last[pick] - found.first[pick] + 1, 1)
@@ -237,71 +253,58 @@ def _parts(found: Fragments, pick: np.ndarray, crowded: np.ndarray, width: int)
 
 
 def _send(width: int, gram: int, buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids = batch.column("row_key").to_numpy(), batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            heard = batch.column("answers")
-            for at, texts in kernel.chunks(batch):
-                found = Fragments(texts, width, gram)
-                open_, crowded = np.zeros(len(found.hash), bool), np.zeros(len(found.hash), bool)
-                for i, own in enumerate(_per_text(found, len(texts))):
-                    _, open_[own], crowded[own] = read_answers(found.hash[own], heard[at + i].as_py(), buckets, found.place[own])
-                pick = np.flatnonzero(open_)
-                if not len(pick):
-                    continue
-                first, last, text, key, single = _parts(found, pick, crowded[pick], width)
-                rows = []
-                if single.any():
-                    # equal strings of this chunk are settled on the spot
-                    which = text[single] + at
-                    before = held_before(key[single], ids[which])
-                    rows += [(LOCAL - mailbox, None, k, n, None, bits) for mailbox, (k, n, bits) in mail(keys[which], which, before, buckets)]
-                    single[single] = before
-                    first, last, text, key = (x[~single] for x in (first, last, text, key))
-                bucket = bucket_of(key, FINER * buckets)
-                order = np.argsort(bucket, kind="stable")
-                first, last, text, bucket = first[order], last[order], text[order], bucket[order]
-                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    own = text[a:b]
-                    begins = np.flatnonzero(np.diff(own, prepend=-1))
-                    lengths = last[a:b] - first[a:b] + width
-                    data = found.data[kernel.ramps(first[a:b], lengths)]
-                    counts = np.diff(np.append(begins, b - a)).astype(np.int32)
-                    which = own[begins] + at
-                    rows.append((int(bucket[a]), ids[which].tobytes(), keys[which].tobytes(), counts.tobytes(), lengths.astype(np.int32).tobytes(), data.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
-
-    return send
+    def found(held, batch, at, texts, keys, ids):
+        heard = batch.column("answers").slice(at, len(texts))
+        marked = np.flatnonzero(Answers(heard).any_contested())
+        own = Fragments([texts[i] for i in marked.tolist()], width, gram)
+        _, open_, crowded = Answers(heard.take(pa.array(marked))).read(own.hash, own.text, buckets, own.place)
+        pick = np.flatnonzero(open_)
+        if len(pick):
+            first, last, text, key, single = _parts(own, pick, crowded[pick], width)
+            lengths = last - first + width
+            held.add(keys[marked], ids[marked], int(lengths.sum()), text, key, single, lengths, own.data[kernel.ramps(first, lengths)])
+
+    def out(keys, ids, text, key, single, lengths, data):
+        begins = np.cumsum(lengths) - lengths
+        rows = []
+        if single.any():
+            # equal strings of what goes together are settled on the spot
+            which = text[single]
+            before = held_before(key[single], ids[which])
+            edges = np.flatnonzero(np.diff(which, prepend=-1))
+            rows += [(LOCAL - mailbox, None, k, n, None, bits) for mailbox, (k, n, bits) in mail(keys[which[edges]], np.diff(np.append(edges, len(which))), before, buckets)]
+            single[single] = before
+            begins, lengths, text, key = (x[~single] for x in (begins, lengths, text, key))
+        bucket = bucket_of(key, FINER * buckets)
+        order = np.argsort(bucket, kind="stable")
+        begins, lengths, text, bucket = begins[order], lengths[order], text[order], bucket[order]
+        data, ends = data[kernel.ramps(begins, lengths)], np.cumsum(lengths)
+        owners, sizes, at = Owners(bucket, text, ids, keys), Narrow(lengths), np.concatenate(([0], ends)).tolist()
+        for a, b in runs_of(bucket):
+            rows.append((int(bucket[a]), *owners.packed(a, b), sizes.packed(a, b), data[at[a] : at[b]].tobytes()))
+        return as_batch(rows, _SENT)
+
+    return lambda batches: gathered(batches, found, out, SEND_BYTES)
 
 
 def _merge(width: int, buckets: int):
     def merge(table: pa.Table) -> pa.Table:
-        """One bucket: which strings of its fragments a smaller document holds. Answers found on the spot pass."""
+        """One bucket: which strings of its fragments a smaller document holds."""
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            n = table.num_rows
-            kept = [table.column(name) for name in ("keys", "counts", "data")]
-            return pa.table([pa.array([LOCAL - bucket] * n, pa.int32()), pa.array([LOCAL] * n, pa.int32()), *kept], schema=_MAIL)
-        shards, docs, keys, spread = [], [], [], []
-        for at in range(0, table.num_rows, SHARD_ROWS):
-            part = table.slice(at, SHARD_ROWS)
-            whole = lambda name, kind, part=part: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
-            counts, lengths = whole("counts", np.int32), whole("lengths", np.int32).astype(np.int64)
-            shards.append((whole("data", np.uint8), np.concatenate(([0], np.cumsum(lengths)))))
-            docs.append(np.repeat(whole("docs", np.int64), counts))
-            keys.append(whole("keys", np.int64))
-            spread.append((counts, lengths))
-        flags, texts, owners, seen = [], [], [], 0
-        for (_, begin), (counts, lengths), own, flag in zip(shards, spread, keys, repeated(shards, docs, width), strict=True):
-            n = lengths - width + 1
-            flags.append(flag[kernel.ramps(begin[:-1], n)])
-            text = np.repeat(np.repeat(np.arange(len(counts)), counts), n)
-            texts.append(text + seen)
-            owners.append(own[text])
-            seen += len(counts)
-        rows = [(mailbox, bucket, *own) for mailbox, own in mail(np.concatenate(owners), np.concatenate(texts), np.concatenate(flags), buckets)]
-        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MAIL)], schema=_MAIL)
+            return passed_on(table, "data")
+        docs, keys, counts = unpacked_owners(table)
+        lengths = widened(table.column("lengths").to_pylist())[0]
+        data, ends = whole(table, "data", np.uint8), np.cumsum(lengths)
+        # shards of whole strings
+        cuts = np.searchsorted(ends, np.arange(SHARD_BYTES, ends[-1] + SHARD_BYTES, SHARD_BYTES)) + 1
+        cuts = np.unique(np.concatenate(([0], np.minimum(cuts, len(ends)))))
+        doc, begin = np.repeat(docs, counts), np.concatenate(([0], ends))
+        shards = [(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        flag = np.concatenate(repeated(shards, [doc[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], width))
+        strings = lengths - width + 1
+        firsts = np.cumsum(counts) - counts
+        return mailed(bucket, keys, np.add.reduceat(strings, firsts), flag[kernel.ramps(begin[:-1], strings)], buckets)
 
     return merge
 
@@ -314,52 +317,54 @@ _OUT_SQL = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:
 def _cut(width: int, gram: int, buckets: int, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heard, settled = batch.column("answers"), batch.column("settled")
-            for at, texts in kernel.chunks(batch):
-                marked = [i for i in range(len(texts)) if settled[at + i].is_valid or (heard[at + i].is_valid and any_held(heard[at + i].as_py()))]
-                found = Fragments([texts[i] for i in marked], width, gram)
-                own = dict(zip(marked, enumerate(_per_text(found, len(marked))), strict=True))
-                removed, spans, kept = [], [], []
-                for i, raw in enumerate(texts):
-                    runs = []
-                    if i in own:
-                        k, part = own[i]
-                        gone = _gone(found, part, found.begin[k], len(raw), heard[at + i].as_py(), settled[at + i].as_py(), width, buckets)
-                        runs = list(zip(*(x.tolist() for x in kernel.segments(gone)), strict=True))
-                    removed.append(sum(b - a for a, b in runs))
-                    spans.append([{"start": a, "end": b} for a, b in runs])
-                    edges = [0, *(x for run in runs for x in run), len(raw)]
-                    left = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
-                    kept.append(hashlib.sha256(left).hexdigest().encode() if digest else left)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(list(map(len, texts)), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], schema=_OUT)
+            for at, texts in kernel.chunks(batch, size_of=CHUNK_BYTES):
+                heard, settled = (batch.column(name).slice(at, len(texts)) for name in ("answers", "settled"))
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+                marked = np.flatnonzero(Answers(heard).any_held() | settled.is_valid().to_numpy(zero_copy_only=False))
+                gone = np.zeros(len(data), bool)
+                if len(marked):
+                    own = kernel.ramps(begin[marked], np.diff(begin)[marked])
+                    gone[own] = _gone([texts[i] for i in marked.tolist()], heard.take(pa.array(marked)), settled.take(pa.array(marked)), width, gram, buckets)
+                # a place that stays behind each text ends its last run
+                closed = begin + np.arange(len(begin))
+                inside = np.ones(closed[-1], bool)
+                inside[closed[1:] - 1] = False
+                laid = np.zeros(len(inside), bool)
+                laid[inside] = gone
+                starts, ends = kernel.segments(laid)
+                text = np.searchsorted(closed, starts, "right") - 1
+                runs = np.searchsorted(text, np.arange(len(begin))).astype(np.int32)
+                left = data[~gone].tobytes()
+                stay = np.concatenate(([0], np.cumsum(~gone)))[begin]
+                kept = [left[a:b] for a, b in zip(stay[:-1].tolist(), stay[1:].tolist(), strict=True)]
+                kept = [hashlib.sha256(x).hexdigest().encode() for x in kept] if digest else kept
+                spans = pa.StructArray.from_arrays([pa.array(x - closed[text], pa.int64()) for x in (starts, ends)], ["start", "end"])
+                n = np.diff(begin)
+                columns = [pa.array(n, pa.int64()), pa.array(n - np.diff(stay), pa.int64()), pa.ListArray.from_arrays(pa.array(runs), spans), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *columns], schema=_OUT)
 
     return cut
 
 
-def _gone(found: Fragments, part: slice, begin: int, n: int, heard: dict, settled: dict | None, width: int, buckets: int) -> np.ndarray:
-    """Which bytes of one document go."""
-    held, contested, crowded = read_answers(found.hash[part], heard, buckets, found.place[part])
-    first, last = found.first[part] - begin, found.last[part] - begin
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first[held], 1)
-    np.subtract.at(step, last[held] + width, 1)
-    if settled:
-        # a bucket's bits tell of the strings of what it got, in order; those found on the spot tell of all single strings
-        which = np.flatnonzero(contested)
-        own_first, own_last, _, key, single = _parts(found, part.start + which, crowded[which], width)
-        own_first, count, starts = own_first - begin, own_last - own_first + 1, []
-        if np.frombuffer(settled["buckets"], np.int32, 1)[0] == LOCAL:
-            size = (int(single.sum()) + 7) // 8
-            single[single] = np.unpackbits(np.frombuffer(settled["bits"], np.uint8, size), count=int(single.sum())).astype(bool)
-            starts.append(own_first[single])
-            own_first, key, count = (x[~single] for x in (own_first, key, count))
-            settled = {"buckets": settled["buckets"][4:], "bits": settled["bits"][size:]}
-        if settled["buckets"]:
-            places, flags = dealt_flags(np.repeat(bucket_of(key, FINER * buckets), count), settled, 1, FINER * buckets)
-            starts.append(kernel.ramps(own_first, count)[places[flags[:, 0]]])
-        starts = np.concatenate(starts)
-        np.add.at(step, starts, 1)
-        np.subtract.at(step, starts + width, 1)
+def _gone(texts: list[bytes], heard: pa.StructArray, settled: pa.StructArray, width: int, gram: int, buckets: int) -> np.ndarray:
+    """Which bytes of some texts, one behind another, go."""
+    found = Fragments(texts, width, gram)
+    held, contested, crowded = Answers(heard).read(found.hash, found.text, buckets, found.place)
+    # a bucket's bits tell of the strings of what it got, in order; those found on the spot tell of all single strings
+    told = Answers(settled)
+    which = np.flatnonzero(contested & (told.n > 0)[found.text])
+    first, last, text, key, single = _parts(found, which, crowded[which], width)
+    before = told.on_the_spot(np.bincount(text[single], minlength=len(texts)))
+    alone = first[single][before]
+    single[single] = before
+    first, last, text, key = (x[~single] for x in (first, last, text, key))
+    counts = last - first + 1
+    items, flags = told.dealt(text, bucket_of(key, FINER * buckets), counts, 1, FINER * buckets)
+    strings = np.concatenate((alone, kernel.ramps(first[items], counts[items])[flags[:, 0]]))
+    starts, ends = (np.concatenate((x[held], strings)) for x in (found.first, found.last))
+    n = len(found.data) + 1
+    step = np.bincount(starts, minlength=n) - np.bincount(ends + width, minlength=n)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -376,7 +381,7 @@ def repeated_bytes(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, d
     buckets = buckets_for(spark, text_bytes(docs), BUCKET_BYTES)
     heard = answers(docs, _phrases(width, gram), buckets, crowd)
     sent = docs.join(heard, "row_key").select("row_key", "doc_id", "text", "answers").mapInArrow(_send(width, gram, buckets), _SENT_SQL)
-    settled = sent.groupBy("bucket").applyInArrow(_merge(width, buckets), _MAIL_SQL).groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
+    settled = sent.groupBy("bucket").applyInArrow(_merge(width, buckets), MAIL_SQL).groupBy("mailbox").applyInArrow(deliver, FOUND_SQL)
     both = docs.join(heard, "row_key", "left").join(settled.withColumnRenamed("answers", "settled"), "row_key", "left")
     return both.select("doc_id", "text", "answers", "settled").mapInArrow(_cut(width, gram, buckets, digest), _OUT_SQL)
 

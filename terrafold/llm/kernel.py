@@ -131,15 +131,15 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, list[bytes]]]:
-    """Slices of a batch: index of the first row, texts as UTF-8, about CHUNK_BYTES each."""
+def chunks(batch: pa.RecordBatch, text: str = "text", size_of: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Slices of a batch: index of the first row, texts as UTF-8, about ``size_of`` bytes each."""
     column = batch.column(text)
     at, held, size = 0, [], 0
     for i in range(0, batch.num_rows, 256):
         for x in binary(column.slice(i, 256)):
             held.append(x)
             size += len(x)
-            if size >= CHUNK_BYTES:
+            if size >= size_of:
                 yield at, held
                 at, held, size = at + len(held), [], 0
     if held:

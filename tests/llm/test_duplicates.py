@@ -7,10 +7,11 @@ from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import pairs, tuples
 
-from terrafold.llm import bwt_dedup, jaccard_join, kernel
+from terrafold.llm import bwt_dedup, jaccard_join, kernel, phrase_index
 from terrafold.llm.bwt_dedup import merge_transforms, repeated_bytes, shard_transform
 from terrafold.llm.components import connected_components
 from terrafold.llm.jaccard_join import near_duplicates, needed, prefix_length, superseded
@@ -72,6 +73,49 @@ def test_a_passage_of_all_documents_makes_no_large_merge(spark, monkeypatch):
     assert sizes and max(sizes.values()) < 3 * sum(sizes.values()) / len(sizes) and len(sizes) == 16
 
 
+def batch_of(texts, first):
+    keys = pa.array(range(first, first + len(texts)), pa.int64())
+    return pa.RecordBatch.from_arrays([keys, keys, pa.array(texts)], names=["row_key", "doc_id", "text"])
+
+
+def test_a_bucket_is_sent_few_rows_however_many_buckets_there_are():
+    draw, buckets = random.Random(9), 40
+    passages = ["".join(draw.choice("abcdefgh ") for _ in range(400)) for _ in range(300)]
+    texts = [" ".join(draw.choice(passages)[draw.randint(0, 60) :] for _ in range(8)) for _ in range(1500)]
+    assert sum(map(len, texts)) > 4_000_000
+    sent = pa.Table.from_batches(phrase_index._send(bwt_dedup._phrases(50, 24), buckets)(iter([batch_of(texts[:700], 0), batch_of(texts[700:], 700)])))
+    places = sent.column("bucket").to_pylist()
+    assert sorted(b for b in places if b >= 0) == list(range(buckets))
+    assert len(places) <= 2 * buckets
+
+
+@pytest.mark.parametrize("crowd", [1, 3, bwt_dedup.CROWD])
+def test_byte_dedup_over_more_buckets_than_fragments(request, monkeypatch, crowd):
+    monkeypatch.setattr(bwt_dedup, "buckets_for", lambda *_: 97)
+    monkeypatch.setattr(bwt_dedup, "SHARD_BYTES", 100)
+    df, rows = data_of(request, "repeated")
+    got = tuples(repeated_bytes(df, digest=True, crowd=crowd).selectExpr("doc_id", "n_bytes", "n_removed", "cast(size(spans) as long) n", "cast(kept as string) kept"), "doc_id", "n_bytes", "n_removed", "n", "kept")
+    assert got == sorted(brute.byte_dedup(rows), key=repr)
+
+
+def test_strings_alone_enter_the_merge(monkeypatch):
+    entered = []
+    one_pass = bwt_dedup._pass
+    monkeypatch.setattr(bwt_dedup, "_pass", lambda rows, *a: (entered.append(len(rows)), one_pass(rows, *a))[1])
+    strings = [b"x" * 7 + b"abcdefghij" * 6, b"abcdefghij" * 6 + b"y", b"z" * 30]
+    data, begin = np.frombuffer(b"".join(strings), np.uint8), np.cumsum([0, *map(len, strings)])
+    flag = bwt_dedup.repeated([(data, begin)], [np.array([2, 1, 3])], 50)[0]
+    assert np.flatnonzero(flag).tolist() == list(range(7, 18))
+    assert entered[0] == sum(max(0, len(s) - 49) for s in strings)
+
+
+def test_narrow_numbers_there_and_back():
+    for values in ([0], [5, 260, 5], [-3, 1 << 40, 9], [-(1 << 63), 0, (1 << 63) - 1]):
+        packed = phrase_index.Narrow(np.array(values, np.int64))
+        got, n = phrase_index.widened([packed.packed(0, 1), packed.packed(1, len(values))])
+        assert got.tolist() == values and n.tolist() == [1, len(values) - 1]
+
+
 @pytest.mark.parametrize(("name", "boundary"), [*((t, None) for t in TABLES), ("documents", 0), ("documents", 9), ("repeated", 9)])
 def test_jaccard_join(request, name, boundary, monkeypatch):
     if boundary is not None:
